@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from aislewatch.llm import decontamination, mixing, sharding, token_files
+from aislewatch.llm import decontamination, language, mixing, quality, sharding, token_files, toxicity
 
 QUERIES = {
+    "op2_byte_gru": language.op2_byte_gru,
     "op3_token_files": token_files.op3_token_files,
+    "op4_bradley_terry": quality.op4_bradley_terry,
+    "op5_subsequence_svm": toxicity.op5_subsequence_svm,
     "op6_block_mix": mixing.op6_block_mix,
     "op8_wu_manber": decontamination.op8_wu_manber,
     "op9_balanced_label_propagation": sharding.op9_balanced_label_propagation,
