@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aislewatch.llm import decontamination, language, mixing, quality, sharding, token_files, toxicity
+from aislewatch.llm import decontamination, jaccard_join, language, mixing, quality, sharding, token_files, toxicity
 
 QUERIES = {
     "op2_byte_gru": language.op2_byte_gru,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_block_mix": mixing.op6_block_mix,
     "op8_wu_manber": decontamination.op8_wu_manber,
     "op9_balanced_label_propagation": sharding.op9_balanced_label_propagation,
+    "op10_token_group_matrix": jaccard_join.op10_token_group_matrix,
 }
 
-ORACLE_SQL = {"op8_wu_manber": decontamination.SQL}
+ORACLE_SQL = {"op8_wu_manber": decontamination.SQL, "op10_token_group_matrix": jaccard_join.SQL}
