@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from aislewatch.llm import decontamination, jaccard_join, language, mixing, quality, sharding, token_files, toxicity
+from aislewatch.llm import decontamination, embedding_dedup, jaccard_join, language, mixing, quality, sharding, token_files, toxicity
 
 QUERIES = {
+    "op1_pca_tiles": embedding_dedup.op1_pca_tiles,
     "op2_byte_gru": language.op2_byte_gru,
     "op3_token_files": token_files.op3_token_files,
     "op4_bradley_terry": quality.op4_bradley_terry,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_token_group_matrix": jaccard_join.op10_token_group_matrix,
 }
 
-ORACLE_SQL = {"op8_wu_manber": decontamination.SQL, "op10_token_group_matrix": jaccard_join.SQL}
+ORACLE_SQL = {"op1_pca_tiles": embedding_dedup.SQL, "op8_wu_manber": decontamination.SQL, "op10_token_group_matrix": jaccard_join.SQL}
