@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aislewatch.llm import decontamination, embedding_dedup, jaccard_join, language, mixing, quality, sharding, token_files, toxicity
+from aislewatch.llm import decontamination, embedding_dedup, jaccard_join, language, licenses, mixing, quality, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_pca_tiles": embedding_dedup.op1_pca_tiles,
@@ -11,9 +11,10 @@ QUERIES = {
     "op4_bradley_terry": quality.op4_bradley_terry,
     "op5_subsequence_svm": toxicity.op5_subsequence_svm,
     "op6_block_mix": mixing.op6_block_mix,
+    "op7_template_markup": licenses.op7_template_markup,
     "op8_wu_manber": decontamination.op8_wu_manber,
     "op9_balanced_label_propagation": sharding.op9_balanced_label_propagation,
     "op10_token_group_matrix": jaccard_join.op10_token_group_matrix,
 }
 
-ORACLE_SQL = {"op1_pca_tiles": embedding_dedup.SQL, "op8_wu_manber": decontamination.SQL, "op10_token_group_matrix": jaccard_join.SQL}
+ORACLE_SQL = {"op7_template_markup": licenses.SQL, "op1_pca_tiles": embedding_dedup.SQL, "op8_wu_manber": decontamination.SQL, "op10_token_group_matrix": jaccard_join.SQL}
