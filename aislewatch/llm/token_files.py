@@ -8,12 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aislewatch.llm.common import shared_dir, table
 
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 500_000
+PIECE = 4 << 20
 _WORKER: dict[str, tuple] = {}
 
 
@@ -26,35 +28,49 @@ def _encoder(path: str) -> tuple:
     return _WORKER[path]
 
 
-def encode_texts(texts: list[str | None], path: str, by_chunk: bool) -> list[np.ndarray]:
-    """The ids of whole texts. With ``by_chunk``, texts are cut at spaces and line feeds and each distinct chunk is
-    encoded once; right for tokenizers that drop white space before they merge."""
+def _by_chunk(tok, known: dict[str, bytes], texts: list[str]) -> list[bytes]:
+    """The ids of texts that are cut at spaces and line feeds; each distinct chunk of the texts is encoded once."""
+    cut = [t.replace("\n", " ").split(" ") for t in texts]
+    here = {c: known.get(c) for c in set().union(*cut)}
+    new = [c for c, x in here.items() if x is None]
+    mark = "<|startoftext|>"  # an added token: what stands on its two sides is encoded apart
+    fence = tok.token_to_id(mark)
+    alone = [c for c in new if "<|" in c] if fence is not None else new
+    for a in range(0, len(alone), 2000):
+        for c, e in zip(alone[a : a + 2000], tok.encode_batch_fast(alone[a : a + 2000], add_special_tokens=False), strict=True):
+            here[c] = np.array(e.ids, np.uint32).tobytes()
+    joined = [c for c in new if here[c] is None]
+    for a in range(0, len(joined), 2000):
+        some = joined[a : a + 2000]
+        ids = np.array(tok.encode_batch_fast([mark.join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.append(np.flatnonzero(ids == fence), len(ids)).tolist()
+        for c, x, y in zip(some, [0, *(k + 1 for k in stops[:-1])], stops, strict=True):
+            here[c] = ids[x:y].tobytes()
+    known.update((c, here[c]) for c in new[: max(0, KEPT_CHUNKS - len(known))])
+    return [b"".join(map(here.__getitem__, chunks)) for chunks in cut]
+
+
+def encode_texts(texts: list[str | None], path: str, by_chunk: bool) -> list[bytes]:
+    """The ids of whole texts as little-endian 32-bit integers. ``by_chunk`` is right for tokenizers that drop white
+    space before they merge: then nothing reaches across a space or line feed."""
     tok, known = _encoder(path)
-    if not by_chunk:
-        return [np.array(e.ids, np.uint32) for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    if len(known) > KEPT_CHUNKS:
-        known.clear()
-    new = list({c for chunks in cut for c in chunks if c not in known})
-    for i in range(0, len(new), 20_000):
-        for c, e in zip(new[i : i + 20_000], tok.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False), strict=False):
-            known[c] = np.array(e.ids, np.uint32).tobytes()
-    return [np.frombuffer(b"".join([known[c] for c in chunks]), np.uint32) for chunks in cut]
+    texts = [t or "" for t in texts]
+    if by_chunk:
+        return _by_chunk(tok, known, texts)
+    return [np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, by_chunk: bool) -> Iterator[pa.RecordBatch]:
-    tail = np.array([end], np.uint32)
+    tail = np.array([end], np.uint32).tobytes()
     for batch in batches:
         texts = batch.column("_text")
+        size = np.cumsum(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
         a = 0
         while a < len(texts):
-            b, size = a, 0
-            while b < len(texts) and (b == a or size < 2_000_000):
-                size += len(texts[b].as_py() or "")
-                b += 1
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + PIECE, "right")))
             ids = encode_texts(texts.slice(a, b - a).to_pylist(), path, by_chunk)
-            flat = np.concatenate([x for i in ids for x in (i, tail)]).astype(np.int32)
-            n = np.array([len(i) + 1 for i in ids], np.int64)
+            n = np.array([len(i) // 4 + 1 for i in ids], np.int64)
+            flat = np.frombuffer(tail.join([*ids, b""]), np.int32)
             off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("_id").slice(a, b - a), pa.array(n), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["_id", "n_tokens", "ids"])
             a = b
