@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filter_texts(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose texts ``keep`` says True of; in one pass without a shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str, tie: list[str] | None = None, spread: int = 1024) -> DataFrame:
     """Adds ``out``: 0, 1, 2, ... without gaps within ``keys`` (non-null columns).
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislewatch.llm.common import table
+from aislewatch.llm.common import filter_texts, table
 from aislewatch.llm.words import ALNUM, Words, mix, text_pieces, windows
 
 STEP = 128
@@ -83,6 +83,16 @@ def _searchers(items: list[tuple[str, str]], window: int) -> list[WuManber]:
     return [WuManber(dict(x)) for x in by.values()]
 
 
+def _slices(benchmark: DataFrame, window: int, slice_bytes: int) -> Iterator[list[WuManber]]:
+    """Searchers for the benchmark's items, about ``slice_bytes`` of their text at a time, so that no broadcast grows with it."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text")).where("name is not null and text is not null")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-int(total) // slice_bytes))
+    for k in range(n):
+        rows = items.where(F.pmod(F.xxhash64("name"), F.lit(n)) == k).collect()
+        yield _searchers([(r.name, r.text) for r in rows], window)
+
+
 def _search(batches: Iterator[pa.RecordBatch], searchers: list[WuManber]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, buf, off in text_pieces(batch.column(1)):
@@ -115,15 +125,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
     Columns besides the id and text are ignored; empty tables give no hits or an empty result.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text")).where("name is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // slice_bytes))
     slim = docs.select(F.col(id_col).alias("_id"), F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_seq"))
     schema = "_id {}, _seq long, n_words long, n_hit long, items array<string>, spans array<struct<first: long, words: long>>".format(slim.schema["_id"].dataType.simpleString())
     parts = []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("name"), F.lit(n)) == k).collect()  # one slice: bounded by slice_bytes
-        shared = spark.sparkContext.broadcast(_searchers([(r.name, r.text) for r in rows], window))
+    for searchers in _slices(benchmark, window, slice_bytes):
+        shared = spark.sparkContext.broadcast(searchers)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -132,7 +138,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
                     yield from found.add_column(0, "_id", batch.column("_id")).to_batches()
 
         parts.append(slim.mapInArrow(search, schema))
-    if n == 1:
+    if len(parts) == 1:
         return parts[0].drop("_seq").withColumnRenamed("_id", id_col)
     every = parts[0]
     for p in parts[1:]:
@@ -143,6 +149,25 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
     return merged.select(F.col("_id").alias(id_col), "n_words", F.expr(fold).alias("n_hit"), "items", "spans")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The rows of ``docs`` without a word inside an occurrence of a window; a pass for each slice of the benchmark, no shuffle."""
+    for searchers in _slices(benchmark, window, slice_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(searchers)
+
+        def clean(texts: pa.Array, shared=shared) -> np.ndarray:
+            keep = np.ones(len(texts), bool)
+            for a, _, buf, off in text_pieces(texts):
+                w = Words(buf, off, ALNUM)
+                h = w.hashes()
+                for s in shared.value:
+                    for p, _ in s.find(w, h):
+                        keep[a + w.doc[p]] = False
+            return keep
+
+        docs = filter_texts(docs, clean)
+    return docs
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -293,3 +293,14 @@ reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN lin
 SELECT words.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, least(words.doc_id, coalesce(r.m, words.doc_id)) AS component_id
 FROM words LEFT JOIN size ON words.doc_id = size.doc_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON words.doc_id = r.a
 """
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component; of rows with one id and words, one stays."""
+    found = cut(similar_components(docs, percent, size, id_col))
+    gone = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti")
+    if found.where("n_shingles > 0").groupBy(id_col).count().where("count > 1").limit(1).count():
+        again = F.coalesce(F.length(F.trim("text")) > 0, F.lit(False))
+        kept = kept.where(again).dropDuplicates([id_col]).unionByName(kept.where(~again))
+    return kept.select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aislewatch.llm.common import cut, number_rows, table
+from aislewatch.llm.common import cut, number_rows, staged, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,9 +58,13 @@ def draw_slots(targets: DataFrame, block: int = 256, shard_slots: int = 4096, se
     return out.select("_nil", "_src", "epoch", "block", "take", F.floor(F.col("_at") / shard_slots).alias("shard"), F.pmod("_at", F.lit(shard_slots)).alias("slot"))
 
 
+def _cut(df: DataFrame, name: str) -> DataFrame:
+    return cut(df)
+
+
 def _mixed(docs: DataFrame, block: int, weights: tuple[float, ...], share: float, limit: float, cols: list[str], source_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sized documents, targets, and for each document and epoch the words [lo, hi) that each of its blocks' slots take."""
-    sized = cut(docs.select(*cols, *_keys(F.col(source_col)), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("_th"), F.monotonically_increasing_id().alias("_seq")))
+    sized = (staged if "text" in cols else _cut)(docs.select(*cols, *_keys(F.col(source_col)), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("_th"), F.monotonically_increasing_id().alias("_seq")), "sized")
     targets = cut(source_targets(sized, weights, share, limit))
     # where a document's words begin in its source: documents are packed in the order of their numbers, which don't leave gaps
     bucket = F.pmod(F.xxhash64("doc_id", "_th"), F.lit(1024)).cast("int")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislewatch.llm.common import table
+from aislewatch.llm.common import filter_texts, table
 from aislewatch.llm.labelled import labelled_texts, remainder
 from aislewatch.llm.memo import Memo, worker_memo
 from aislewatch.llm.words import SPACE, Words, text_pieces
@@ -181,23 +181,28 @@ def fit_toxicity(rows: list[tuple[str | None, int]], landmarks: int = 160, negat
     return ToxicModel(svm, float(w[0]), float(w[1]))
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: ToxicModel) -> Iterator[pa.RecordBatch]:
+def score_texts(texts: pa.Array, model: ToxicModel) -> np.ndarray:
     svm = model.svm
     memo = worker_memo("toxicity-" + hashlib.md5(svm.table.tobytes()).hexdigest(), lambda: Memo(svm.words, 1))
+    out = np.zeros(len(texts))
+    for a, b, buf, off in text_pieces(texts):
+        w = Words(buf, off, SPACE)
+        best = np.full(b - a, -3.0)
+        if len(w.start):
+            rows, which = memo(w, w.hashes())
+            has = w.count > 0
+            best[has] = np.maximum.reduceat(rows[which, 0], w.first[:-1][has])
+            one = np.concatenate([[0], np.cumsum(w.end - w.start == 1)])
+            for k in np.flatnonzero(one[w.first[1:]] - one[w.first[:-1]] >= 4):
+                if runs := spelt_out(w, k):
+                    best[k] = max(best[k], svm.words(runs).max())
+        out[a:b] = np.where(w.count > 0, 1 / (1 + np.exp(-np.clip(model.slope * best + model.shift, -30, 30))), 0.0)
+    return out
+
+
+def _score(batches: Iterator[pa.RecordBatch], model: ToxicModel) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, buf, off in text_pieces(batch.column(1)):
-            w = Words(buf, off, SPACE)
-            best = np.full(b - a, -3.0)
-            if len(w.start):
-                rows, which = memo(w, w.hashes())
-                has = w.count > 0
-                best[has] = np.maximum.reduceat(rows[which, 0], w.first[:-1][has])
-                one = np.concatenate([[0], np.cumsum(w.end - w.start == 1)])
-                for k in np.flatnonzero(one[w.first[1:]] - one[w.first[:-1]] >= 4):
-                    if runs := spelt_out(w, k):
-                        best[k] = max(best[k], svm.words(runs).max())
-            p = 1 / (1 + np.exp(-np.clip(model.slope * best + model.shift, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.where(w.count > 0, p, 0.0))], names=["_id", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(batch.column(1), model))], names=["_id", "score"])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel | None, id_col: str = "doc_id") -> DataFrame:
@@ -211,6 +216,14 @@ def score_toxicity(docs: DataFrame, model: ToxicModel | None, id_col: str = "doc
     return slim.mapInArrow(lambda batches: _score(batches, shared.value), f"_id {slim.schema['_id'].dataType.simpleString()}, score double").withColumnRenamed("_id", id_col)
 
 
+def drop_toxic(docs: DataFrame, model: ToxicModel | None, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``limit``; all of them without a model."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_texts(docs, lambda texts: score_texts(texts, shared.value) < limit)
+
+
 def trained(spark: SparkSession, sf_dir: str, bound: int = 1000) -> ToxicModel | None:
     """A model of about ``bound`` labelled documents of each class at most, none of them held out."""
     rows = labelled_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", bound).collect()
