@@ -1,4 +1,7 @@
 """Every query of the library by name, and its DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from aislewatch.plans import event_queries, retail_queries
+
+_PARTS = [event_queries.C, retail_queries.C]
+QUERIES: dict = {k: v for c in _PARTS for k, v in c.queries.items()}
+ORACLE_SQL: dict[str, str] = {k: v for c in _PARTS for k, v in c.sql.items()}
