@@ -156,18 +156,18 @@ def average_precision(truth: DataFrame, pred: DataFrame, thresholds: tuple[float
     p = pred.select("camera_id", "frame_index", "pred_id", "score").join(pairs, ["camera_id", "frame_index", "pred_id"], "left")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "pred_id"], ascending=[False, True], kind="stable")
         out = []
+        rows = sorted(zip(pdf.frame_index, -pdf.score, pdf.pred_id, [[] if m is None else [(x["iou"], x["gt_id"]) for x in m] for m in pdf.m], strict=True), key=lambda r: r[:3])
         for t in thresholds:
-            free: set = set()
-            for r in pdf.itertuples():
-                best = max(((x["iou"], x["gt_id"]) for x in (r.m if r.m is not None else []) if x["iou"] >= t and x["gt_id"] not in free), default=None)
+            taken: set = set()  # of (frame, truth)
+            for frame, score, pid, m in rows:
+                best = max((x for x in m if x[0] >= t and (frame, x[1]) not in taken), default=None)
                 if best:
-                    free.add(best[1])
-                out.append((r.camera_id, t, r.score, r.pred_id, r.frame_index, best is not None))
+                    taken.add((frame, best[1]))
+                out.append((pdf.camera_id.iloc[0], t, -score, pid, frame, best is not None))
         return pd.DataFrame(out, columns=["camera_id", "t", "score", "pred_id", "frame_index", "hit"])
 
-    hits = p.groupBy("camera_id", "frame_index").applyInPandas(greedy, "camera_id long, t double, score double, pred_id long, frame_index long, hit boolean")
+    hits = p.groupBy("camera_id", F.floor(F.col("frame_index") / 256)).applyInPandas(greedy, "camera_id long, t double, score double, pred_id long, frame_index long, hit boolean")
     w = Window.partitionBy("camera_id", "t").orderBy(F.desc("score"), "frame_index", "pred_id")
     n = truth.groupBy("camera_id").agg(F.count("*").alias("n"))
     curve = hits.withColumns({"tp": F.sum(F.col("hit").cast("int")).over(w), "k": F.row_number().over(w)}).join(n, "camera_id").select("camera_id", "t", (F.col("tp") / F.col("n")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))
