@@ -1,7 +1,7 @@
 """Every query of the library by name, and its DuckDB SQL."""
 
-from aislewatch.plans import event_queries, metric_queries, retail_queries, track_queries
+from aislewatch.plans import audit_queries, event_queries, metric_queries, retail_queries, track_queries
 
-_PARTS = [event_queries.C, retail_queries.C, metric_queries.C, track_queries.C]
+_PARTS = [event_queries.C, retail_queries.C, metric_queries.C, track_queries.C, audit_queries.C]
 QUERIES: dict = {k: v for c in _PARTS for k, v in c.queries.items()}
 ORACLE_SQL: dict[str, str] = {k: v for c in _PARTS for k, v in c.sql.items()}
