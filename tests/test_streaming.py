@@ -39,7 +39,7 @@ def test_sequences(spark, tmp_path):
 
 
 def test_zone_stays(spark, tmp_path):
-    rows = [(0, 1, "till", f, f not in (3, 4), float(f)) for f in range(8)]
+    rows = [(0, 1, "till", f, f not in (3, 4), 1000.0 + f) for f in range(8)]
     df = spark.createDataFrame(rows, "camera_id long, track_id long, zone string, frame_index long, inside boolean, t double").select("*", F.timestamp_seconds("t").alias("ts")).drop("t")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     got = run(spark, S.zone_stays(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), tmp_path, "stays")
