@@ -70,7 +70,7 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str, tie:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; the component is the smallest node that links reach.
 
-    Each round points every node at its smallest neighbour, follows the pointers four steps on, and contracts the
+    Each round points every node at its smallest neighbour, follows the pointers two steps on, and contracts the
     edges; at least half of the nodes of each component go in a round. Group sizes don't matter: minima are
     combined before the shuffle, and a hub only ever joins its one pointer row.
     """
@@ -80,10 +80,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         p = both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
         p = cut(p)
-        for _ in range(2):  # p(p), then p(p(p(p)))
-            q = p.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-            p = p.join(q, "p").select("a", F.col("pp").alias("p"))
-        p = cut(p)
+        q = p.select(F.col("a").alias("p"), F.col("p").alias("pp"))
+        p = cut(p.join(q, "p").select("a", F.col("pp").alias("p")))
         maps.append(p)
         to = p.select(F.col("a").alias("x"), F.col("p").alias("px"))
         left = left.join(to.withColumnsRenamed({"x": "a", "px": "pa"}), "a").join(to.withColumnsRenamed({"x": "b", "px": "pb"}), "b")

@@ -1,10 +1,11 @@
 """N-gram Jaccard join with a token-group matrix.
 
 A document's set is its distinct five-word shingles, as 64-bit hashes. Documents with equal sets are one class. What
-two classes of a Jaccard similarity of 0.8 share must show among the first n - ceil(0.8 n) + 1 tokens of each, in any
-order that all classes use; here frequent tokens come last. Only classes that share such a token with another class
-("live" ones) go on. They are dealt to groups of similar classes; the matrix says which token lies in which group's
-union; a class opens a group only if a token leads there, sizes fit, and its overlap with the union can reach 0.8.
+two classes of a Jaccard similarity of 0.8 share must show early in any order of the tokens that all classes use: k of
+their common tokens are among the first n - ceil(0.8 n) + k of each (here k = n / 20, frequent tokens last). Only
+classes of which so many first tokens are shared ("live" ones) go on. They are dealt to groups of similar classes; the
+matrix says which token lies in which group's union; a class opens a group only if enough of its first tokens lead
+there, sizes fit, and its overlap with the union can reach 0.8.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from aislewatch.llm.common import components, cut, staged, table
 from aislewatch.llm.words import SPACE, Words, mix, shingle_sets, text_pieces
 
 GROUP = 256  # classes in a group
-LOCAL = 8  # a token of so many sets of a split counts as frequent
+FREQUENT = 16  # a token of so many sets counts as frequent
 MOST_FREQUENT = 1_000_000  # tokens that are broadcast as frequent: 8 MB
 
 
@@ -34,14 +35,16 @@ def _sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(Words(buf, off, SPACE), size)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Tokens of LOCAL or more different sets among those of about 8 million tokens at a time, with their numbers of sets."""
+def _repeated(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Tokens of two or more different sets among those of about 3 million tokens at a time, with their numbers of sets."""
     kept: list[np.ndarray] = []
     seen: set[tuple[int, int]] = set()
 
     def flush() -> pa.RecordBatch:
-        t, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *kept]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(t[n >= LOCAL].view(np.int64)), pa.array(n[n >= LOCAL].astype(np.int64))], names=["token", "n"])
+        t = np.sort(np.concatenate([np.zeros(0, np.uint64), *kept]))
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(t)))
+        return pa.RecordBatch.from_arrays([pa.array(t[first[n > 1]].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["token", "n"])
 
     held = 0
     for batch in batches:
@@ -50,7 +53,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
                 seen.add(k)
                 kept.append(s)
                 held += len(s)
-                if held > 8_000_000:
+                if held > 3_000_000:
                     yield flush()
                     kept.clear()
                     seen.clear()
@@ -59,52 +62,55 @@ def _frequent(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
 
 def frequent_tokens(docs: DataFrame, size: int) -> np.ndarray:
-    """A sorted array of frequent tokens. They only set the order of tokens, so any choice keeps the join exact."""
-    rows = docs.select("text").mapInArrow(lambda b: _frequent(b, size), "token long, n long")
-    top = rows.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT)
-    return np.sort(np.array([r.token for r in top.select("token").collect()], np.int64).view(np.uint64))
+    """A sorted array of frequent tokens, MOST_FREQUENT at most. They only set the order of tokens, so any choice keeps
+    the join exact; tokens that are alone in their part of the input aren't counted there."""
+    rows = docs.select("text").mapInArrow(lambda b: _repeated(b, size), "token long, n long")
+    top = rows.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT)
+    return np.sort(top.select("token").toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def document_sets(docs: DataFrame, id_col: str, size: int, percent: int) -> DataFrame:
-    """_id, n (set size), k1 and k2 (of the set), prefix (its first tokens in the order, packed)."""
-    spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_tokens(docs, size))
+def early(n: int) -> int:
+    """How many common tokens a prefix has to show."""
+    return max(1, n // 20)
+
+
+def _prefix(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The first tokens of a set in the order (frequent or not, hash)."""
+    p = min(len(s), len(s) - (percent * len(s) + 99) // 100 + early(len(s)))
+    if len(often) and len(s):
+        hot = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
+        first = s[~hot][:p]
+        return np.concatenate([first, s[hot][: p - len(first)]])
+    return s[:p]
+
+
+def document_sets(docs: DataFrame, id_col: str, size: int) -> DataFrame:
+    """_id, n (set size), k1 and k2 (of the set) of every row."""
     slim = docs.select(F.col(id_col).alias("_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequent.value
         for batch in batches:
-            n, k1, k2, prefix = [], [], [], []
-            for s in _sets(batch.column(1), size):
-                a, b = _key(s)
-                n.append(len(s))
-                k1.append(a)
-                k2.append(b)
-                p = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
-                if len(often) and p:
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    hot = often[at] == s
-                    first = s[~hot][:p]
-                    s = np.concatenate([first, s[hot][: p - len(first)]])
-                prefix.append(s[:p].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefix, pa.binary())], names=["_id", "n", "k1", "k2", "prefix"])
-
-    return staged(slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, n long, k1 long, k2 long, prefix binary"), "sets")
+            got = [(len(s), *_key(s)) for s in _sets(batch.column(1), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([g[c] for g in got], pa.int64()) for c in range(3)]], names=["_id", "n", "k1", "k2"])
+
+    return staged(slim.mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, n long, k1 long, k2 long"), "sets")
 
 
 def _unpack(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
 
 
-def _postings(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], often: np.ndarray, size: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Packed (tokens, classes) of each bucket of token hashes; a class that comes again in a batch is left out."""
     for batch in batches:
-        k1 = batch.column("k1").to_numpy()
-        _, first = np.unique(k1, return_index=True)
-        sets = _unpack(batch.column("prefix").take(pa.array(first)))
-        if not sum(map(len, sets)):
+        sets: dict[int, np.ndarray] = {}
+        for s in _sets(batch.column(0), size):
+            if len(s):
+                sets.setdefault(_key(s)[0], _prefix(s, often, percent))
+        if not sets:
             continue
-        token, cls = np.concatenate(sets), np.repeat(k1[first], [len(s) for s in sets])
+        token = np.concatenate(list(sets.values()))
+        cls = np.repeat(np.array(list(sets), np.int64), [len(s) for s in sets.values()])
         b = (mix(token) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(b, kind="stable")
         ids, starts = np.unique(b[order], return_index=True)
@@ -126,18 +132,20 @@ def _shared(t: pa.Table) -> pa.Table:
     return pa.table({"token": pa.array(token[more].view(np.int64)), "k1": pa.array(cls[more].view(np.int64))})
 
 
-def shared_tokens(sets: DataFrame) -> DataFrame:
+def shared_tokens(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """(token, k1): the prefix tokens that two or more classes have."""
-    total = sets.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    buckets = max(256, int(total // 8_000_000))
-    packed = sets.where("n > 0").select("k1", "prefix").mapInArrow(lambda b: _postings(b, buckets), "bucket long, tokens binary, classes binary")
+    often = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, size))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(256, int(total // 4_000_000))
+    packed = docs.select("text").mapInArrow(lambda b: _postings(b, often.value, size, percent, buckets), "bucket long, tokens binary, classes binary")
     return staged(packed.groupBy("bucket").applyInArrow(_shared, "token long, k1 long"), "shared")
 
 
 def sets_of(docs: DataFrame, live: DataFrame, id_col: str, size: int) -> DataFrame:
-    """(k1, n, set) of the live classes, from the texts of their representatives (_rep).
+    """(k1, n, set) of the live classes, from the texts of their representatives (_rep), and of a few other classes.
 
-    A bitmap of hashed ids (16 MB at most) spares most other texts; the join with ``live`` decides.
+    A bitmap of hashed ids (16 MB at most) spares most other texts; joins with ``live`` classes leave the rest out. A
+    class may come twice if an id does.
     """
     spark = docs.sparkSession
     bits = 1 << 20
@@ -156,10 +164,9 @@ def sets_of(docs: DataFrame, live: DataFrame, id_col: str, size: int) -> DataFra
             b = batch.column(2).to_numpy()
             hit = batch.filter(pa.array((shared.value[b >> 3] >> (b & 7) & 1).astype(bool)))
             got = [(*_key(s), s.tobytes()) for s in _sets(hit.column(1), size)]
-            yield pa.RecordBatch.from_arrays([hit.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([len(g[2]) // 8 for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], names=["_rep", "k1", "n", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([len(g[2]) // 8 for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], names=["k1", "n", "set"])
 
-    rows = slim.mapInArrow(run, f"_rep {slim.schema['_rep'].dataType.simpleString()}, k1 long, n long, set binary")
-    return staged(rows.join(live.select("_rep", "k1"), ["_rep", "k1"]).dropDuplicates(["k1"]).select("k1", "n", "set"), "live")
+    return staged(slim.mapInArrow(run, "k1 long, n long, set binary"), "live")
 
 
 def _roots(link: np.ndarray) -> np.ndarray:
@@ -176,9 +183,8 @@ def _roots(link: np.ndarray) -> np.ndarray:
 
 def _link_group(t: pa.Table, percent: int) -> pa.Table:
     """(k1, root): the links inside a group of at most a few hundred classes, as the root that each class reaches."""
-    k1 = t.column("k1").to_numpy()
-    order = np.argsort(k1)
-    k1, sets = k1[order], [x for x in np.array(_unpack(t.column("set")), dtype=object)[order]] if len(k1) > 1 else _unpack(t.column("set"))
+    k1, first = np.unique(t.column("k1").to_numpy(), return_index=True)
+    sets = _unpack(t.column("set").take(pa.array(first)))
     n = np.array([len(s) for s in sets])
     _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     member = np.repeat(np.arange(len(k1)), n)
@@ -199,26 +205,63 @@ def _link_group(t: pa.Table, percent: int) -> pa.Table:
 
 
 def _open_groups(members: pa.Table, queries: pa.Table, percent: int) -> pa.Table:
-    """(a, b): a link of each query class to the group, if there is one. The group's classes are connected already, so one is enough."""
-    a, b = [], []
+    """(a, b): the components that links join, of the queries' and the group's. The group's classes are connected
+    already, so one link of a query is enough."""
+    joined = set()
     if members.num_rows and queries.num_rows:
-        k1, sets = members.column("k1").to_numpy(), _unpack(members.column("set"))
+        k1, first = np.unique(members.column("k1").to_numpy(), return_index=True)
+        sets = _unpack(members.column("set").take(pa.array(first)))
         n = np.array([len(s) for s in sets])
         order = np.argsort(np.concatenate(sets), kind="stable")
         token, owner = np.concatenate(sets)[order], np.repeat(np.arange(len(k1)), n)[order]
         union, start = np.unique(token, return_index=True)
         stop = np.append(start[1:], len(token))
-        for q, s in zip(queries.column("q").to_pylist(), _unpack(queries.column("qset")), strict=True):
+        group = members.column("gcomp")[0].as_py()
+        for comp, s in zip(queries.column("comp").to_pylist(), _unpack(queries.column("qset")), strict=True):
             at = np.minimum(np.searchsorted(union, s), len(union) - 1)
             at = at[union[at] == s]
-            if 100 * len(at) < percent * len(s):  # the overlap with the union bounds that with each member
+            if (comp, group) in joined or 100 * len(at) < percent * len(s):  # the overlap with the union bounds that with each member
                 continue
             both = np.bincount(np.concatenate([owner[x:y] for x, y in zip(start[at], stop[at], strict=True)]), minlength=len(k1))
-            hit = np.flatnonzero(100 * both >= percent * (len(s) + n - both))
-            if len(hit):
-                a.append(q)
-                b.append(int(k1[hit[0]]))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            if (100 * both >= percent * (len(s) + n - both)).any():
+                joined.add((comp, group))
+    return pa.table({"a": pa.array([x for x, _ in joined], pa.int64()), "b": pa.array([y for _, y in joined], pa.int64())})
+
+
+def _ask(placed: DataFrame, shared: DataFrame, full: DataFrame, leaders: bool, percent: int) -> DataFrame:
+    """``placed`` (k1, n, comp) with the components joined that the token-group matrix finds links between.
+
+    Groups are connected classes in chunks of GROUP; classes without a link are groups of one. The matrix has a row for
+    each token and group whose union of first tokens holds it. A class asks groups of other components whose sizes fit
+    and that enough of its first tokens lead to. With ``leaders`` only the first group of each token is asked.
+    """
+    least = f"(({percent} * n + 99) DIV 100)"
+    show = lambda n: f"greatest(1L, {n} DIV 20)"  # noqa: E731  as early()
+    chunks = placed.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / 400_000)).alias("chunks"))
+    dealt = cut(placed.join(chunks, "comp").withColumn("chunk", F.pmod(F.xxhash64("k1", F.lit(9)), "chunks")).drop("chunks"))
+    bounds = dealt.groupBy("comp", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    entries = shared.join(dealt, "k1")
+    mixed = entries.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+    entries = cut(entries.join(mixed, "token", "left_semi"))
+    groups = entries.select("token", "comp", "chunk")
+    groups = groups.groupBy("token").agg(F.min(F.struct("comp", "chunk")).alias("g")).select("token", "g.*") if leaders else groups.distinct()
+    matrix = groups.join(bounds, ["comp", "chunk"]).withColumnsRenamed({"comp": "gcomp", "chunk": "gchunk"})
+    fit = f"comp > gcomp AND 100 * hi >= {percent} * n AND 100 * n >= {percent} * lo"
+    asks = entries.join(matrix, "token").where(fit).groupBy("k1", "n", "comp", "gcomp", "gchunk", "lo").agg(F.count("*").alias("c"))
+    asks = cut(asks.where(f"c >= least({show('n')}, {show(f'greatest(lo, {least})')})").select("k1", "comp", "gcomp", "gchunk"))
+    parts = asks.groupBy("gcomp", "gchunk").agg(F.ceil(F.count("*") / 512).alias("parts"))
+    asks = asks.join(parts, ["gcomp", "gchunk"]).withColumn("part", F.pmod(F.xxhash64("k1", F.lit(5)), "parts"))
+    queries = asks.join(full.select("k1", F.col("set").alias("qset")), "k1").select("gcomp", "gchunk", "part", "comp", "qset")
+    members = dealt.withColumnsRenamed({"comp": "gcomp", "chunk": "gchunk"}).join(parts, ["gcomp", "gchunk"]).join(full.select("k1", "set"), "k1")
+    members = members.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).select("gcomp", "gchunk", "part", "k1", "set")
+    keys = ["gcomp", "gchunk", "part"]
+    return _joined(placed, members.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(lambda m, q: _open_groups(m, q, percent), "a long, b long"))
+
+
+def _joined(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """``placed`` with the components that ``edges`` connect made one."""
+    new = components(edges).withColumnsRenamed({"node": "comp", "component": "_to"})
+    return cut(placed.join(new, "comp", "left").select("k1", "n", F.coalesce("_to", "comp").alias("comp")))
 
 
 def similar_components(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id") -> DataFrame:
@@ -227,11 +270,15 @@ def similar_components(docs: DataFrame, percent: int = 80, size: int = 5, id_col
     Null and empty texts have empty sets and are their own components. Fewer words than ``size`` are one shingle.
     Repeated rows and equal sets are in one component. An empty table gives an empty result; other columns are ignored.
     """
-    sets = document_sets(docs, id_col, size, percent)
+    sets = document_sets(docs, id_col, size)
     classes = cut(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("_id").alias("_rep"), F.count("*").alias("copies")))
-    shared = shared_tokens(sets)
-    anchors = shared.groupBy("k1").agg(F.min("token").alias("anchor"))
-    live = cut(classes.join(anchors, "k1").select("k1", "n", "_rep", "anchor"))
+    shared = shared_tokens(docs, sets, size, percent)
+    least = f"(({percent} * n + 99) DIV 100)"
+    show = lambda n: f"greatest(1L, {n} DIV 20)"  # noqa: E731  as early()
+    counts = shared.groupBy("k1").agg(F.count("*").alias("c"), F.min("token").alias("anchor"))
+    live = cut(classes.join(counts, "k1").where(f"c >= {show(least)}").select("k1", "n", "_rep"))
+    shared = cut(shared.join(live.select("k1"), "k1", "left_semi"))
+    live = cut(live.join(shared.groupBy("k1").agg(F.min("token").alias("anchor")), "k1"))
     full = sets_of(docs, live, id_col, size)
 
     # groups of similar classes: those with the same smallest shared token, in chunks; the roots of the chunks once more
@@ -248,28 +295,14 @@ def similar_components(docs: DataFrame, percent: int = 80, size: int = 5, id_col
         todo = dealt.where("chunks > 1").join(roots.where("k1 = root").select("k1"), "k1", "left_semi").select("k1", "n", "anchor")
         if not todo.limit(1).count():
             break
+    placed = _joined(live.select("k1", "n", F.col("k1").alias("comp")), edges)
 
-    # the token-group matrix over what is not connected yet
-    of = components(edges).select(F.col("node").alias("k1"), F.col("component").alias("comp"))
-    placed = live.select("k1", "n").join(of, "k1", "left").withColumn("comp", F.coalesce("comp", "k1"))
-    chunks = placed.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / 400_000)).alias("chunks"))
-    placed = cut(placed.join(chunks, "comp").withColumn("chunk", F.pmod(F.xxhash64("k1", F.lit(9)), "chunks")).drop("chunks"))
-    bounds = placed.groupBy("comp", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    entries = shared.join(placed, "k1")
-    mixed = entries.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    entries = staged(entries.join(mixed, "token", "left_semi"), "entries")
-    matrix = entries.select("token", "comp", "chunk").distinct().join(bounds, ["comp", "chunk"]).withColumnsRenamed({"comp": "gcomp", "chunk": "gchunk"})
-    fit = f"comp > gcomp AND 100 * hi >= {percent} * n AND 100 * n >= {percent} * lo"
-    asks = cut(entries.join(matrix, "token").where(fit).select("k1", "gcomp", "gchunk").distinct())
-    parts = asks.groupBy("gcomp", "gchunk").agg(F.ceil(F.count("*") / 512).alias("parts"))
-    asks = asks.join(parts, ["gcomp", "gchunk"]).withColumn("part", F.pmod(F.xxhash64("k1", F.lit(5)), "parts"))
-    queries = asks.join(full.select("k1", F.col("set").alias("qset")), "k1").select("gcomp", "gchunk", "part", F.col("k1").alias("q"), "qset")
-    members = placed.withColumnsRenamed({"comp": "gcomp", "chunk": "gchunk"}).join(parts, ["gcomp", "gchunk"]).join(full.select("k1", "set"), "k1")
-    members = members.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).select("gcomp", "gchunk", "part", "k1", "set")
-    keys = ["gcomp", "gchunk", "part"]
-    opened = cut(members.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(lambda m, q: _open_groups(m, q, percent), "a long, b long"))
+    # first each token's classes ask the first group of that token only, which ties large groups of near copies
+    # together at a cost in proportion to their size; then all ask all groups that the matrix leads them to
+    for leaders in (True, False):
+        placed = _ask(placed, shared, full, leaders, percent)
 
-    final = components(edges.unionByName(opened)).select(F.col("node").alias("k1"), "component")
+    final = placed.select("k1", F.col("comp").alias("component"))
     known = classes.join(final, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
     smallest = known.groupBy("component").agg(F.min("_rep").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
     target = known.join(smallest, "component").select("k1", "component_id")
