@@ -233,20 +233,22 @@ def _ask(placed: DataFrame, shared: DataFrame, full: DataFrame, leaders: bool, p
 
     Groups are connected classes in chunks of GROUP; classes without a link are groups of one. The matrix has a row for
     each token and group whose union of first tokens holds it. A class asks groups of other components whose sizes fit
-    and that enough of its first tokens lead to. With ``leaders`` only the first group of each token is asked.
+    and that enough of its first tokens lead to. With ``leaders`` only a group of each token's largest component is asked.
     """
     least = f"(({percent} * n + 99) DIV 100)"
     show = lambda n: f"greatest(1L, {n} DIV 20)"  # noqa: E731  as early()
-    chunks = placed.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / 400_000)).alias("chunks"))
+    chunks = placed.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / 400_000)).alias("chunks"), F.count("*").alias("many"))
     dealt = cut(placed.join(chunks, "comp").withColumn("chunk", F.pmod(F.xxhash64("k1", F.lit(9)), "chunks")).drop("chunks"))
     bounds = dealt.groupBy("comp", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     entries = shared.join(dealt, "k1")
     mixed = entries.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     entries = cut(entries.join(mixed, "token", "left_semi"))
-    groups = entries.select("token", "comp", "chunk")
-    groups = groups.groupBy("token").agg(F.min(F.struct("comp", "chunk")).alias("g")).select("token", "g.*") if leaders else groups.distinct()
+    if leaders:
+        groups = entries.groupBy("token").agg(F.max(F.struct("many", "comp", "chunk")).alias("g")).select("token", "g.comp", "g.chunk")
+    else:
+        groups = entries.select("token", "comp", "chunk").distinct()
     matrix = groups.join(bounds, ["comp", "chunk"]).withColumnsRenamed({"comp": "gcomp", "chunk": "gchunk"})
-    fit = f"comp > gcomp AND 100 * hi >= {percent} * n AND 100 * n >= {percent} * lo"
+    fit = f"comp {'<>' if leaders else '>'} gcomp AND 100 * hi >= {percent} * n AND 100 * n >= {percent} * lo"
     asks = entries.join(matrix, "token").where(fit).groupBy("k1", "n", "comp", "gcomp", "gchunk", "lo").agg(F.count("*").alias("c"))
     asks = cut(asks.where(f"c >= least({show('n')}, {show(f'greatest(lo, {least})')})").select("k1", "comp", "gcomp", "gchunk"))
     parts = asks.groupBy("gcomp", "gchunk").agg(F.ceil(F.count("*") / 512).alias("parts"))
@@ -297,8 +299,8 @@ def similar_components(docs: DataFrame, percent: int = 80, size: int = 5, id_col
             break
     placed = _joined(live.select("k1", "n", F.col("k1").alias("comp")), edges)
 
-    # first each token's classes ask the first group of that token only, which ties large groups of near copies
-    # together at a cost in proportion to their size; then all ask all groups that the matrix leads them to
+    # first each token's classes ask its largest component only, which ties large groups of near copies together
+    # at a cost in proportion to their size; then all ask all groups that the matrix leads them to
     for leaders in (True, False):
         placed = _ask(placed, shared, full, leaders, percent)
 
