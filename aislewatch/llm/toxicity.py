@@ -73,19 +73,26 @@ class KernelSVM:
     def __init__(self, landmarks: list[bytes]):
         self.landmarks = landmarks
         ids, w = subsequences(landmarks)
-        phi = np.zeros((len(landmarks), SYMBOLS**3), np.float32)
-        np.add.at(phi, (np.arange(len(landmarks))[:, None], ids), w)
-        phi /= np.sqrt((phi.astype(np.float64) ** 2).sum(axis=1, keepdims=True) + 1e-12).astype(np.float32)
-        values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
+        # only the subsequences of landmarks matter to the kernel with them: their columns, and one of zeros for all others
+        used = np.unique(ids)
+        self.column = np.full(SYMBOLS**3, len(used), np.int32)
+        self.column[used] = np.arange(len(used))
+        phi = np.zeros((len(landmarks), len(used) + 1))
+        np.add.at(phi, (np.arange(len(landmarks))[:, None], self.column[ids]), w)
+        phi /= np.sqrt((phi**2).sum(axis=1, keepdims=True) + 1e-12)
+        values, vectors = np.linalg.eigh(phi @ phi.T)
         use = values > 1e-3
         self.root = vectors[:, use] / np.sqrt(values[use])  # K(landmarks)^-1/2
-        self.phi, self.bias, self.table = phi, 0.0, np.zeros(SYMBOLS**3, np.float32)
+        self.phi, self.bias, self.table = phi.astype(np.float32), 0.0, np.zeros(SYMBOLS**3, np.float32)
 
     def features(self, words: list[bytes]) -> np.ndarray:
         out = []
         for a in range(0, len(words), 512):
             ids, w = subsequences(words[a : a + 512])
-            k = np.einsum("mnk,nk->nm", self.phi[:, ids], w, optimize=True)
+            x = np.zeros((len(ids), self.phi.shape[1]), np.float32)
+            np.add.at(x, (np.arange(len(ids))[:, None], self.column[ids]), w)
+            x[:, -1] = 0
+            k = x @ self.phi.T
             out.append((k / norms(ids, w)[:, None]) @ self.root)
         return np.concatenate(out) if out else np.zeros((0, self.root.shape[1]))
 
@@ -102,7 +109,8 @@ class KernelSVM:
             if np.abs(new - w).max() < 1e-6:
                 break
             w = new
-        self.table = (self.phi.T @ (self.root @ w[:-1])).astype(np.float32)
+        small = (self.phi.T.astype(np.float64) @ (self.root @ w[:-1])).astype(np.float32)
+        self.table = np.append(small[:-1], np.float32(0))[self.column]
         self.bias = float(w[-1])
 
     def words(self, words: list[bytes]) -> np.ndarray:
@@ -177,7 +185,7 @@ def fit_toxicity(rows: list[tuple[str | None, int]], landmarks: int = 160, negat
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w = w - np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (c * (p - y)) + 1e-2 * (w - np.array([1.0, 0.0])))
-    svm.phi = svm.root = None  # training alone needs them
+    svm.phi = svm.root = svm.column = None  # training alone needs them
     return ToxicModel(svm, float(w[0]), float(w[1]))
 
 
