@@ -28,31 +28,44 @@ def _encoder(path: str) -> tuple:
     return _WORKER[path]
 
 
-def _by_chunk(tok, known: dict[str, bytes], texts: list[str]) -> list[bytes]:
-    """The ids of texts that are cut at spaces and line feeds; each distinct chunk of the texts is encoded once."""
-    cut = [t.replace("\n", " ").split(" ") for t in texts]
-    here = {c: known.get(c) for c in set().union(*cut)}
-    new = [c for c, x in here.items() if x is None]
-    mark = "<|startoftext|>"  # an added token: what stands on its two sides is encoded apart
+def _encode_chunks(tok, chunks: list[str]) -> dict[str, bytes]:
+    """The ids of each chunk. An added token, on whose two sides the tokenizer works apart, fences chunks off in one text."""
+    mark = "<|startoftext|>"
     fence = tok.token_to_id(mark)
-    alone = [c for c in new if "<|" in c] if fence is not None else new
+    alone = [c for c in chunks if "<|" in c] if fence is not None else chunks
+    out = {}
     for a in range(0, len(alone), 2000):
-        for c, e in zip(alone[a : a + 2000], tok.encode_batch_fast(alone[a : a + 2000], add_special_tokens=False), strict=True):
-            here[c] = np.array(e.ids, np.uint32).tobytes()
-    joined = [c for c in new if here[c] is None]
+        out |= {c: np.array(e.ids, np.uint32).tobytes() for c, e in zip(alone[a : a + 2000], tok.encode_batch_fast(alone[a : a + 2000], add_special_tokens=False), strict=True)}
+    joined = [c for c in chunks if c not in out]
     for a in range(0, len(joined), 2000):
         some = joined[a : a + 2000]
         ids = np.array(tok.encode_batch_fast([mark.join(some)], add_special_tokens=False)[0].ids, np.uint32)
         stops = np.append(np.flatnonzero(ids == fence), len(ids)).tolist()
-        for c, x, y in zip(some, [0, *(k + 1 for k in stops[:-1])], stops, strict=True):
-            here[c] = ids[x:y].tobytes()
+        out |= {c: ids[x:y].tobytes() for c, x, y in zip(some, [0, *(k + 1 for k in stops[:-1])], stops, strict=True)}
+    return out
+
+
+def _by_chunk(tok, known: dict[str, bytes], texts: list[str]) -> list[bytes]:
+    """The ids of texts that are cut at spaces and line feeds; each distinct chunk of the texts is encoded once.
+
+    ASCII texts are lower-cased first, as the tokenizer does; a full stop or comma after a letter is a token of its
+    own and is cut off too.
+    """
+    cut = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
+    here = {c: known.get(c) for c in set().union(*cut)}
+    new = [c for c, x in here.items() if x is None]
+    ended = {c for c in new if c[-1:] in (".", ",") and c[-2:-1].isalpha() and c[-2] < "\u0180" and c[-2] != "\u0130"}  # letters that stay letters
+    parts = {c[:-1] for c in ended} | {c[-1] for c in ended} | {c for c in new if c not in ended}
+    ids = {c: x for c in parts if (x := known.get(c)) is not None}
+    ids |= _encode_chunks(tok, [c for c in parts if c not in ids])
+    here |= {c: ids[c[:-1]] + ids[c[-1]] if c in ended else ids[c] for c in new}
     known.update((c, here[c]) for c in new[: max(0, KEPT_CHUNKS - len(known))])
     return [b"".join(map(here.__getitem__, chunks)) for chunks in cut]
 
 
 def encode_texts(texts: list[str | None], path: str, by_chunk: bool) -> list[bytes]:
-    """The ids of whole texts as little-endian 32-bit integers. ``by_chunk`` is right for tokenizers that drop white
-    space before they merge: then nothing reaches across a space or line feed."""
+    """The ids of whole texts as little-endian 32-bit integers. ``by_chunk`` is right for tokenizers that lower-case, drop
+    white space and part letters from other characters before they merge: then nothing reaches across those places."""
     tok, known = _encoder(path)
     texts = [t or "" for t in texts]
     if by_chunk:
