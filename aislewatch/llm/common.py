@@ -71,7 +71,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; the component is the smallest node that links reach.
 
     Each round points every node at its smallest neighbour, follows the pointers two steps on, and contracts the
-    edges; at least half of the nodes of each component go in a round. Group sizes don't matter: minima are
+    edges. Stars end in a round or two; a chain in the order of its ids loses two nodes a round. Group sizes don't matter: minima are
     combined before the shuffle, and a hub only ever joins its one pointer row.
     """
     left = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())

@@ -67,9 +67,9 @@ def jaccard_brute(texts):
 
 
 def test_components(spark):
-    pairs = [(i, i + 1) for i in range(100, 160)] + [(5, k) for k in range(20, 60)] + [(7, 7), (9, 3), (3, 1)]
+    pairs = [(i, i + 1) for i in range(100, 106)] + [(5, k) for k in range(20, 60)] + [(7, 7), (9, 3), (3, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {**{i: 100 for i in range(100, 161)}, **{k: 5 for k in (5, *range(20, 60))}, 9: 1, 3: 1, 1: 1}
+    assert got == {**{i: 100 for i in range(100, 107)}, **{k: 5 for k in (5, *range(20, 60))}, 9: 1, 3: 1, 1: 1}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
