@@ -171,33 +171,39 @@ def stitch_candidates(frags: DataFrame, max_gap: int = 30, base: float = 0.5, ra
     return j.withColumn("score", score).where(ok).select("camera_id", "a_id", "b_id", "gap", "score")
 
 
-def stitch_greedy(candidates: DataFrame, rounds: int = 20) -> DataFrame:
+def stitch_greedy(candidates: DataFrame) -> DataFrame:
     """The candidates that taking them by rising score would keep, each fragment with one successor and one predecessor.
 
     In a round every candidate that is the best of both its fragments is taken and its rivals go; what is left meets
-    again. With a strict order (score, a_id, b_id) that is the greedy choice. ``checkpoint`` ends each round's lineage.
+    again, until no candidate is open. With a strict order (score, hash of the ids, a_id, b_id) that is the greedy choice;
+    the hash lets a clique of equal scores end in few rounds. ``checkpoint`` ends each round's lineage.
     """
-    left, kept = candidates, None
-    order = ["score", "a_id", "b_id"]
-    for _ in range(rounds):
+    left, kept, rounds = candidates.checkpoint(), None, 0
+    order = ["score", F.xxhash64("a_id", "b_id"), "a_id", "b_id"]
+    while left.limit(1).count():
         r = left.withColumns({"_a": F.row_number().over(Window.partitionBy("camera_id", "a_id").orderBy(*order)), "_b": F.row_number().over(Window.partitionBy("camera_id", "b_id").orderBy(*order))})
         take = r.where("_a = 1 AND _b = 1").drop("_a", "_b").checkpoint()
-        if not take.limit(1).count():
-            break
-        kept = take if kept is None else kept.unionByName(take)
+        kept, rounds = take if kept is None else kept.unionByName(take), rounds + 1
+        if rounds % 16 == 0:
+            kept = kept.checkpoint()
         left = left.join(take.select("camera_id", "a_id"), ["camera_id", "a_id"], "left_anti").join(take.select("camera_id", "b_id"), ["camera_id", "b_id"], "left_anti").checkpoint()
     return kept if kept is not None else candidates.limit(0)
 
 
-def chains(links: DataFrame, rounds: int = 12) -> DataFrame:
-    """(camera_id, track_id, head): the first fragment of the chain that each linked fragment is in, by pointer doubling."""
-    p = links.select("camera_id", F.col("b_id").alias("track_id"), F.col("a_id").alias("head"))
-    for _ in range(rounds):
+def chains(links: DataFrame) -> DataFrame:
+    """(camera_id, track_id, head): the first fragment of the chain that each linked fragment is in, by pointer doubling until nothing moves.
+
+    Links that form a ring have no first fragment and are an error.
+    """
+    p = links.select("camera_id", F.col("b_id").alias("track_id"), F.col("a_id").alias("head")).checkpoint()
+    for _ in range(p.count().bit_length() + 1):
         q = p.select("camera_id", F.col("track_id").alias("head"), F.col("head").alias("_h"))
         n = p.join(q, ["camera_id", "head"], "left").select("camera_id", "track_id", F.coalesce("_h", "head").alias("head"), F.col("_h").isNotNull().alias("_m")).checkpoint()
         p = n.drop("_m")
         if not n.where("_m").limit(1).count():
             break
+    else:
+        raise ValueError("links form a ring")
     return p.unionByName(p.select("camera_id", F.col("head").alias("track_id"), "head").distinct())
 
 

@@ -155,6 +155,27 @@ def test_stitch_chain(spark):
     assert sorted((r.track_id, r.head) for r in T.chains(kept).collect()) == [(2, 4), (3, 4), (4, 4)]
 
 
+def test_stitch_takes_every_tied_pair(spark):
+    c = spark.range(50).select(F.lit(0).cast("long").alias("camera_id"), F.col("id").alias("a_id")).crossJoin(spark.range(100, 150).select(F.col("id").alias("b_id"))).selectExpr("*", "1L AS gap", "0.1D AS score")
+    kept = T.stitch_greedy(c).collect()
+    assert len(kept) == len({r.a_id for r in kept}) == len({r.b_id for r in kept}) == 50
+
+
+def test_stitch_descending_scores(spark):
+    # a_id i may go on as i or i + 1, each candidate a little better than the one before: one is taken a round
+    rows = [(0, i, 100 + i + k, 1, 1.0 - (2 * i + k) / 100) for i in range(25) for k in (0, 1)]
+    kept = T.stitch_greedy(spark.createDataFrame(rows, "camera_id long, a_id long, b_id long, gap long, score double"))
+    assert sorted((r.a_id, r.b_id) for r in kept.collect()) == [(i, 101 + i) for i in range(25)]
+
+
+def test_chain_of_many_fragments(spark):
+    links = spark.range(5000).select(F.lit(0).cast("long").alias("camera_id"), F.col("id").alias("a_id"), (F.col("id") + 1).alias("b_id"))
+    got = T.chains(links)
+    assert got.count() == 5001 and [r.head for r in got.select("head").distinct().collect()] == [0]
+    with pytest.raises(ValueError, match="ring"):
+        T.chains(spark.createDataFrame([(0, 1, 2), (0, 2, 1)], "camera_id long, a_id long, b_id long"))
+
+
 def test_nms(spark):
     rows = [(1, 0, 0, "a", 0.9, 0.0, 0.0, 10.0, 10.0), (2, 0, 0, "a", 0.8, 1.0, 0.0, 11.0, 10.0), (3, 0, 0, "b", 0.7, 1.0, 0.0, 11.0, 10.0), (4, 0, 1, "a", 0.8, 1.0, 0.0, 11.0, 10.0)]
     det = spark.createDataFrame(rows, "det_id long, camera_id long, frame_index long, class_name string, score double, x0 double, y0 double, x1 double, y1 double")
