@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -86,18 +88,83 @@ def best_assignment(value: np.ndarray) -> list[tuple[int, int]]:
     return [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j] <= n]
 
 
+def sparse_total(rows: np.ndarray, cols: np.ndarray, value: np.ndarray) -> float:
+    """The largest total of ``value`` over pairs (row, column) that use each once; only pairs listed may be used, and none has to be.
+
+    Shortest augmenting paths over prices, each row with a column of its own for staying out; memory grows with the pairs.
+    """
+    _, r = np.unique(rows, return_inverse=True)
+    _, c = np.unique(cols, return_inverse=True)
+    n, m = int(r.max()) + 1, int(c.max()) + 1
+    top = float(value.max())
+    edges: list[list[tuple[int, float]]] = [[(m + i, top)] for i in range(n)]
+    for i, j, x in zip(r.tolist(), c.tolist(), value.tolist(), strict=True):
+        edges[i].append((j, top - x))
+    price, owner, mate = [0.0] * (m + n), [-1] * (m + n), [-1] * n
+    for start in range(n):
+        dist: dict[int, float] = {}
+        via: dict[int, int] = {}
+        done: list[int] = []
+        seen: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        i, so_far = start, 0.0
+        while True:
+            # reduced cost of a row's own pair is 0, so ``base`` is what the row pays for where it stands
+            base = 0.0 if mate[i] < 0 else next(w for j, w in edges[i] if j == mate[i]) - price[mate[i]]
+            for j, w in edges[i]:
+                d = so_far + w - price[j] - base
+                if j not in seen and d < dist.get(j, np.inf):
+                    dist[j], via[j] = d, i
+                    heapq.heappush(heap, (d, j))
+            while True:
+                so_far, k = heapq.heappop(heap)
+                if k not in seen:
+                    break
+            seen.add(k)
+            if owner[k] < 0:
+                break
+            done.append(k)
+            i = owner[k]
+        for j in done:
+            price[j] -= so_far - dist[j]
+        while True:
+            i = via[k]
+            owner[k], mate[i], k = i, k, mate[i]
+            if i == start:
+                break
+    return float(sum(top - next(w for j, w in edges[i] if j == mate[i]) for i in range(n)))
+
+
+def identity_groups(hits: DataFrame) -> DataFrame:
+    """``hits`` with ``part``: one value for each set of identities that pairs of truth and prediction link, directly or by others.
+
+    The smallest label is handed over the pairs, then labels are followed to theirs, until none changes; ``checkpoint`` ends each round's lineage.
+    """
+    hits = hits.checkpoint()
+    t = hits.groupBy("camera_id", "gt_id").agg(F.min("gt_id").alias("part")).checkpoint()
+    while True:
+        p = hits.join(t, ["camera_id", "gt_id"]).groupBy("camera_id", "pred_id").agg(F.min("part").alias("_p"))
+        low = hits.join(p, ["camera_id", "pred_id"]).groupBy("camera_id", "gt_id").agg(F.min("_p").alias("_low"))
+        up = low.select("camera_id", F.col("gt_id").alias("_low"), F.col("_low").alias("_up"))
+        n = t.join(low, ["camera_id", "gt_id"]).join(up, ["camera_id", "_low"]).select("camera_id", "gt_id", F.least("_low", "_up").alias("_new"), "part").checkpoint()
+        t = n.select("camera_id", "gt_id", F.col("_new").alias("part"))
+        if not n.where("_new <> part").limit(1).count():
+            return hits.join(t, ["camera_id", "gt_id"])
+
+
 def idf1(truth: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
     """Per camera idtp, idfp, idfn, idp, idr, idf1 under the best one-to-one map of identities; null without truth.
 
-    What the assignment gets is one number for each pair of identities that ever meet, not frames.
+    What the assignment gets is one number for each pair of identities that ever meet, not frames. Sets of identities
+    that nothing links are assigned apart, and only over pairs that meet.
     """
-    hits = matched_boxes(truth, pred, least).groupBy("camera_id", "gt_id", "pred_id").agg(F.count("*").alias("hits"))
+    hits = identity_groups(matched_boxes(truth, pred, least).groupBy("camera_id", "gt_id", "pred_id").agg(F.count("*").alias("hits")))
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index="gt_id", columns="pred_id", values="hits", fill_value=0).to_numpy(float)
-        return pd.DataFrame({"camera_id": [pdf.camera_id.iloc[0]], "idtp": [int(sum(m[i, j] for i, j in best_assignment(m)))]})
+        total = sparse_total(pdf.gt_id.to_numpy(), pdf.pred_id.to_numpy(), pdf.hits.to_numpy(float))
+        return pd.DataFrame({"camera_id": [pdf.camera_id.iloc[0]], "idtp": [round(total)]})
 
-    tp = hits.groupBy("camera_id").applyInPandas(assign, "camera_id long, idtp long")
+    tp = hits.groupBy("camera_id", "part").applyInPandas(assign, "camera_id long, idtp long").groupBy("camera_id").agg(F.sum("idtp").alias("idtp"))
     n = truth.groupBy("camera_id").agg(F.count("*").alias("n_gt")).join(pred.groupBy("camera_id").agg(F.count("*").alias("n_pred")), "camera_id", "left").join(tp, "camera_id", "left").na.fill(0, ["idtp", "n_pred"])
     a, b, c = F.col("idtp"), F.col("n_pred") - F.col("idtp"), F.col("n_gt") - F.col("idtp")
     return n.select("camera_id", "idtp", b.alias("idfp"), c.alias("idfn"), F.try_divide(a, F.col("n_pred")).alias("idp"), F.try_divide(a, F.col("n_gt")).alias("idr"), F.try_divide(2 * a, 2 * a + b + c).alias("idf1"))
@@ -167,7 +234,7 @@ def average_precision(truth: DataFrame, pred: DataFrame, thresholds: tuple[float
                 out.append((pdf.camera_id.iloc[0], t, -score, pid, frame, best is not None))
         return pd.DataFrame(out, columns=["camera_id", "t", "score", "pred_id", "frame_index", "hit"])
 
-    hits = p.groupBy("camera_id", F.floor(F.col("frame_index") / 256)).applyInPandas(greedy, "camera_id long, t double, score double, pred_id long, frame_index long, hit boolean")
+    hits = p.groupBy("camera_id", "frame_index").applyInPandas(greedy, "camera_id long, t double, score double, pred_id long, frame_index long, hit boolean")
     w = Window.partitionBy("camera_id", "t").orderBy(F.desc("score"), "frame_index", "pred_id")
     n = truth.groupBy("camera_id").agg(F.count("*").alias("n"))
     curve = hits.withColumns({"tp": F.sum(F.col("hit").cast("int")).over(w), "k": F.row_number().over(w)}).join(n, "camera_id").select("camera_id", "t", (F.col("tp") / F.col("n")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))

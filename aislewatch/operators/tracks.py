@@ -102,18 +102,15 @@ def suppress(det: DataFrame, least: float = 0.5) -> DataFrame:
     """Non-maximum suppression per camera, frame and class: a box goes if a kept better one overlaps it by ``least``."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = []
-        for _, some in pdf.groupby(["frame_index", "class_name"], sort=False):
-            some = some.sort_values(["score", "det_id"], ascending=[False, True], kind="stable")
-            b, ok = some[["x0", "y0", "x1", "y1"]].to_numpy(float), np.ones(len(some), bool)
-            over = pair_iou(b, b) >= least
-            for i in range(len(b)):
-                if ok[i]:
-                    ok[i + 1 :] &= ~over[i, i + 1 :]
-            left.append(some[ok])
-        return pd.concat(left)
+        some = pdf.sort_values(["score", "det_id"], ascending=[False, True], kind="stable")
+        b, left = some[["x0", "y0", "x1", "y1"]].to_numpy(float), []
+        open_ = np.arange(len(b))
+        while len(open_):
+            left.append(open_[0])
+            open_ = open_[1:][pair_iou(b[open_[:1]], b[open_[1:]])[0] < least]
+        return some.iloc[left]
 
-    return det.groupBy("camera_id", F.floor(F.col("frame_index") / 64)).applyInPandas(keep, det.schema)
+    return det.groupBy("camera_id", "frame_index", "class_name").applyInPandas(keep, det.schema)
 
 
 def top_scores(det: DataFrame, k: int) -> DataFrame:
@@ -270,20 +267,22 @@ def longest_low_spell(obs: DataFrame, value: Column, limit: float, fps: float =
 
 
 def farthest_first(rows: DataFrame, k: int = 5, *keys: str) -> DataFrame:
-    """Up to ``k`` rows (item, feat) of each group, each the farthest from those before; the first is the smallest item. Groups are one clip's frames."""
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item", kind="stable")
-        x = np.stack(pdf.feat.to_numpy())
-        at, far = [0], ((x - x[0]) ** 2).sum(axis=1)
-        while len(at) < min(k, len(x)):
-            j = int(far.argmax())
-            at.append(j)
-            far = np.minimum(far, ((x - x[j]) ** 2).sum(axis=1))
-        return pdf.iloc[at][[*keys, "item"]].assign(place=range(len(at)))
-
-    kind = dict(rows.dtypes)
-    return rows.groupBy(*keys).applyInPandas(choose, ", ".join(f"{c} {kind[c]}" for c in (*keys, "item")) + ", place long")
+    """Up to ``k`` rows (item, feat) of each group, each the farthest from those before; the first is the smallest item, ties go to it.
+
+    A round for each place; no row is taken twice. ``checkpoint`` ends each round's lineage.
+    """
+    left, kept = rows.select(*keys, "item", "feat", F.lit(float("inf")).alias("_far")).checkpoint(), None
+    for place in range(k):
+        at = left.groupBy(*keys).agg(F.min_by(F.struct("item", "feat"), F.struct(-F.col("_far"), F.col("item"))).alias("_at")).where("_at IS NOT NULL").checkpoint()
+        some = at.select(*keys, F.col("_at.item").alias("item"), F.lit(place).cast("long").alias("place"))
+        kept = some if kept is None else kept.unionByName(some)
+        to = at.select(*[F.col(c).alias(f"_{n}") for n, c in enumerate(keys)], "_at")
+        same = F.lit(True)
+        for n, c in enumerate(keys):
+            same = same & F.col(c).eqNullSafe(F.col(f"_{n}"))
+        d = F.aggregate(F.zip_with("feat", "_at.feat", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+        left = left.join(to, same).where("item <> _at.item").select(*keys, "item", "feat", F.least("_far", d).alias("_far")).checkpoint()
+    return kept
 
 
 def entrance_clusters(points: DataFrame, radius: float = 1.0) -> DataFrame:

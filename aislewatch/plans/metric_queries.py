@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from aislewatch.operators import metrics as M
 from aislewatch.plans import views as V
+from aislewatch.plans.track_queries import _ready
 
 C = V.Catalogue()
 _r = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
@@ -49,6 +50,7 @@ def j_gt_pred_iou(spark, d):
 
 @C.add("agg_idf1")
 def agg_idf1(spark, d):
+    _ready(spark)
     return M.idf1(V.truth_boxes(spark, d), V.pred_boxes(spark, d))
 
 

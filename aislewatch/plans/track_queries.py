@@ -164,6 +164,7 @@ def win_low_spell(spark, d):
 
 @C.add("sel_farthest_first")
 def sel_farthest_first(spark, d):
+    _ready(spark)
     e = V.table(spark, d, "embeddings").select((F.col("vec_id") % 64).alias("clip"), F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("feat"))
     return T.farthest_first(e, 5, "clip")
 

@@ -139,6 +139,49 @@ def test_identity_metrics(spark):
     assert ap.ap == 1.0 and ap.ap50 == 1.0
 
 
+def test_sparse_total_is_optimal():
+    r = np.random.default_rng(2)
+    for n, m in ((1, 1), (3, 3), (4, 9), (9, 4), (12, 12)):
+        for share in (0.2, 0.5, 1.0):
+            v = r.integers(1, 20, (n, m)) * (r.random((n, m)) < share)
+            v[0, 0] = 7
+            i, j = np.nonzero(v)
+            assert M.sparse_total(i, j, v[i, j].astype(float)) == sum(v[a, b] for a, b in M.best_assignment(v.astype(float)))
+
+
+def grouped(monkeypatch):
+    """Column lists that pandas functions are given groups of."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, plain = [], DataFrame.groupBy
+    monkeypatch.setattr(DataFrame, "groupBy", lambda self, *c: seen.append(c) or plain(self, *c))
+    return seen
+
+
+def test_identities_that_nothing_links_are_assigned_apart(spark):
+    chain = [(0, g, g + d, 3) for g in range(1, 40) for d in (100, 101)] + [(0, 500, 900, 2), (1, 1, 101, 4)]
+    hits = spark.createDataFrame(chain, "camera_id long, gt_id long, pred_id long, hits long")
+    got = M.identity_groups(hits)
+    assert got.count() == len(chain)
+    assert sorted(tuple(r) for r in got.select("camera_id", "part").distinct().collect()) == [(0, 1), (0, 500), (1, 1)]
+
+
+def test_frames_and_classes_are_groups(spark, monkeypatch):
+    seen = grouped(monkeypatch)
+    rows = [(1, 0, 0, "a", 0.9, 0.0, 0.0, 10.0, 10.0)]
+    det = spark.createDataFrame(rows, "det_id long, camera_id long, frame_index long, class_name string, score double, x0 double, y0 double, x1 double, y1 double")
+    T.suppress(det)
+    assert seen[-1] == ("camera_id", "frame_index", "class_name")
+    M.average_precision(det.withColumnRenamed("det_id", "gt_id"), det.withColumnRenamed("det_id", "pred_id"))
+    assert ("camera_id", "frame_index") in seen
+
+
+def test_farthest_first(spark):
+    rows = [("a", 1, [0.0, 0.0]), ("a", 2, [0.0, 0.0]), ("a", 3, [9.0, 0.0]), ("a", 4, [4.0, 0.0]), (None, 7, [1.0, 1.0]), (None, 8, [1.0, 1.0])]
+    got = T.farthest_first(spark.createDataFrame(rows, "clip string, item long, feat array<double>"), 4, "clip")
+    assert sorted((r.clip or "", r.place, r.item) for r in got.collect()) == [("", 0, 7), ("", 1, 8), ("a", 0, 1), ("a", 1, 3), ("a", 2, 4), ("a", 3, 2)]
+
+
 def test_tracker_is_independent_of_order(spark):
     rows = [(f * 10 + t, 0, f, "person", 0.9, 300.0 * t + 5 * f, 0.0, 300.0 * t + 5 * f + 60, 100.0) for f in (*range(8), *range(40, 48)) for t in range(3)]
     det = spark.createDataFrame(rows, "det_id long, camera_id long, frame_index long, class_name string, score double, x0 double, y0 double, x1 double, y1 double")
