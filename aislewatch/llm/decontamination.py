@@ -70,7 +70,7 @@ class WuManber:
             at, stop = at[go], stop[go]
 
 
-def _searchers(items: list[tuple[str, str]], window: int) -> list[WuManber]:
+def _searchers(items: list[tuple[str | None, str]], window: int) -> list[WuManber]:
     by: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
     for name, text in items:
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -79,17 +79,17 @@ def _searchers(items: list[tuple[str, str]], window: int) -> list[WuManber]:
         if words:
             m = min(window, len(words))
             for x in {tuple(words[i : i + m]) for i in range(len(words) - m + 1)}:
-                by[m][x].append(name)
+                by[m][x] += [] if name is None else [name]
     return [WuManber(dict(x)) for x in by.values()]
 
 
 def _slices(benchmark: DataFrame, window: int, slice_bytes: int) -> Iterator[list[WuManber]]:
     """Searchers for the benchmark's items, about ``slice_bytes`` of their text at a time, so that no broadcast grows with it."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text")).where("name is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // slice_bytes))
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("name"), F.lit(n)) == k).collect()
+        rows = items.where(F.pmod(F.xxhash64(F.coalesce("name", "text")), F.lit(n)) == k).collect()
         yield _searchers([(r.name, r.text) for r in rows], window)
 
 
@@ -121,7 +121,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
     The items are searched for in slices of about ``slice_bytes`` of their text, chosen by a hash of the item id; only
     one slice's patterns are in a task's memory. With more than one slice the spans of a document are merged by a
     shuffle. Null and empty texts have no words and no hits; an item without words has no windows; equal windows of
-    several items count for each. Items or documents that come twice are counted as they come (an item id once).
+    several items count for each; an item with a null id marks words and spans but adds nothing to items. Items or
+    documents that come twice are counted as they come (an item id once).
     Columns besides the id and text are ignored; empty tables give no hits or an empty result.
     """
     spark = docs.sparkSession

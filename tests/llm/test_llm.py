@@ -163,6 +163,16 @@ def test_decontamination(spark):
     assert decontamination.find_benchmark(frame(spark, []), bench).count() == 0
 
 
+def test_benchmark_items_without_an_id(spark):
+    docs = frame(spark, ["one two three four five six", "other words of its own"])
+    bench = spark.createDataFrame([(None, "two three four"), (None, "not to be found"), (7, "five six")], "item_id long, text string")
+    for size in (1 << 20, 1):
+        got = sorted((r.n_words, r.n_hit, list(r.items)) for r in decontamination.find_benchmark(docs, bench, slice_bytes=size).collect())
+        assert got == [(5, 0, []), (6, 5, ["7"])]
+        left = decontamination.drop_contaminated(docs, bench.where("item_id IS NULL"))
+        assert [r.text for r in left.collect()] == ["other words of its own"]
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files(spark, tmp_path, encoding):
     P = pytest.importorskip("public_tokenizers")
