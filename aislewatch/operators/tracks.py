@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,16 +102,16 @@ def track_boxes(det: DataFrame, least: float = 0.3, max_age: int = 15, min_hits:
 def suppress(det: DataFrame, least: float = 0.5) -> DataFrame:
     """Non-maximum suppression per camera, frame and class: a box goes if a kept better one overlaps it by ``least``."""
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        some = pdf.sort_values(["score", "det_id"], ascending=[False, True], kind="stable")
-        b, left = some[["x0", "y0", "x1", "y1"]].to_numpy(float), []
+    def keep(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("score", "descending"), ("det_id", "ascending")])
+        b, left = np.column_stack([t[c].to_numpy().astype(float) for c in ("x0", "y0", "x1", "y1")]), []
         open_ = np.arange(len(b))
         while len(open_):
             left.append(open_[0])
             open_ = open_[1:][pair_iou(b[open_[:1]], b[open_[1:]])[0] < least]
-        return some.iloc[left]
+        return t.take(pa.array(left))
 
-    return det.groupBy("camera_id", "frame_index", "class_name").applyInPandas(keep, det.schema)
+    return det.groupBy("camera_id", "frame_index", "class_name").applyInArrow(keep, det.schema)
 
 
 def top_scores(det: DataFrame, k: int) -> DataFrame:
