@@ -45,6 +45,16 @@ def from_letterbox(b: Box, scale: Column, pad_x: Column, pad_y: Column) -> Box:
     return (b[0] - pad_x) / scale, (b[1] - pad_y) / scale, (b[2] - pad_x) / scale, (b[3] - pad_y) / scale
 
 
-def usable_crop(b: Box, width: Column, height: Column, margin: float = 2.0, least_height: float = 64.0) -> Column:
+def usable_crop(b: Box, width: Column, height: Column, margin: float = 3.0, least_height: float = 64.0) -> Column:
     """Whether a box keeps clear of the picture's edge and is tall enough to look at."""
     return (b[0] > margin) & (b[1] > margin) & (b[2] < width - margin) & (b[3] < height - margin) & (b[3] - b[1] >= least_height)
+
+
+def undistort_box(b: Box, k1: Column, width: Column, height: Column) -> Column:
+    """struct(x0, y0, x1, y1): the upright box around the two undistorted corners, for a lens centred in the picture whose
+    radius is half its diagonal."""
+    from aislewatch.functions.geometry import undistort
+
+    p, q = (undistort(b[i], b[j], k1, width / 2, height / 2, F.hypot(width, height) / 2) for i, j in ((0, 1), (2, 3)))
+    sides = (F.least(p["u"], q["u"]), F.least(p["v"], q["v"]), F.greatest(p["u"], q["u"]), F.greatest(p["v"], q["v"]))
+    return F.struct(*[s.alias(n) for s, n in zip(sides, ("x0", "y0", "x1", "y1"), strict=True)])

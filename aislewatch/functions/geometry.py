@@ -62,6 +62,16 @@ def pixel_row_at_height(up: Column, x: Column, z: Column, cam: Column) -> Column
     return raised_to_pixel(x, z, up, cam)["v"]
 
 
+def horizon_row(fy: Column, cy: Column, pitch: Column) -> Column:
+    """The pixel row of the horizon in the middle column; positive pitch looks down."""
+    return cy - fy * F.tan(pitch)
+
+
+def pose_refusal(row: Column, height_px: Column) -> Column:
+    """Why a pose with its horizon at ``row`` can't be used for floor positions; null if it can."""
+    return F.when(row >= height_px, "horizon below the picture").when(row >= 0, "horizon in the picture")
+
+
 def undistort(u: Column, v: Column, k1: Column, centre_u: Column, centre_v: Column, radius: Column) -> Column:
     """struct(u, v): the division model, centre + c / (1 + k1 r^2) with r in units of ``radius``."""
     du, dv = u - centre_u, v - centre_v

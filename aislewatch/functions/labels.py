@@ -7,10 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aislewatch.functions.geometry import finite
+
 IGNORE = 255
 
-# The limbs of the 17-keypoint human skeleton, as pairs of keypoint indexes.
-LIMBS = [(5, 6), (5, 7), (7, 9), (6, 8), (8, 10), (5, 11), (6, 12), (11, 12), (11, 13), (13, 15), (12, 14), (14, 16)]
+# The limbs of the 17-keypoint human skeleton, as pairs of keypoint indexes; their order is that of the features.
+LIMBS = [(5, 7), (7, 9), (6, 8), (8, 10), (11, 13), (13, 15), (12, 14), (14, 16), (5, 6), (11, 12), (5, 11), (6, 12)]
+SMALLEST_TORSO = 8.0  # pixels under which a torso is no measure
 
 
 def remap_labels(rows: DataFrame, mapping: DataFrame, col: str = "source_id") -> DataFrame:
@@ -28,6 +31,26 @@ def class_mask(vocabulary: list[str], labelled: Column) -> Column:
     return F.array(*[F.array_contains(labelled, v) for v in vocabulary])
 
 
+def retail_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (name) with the ``group`` of their class, null without one, and a ``label`` that shows both where they differ."""
+    j = rows.join(groups, "name", "left")
+    return j.withColumn("label", F.when(F.col("group").isNotNull() & (F.col("group") != F.col("name")), F.concat_ws("/", "group", "name")).otherwise(F.col("name")))
+
+
+def head_order(names: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """(name, channel): the distinct ``names`` in the order of the taxonomy's ids (name, id), however they were listed; a name
+    that the taxonomy hasn't is an error. A head has a few hundred channels, so the numbering is one small window."""
+    j = names.select("name").distinct().join(taxonomy.select("name", "id"), "name", "left")
+    known = F.when(F.col("id").isNotNull(), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("not in the taxonomy: "), F.col("name"))))
+    return j.withColumn("id", known).select("name", (F.row_number().over(Window.orderBy("id")) - 1).alias("channel"))
+
+
+def narrow_indices(keep: DataFrame, trained: DataFrame) -> DataFrame:
+    """(name, trained_channel, channel): which channel of a trained head each kept channel is; a class that the head never saw is an error."""
+    j = keep.select("name", "channel").join(trained.select("name", F.col("channel").alias("trained_channel")), "name", "left")
+    return j.withColumn("trained_channel", F.when(F.col("trained_channel").isNotNull(), F.col("trained_channel")).otherwise(F.raise_error(F.concat(F.lit("not a trained class: "), F.col("name"))))).select("name", "trained_channel", "channel")
+
+
 def unsourced_classes(taxonomy: DataFrame, mappings: DataFrame) -> DataFrame:
     """Classes that no mapping can produce."""
     return taxonomy.select("class_id").join(mappings.select("class_id"), "class_id", "left_anti").distinct()
@@ -53,6 +76,23 @@ def joint(keypoints: Column, k: int, least: float = 0.3) -> Column:
     return F.when(p["conf"] >= least, p)
 
 
+TORSO_INSET = 0.15  # fixed value
+
+
+def torso_region(keypoints: Column, least: float = 0.3) -> Column:
+    """struct(x0, y0, x1, y1) from the mean row of the measured shoulders to that of the measured hips, as wide as those
+    joints, less TORSO_INSET of the width on each side where both shoulders are measured; null without a shoulder and a
+    hip, or without an area."""
+    some = lambda *ks: F.array_compact(F.array(*[joint(keypoints, k, least) for k in ks]))
+    shoulders, hips = some(5, 6), some(11, 12)
+    row = lambda ps: F.aggregate(ps, F.lit(0.0), lambda s, p: s + p["y"]) / F.nullif(F.size(ps), F.lit(0))
+    x = F.transform(F.concat(shoulders, hips), lambda p: p["x"])
+    lo, hi = F.array_min(x), F.array_max(x)
+    pad = F.when(F.size(shoulders) == 2, TORSO_INSET * (hi - lo)).otherwise(0.0)
+    sides = {"x0": lo + pad, "y0": row(shoulders), "x1": hi - pad, "y1": row(hips)}
+    return F.when((sides["x1"] > sides["x0"]) & (sides["y1"] > sides["y0"]), F.struct(*[c.alias(n) for n, c in sides.items()]))
+
+
 def torso(keypoints: Column, least: float = 0.3) -> Column:
     """struct(angle, hip_ankle, length): degrees of hips to shoulders from upright, rows from hips to ankles, torso length; null without its joints."""
     j = {k: joint(keypoints, k, least) for k in (5, 6, 11, 12, 15, 16)}
@@ -61,16 +101,24 @@ def torso(keypoints: Column, least: float = 0.3) -> Column:
     return F.struct(F.degrees(F.atan2(F.abs(dx), dy)).alias("angle"), (mid(15, 16, "y") - mid(11, 12, "y")).alias("hip_ankle"), F.hypot(dx, dy).alias("length"))
 
 
-def frame_features(keypoints: Column, least: float = 0.3) -> Column:
-    """53 numbers: cosine, sine and length (over the torso's) of twelve limbs, 0 where a joint is missing, and 17 confidences."""
-    size = F.coalesce(F.nullif(torso(keypoints, least)["length"], F.lit(0.0)), F.lit(1.0))
+def frame_features(keypoints: Column) -> Column:
+    """53 numbers: cosine, sine and length (over the torso's) of twelve limbs, then 17 confidences within 0 to 1.
+
+    A joint is measured if its confidence is over 0. Direction and length are 0 where a joint isn't measured or the limb has no
+    length, and lengths are 0 without a torso of SMALLEST_TORSO pixels.
+    """
+    j = {k: F.element_at(keypoints, k + 1) for k in range(17)}
+    at = {k: F.when((p["conf"] > 0) & finite(p["x"], p["y"]), p) for k, p in j.items()}
+    mid = lambda a, b, c: (at[a][c] + at[b][c]) / 2
+    torso_px = F.hypot(mid(11, 12, "x") - mid(5, 6, "x"), mid(11, 12, "y") - mid(5, 6, "y"))
+    scale = F.when(torso_px >= SMALLEST_TORSO, torso_px)
     out = []
     for a, b in LIMBS:
-        p, q = joint(keypoints, a, least), joint(keypoints, b, least)
-        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
-        d = F.nullif(F.hypot(dx, dy), F.lit(0.0))
-        out += [F.coalesce(v, F.lit(0.0)) for v in (dx / d, dy / d, d / size)]
-    return F.concat(F.array(*out), F.transform(keypoints, lambda p: F.coalesce(p["conf"].cast("double"), F.lit(0.0))))
+        dx, dy = at[b]["x"] - at[a]["x"], at[b]["y"] - at[a]["y"]
+        n = F.hypot(dx, dy)
+        out += [F.coalesce(v, F.lit(0.0)) for v in (F.when(n > 1e-6, dx / n), F.when(n > 1e-6, dy / n), n / scale)]
+    confidence = [F.coalesce(F.greatest(F.least(p["conf"].cast("double"), F.lit(1.0)), F.lit(0.0)), F.lit(0.0)) for p in j.values()]
+    return F.array(*out, *confidence)
 
 
 def sequence_features(rows: DataFrame, features: str = "features", *keys: str, order: str = "frame_index") -> DataFrame:

@@ -278,3 +278,9 @@ def distribution(rows: DataFrame, col: str, *keys: str) -> DataFrame:
 
 def histogram_share(value: Column, width: float) -> Column:
     return F.floor(value / width)
+
+
+def pose_pairs(student: DataFrame, teacher: DataFrame, least: float = 0.5) -> DataFrame:
+    """(person, joint, distance) of joints (person, joint, x, y) that the teacher's confidence ``conf`` lets be judged."""
+    t = teacher.where(F.col("conf") >= least).select("person", "joint", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    return student.join(t, ["person", "joint"]).select("person", "joint", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")).alias("distance"))

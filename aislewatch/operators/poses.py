@@ -81,37 +81,41 @@ def embedding_collisions(rows: DataFrame) -> DataFrame:
     return cos.withColumn("floor", floor).withColumn("excess", F.greatest(F.lit(0.0), (F.col("cosine") - F.col("floor")) / (1 - F.col("floor"))))
 
 
-def balanced_logistic(rows: DataFrame, features: list[str], steps: int = 8, ridge: float = 1e-3) -> list[float]:
-    """Weights (bias last) of a class-balanced logistic fit by Newton steps, whose sums Spark takes; k x k numbers reach the driver."""
+def leave_one_out(rows: DataFrame, features: list[str], key: str = "camera", steps: int = 8, ridge: float = 1e-3) -> DataFrame:
+    """(key, n, positives, accuracy) of each fold (value of ``key``) under a class-balanced logistic fit of all others.
+
+    All folds' Newton steps are taken together: each step is one aggregation by fold, of which k x k sums a fold reach the driver.
+    Folds (cameras, performers) are few; a row takes part in the sums of every fold but its own. A fold whose other rows are of one class
+    has no fit: its accuracy is null.
+    """
     import numpy as np
 
-    n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    if len(n) < 2:
-        return [0.0] * (len(features) + 1)
-    weight = F.when(F.col("label") == 1, 0.5 / n[1]).otherwise(0.5 / n[0])
-    cols, w = [*map(F.col, features), F.lit(1.0)], np.zeros(len(features) + 1)
-    for _ in range(steps):
-        p = 1 / (1 + F.exp(-sum((c * float(v) for c, v in zip(cols, w, strict=True)), F.lit(0.0))))
-        g = [F.sum(weight * (F.col("label") - p) * c) for c in cols]
-        h = [F.sum(weight * p * (1 - p) * a * b) for a in cols for b in cols]
-        r = np.array(rows.agg(*[x.alias(f"c{i}") for i, x in enumerate(g + h)]).first(), float)
-        k = len(cols)
-        w = w + np.linalg.solve(r[k:].reshape(k, k) + ridge * np.eye(k), r[:k] - ridge * w)
-    return [float(v) for v in w]
-
-
-def leave_one_out(rows: DataFrame, features: list[str], key: str = "camera") -> DataFrame:
-    """(key, n, positives, accuracy) of each camera under a fit of all others. Cameras are few; each is one fit."""
-    out = None
-    for (k,) in sorted(rows.select(key).distinct().collect()):
-        w = balanced_logistic(rows.where(F.col(key) != k), features)
-        z = sum((F.col(c) * v for c, v in zip(features, w[:-1], strict=True)), F.lit(w[-1]))
-        got = rows.where(F.col(key) == k).agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.avg(((z > 0).cast("int") == F.col("label")).cast("double")).alias("accuracy")).select(F.lit(k).alias(key), "*")
-        out = got if out is None else out.unionByName(got)
-    return out
+    k = len(features) + 1
+    x = rows.select(F.col(key).alias("_key"), F.col("label").cast("double").alias("_y"), F.array(*[F.col(c).cast("double") for c in features], F.lit(1.0)).alias("_x")).cache()
+    per = {(r["_key"], int(r["_y"])): r["n"] for r in x.groupBy("_key", "_y").agg(F.count("*").alias("n")).collect()}
+    folds = sorted({f for f, _ in per})
+    size = {f: [sum(n for (g, y), n in per.items() if g != f and y == c) for c in (0, 1)] for f in folds}
+    w = {f: np.zeros(k) for f in folds if min(size[f]) > 0}
+    kind = x.schema["_key"].dataType.simpleString()
+
+    def fold_table() -> DataFrame:
+        data = [(f, [float(v) for v in w[f]], [0.5 / n for n in size[f]]) for f in w]
+        return F.broadcast(rows.sparkSession.createDataFrame(data, f"_fold {kind}, _w array<double>, _c array<double>"))
+
+    dot = F.aggregate(F.zip_with("_w", "_x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    for _ in range(steps if w else 0):
+        j = x.join(fold_table(), F.col("_key") != F.col("_fold")).withColumn("_p", 1 / (1 + F.exp(-dot))).withColumn("_cost", F.element_at("_c", F.col("_y").cast("int") + 1))
+        g = [F.sum(F.col("_cost") * (F.col("_y") - F.col("_p")) * F.col("_x")[i]) for i in range(k)]
+        h = [F.sum(F.col("_cost") * F.col("_p") * (1 - F.col("_p")) * F.col("_x")[a] * F.col("_x")[b]) for a in range(k) for b in range(k)]
+        for r in j.groupBy("_fold").agg(*[c.alias(f"c{i}") for i, c in enumerate(g + h)]).collect():
+            v = np.array(r[1:], float)
+            w[r[0]] = w[r[0]] + np.linalg.solve(v[k:].reshape(k, k) + ridge * np.eye(k), v[:k] - ridge * w[r[0]])
+    own = x.join(fold_table(), F.col("_key") == F.col("_fold"), "left") if w else x.select("*", F.lit(None).cast("array<double>").alias("_w"))
+    right = F.when(F.col("_w").isNotNull(), ((dot > 0).cast("double") == F.col("_y")).cast("double"))
+    return own.groupBy(F.col("_key").alias(key)).agg(F.count("*").alias("n"), F.sum("_y").cast("long").alias("positives"), F.avg(right).alias("accuracy"))
 
 
 def licence(held_out: DataFrame, least: float = 0.90) -> DataFrame:
     """Per camera whether a verdict may be given, with the reason if not."""
-    r = F.when((F.col("positives") == 0) | (F.col("positives") == F.col("n")), "one class only").when(F.col("accuracy") < least, "accuracy too low")
+    r = F.when(F.col("accuracy").isNull() | (F.col("positives") == 0) | (F.col("positives") == F.col("n")), "one class only").when(F.col("accuracy") < least, "accuracy too low")
     return held_out.select("*", r.alias("reason"), r.isNull().alias("licensed"))

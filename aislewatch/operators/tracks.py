@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,19 +36,56 @@ def greedy_pairs(score: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
+class BoxFilter:
+    """A Kalman filter of one box: centre, width, height and their changes a frame; noise in proportion to the height."""
+
+    POSITION, VELOCITY = 1 / 20, 1 / 160  # standard deviations over the height
+
+    def __init__(self, box: np.ndarray | None = None):
+        if box is not None:
+            h = max(float(box[3] - box[1]), 1.0)
+            self.x = np.concatenate([self._centre(box), np.zeros(4)])
+            self.p = np.diag(np.r_[np.full(4, 2 * self.POSITION * h), np.full(4, 10 * self.VELOCITY * h)] ** 2)
+
+    @staticmethod
+    def _centre(b: np.ndarray) -> np.ndarray:
+        return np.array([(b[0] + b[2]) / 2, (b[1] + b[3]) / 2, b[2] - b[0], b[3] - b[1]], float)
+
+    def ahead(self, frames: int) -> tuple[np.ndarray, np.ndarray]:
+        """State and covariance after so many frames."""
+        f = np.eye(8)
+        f[:4, 4:] = np.eye(4) * frames
+        h = max(float(self.x[3]), 1.0)
+        q = np.diag(np.r_[np.full(4, self.POSITION * h), np.full(4, self.VELOCITY * h)] ** 2) * frames
+        return f @ self.x, f @ self.p @ f.T + q
+
+    def box(self, frames: int) -> np.ndarray:
+        cx, cy, w, h = self.ahead(frames)[0][:4]
+        return np.array([cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2])
+
+    def update(self, box: np.ndarray, frames: int) -> None:
+        x, p = self.ahead(frames)
+        r = np.diag(np.full(4, self.POSITION * max(float(x[3]), 1.0)) ** 2)
+        gain = np.linalg.solve(p[:4, :4] + r, p[:4]).T
+        self.x, self.p = x + gain @ (self._centre(box) - x[:4]), p - gain @ p[:4]
+
+
 class BoxTracker:
-    """Greedy IoU tracking of one camera: constant-velocity prediction, birth, confirmation, retirement.
+    """Greedy IoU tracking of one camera: prediction, birth, confirmation, retirement.
 
-    A box joins the live track that its predicted or last box overlaps most. With ``low`` set, boxes of a score between
-    ``low`` and ``high`` may only prolong what the better ones left without a box (two-stage association). Ages are
-    frame differences, so frames without boxes need no rows. Ids are (birth frame, order of birth in it): the same
-    whatever the batch.
+    A box joins the live track that its predicted or last box overlaps most; prediction is by constant velocity, or with
+    ``filtered`` by a Kalman filter of eight states. With ``low`` set, boxes of a score between ``low`` and ``high`` may only
+    prolong what the better ones left without a box (two-stage association). Ages are frame differences, so frames
+    without boxes need no rows. Ids are (birth frame, order of birth in it): the same whatever the batch.
     """
 
-    def __init__(self, least: float = 0.3, max_age: int = 15, high: float = 0.0, low: float | None = None):
-        self.least, self.max_age, self.high, self.low = least, max_age, high, low
+    def __init__(self, least: float = 0.3, max_age: int = 15, high: float = 0.0, low: float | None = None, filtered: bool = False):
+        self.least, self.max_age, self.high, self.low, self.filtered = least, max_age, high, low, filtered
         self.live: list[dict] = []
 
+    def _ahead(self, t: dict, frame: int) -> np.ndarray:
+        return t["filter"].box(frame - t["frame"]) if self.filtered else t["box"] + np.tile(t["v"], 2) * (frame - t["frame"])
+
     def step(self, frame: int, boxes: np.ndarray, scores: np.ndarray) -> list[tuple[int, int] | None]:
         """The track (birth frame, order) of each box, None for boxes that no track takes and that start none."""
         self.live = [t for t in self.live if frame - t["frame"] <= self.max_age]
@@ -56,24 +95,47 @@ class BoxTracker:
             use = np.flatnonzero(scores >= self.high) if stage == "high" else np.flatnonzero((scores < self.high) & (scores >= self.low)) if self.low is not None else np.zeros(0, int)
             if len(use) and free:
                 last = np.stack([self.live[k]["box"] for k in free])
-                ahead = np.stack([self.live[k]["box"] + np.tile(self.live[k]["v"], 2) * (frame - self.live[k]["frame"]) for k in free])
+                ahead = np.stack([self._ahead(self.live[k], frame) for k in free])
                 pairs = greedy_pairs(np.maximum(pair_iou(last, boxes[use]), pair_iou(ahead, boxes[use])), self.least)
                 for i, j in pairs:
                     t, b = self.live[free[i]], boxes[use[j]]
-                    dt = frame - t["frame"]
-                    t |= {"v": ((b - t["box"]).reshape(2, 2).mean(axis=0)) / max(dt, 1), "box": b, "frame": frame}
+                    dt = max(frame - t["frame"], 1)
+                    if self.filtered:
+                        t["filter"].update(b, dt)
+                    t |= {"v": ((b - t["box"]).reshape(2, 2).mean(axis=0)) / dt, "box": b, "frame": frame}
                     out[use[j]] = t["id"]
                 taken = {free[i] for i, _ in pairs}
                 free = [k for k in free if k not in taken]
             if stage == "high":
                 born = [k for k in use if out[k] is None]
         for n, k in enumerate(born):
-            self.live.append({"id": (frame, n), "box": boxes[k], "v": np.zeros(2), "frame": frame})
+            self.live.append({"id": (frame, n), "box": boxes[k], "v": np.zeros(2), "frame": frame} | ({"filter": BoxFilter(boxes[k])} if self.filtered else {}))
             out[k] = (frame, n)
         return out
 
-
-def track_boxes(det: DataFrame, least: float = 0.3, max_age: int = 15, min_hits: int = 3, high: float = 0.0, low: float | None = None) -> DataFrame:
+    def follow(self, rows: pd.DataFrame) -> list[str | None]:
+        """The track key of each row (frame_index, x0..y1, score) of frames in order."""
+        keys: list[str | None] = []
+        for frame, some in rows.groupby("frame_index", sort=True):
+            keys += [None if k is None else f"{k[0]}-{k[1]}" for k in self.step(int(frame), some[["x0", "y0", "x1", "y1"]].to_numpy(float), some["score"].to_numpy(float))]
+        return keys
+
+    def state(self) -> str:
+        """The live tracks as JSON, for streams."""
+        rows = [{"id": t["id"], "box": t["box"].tolist(), "v": t["v"].tolist(), "frame": t["frame"]} | ({"x": t["filter"].x.tolist(), "p": t["filter"].p.tolist()} if self.filtered else {}) for t in self.live]
+        return json.dumps(rows)
+
+    def restore(self, state: str) -> None:
+        self.live = []
+        for r in json.loads(state):
+            t = {"id": tuple(r["id"]), "box": np.array(r["box"]), "v": np.array(r["v"]), "frame": r["frame"]}
+            if self.filtered:
+                t["filter"] = BoxFilter()
+                t["filter"].x, t["filter"].p = np.array(r["x"]), np.array(r["p"])
+            self.live.append(t)
+
+
+def track_boxes(det: DataFrame, least: float = 0.3, max_age: int = 15, min_hits: int = 3, high: float = 0.0, low: float | None = None, filtered: bool = False) -> DataFrame:
     """(camera_id, class_name, det_id, frame_index, track_key, confirmed, box) of detections.
 
     A clip is sequential, but no track outlives ``max_age`` empty frames: a camera's stream is cut at longer gaps, and
@@ -86,11 +148,7 @@ def track_boxes(det: DataFrame, least: float = 0.3, max_age: int = 15, min_hits:
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame_index", "det_id"], kind="stable").reset_index(drop=True)
-        tracker, keys = BoxTracker(least, max_age, high, low), []
-        for frame, some in pdf.groupby("frame_index", sort=True):
-            got = tracker.step(int(frame), some[["x0", "y0", "x1", "y1"]].to_numpy(float), some["score"].to_numpy(float))
-            keys += [None if k is None else f"{k[0]}-{k[1]}" for k in got]
-        out = pdf[["camera_id", "class_name", "det_id", "frame_index", "x0", "y0", "x1", "y1"]].assign(track_key=keys)
+        out = pdf[["camera_id", "class_name", "det_id", "frame_index", "x0", "y0", "x1", "y1"]].assign(track_key=BoxTracker(least, max_age, high, low, filtered).follow(pdf))
         return out[out.track_key.notna()]
 
     kind = dict(det.dtypes)

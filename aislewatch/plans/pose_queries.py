@@ -34,12 +34,6 @@ def torso(spark, d):
     return _r(p.select("camera_id", "track_id", "frame_index", "t.angle", "t.hip_ankle", "t.length"), "angle", "hip_ankle", "length")
 
 
-@C.add("frame_features", _POSE + " SELECT camera_id, track_id, frame_index, 53 AS n, round(17 * (score + 3e-1), 5) AS conf FROM a", ("observations",))
-def frame_features(spark, d):
-    f = poses(spark, d).select("camera_id", "track_id", "frame_index", L.frame_features(F.col("keypoints")).alias("f"))
-    return f.select("camera_id", "track_id", "frame_index", F.size("f").alias("n"), F.round(F.aggregate(F.slice("f", 37, 17), F.lit(0.0), lambda s, x: s + x), 5).alias("conf"))
-
-
 _SPELL = """, r AS (SELECT *, sum(CASE WHEN {flag} THEN 0 ELSE 1 END) OVER (PARTITION BY camera_id, track_id ORDER BY frame_index) AS run FROM a),
 s AS (SELECT camera_id, track_id, min(frame_index) AS frame_start, max(frame_index) AS frame_end, (max(frame_index) - min(frame_index) + 1) / 5e0 AS value, max(angle) AS angle, min(ratio) AS ratio FROM r WHERE {flag} GROUP BY camera_id, track_id, run)
 """

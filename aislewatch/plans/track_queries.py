@@ -12,12 +12,7 @@ _r = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})  # noqa:
 
 
 def _ready(spark):
-    import tempfile
-
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="aislewatch-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    V.shared_dir(spark)
 
 
 @C.add("udf_track")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from aislewatch.functions.geometry import point_in_polygon
+from aislewatch.operators.tracks import BoxTracker
 
 
 def without_duplicates(frames: DataFrame, delay: str = "1 minute") -> DataFrame:
@@ -83,13 +84,35 @@ def zone_stays(inside: DataFrame, delay: str = "1 minute") -> DataFrame:
         follow, "camera_id long, track_id long, zone string, frame_start long, frame_end long, late long", "start long, last long, late long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def write_alerts(alerts: DataFrame, path: str, checkpoint: str):
-    """Starts a query that appends alerts under their UTC date; a batch that is run again replaces its own files."""
+def tracks(det: DataFrame, least: float = 0.3, max_age: int = 15, high: float = 0.0, low: float | None = None, filtered: bool = False) -> DataFrame:
+    """(camera_id, class_name, det_id, frame_index, track_key) of a stream of detections (camera_id, class_name, det_id,
+    frame_index, score, box): the tracker of :func:`aislewatch.operators.tracks.track_boxes`, whose live tracks are the
+    state of a camera and class. Frames have to arrive in order from batch to batch; rows of frames up to the last one are left out."""
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tracker, last = BoxTracker(least, max_age, high, low, filtered), -1
+        if state.exists:
+            live, last = state.get
+            tracker.restore(live)
+        rows = pd.concat(list(batches)).sort_values(["frame_index", "det_id"], kind="stable")
+        rows = rows[rows.frame_index > last].reset_index(drop=True)
+        keys = tracker.follow(rows)
+        state.update((tracker.state(), int(rows.frame_index.max()) if len(rows) else last))
+        out = pd.DataFrame({"camera_id": key[0], "class_name": key[1], "det_id": rows.det_id, "frame_index": rows.frame_index, "track_key": keys})
+        yield out[out.track_key.notna()]
+
+    return det.groupBy("camera_id", "class_name").applyInPandasWithState(
+        follow, "camera_id long, class_name string, det_id long, frame_index long, track_key string", "live string, last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def write_alerts(alerts: DataFrame, path: str, checkpoint: str, once: bool = False):
+    """Starts a query, which ends with the input if ``once``, that appends alerts under their UTC date; a batch that is run again replaces its own files."""
 
     def append(batch: DataFrame, number: int) -> None:
         batch.withColumn("utc_date", F.to_date("at")).write.mode("overwrite").partitionBy("utc_date").parquet(f"{path}/batch={number}")
 
-    return alerts.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).start()
+    w = alerts.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()
 
 
 def with_current_verdict(alerts: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -246,18 +246,49 @@ def test_thresholds_need_a_basis(spark):
         L.with_overrides(d, o, cams).collect()
 
 
+def camera_file(**other):
+    zones = [{"name": "w", "kind": "walkable", "points_m": [list(p) for p in SQUARE]}, {"name": "l", "kind": "entrance_line", "points_m": [[0, 1], [0, 2]]}]
+    return {"schema_version": 3, "camera_id": "c1", "image_size_px": [960, 540], "camera": {"fx": 382.7, "fy": 382.7, "cx": 480, "cy": 270}, "plane": {"height_m": 2.49, "pitch": 0.86, "roll": 0.0}, "zones": zones, "mask_ignore": 255} | other
+
+
 def test_camera_files(spark, tmp_path):
-    good = {"version": 1, "camera_id": "c1", "width": 960, "height_px": 540, "intrinsics": {"fx": 382.7, "fy": 382.7, "cx": 480, "cy": 270}, "plane": {"height": 2.49, "pitch": 0.86, "roll": 0}, "zones": [{"name": "w", "kind": "walkable", "points": [{"x": x, "z": z} for x, z in SQUARE]}, {"name": "l", "kind": "entrance_line", "points": [{"x": 0, "z": 1}, {"x": 0, "z": 2}]}]}
-    bad = good | {"camera_id": "c2", "version": 9, "plane": {"height": -1, "pitch": 0.8, "roll": 0}, "zones": [{"name": "l", "kind": "entrance_line", "points": [{"x": 0, "z": 1}]}]}
-    (tmp_path / "c1.json").write_text(json.dumps(good))
-    (tmp_path / "c2.json").write_text(json.dumps(bad, indent=1))
+    bad = {
+        "c2": {"schema_version": 4, "plane": {"height_m": -1, "pitch": 49.3, "roll": 0}, "zones": [{"name": "l", "kind": "entrance_line", "points_m": [[0, 1]]}]},
+        "c3": {"camera": {"fx": 382.7, "fy": 0, "cx": 960, "cy": 270}, "zones": [{"name": "s", "kind": "shelf", "points_m": [[0, 1], [1, 1], [1, 2]]}], "shelf_rois_px": [[10, 10, 5, 20]]},
+        "c4": {"lens": {"k1": -1.05, "centre_px": [2000, 10], "radius_px": 1.0}, "mask_ignore": 0},
+    }
+    for name, x in {"c1": {}, **bad}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(camera_file(camera_id=name, **x), indent=1))
+    c = cameras.read_cameras(spark, str(tmp_path))
+    assert {r.camera_id: set(r.problems) for r in c.collect()} == {
+        "c1": set(), "c2": {"schema_version", "height_m", "pitch", "zone points"}, "c3": {"fy", "principal point", "zone kind", "shelf_rois_px"}, "c4": {"lens k1", "lens centre", "lens radius", "mask_ignore"}}
+    good = cameras.usable(c)
+    assert [r.zone for r in cameras.zones_of(good).collect()] == ["w"] and [(r.ax, r.az, r.bx, r.bz) for r in cameras.lines_of(good).collect()] == [(0.0, 1.0, 0.0, 2.0)]
+    with pytest.raises(Exception, match="two points"):
+        cameras.lines_of(c.where("camera_id = 'c2'")).collect()
+    b = {r.camera_id: (r.x_lo, r.x_hi, r.z_lo, r.z_hi) for r in cameras.walkable_bounds(c).collect()}
+    xs, zs = [p[0] for p in SQUARE], [p[1] for p in SQUARE]
+    assert b["c1"] == (min(xs) - 2, max(xs) + 2, max(0.0, min(zs) - 2), max(zs) + 2) and b["c3"] == (-12.0, 12.0, 0.0, 14.0)
+    cameras.write_cameras(good, str(tmp_path / "out"))
+    again = cameras.read_cameras(spark, str(tmp_path / "out"), lines=True).collect()
+    assert [(r.camera_id, r.problems) for r in again] == [("c1", [])]
+
+
+def test_points_of_cameras(spark, tmp_path):
+    (tmp_path / "c1.json").write_text(json.dumps(camera_file(false_positive_polygons_px=[[[0, 0], [64, 0], [64, 64], [0, 64]]])))
     c = cameras.read_cameras(spark, str(tmp_path))
-    assert {r.camera_id: set(r.problems) for r in c.collect()} == {"c1": set(), "c2": {"unknown version", "camera height must be positive", "an entrance line needs two points"}}
-    assert [r.zone for r in cameras.zones_of(c).collect()] == ["w"] and cameras.lines_of(c).count() == 1
-    b = {r.camera_id: (r.x_lo, r.z_hi) for r in cameras.walkable_bounds(c).collect()}
-    assert b == {"c1": (-1.5, 5.5), "c2": (-5.0, 10.0)}
-    cameras.write_cameras(c, str(tmp_path / "out"))
-    assert cameras.read_cameras(spark, str(tmp_path / "out")).count() == 2
+    p = spark.createDataFrame([("c1", 10.0, 10.0), ("c1", 480.0, 500.0), ("c1", 3000.0, 10.0)], "camera_id string, u double, v double")
+    assert [r.vetoed for r in cameras.in_fp_zone(p, c).orderBy("u").collect()] == [True, False, False]
+    taken, refused = cameras.to_calibrated(p, c)
+    assert taken.count() == 0 and refused.count() == 3
+    scaled, none = cameras.to_calibrated(p, c, (1920, 1080))
+    assert sorted(r.u for r in scaled.collect()) == [5.0, 240.0, 1500.0] and none.count() == 0
+    up = spark.createDataFrame([("c1", 480.0, -5000.0)], "camera_id string, u double, v double")
+    assert cameras.ground_points(up, c, "drop").count() == 0
+    with pytest.raises(Exception, match="horizon"):
+        cameras.ground_points(up, c, "raise").collect()
+    with pytest.raises(ValueError):
+        cameras.ground_points(up, c, "keep")
 
 
 def test_alert_log(spark, tmp_path):
