@@ -59,13 +59,17 @@ def box_of_region(runs: DataFrame, *keys: str, least_area: int = 1) -> DataFrame
     return runs.groupBy(*keys).agg(F.min("x_start").alias("x0"), F.min("y").alias("y0"), F.max("x_end").alias("x1"), (F.max("y") + 1).alias("y1"), F.sum(F.col("x_end") - F.col("x_start")).alias("area")).where(F.col("area") >= least_area)
 
 
-def covered_share(boxes: DataFrame, runs: DataFrame, class_id: int) -> DataFrame:
-    """Boxes (det_id, camera_id, frame_index, x0..y1 in pixels) with the share of their area that runs of ``class_id`` cover."""
-    r = runs.where(F.col("class_id") == class_id)
-    j = boxes.join(r, ["camera_id", "frame_index"], "left")
-    part = F.when((F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")), F.greatest(F.least("x1", "x_end") - F.greatest("x0", "x_start"), F.lit(0)))
+def covered_share(boxes: DataFrame, runs: DataFrame, class_id: int, band: int = 64) -> DataFrame:
+    """Boxes (det_id, camera_id, frame_index, x0..y1 in pixels) with the share of their area that runs of ``class_id`` cover.
+
+    Runs meet the boxes of their frame by bands of ``band`` rows, so that a frame's runs don't meet all its boxes.
+    """
+    b = boxes.withColumn("_k", F.explode(F.sequence(F.floor(F.col("y0") / band), F.floor(F.col("y1") / band))))
+    r = runs.where(F.col("class_id") == class_id).withColumn("_k", F.floor(F.col("y") / band))
+    j = b.join(r, ["camera_id", "frame_index", "_k"]).where((F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")))
+    part = j.groupBy("det_id", "camera_id", "frame_index").agg(F.sum(F.greatest(F.least("x1", "x_end") - F.greatest("x0", "x_start"), F.lit(0))).alias("_c"))
     area = F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1e-9))
-    return j.groupBy("det_id", "camera_id", "frame_index", "x0", "y0", "x1", "y1").agg((F.coalesce(F.sum(part), F.lit(0)) / F.first(area)).alias("covered"))
+    return boxes.join(part, ["det_id", "camera_id", "frame_index"], "left").withColumn("covered", F.coalesce("_c", F.lit(0)) / area).drop("_c")
 
 
 # ---- data sets: splits, leaks, coverage
@@ -131,12 +135,14 @@ def duplicates(files: DataFrame, digest: str = "digest") -> DataFrame:
     return files.groupBy(digest).agg(F.count("*").alias("n"), F.min("file").alias("first")).where("n > 1")
 
 
-def fingerprint(files: DataFrame, *keys: str, most: int = 500_000) -> DataFrame:
-    """Files, bytes and a digest of the sorted (name, size) list of each split; ``truncated`` where a split has over ``most`` files, which then has no digest."""
-    out = files.groupBy(*keys).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-    small = files.join(out.where(F.col("files") <= most).select(*keys), list(keys), "left_semi")
-    dig = small.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "name", F.col("size").cast("string")))), "\n"), 256).alias("digest"))
-    return out.join(dig, list(keys), "left").withColumn("truncated", F.col("files") > most)
+def fingerprint(files: DataFrame, *keys: str) -> DataFrame:
+    """Files, bytes and a digest of each split: names are dealt to 4,096 parts by their SHA-256, and the digest is that of the parts'
+    digests of their sorted (name, size) lists, so that no split's list is gathered whole."""
+    line = F.concat_ws(":", "name", F.col("size").cast("string"))
+    rows = files.withColumn("_p", F.conv(F.substring(F.sha2("name", 256), 1, 3), 16, 10).cast("long"))
+    parts = rows.groupBy(*keys, "_p").agg(F.count("*").alias("_n"), F.sum("size").alias("_s"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("_d"))
+    each = F.transform(F.sort_array(F.collect_list(F.struct("_p", "_d"))), lambda x: F.concat_ws(":", x["_p"].cast("string"), x["_d"]))
+    return parts.groupBy(*keys).agg(F.sum("_n").alias("files"), F.sum("_s").alias("bytes"), F.sha2(F.array_join(each, "\n"), 256).alias("digest"))
 
 
 def hash_split(name: Column, test_share: float) -> Column:
@@ -155,9 +161,13 @@ def crop_curation(people: DataFrame, target: int) -> DataFrame:
 
 
 def camera_move(rows: DataFrame, moved: list[int], to: str) -> DataFrame:
-    """Rows with whole cameras put into split ``to``, and ids numbered anew within each split."""
+    """Rows with whole cameras put into split ``to``, and ids numbered anew within each split in the order of cameras and clips.
+    Rows are numbered inside their camera; the cameras' offsets come from one row for each."""
     m = rows.withColumn("split", F.when(F.col("camera").isin(moved), to).otherwise(F.col("split")))
-    return m.withColumn("new_id", F.row_number().over(Window.partitionBy("split").orderBy("camera", "clip")))
+    n = m.groupBy("split", "camera").agg(F.count("*").alias("_n"))
+    start = n.select("split", "camera", F.coalesce(F.sum("_n").over(Window.partitionBy("split").orderBy("camera").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    k = F.row_number().over(Window.partitionBy("split", "camera").orderBy("clip"))
+    return m.withColumn("_k", k).join(start, ["split", "camera"]).withColumn("new_id", F.col("_o") + F.col("_k")).drop("_o", "_k")
 
 
 def clip_camera(clips: DataFrame, manifest: DataFrame) -> DataFrame:

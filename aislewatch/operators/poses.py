@@ -14,25 +14,52 @@ def _spells(rows: DataFrame, flag: Column, fps: float, min_seconds: float, *more
     return runs.drop("run").withColumn("value", run_seconds(fps)).where(F.col("value") >= min_seconds)
 
 
-def fall(rows: DataFrame, fps: float = 5.0, angle: float = 55.0, min_seconds: float = 1.0, shrink: float = 0.8, before: int = 10) -> DataFrame:
-    """A torso at least ``angle`` degrees from upright, sustained, whose box is at its start lower than ``shrink`` times
-    the median height of up to ``before`` preceding observations (three at least)."""
-    w = Window.partitionBy(*TRACK).orderBy("frame_index").rowsBetween(-before, -1)
-    h = F.col("y1") - F.col("y0")
-    r = rows.withColumns({"_h": h, "_a": torso(F.col("keypoints"))["angle"]}).withColumns({"_m": window_median("_h", w), "_n": F.count("_h").over(w)})
-    first = F.min_by(F.struct("_h", "_m", "_n"), "frame_index").alias("_s")
-    s = _spells(r, F.col("_a") >= angle, fps, min_seconds, first, F.max("_a").alias("angle"))
-    return s.where((F.col("_s._n") >= 3) & (F.col("_s._h") <= shrink * F.col("_s._m"))).select(F.lit("fall").alias("type"), *TRACK, "frame_start", "frame_end", "value", "angle")
+def _postures(rows: DataFrame, before: int) -> DataFrame:
+    """``rows`` with _angle, _ratio (hips to ankles over the torso's length), _h (box height) and _k (place in the track)."""
+    t, order = torso(F.col("keypoints")), Window.partitionBy(*TRACK).orderBy("frame_index")
+    ratio = F.when((t["length"] > 0) & t["hip_ankle"].isNotNull(), t["hip_ankle"] / t["length"])
+    r = rows.withColumns({"_angle": t["angle"], "_ratio": ratio, "_h": F.col("y1") - F.col("y0"), "_k": F.row_number().over(order)})
+    w = order.rowsBetween(-before, -1)
+    return r.withColumns({"_ref": window_median("_h", w), "_n": F.count("_h").over(w)})
 
 
-def crouch(rows: DataFrame, fps: float = 5.0, ratio: float = 0.6, min_seconds: float = 1.0) -> DataFrame:
-    """Hips close to the ankles for the length of the torso, sustained."""
-    t = torso(F.col("keypoints"))
-    r = rows.withColumn("_c", t["hip_ankle"] / F.nullif(t["length"], F.lit(0.0)))
-    return _spells(r, F.col("_c") <= ratio, fps, min_seconds, F.min("_c").alias("ratio")).select(F.lit("crouch").alias("type"), *TRACK, "frame_start", "frame_end", "value", "ratio")
+def _shrunk_spells(r: DataFrame, flag: Column, fps: float, min_seconds: float, shrink: float, *more: Column) -> DataFrame:
+    """Spells of ``flag`` whose median box height is at most ``shrink`` times the median of the observations before (three at least)."""
+    first = F.min_by(F.struct("_ref", "_n"), "frame_index").alias("_s")
+    s = _spells(r, flag, fps, min_seconds, first, F.percentile("_h", 0.5).alias("_m"), *more)
+    return s.where((F.col("_s._n") >= 3) & (F.col("_s._ref") > 0) & (F.col("_m") <= shrink * F.col("_s._ref")))
 
 
-def wrist_contact(rows: DataFrame, runs: DataFrame, fixture: int, person: int, radius: float = 20.0) -> DataFrame:
+def fall(rows: DataFrame, fps: float = 5.0, angle: float = 55.0, min_seconds: float = 1.0, shrink: float = 0.9, before_seconds: float = 2.0, head: str | None = None, head_height: float = 0.8, head_seconds: float = 0.7) -> DataFrame:
+    """A torso at least ``angle`` degrees from upright, sustained, in a box that got lower than before.
+
+    With ``head``, a column of metres of the head over the floor (null where it can't be measured), a spell in which it is
+    measured also has to keep it at ``head_height`` or lower for ``head_seconds`` on end.
+    """
+    r = _postures(rows, max(3, round(before_seconds * fps)))
+    flag = F.coalesce(F.col("_angle") >= angle, F.lit(False))
+    more = [F.max("_angle").alias("angle")]
+    if head:
+        low = F.coalesce(F.col(head) <= head_height, F.lit(False))
+        order = Window.partitionBy(*TRACK).orderBy("frame_index")
+        r = r.withColumn("_flag", flag).withColumn("_run0", F.sum(F.when(F.col("_flag") & low, 0).otherwise(1)).over(order))
+        r = r.withColumn("_low", F.when(F.col("_flag") & low, F.count(F.when(F.col("_flag") & low, 1)).over(Window.partitionBy(*TRACK, "_run0"))).otherwise(0))
+        more += [F.max("_low").alias("_lowest"), F.count(head).alias("_seen")]
+    s = _shrunk_spells(r, flag, fps, min_seconds, shrink, *more)
+    if head:
+        s = s.where((F.col("_seen") == 0) | (F.col("_lowest") / fps >= head_seconds))
+    return s.select(F.lit("fall").alias("type"), *TRACK, "frame_start", "frame_end", "value", "angle")
+
+
+def crouch(rows: DataFrame, fps: float = 5.0, ratio: float = 0.6, min_seconds: float = 1.0, angle: float = 55.0, shrink: float = 0.9, before_seconds: float = 2.0) -> DataFrame:
+    """Hips close to the ankles for the length of the torso, the trunk upright (under ``angle``, or not measured), sustained, in a
+    box that got lower than before."""
+    r = _postures(rows, max(3, round(before_seconds * fps)))
+    flag = (F.coalesce("_angle", F.lit(0.0)) < angle) & F.coalesce(F.col("_ratio") <= ratio, F.lit(False))
+    return _shrunk_spells(r, flag, fps, min_seconds, shrink, F.min("_ratio").alias("ratio")).select(F.lit("crouch").alias("type"), *TRACK, "frame_start", "frame_end", "value", "ratio")
+
+
+def wrist_contact(rows: DataFrame, runs: DataFrame, fixture: int, person: int, radius: float = 25.0) -> DataFrame:
     """(camera_id, track_id, frame_index, contact): share of ``fixture`` among the labels other than ``person`` within ``radius`` of either wrist.
 
     Runs of a row are cut to the chord of the disk in that row; wrists meet runs of their frame by bands of rows.

@@ -74,13 +74,13 @@ def heat_normalised(cells: DataFrame, value: str = "seconds", sigma: float = 1.5
 
 
 def _mirror_sources(cell: Column, d: Column, lo: Column, hi: Column) -> Column:
-    """The cells whose neighbour at offset ``d``, mirrored at the map's edges, is ``cell``."""
-    n = hi - lo + 1
-    direct, left, right = cell - d, 2 * lo - 1 - cell - d, 2 * hi + 1 - cell - d
-    inside = lambda c: (c >= lo) & (c <= hi)
-    fold = lambda c: F.when(inside(c) & (n > 0), c)
-    a = F.array(fold(direct), F.when(inside(left) & (left + d < lo), left), F.when(inside(right) & (right + d > hi), right))
-    return F.array_compact(a)
+    """The cells of lo to hi whose neighbour at offset ``d``, mirrored at the map's edges again and again, is ``cell``."""
+    n, at = hi - lo + 1, cell - lo
+    turns = F.sequence(-F.floor(F.abs(d) / n) - 1, F.floor(F.abs(d) / n) + 1)
+    straight = F.transform(turns, lambda k: at - d + 2 * n * k)
+    turned = F.transform(turns, lambda k: -1 - at - d + 2 * n * k)
+    inside = F.filter(F.concat(straight, turned), lambda i: (i >= 0) & (i < n))
+    return F.transform(inside, lambda i: i + lo)
 
 
 def busiest_zone(obs: DataFrame, cell: float = 0.25, half: float = 0.5) -> DataFrame:

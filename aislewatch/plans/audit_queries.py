@@ -72,13 +72,16 @@ def agg_box_of_region(spark, d):
     return A.box_of_region(_runs(spark, d), "camera_id", "frame_index", "class_id", least_area=100)
 
 
-_COVER = f""", r AS ({_RUNS}), v AS (SELECT det_id, sum(CASE WHEN y >= y0 AND y < y1 THEN greatest(least(x1, x_end) - greatest(x0, x_start), 0) ELSE 0 END) / any_value((x1 - x0) * (y1 - y0)) AS covered
-FROM (SELECT * FROM detections WHERE frame_index < 40) b LEFT JOIN r ON r.camera_id = b.camera_id AND r.frame_index = b.frame_index AND r.class_id = 1 GROUP BY 1)
+_COVER = """, r AS (SELECT user_id % 8 AS camera_id, CAST((extract(day FROM ts) - 1) * 6 + floor(extract(hour FROM ts) / 4) AS BIGINT) AS frame_index, (event_id * 13) % 700 AS y, (event_id * 7) % 800 AS x_start, (event_id * 7) % 800 + 200 AS x_end, event_id % 3 AS class_id FROM events),
+v AS (SELECT det_id, coalesce(sum(greatest(least(x1, x_end) - greatest(x0, x_start), 0)) FILTER (y IS NOT NULL), 0) / any_value((x1 - x0) * (y1 - y0)) AS covered
+FROM detections b LEFT JOIN r ON r.camera_id = b.camera_id AND r.frame_index = b.frame_index AND r.class_id = 1 AND y >= y0 AND y < y1 GROUP BY 1)
 """
 
 
 def _covered(spark, d):
-    return A.covered_share(V.detections(spark, d).where("frame_index < 40").select("det_id", "camera_id", "frame_index", "x0", "y0", "x1", "y1"), _runs(spark, d), 1)
+    from aislewatch.plans.pose_queries import _runs as all_runs
+
+    return A.covered_share(V.detections(spark, d).select("det_id", "camera_id", "frame_index", "x0", "y0", "x1", "y1"), all_runs(spark, d), 1)
 
 
 @C.add("static_share", _COVER + "SELECT det_id, round(covered, 6) AS covered FROM v", ("detections",))
@@ -175,7 +178,8 @@ def agg_duplicates(spark, d):
     return A.duplicates(V.table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("file"), F.md5(F.col("text").cast("binary")).alias("digest")))
 
 
-@C.add("agg_fingerprint", "SELECT split, count(*) AS files, sum(clip) AS bytes, sha256(string_agg('clip' || clip || ':' || clip, chr(10) ORDER BY 'clip' || clip || ':' || clip)) AS digest, false AS truncated FROM clip_rows GROUP BY 1", ("clip_rows",))
+@C.add("agg_fingerprint", """, n AS (SELECT split, clip, 'clip' || clip || ':' || clip AS line, CAST(('0x' || left(sha256('clip' || clip), 3)) AS BIGINT) AS part FROM clip_rows), p AS (SELECT split, part, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM n GROUP BY 1, 2),
+q AS (SELECT split, sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part)) AS digest FROM p GROUP BY 1) SELECT n.split, count(*) AS files, CAST(sum(clip) AS BIGINT) AS bytes, any_value(digest) AS digest FROM n JOIN q ON n.split = q.split GROUP BY 1""", ("clip_rows",))
 def agg_fingerprint(spark, d):
     f = V.clip_rows(spark, d).select("split", F.concat(F.lit("clip"), F.col("clip").cast("string")).alias("name"), F.col("clip").alias("size"))
     return A.fingerprint(f, "split")

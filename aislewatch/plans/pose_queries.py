@@ -39,16 +39,37 @@ s AS (SELECT camera_id, track_id, min(frame_index) AS frame_start, max(frame_ind
 """
 
 
-@C.add("ev_crouch", _POSE + _SPELL.format(flag="ratio <= 6e-1") + "SELECT 'crouch' AS type, camera_id, track_id, frame_start, frame_end, value, round(ratio, 6) AS ratio FROM s WHERE value >= 1e0", ("observations",))
+def _bent(spark, d):
+    """The poses, and with them boxes whose height falls every twelfth frame for six frames; every other track bends its knees then,
+    and the head is at a height in metres that follows."""
+    low = F.floor(F.col("frame_index") / 6) % 2 == 1
+    ankle = lambda p: F.struct(p["x"].alias("x"), (F.col("y0") + 75).alias("y"), p["conf"].alias("conf"))
+    bent = F.transform("keypoints", lambda p, i: F.when(i.isin(15, 16), ankle(p)).otherwise(p))
+    p = poses(spark, d).withColumn("keypoints", F.when(low & (F.col("track_id") % 2 == 0), bent).otherwise(F.col("keypoints")))
+    return p.withColumn("y0", F.when(low, F.col("y1") - 70.0).otherwise(F.col("y0"))).withColumn("head_m", F.when(F.col("track_id") % 3 == 0, F.when(low & (F.col("frame_index") % 6 > 0), 0.5).otherwise(1.6)))
+
+
+_BENT = _POSE + """, b AS (SELECT camera_id, track_id, frame_index, angle, CASE WHEN frame_index // 6 % 2 = 1 AND track_id % 2 = 0 THEN 15 / sqrt(dx * dx + 9e2) ELSE ratio END AS ratio, CASE WHEN frame_index // 6 % 2 = 1 THEN 7e1 ELSE y1 - y0 END AS h, CASE WHEN track_id % 3 = 0 THEN CASE WHEN frame_index // 6 % 2 = 1 AND frame_index % 6 > 0 THEN 5e-1 ELSE 16e-1 END END AS head FROM a),
+k AS (SELECT *, median(h) OVER w AS ref, count(h) OVER w AS before FROM b WINDOW w AS (PARTITION BY camera_id, track_id ORDER BY frame_index ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, {flag} AS flag, sum(CASE WHEN {flag} THEN 0 ELSE 1 END) OVER (PARTITION BY camera_id, track_id ORDER BY frame_index) AS run, sum(CASE WHEN {flag} AND head <= 8e-1 THEN 0 ELSE 1 END) OVER (PARTITION BY camera_id, track_id ORDER BY frame_index) AS lowrun FROM k),
+l AS (SELECT *, CASE WHEN flag AND head <= 8e-1 THEN count(*) FILTER (flag AND head <= 8e-1) OVER (PARTITION BY camera_id, track_id, lowrun) ELSE 0 END AS low FROM r),
+s AS (SELECT camera_id, track_id, min(frame_index) AS frame_start, max(frame_index) AS frame_end, (max(frame_index) - min(frame_index) + 1) / 5e0 AS value, max(angle) AS angle, min(ratio) AS ratio, median(h) AS m, arg_min(ref, frame_index) AS ref, arg_min(before, frame_index) AS before, max(low) AS low, count(head) AS seen FROM l WHERE flag GROUP BY camera_id, track_id, run)
+"""
+
+
+@C.add("ev_crouch", _BENT.format(flag="angle < 55 AND ratio <= 6e-1") + "SELECT 'crouch' AS type, camera_id, track_id, frame_start, frame_end, value, round(ratio, 6) AS ratio FROM s WHERE value >= 1e0 AND before >= 3 AND m <= 9e-1 * ref", ("observations",))
 def ev_crouch(spark, d):
-    return _r(P.crouch(poses(spark, d)), "ratio")
+    return _r(P.crouch(_bent(spark, d)), "ratio")
 
 
-@C.add("ev_fall", _POSE + _SPELL.format(flag="angle >= 55") + """, h AS (SELECT camera_id, track_id, frame_index, y1 - y0 AS h, (SELECT median(h) FROM (SELECT 1e2 AS h)) AS m, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY frame_index) - 1 AS n FROM observations)
-SELECT 'fall' AS type, s.camera_id, s.track_id, frame_start, frame_end, value, round(angle, 6) AS angle FROM s JOIN h ON s.camera_id = h.camera_id AND s.track_id = h.track_id AND h.frame_index = frame_start WHERE value >= 1e0 AND n >= 3""", ("observations",))
+@C.add("ev_fall", _BENT.format(flag="angle >= 55") + "SELECT 'fall' AS type, camera_id, track_id, frame_start, frame_end, value, round(angle, 6) AS angle FROM s WHERE value >= 1e0 AND before >= 3 AND m <= 9e-1 * ref", ("observations",))
 def ev_fall(spark, d):
-    # every derived box is 100 px tall, so the shrink limit is set where it lets equal heights through
-    return _r(P.fall(poses(spark, d), shrink=1.0 + 1e-9), "angle")
+    return _r(P.fall(_bent(spark, d)), "angle")
+
+
+@C.add("ev_fall_head", _BENT.format(flag="angle >= 55") + "SELECT 'fall' AS type, camera_id, track_id, frame_start, frame_end, value, round(angle, 6) AS angle FROM s WHERE value >= 1e0 AND before >= 3 AND m <= 9e-1 * ref AND (seen = 0 OR low / 5e0 >= 4e-1)", ("observations",))
+def ev_fall_head(spark, d):
+    return _r(P.fall(_bent(spark, d), head="head_m", head_seconds=0.4), "angle")
 
 
 def _runs(spark, d):

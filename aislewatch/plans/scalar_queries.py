@@ -123,12 +123,12 @@ def invert_geom(spark, d):
     return V.observations(spark, d).select("camera_id", "track_id", "frame_index", F.round(b[0], 6).alias("x0"), F.round(b[3], 6).alias("y1"))
 
 
-@C.add("usable_crops", "SELECT camera_id, track_id, frame_index FROM observations WHERE x0 > 2 AND y0 > 2 AND x1 < 878 AND y1 < 678 AND y1 - y0 >= 64", ("observations",))
+@C.add("usable_crops", "SELECT camera_id, track_id, frame_index FROM observations WHERE x0 > 3 AND y0 > 3 AND x1 < 877 AND y1 < 677 AND y1 - y0 >= 64", ("observations",))
 def usable_crops(spark, d):
     return V.observations(spark, d).where(B.usable_crop(B.box(), F.lit(880), F.lit(680))).select("camera_id", "track_id", "frame_index")
 
 
-@C.add("border_contact", "SELECT camera_id, track_id, bool_or(x0 <= 2 OR y0 <= 2 OR x1 >= 878 OR y1 >= 678) AS touches, round(median(y1), 6) AS y1_p50 FROM observations GROUP BY 1, 2", ("observations",))
+@C.add("border_contact", "SELECT camera_id, track_id, bool_or(x0 <= 3 OR y0 <= 3 OR x1 >= 877 OR y1 >= 677) AS touches, round(median(y1), 6) AS y1_p50 FROM observations GROUP BY 1, 2", ("observations",))
 def border_contact(spark, d):
     free = B.usable_crop(B.box(), F.lit(880), F.lit(680), least_height=0.0)
     return V.observations(spark, d).groupBy("camera_id", "track_id").agg(F.bool_or(~free).alias("touches"), F.round(F.median("y1"), 6).alias("y1_p50"))
