@@ -9,6 +9,7 @@ from aislewatch.operators import metrics as M
 from aislewatch.operators import poses as P
 from aislewatch.operators import retail as R
 from aislewatch.plans import views as V
+from aislewatch.plans.retail_queries import _VISITS
 
 C = V.Catalogue()
 _r = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
@@ -77,16 +78,21 @@ def _runs(spark, d):
     return e.select((F.col("user_id") % 8).alias("camera_id"), ((F.dayofmonth("ts") - 1) * 6 + F.floor(F.hour("ts") / 4)).cast("long").alias("frame_index"), ((i * 13) % 700).alias("y"), ((i * 7) % 800).alias("x_start"), ((i * 7) % 800 + 200).alias("x_end"), (i % 3).alias("class_id"))
 
 
-@C.add("j_wrist_contact", """
+_CONTACT = """
 , r AS (SELECT user_id % 8 AS camera_id, CAST((extract(day FROM ts) - 1) * 6 + floor(extract(hour FROM ts) / 4) AS BIGINT) AS frame_index, (event_id * 13) % 700 AS y, (event_id * 7) % 800 AS a, (event_id * 7) % 800 + 200 AS b, event_id % 3 AS c FROM events),
 w AS (SELECT camera_id, track_id, frame_index, (x0 + x1) / 2 + 15 AS wx, y0 + 55 AS wy FROM observations WHERE score + 3e-1 >= 3e-1),
-j AS (SELECT w.camera_id, track_id, w.frame_index, c, greatest(least(b, wx + sqrt(greatest(16e2 - (y - wy) * (y - wy), 0))) - greatest(a, wx - sqrt(greatest(16e2 - (y - wy) * (y - wy), 0))), 0) AS l FROM w JOIN r ON r.camera_id = w.camera_id AND r.frame_index = w.frame_index AND c <> 0 AND abs(y - wy) <= 40)
-SELECT camera_id, track_id, frame_index, round(sum(CASE WHEN c = 1 THEN l ELSE 0 END) / sum(l), 6) AS contact FROM j WHERE l > 0 GROUP BY 1, 2, 3""", ("observations",))
+j AS (SELECT w.camera_id, track_id, w.frame_index, c, greatest(least(b, wx + sqrt(greatest(16e2 - (y - wy) * (y - wy), 0))) - greatest(a, wx - sqrt(greatest(16e2 - (y - wy) * (y - wy), 0))), 0) AS l FROM w JOIN r ON r.camera_id = w.camera_id AND r.frame_index = w.frame_index AND c <> 0 AND abs(y - wy) <= 40)"""
+
+
+@C.add("j_wrist_contact", _CONTACT + " SELECT camera_id, track_id, frame_index, round(sum(CASE WHEN c = 1 THEN l ELSE 0 END) / sum(l), 6) AS contact FROM j WHERE l > 0 GROUP BY 1, 2, 3", ("observations",))
 def j_wrist_contact(spark, d):
     return _r(P.wrist_contact(poses(spark, d), _runs(spark, d), 1, 0, 40.0), "contact")
 
 
-@C.add("ev_reach_to_shelf")
+@C.add("ev_reach_to_shelf", _CONTACT + """, c AS (SELECT camera_id, track_id, frame_index, sum(CASE WHEN c = 1 THEN l ELSE 0 END) / sum(l) AS contact FROM j WHERE l > 0 GROUP BY 1, 2, 3),
+o AS (SELECT o.camera_id, o.track_id, o.frame_index, contact, coalesce(contact >= 35e-2, false) AS flag FROM observations o LEFT JOIN c ON c.camera_id = o.camera_id AND c.track_id = o.track_id AND c.frame_index = o.frame_index),
+q AS (SELECT *, sum(CASE WHEN flag THEN 0 ELSE 1 END) OVER (PARTITION BY camera_id, track_id ORDER BY frame_index) AS run FROM o)
+SELECT 'reach_to_shelf' AS type, camera_id, track_id, min(frame_index) AS frame_start, max(frame_index) AS frame_end, (max(frame_index) - min(frame_index) + 1) / 5e0 AS value, round(max(contact), 6) AS contact FROM q WHERE flag GROUP BY camera_id, track_id, run HAVING (max(frame_index) - min(frame_index) + 1) / 5e0 >= 2e-1""", ("observations",))
 def ev_reach_to_shelf(spark, d):
     p = poses(spark, d)
     return _r(P.reach_to_shelf(p, P.wrist_contact(p, _runs(spark, d), 1, 0, 40.0), min_seconds=0.2), "contact")
@@ -102,7 +108,9 @@ def j_visit_overlap(spark, d):
     return P.visit_overlap(s.where("track_id % 2 = 0").drop("seconds"), s.where("track_id % 2 = 1"))
 
 
-@C.add("j_visit_purity")
+@C.add("j_visit_purity", _VISITS + """, m AS (SELECT camera_id, pred_id // 10 AS track_id, frame_index, arg_max(gt_id, (iou, gt_id)) AS gt_id FROM pairs WHERE iou >= 5e-1 GROUP BY 1, 2, 3),
+n AS (SELECT v.camera_id, v.track_id, zone, frame_start, frame_end, gt_id, count(*) AS n FROM visits v JOIN m ON v.camera_id = m.camera_id AND v.track_id = m.track_id AND frame_index BETWEEN frame_start AND frame_end GROUP BY ALL)
+SELECT camera_id, track_id, zone, frame_start, frame_end, arg_max(gt_id, (n, -gt_id)) AS gt_id, round(max(n) / sum(n), 6) AS purity FROM n GROUP BY 1, 2, 3, 4, 5""", ("inzone", "pairs"))
 def j_visit_purity(spark, d):
     o = V.observations(spark, d)
     m = M.matched_boxes(V.truth_boxes(spark, d), V.pred_boxes(spark, d))

@@ -25,7 +25,13 @@ def udf_track_two_stage(spark, d):
     return T.track_boxes(V.detections(spark, d), max_age=5, min_hits=2, high=0.5, low=0.1).drop("x0", "y0", "x1", "y1")
 
 
-@C.add("op_nms")
+@C.add("op_nms", """
+, r AS (SELECT *, row_number() OVER (PARTITION BY camera_id, frame_index, class_name ORDER BY score DESC, det_id) AS k, struct_pack(det_id, score, x0, y0, x1, y1) AS b FROM detections),
+s AS (SELECT camera_id, frame_index, class_name, k, [b] AS kept FROM r WHERE k = 1
+  UNION ALL SELECT r.camera_id, r.frame_index, r.class_name, r.k, CASE WHEN len(list_filter(kept, lambda a: greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0e0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0e0) * 15e-1 >= 5e-1 * ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0)))) = 0 THEN list_append(kept, b) ELSE kept END
+  FROM s JOIN r ON r.camera_id = s.camera_id AND r.frame_index = s.frame_index AND r.class_name = s.class_name AND r.k = s.k + 1),
+f AS (SELECT camera_id, frame_index, class_name, unnest(arg_max(kept, k)) AS b FROM s GROUP BY 1, 2, 3)
+SELECT b.det_id AS det_id, camera_id, frame_index, class_name, b.score AS score FROM f""", ("detections",))
 def op_nms(spark, d):
     return T.suppress(V.detections(spark, d), 0.5).select("det_id", "camera_id", "frame_index", "class_name", "score")
 
@@ -126,7 +132,11 @@ def j_ending_classify(spark, d):
     return T.endings(o, o, max_gap=5)
 
 
-@C.add("agg_track_endings")
+@C.add("agg_track_endings", """
+, l AS (SELECT camera_id, track_id, max(frame_index) AS f, arg_max((x0 + x1) / 2, frame_index) AS u, arg_max(y1, frame_index) AS v FROM observations GROUP BY 1, 2), e AS (SELECT camera_id, max(frame_index) AS e FROM observations GROUP BY 1),
+n AS (SELECT l.camera_id, l.track_id, min(d.frame_index) AS r FROM l JOIN observations d ON l.camera_id = d.camera_id AND d.track_id <> l.track_id AND d.frame_index > f AND d.frame_index <= f + 5 AND sqrt(((x0 + x1) / 2 - u) ** 2 + (y1 - v) ** 2) <= 60 * (d.frame_index - f) GROUP BY 1, 2),
+w AS (SELECT l.camera_id, f, CASE WHEN r IS NOT NULL THEN 'lost' ELSE 'gone' END AS why, r FROM l JOIN e ON l.camera_id = e.camera_id LEFT JOIN n ON n.camera_id = l.camera_id AND n.track_id = l.track_id WHERE f <= e - 5)
+SELECT camera_id, why, count(*) AS n, median(r - f) AS gap_p50 FROM w GROUP BY 1, 2""", ("observations",))
 def agg_track_endings(spark, d):
     o = V.observations(spark, d)
     return T.endings(o, o, max_gap=5).where("why <> 'censored'").groupBy("camera_id", "why").agg(F.count("*").alias("n"), F.percentile(F.col("recovered_at") - F.col("last_frame"), 0.5).alias("gap_p50"))
