@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislewatch.llm.common import components, cut, staged, table
+from aislewatch.llm.common import components, cut, spread_join, staged, table
 
 TILE = 1024
 BLOCK = 8192
+MOST_LEVELS = 12  # of splits: 4,096 blocks, or larger ones
+SAMPLE = 20_000  # vectors that the splits are fitted to
 SLACK = 1e-4  # what single precision may be off by in the bounds; links are decided in double precision
 
 
@@ -90,27 +92,68 @@ def tile_links(a: Side, b: Side, same: bool, steps: list[int], least: float) ->
                 yield u[hit], v[hit]
 
 
+class Blocks:
+    """Where vectors go: a tree of splits along leading principal axes, fitted to a bounded sample. Any tree keeps the comparison exact."""
+
+    def __init__(self, sample: np.ndarray, levels: int):
+        self.levels = levels
+        self.axis, self.at = np.zeros((1 << levels) - 1, np.int64), np.zeros((1 << levels) - 1)
+        inside = [sample]
+        for node in range(len(self.axis)):
+            x = inside[node]
+            if len(x):
+                self.axis[node] = int(np.argmax(x.std(axis=0)))
+                self.at[node] = float(np.median(x[:, self.axis[node]]))
+            over = x[:, self.axis[node]] > self.at[node]
+            inside += [x[~over], x[over]]
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        for _ in range(self.levels):
+            node = 2 * node + 1 + (x[np.arange(len(x)), self.axis[node]] > self.at[node])
+        return node - len(self.axis)
+
+
+def near_leaves(lo: np.ndarray, hi: np.ndarray, rest: np.ndarray, least: float) -> list[np.ndarray]:
+    """For each leaf the leaves from itself on that hold vectors whose product with one of its own can reach ``least``."""
+    out = []
+    for i in range(len(lo)):
+        most = np.maximum(np.maximum(lo[i] * lo[i:], lo[i] * hi[i:]), np.maximum(hi[i] * lo[i:], hi[i] * hi[i:])).sum(axis=1) + rest[i] * rest[i:]
+        out.append(i + np.flatnonzero(most >= least - SLACK))
+    return out
+
+
 def _compare(t: pa.Table, axes: np.ndarray, least: float) -> pa.Table:
-    """(vec, n, root) for the vectors of two blocks that have links here: their number, and the smallest id that the links reach."""
+    """(vec, n, root) for the vectors of two blocks that have links here: the copies that they link with, and the smallest id that
+    the links reach."""
     dim = len(axes)
     steps = sorted({max(1, dim // 4), max(1, dim // 2), max(1, 3 * dim // 4), dim})
     side = np.array(t.column("side").to_pylist())
-    ids = [np.frombuffer(x.as_buffer(), np.int64) for x in t.column("ids")]
+    ids, copies = ([np.frombuffer(x.as_buffer(), np.int64) for x in t.column(c)] for c in ("ids", "copies"))
     raw = [np.frombuffer(x.as_buffer(), np.float64).reshape(-1, dim) for x in t.column("data")]
-    pick = lambda s: Side(np.concatenate([ids[k] for k in np.flatnonzero(side == s)]), np.concatenate([raw[k] for k in np.flatnonzero(side == s)]), axes, steps)
+
+    def pick(s: int) -> tuple[Side, np.ndarray]:
+        at = np.flatnonzero(side == s)
+        own, many = np.concatenate([ids[k] for k in at]), np.concatenate([copies[k] for k in at])
+        made = Side(own, np.concatenate([raw[k] for k in at]), axes, steps)
+        order = np.argsort(own, kind="stable")
+        return made, many[order][np.searchsorted(own[order], made.ids)]
+
     same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
     found = {}
     if same or {0, 1} <= set(side):
-        a = pick(0)
-        b = a if same else pick(1)
+        a, many_a = pick(0)
+        b, many_b = (a, many_a) if same else pick(1)
         all_ids = a.ids if same else np.concatenate([a.ids, b.ids])
+        many = many_a if same else np.concatenate([many_a, many_b])
         shift = 0 if same else len(a.ids)
         n = np.zeros(len(all_ids), np.int64)
         rank = np.argsort(np.argsort(all_ids, kind="stable"), kind="stable")
         root = rank.copy()
         for x, y in tile_links(a, b, same, steps, least):
             y = y + shift
-            n += np.bincount(x, minlength=len(n)) + np.bincount(y, minlength=len(n))
+            np.add.at(n, x, many[y])
+            np.add.at(n, y, many[x])
             while len(x):  # the smaller rank spreads over these links and what they tie together
                 rx, ry = root[x], root[y]
                 if (rx == ry).all():
@@ -127,62 +170,101 @@ def _compare(t: pa.Table, axes: np.ndarray, least: float) -> pa.Table:
     return pa.table({k: pa.array(found.get(k, np.zeros(0, np.int64)), pa.int64()) for k in ("vec", "n", "root")})
 
 
+def _tiles(classes: DataFrame, dim: int, total: int, least: float) -> DataFrame:
+    """(vec, n, root) of all pairs of blocks of ``classes`` (cid, copies, v of ``dim`` numbers) that can hold a link."""
+    spark = classes.sparkSession
+    axes = principal_axes(classes, dim)
+    shared = spark.sparkContext.broadcast(axes)
+    lead = max(1, dim // 4)
+    levels = max(3, min(MOST_LEVELS, int(np.ceil(np.log2(max(1, total / BLOCK))))))
+    block = max(BLOCK, total >> MOST_LEVELS)
+
+    def turned(x: np.ndarray) -> np.ndarray:
+        return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ shared.value
+
+    rows = classes.where(F.pmod(F.xxhash64("cid", F.lit(13)), F.lit(max(1, total // SAMPLE))) == 0).select("v").toArrow().column("v").combine_chunks()
+    leaf_of = Blocks(((_matrix(rows) / np.linalg.norm(_matrix(rows), axis=1, keepdims=True)) @ axes)[:, :lead] if len(rows) else np.zeros((0, lead)), levels)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = turned(_matrix(batch.column(0)))
+            leaf, rest = leaf_of(x[:, :lead]), np.sqrt(np.maximum(0, 1 - (x[:, :lead] ** 2).sum(axis=1)))
+            out = [(int(k), int((leaf == k).sum()), float(rest[leaf == k].max()), [*x[leaf == k, :lead].min(axis=0)], [*x[leaf == k, :lead].max(axis=0)]) for k in np.unique(leaf)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], names=["leaf", "n", "rest", "lo", "hi"])
+
+    seen = classes.select("v").mapInArrow(measure, "leaf int, n long, rest double, lo array<double>, hi array<double>")
+    side = [f(F.col(c)[k]).alias(f"{c}{k}") for c, f in (("lo", F.min), ("hi", F.max)) for k in range(lead)]
+    boxes = {r.leaf: r for r in seen.groupBy("leaf").agg(F.sum("n").alias("n"), F.max("rest").alias("rest"), *side).collect()}  # 4,096 leaves at most
+    names = sorted(boxes)
+    table = lambda c: np.array([[boxes[k][f"{c}{j}"] for j in range(lead)] for k in names])
+    near = near_leaves(table("lo"), table("hi"), np.array([boxes[k].rest for k in names]), least)
+    parts = np.array([max(1, -(-boxes[k].n // (2 * block))) for k in names])  # a leaf of too many vectors is several blocks
+    number, start = {k: i for i, k in enumerate(names)}, np.cumsum(parts) - parts
+    with_leaf: list[list[int]] = [[] for _ in names]
+    for i, js in enumerate(near):
+        for j in js.tolist():
+            with_leaf[i].append(j)
+            if j != i:
+                with_leaf[j].append(i)
+    plan = spark.sparkContext.broadcast((number, start, parts, with_leaf))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, start, parts, with_leaf = plan.value
+        for batch in batches:
+            ids, copies, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
+            leaf = np.array([number[k] for k in leaf_of(turned(x)[:, :lead]).tolist()])
+            h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            own = start[leaf] + h % parts[leaf]
+            out = []
+            for k in np.unique(own):
+                at = own == k
+                packed = ids[at].tobytes(), copies[at].tobytes(), x[at].tobytes()
+                for other in with_leaf[leaf[at][0]]:
+                    out += [(min(k, o), max(k, o), int(k > o), *packed) for o in range(start[other], start[other] + parts[other])]
+            yield pa.RecordBatch.from_arrays([pa.array([int(r[c]) for r in out], pa.int32()) for c in range(3)] + [pa.array([r[c] for r in out], pa.binary()) for c in (3, 4, 5)], names=["i", "j", "side", "ids", "copies", "data"])
+
+    tasks = classes.select("cid", "copies", "v").mapInArrow(deal, "i int, j int, side int, ids binary, copies binary, data binary")
+    return tasks.groupBy("i", "j").applyInArrow(lambda t: _compare(t, shared.value, least), "vec long, n long, root long")
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per vector id: ``id_col``, n_links, component_id, kept.
 
-    Vectors are rotated to principal axes and dealt to blocks along the first one (ties by a hash of the id). Each pair
-    of blocks is a task of equal size, whatever the groups of copies: products of the leading quarter of the axes
-    first, plus the product of the suffix norms as the bound of the rest; what can't reach ``least`` stops there, then
+    Equal vectors are one class with its number of copies. Classes are rotated to principal axes and dealt to blocks by a tree of
+    splits along the leading ones. Pairs of blocks whose boxes (in the leading quarter of the axes, with the largest suffix norm)
+    can't hold a link are left out before anything is shuffled; each other pair is a task of bounded size: products of the leading quarter of the
+    axes first, plus the product of the suffix norms as the bound of the rest; what can't reach ``least`` stops there, then
     after half and three quarters. Links are decided by the cosine in double precision. A task returns at most one row
-    for each of its vectors, never pairs.
+    for each of its classes, never pairs.
 
-    Vectors that are null, empty, zero, of another length than the most usual one, or hold null or non-finite
-    components link with nothing. Rows that repeat an id are one vector (the smallest by its components, a usable one
-    if there is any). Null ids are left out. Empty tables give an empty result; other columns are ignored.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different
+    lengths don't link (each length, of which there are few, is compared on its own). Rows that repeat an id are one
+    vector (the smallest by its components, a usable one if there is any). Null ids are left out. Empty tables give an
+    empty result; other columns, whatever their names, are ignored.
     """
-    spark = vectors.sparkSession
     v = F.col(vec_col).cast("array<double>")
     usable = F.coalesce(F.size(v) > 0, F.lit(False)) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.when(usable, v).alias("v"))
-    rows = staged(rows.groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    lengths = rows.where("v is not null").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        rows = rows.groupBy("id").agg(F.min("v").alias("v"))
+    rows = staged(rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(7))}), "vectors")
+    classes = staged(rows.where("v is not null").groupBy("h1", "h2").agg(F.min("id").alias("cid"), F.count("*").alias("copies"), F.first("v").alias("v")), "classes")
+    lengths = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()
+    none = F.lit(0).cast("long")
     if not lengths:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dim, total = lengths[0].d, lengths[0].n
-    good = rows.where(F.size("v") == dim)
-    axes = principal_axes(good, dim)
-    shared = spark.sparkContext.broadcast(axes)
-    n_blocks = max(8, -(-total // BLOCK))
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array((x @ shared.value[:, 0]) / np.linalg.norm(x, axis=1))], names=["p"])
-
-    marks = good.mapInArrow(first, "p double").agg(F.percentile_approx("p", F.array(*[F.lit(k / n_blocks) for k in range(1, n_blocks)]), 100 * n_blocks)).first()[0]
-    edges_of = np.sort(np.array(marks, np.float64))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            p = (x @ shared.value[:, 0]) / np.linalg.norm(x, axis=1)
-            lo, hi = np.searchsorted(edges_of, p, "left"), np.searchsorted(edges_of, p, "right")
-            h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            block = lo + h % (hi - lo + 1)  # one coordinate may fill several blocks
-            out = []
-            for k in np.unique(block):
-                at = block == k
-                packed = ids[at].tobytes(), x[at].tobytes()
-                out += [(min(k, o), max(k, o), int(k > o), *packed) for o in range(n_blocks)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(r[c]) for r in out], pa.int32()) for c in range(3)] + [pa.array([r[c] for r in out], pa.binary()) for c in (3, 4)], names=["i", "j", "side", "ids", "data"])
-
-    tasks = good.mapInArrow(deal, "i int, j int, side int, ids binary, data binary")
-    found = cut(tasks.groupBy("i", "j").applyInArrow(lambda t: _compare(t, shared.value, least), "vec long, n long, root long"))
+        return rows.select(F.col("id").alias(id_col), none.alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    found: DataFrame | None = None
+    for r in sorted(lengths):
+        part = _tiles(classes.where(F.size("v") == r.d), r.d, r.n, least)
+        found = part if found is None else found.unionByName(part)
+    found = cut(found)
     comps = components(found.where("vec <> root").select(F.col("vec").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("vec").agg(F.sum("n").alias("n_links"))
-    out = rows.select("id").join(counts.withColumnRenamed("vec", "id"), "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    counts = found.groupBy("vec").agg(F.sum("n").alias("n"))
+    known = classes.select("h1", "h2", "cid", "copies").join(counts.withColumnRenamed("vec", "cid"), "cid", "left").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
+    known = known.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
+    out = spread_join(rows.select("id", "h1", "h2", F.col("v").isNotNull().alias("_ok")), known, ["h1", "h2"], ["id"], "left")
+    links, component = F.when(F.col("_ok"), F.col("n_links")), F.coalesce(F.when(F.col("_ok"), F.col("component")), F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.coalesce(links, none).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
 
 
 def op1_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
