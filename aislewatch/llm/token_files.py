@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,18 @@ def _encoder(path: str) -> tuple:
     return _WORKER[path]
 
 
+def chunkable(path: str) -> bool:
+    """Whether a tokenizer may encode a text's chunks between white space on their own: it has to lower-case, take white space out
+    when it splits, part letters from other characters before it merges, and add nothing around a text."""
+    spec = json.loads(Path(path).read_text())
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = [s.get("type") for s in norm.get("normalizers", [norm])]
+    first = pre.get("pretokenizers", [pre])[0]
+    pattern = (first.get("pattern") or {}).get("Regex", "")
+    removes = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
+    return set(steps) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in steps and removes and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and not spec.get("post_processor")
+
+
 def _encode_chunks(tok, chunks: list[str]) -> dict[str, bytes]:
     """The ids of each chunk. An added token, on whose two sides the tokenizer works apart, fences chunks off in one text."""
     mark = "<|startoftext|>"
@@ -89,7 +103,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, by_chunk: bo
             a = b
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, end: int = 2, by_chunk: bool = True, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000, id_col: str = "doc_id") -> None:
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, end: int = 2, by_chunk: bool | None = None, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000, id_col: str = "doc_id") -> None:
     """Writes (``id_col``, n_tokens, ids, part) as Parquet under ``out``, ids list<int32>, files and rows in ascending id order.
 
     Texts, not ids, are shuffled, by ranges of the id; each range becomes a file. ``encoding``: "dictionary", or
@@ -97,8 +111,13 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end: int = 2, by_chu
     ``page_bytes`` and ``page_rows`` at most; page indexes are written, so that a read of some ids or of the
     metadata columns alone opens those pages only.
 
-    Null texts are written as empty (the end id alone). Repeated ids stay, next to each other. A null id comes first.
+    ``by_chunk``: encode the distinct chunks between white space once each; unset, where :func:`chunkable` says that this
+    gives the ids of whole texts.
+
+    Null texts are written as empty (the end id alone). Texts of any length are encoded whole. Repeated ids stay, next to
+    each other, in one file. A null id comes first. An empty table gives no rows; other columns, whatever their names, are ignored.
     """
+    by_chunk = chunkable(tokenizer) if by_chunk is None else by_chunk
     slim = docs.select(F.col(id_col).alias("_id"), F.col("text").alias("_text"))
     ordered = slim.repartitionByRange("_id").sortWithinPartitions("_id")
     kind = slim.schema["_id"].dataType.simpleString()
@@ -107,9 +126,34 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end: int = 2, by_chu
     writer.option("compression", "zstd").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows).option("parquet.enable.dictionary", str(encoding == "dictionary").lower()).option("parquet.writer.version", "v2" if encoding == "delta" else "v1").parquet(out)
 
 
-def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """(``id_col``, part, n_tokens, ids) of the files; select or filter columns to read only their pages."""
-    return spark.read.parquet(path)
+def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", first: int | None = None, last: int | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """(``id_col``, part, n_tokens, ids) of the files, or some ``columns``, of documents from ``first`` to ``last`` (ids, both included).
+
+    Only the chosen columns' pages are opened; because rows are in the order of ids, the bounds leave row groups shut by their
+    statistics and pages by the page index. Rows with a null id belong to no range.
+    """
+    rows = spark.read.parquet(path)
+    if first is not None:
+        rows = rows.where(F.col(id_col) >= F.lit(first))
+    if last is not None:
+        rows = rows.where(F.col(id_col) <= F.lit(last))
+    return rows.select(*columns) if columns else rows
+
+
+def read_span(spark: SparkSession, path: str, start: int, stop: int, id_col: str = "doc_id") -> DataFrame:
+    """(``id_col``, at, ids): the tokens from position ``start`` to before ``stop`` of all files' tokens in order, a row for each document that
+    has some of them; ``at`` is the position of the first.
+
+    Positions come from the metadata columns alone; ids are read of the documents between the first and the last that have a part of the span.
+    """
+    meta = read_tokens(spark, path, id_col, columns=(id_col, "part", "n_tokens"))
+    where = token_starts(meta, meta, id_col).where((F.col("start") < stop) & (F.col("start") + F.col("n_tokens") > start)).select(id_col, "part", "n_tokens", "start")
+    ends = where.agg(F.min(id_col), F.max(id_col)).first()
+    rows = read_tokens(spark, path, id_col, *ends) if ends[0] is not None else read_tokens(spark, path, id_col).limit(0)
+    j = rows.join(where.drop("n_tokens"), [id_col, "part"])
+    lo = F.greatest(F.lit(start) - F.col("start"), F.lit(0)).cast("int")
+    hi = F.least(F.lit(stop) - F.col("start"), F.col("n_tokens")).cast("int")
+    return j.select(id_col, (F.col("start") + lo).alias("at"), F.slice("ids", lo + 1, hi - lo).alias("ids"))
 
 
 def token_starts(rows: DataFrame, meta: DataFrame, id_col: str = "doc_id") -> DataFrame:
