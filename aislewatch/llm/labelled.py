@@ -20,7 +20,12 @@ def class_sample(rows: DataFrame, id_col: str, label: str, bound: int) -> DataFr
     return rows.where(keep)
 
 
+def known_labels(labels: DataFrame, label: str, held_mod: int = 5, held: int = 0) -> DataFrame:
+    """doc_id, label outside the held-out part; a document's largest label counts."""
+    return labels.where(remainder("doc_id", held_mod) != held).groupBy("doc_id").agg(F.max(label).alias("label")).where("label is not null")
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int, held_mod: int = 5, held: int = 0) -> DataFrame:
     """doc_id, text, label of a bounded sample of the labelled rows outside the held-out part; a document's largest label counts."""
-    known = labels.where(remainder("doc_id", held_mod) != held).groupBy("doc_id").agg(F.max(label).alias("label")).where("label is not null")
+    known = known_labels(labels, label, held_mod, held)
     return docs.select("doc_id", "text").join(F.broadcast(class_sample(known, "doc_id", "label", bound)), "doc_id")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aislewatch.llm.common import filter_texts, table
-from aislewatch.llm.labelled import labelled_texts, remainder
+from aislewatch.llm.labelled import known_labels, labelled_texts, remainder
 from aislewatch.llm.memo import Memo, worker_memo
-from aislewatch.llm.words import SPACE, Words, text_pieces
+from aislewatch.llm.words import LOWER, SPACE, Words, text_pieces
 
 SPAN, DECAY, LONGEST = 6, 0.6, 20
 SYMBOLS = 64
@@ -96,7 +98,7 @@ class KernelSVM:
             out.append((k / norms(ids, w)[:, None]) @ self.root)
         return np.concatenate(out) if out else np.zeros((0, self.root.shape[1]))
 
-    def train(self, x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.2) -> None:
         """Squared hinge loss by Newton's method; ``y`` is -1 or 1."""
         x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
         w = np.zeros(x1.shape[1])
@@ -133,60 +135,113 @@ def spelt_out(w: Words, row: int) -> list[bytes]:
 
 
 SENTENCE = re.compile(rb"[.!?\n]+")
+NONE = -3.0  # the value of a window that isn't there
+BALANCE = 1.0  # what a window of toxic texts weighs against one of clean texts
 
 
 class ToxicModel:
-    def __init__(self, svm: KernelSVM, slope: float, shift: float):
-        self.svm, self.slope, self.shift = svm, slope, shift
+    """``svm`` values windows of sentences; ``weights`` (of a text's two highest values, the logarithm of its number of
+    windows, and a constant) and ``alone`` (a value beyond which one window is enough) make a text's probability of them."""
 
+    def __init__(self, svm: KernelSVM, weights: np.ndarray, alone: float):
+        self.svm, self.weights, self.alone = svm, weights, alone
 
-def fit_toxicity(rows: list[tuple[str | None, int]], landmarks: int = 160, negatives: int = 12_000) -> ToxicModel | None:
-    """Multiple-instance training on the sentences of labelled texts.
+    def probability(self, two: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.maximum(_inputs(two, windows) @ self.weights, 8 * (two[:, 0] - self.alone)), -30, 30)))
 
-    The sentences of clean texts are clean; of a toxic text at least one sentence holds an insult, the one whose
-    word has the largest value. It starts from words that come in toxic texts only, each also with a character
-    inserted, which is how insults are disguised; each round trains the machine and
-    picks each toxic text's word anew. A logistic curve then maps a text's largest value to its probability.
-    """
-    rows = [(t.lower().encode(), y) for t, y in rows if t]
-    y = np.array([k for _, k in rows])
-    if not len(rows) or y.min() == y.max():
-        return None
-    bags = [sorted({w.strip(EDGE) for s in SENTENCE.split(t) for w in s.split()} - {b""}) for t, _ in rows]
+
+def _inputs(two: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.clip(two, -1.5, 1.5), np.log(windows + 1.0), np.ones(len(two))])
+
+
+def sentence_bags(text: str) -> list[list[bytes]]:
+    """The windows (words without punctuation around them) of each sentence, lower-cased as in scoring: A-Z only."""
+    low = text.encode().translate(LOWER.tobytes())
+    return [[x for w in s.split() if (x := w.strip(EDGE))] for s in SENTENCE.split(low)]
+
+
+def _two(values: list[float]) -> list[float]:
+    return sorted([*values, NONE, NONE], reverse=True)[:2]
+
+
+def _train_svm(docs: list[list[list[bytes]]], y: np.ndarray, landmarks: int, negatives: int, seed: int) -> KernelSVM:
+    """Multiple-instance training: all windows of clean texts' sentences are clean; of a toxic text the sentence with the
+    largest value holds an insult. It starts from windows that come in toxic texts only, each also with a character
+    inserted, which is how insults are disguised; each round trains the machine, picks each toxic text's window anew
+    and adds clean windows that were valued too highly."""
+    bags = [sorted({w for s in d for w in s}) for d in docs]
     toxic, clean = Counter(w for b, k in zip(bags, y, strict=True) if k for w in b), Counter(w for b, k in zip(bags, y, strict=True) if not k for w in b)
     odds = {w: n for w, n in toxic.items() if n >= 3 and n > 20 * clean[w] and len(w) >= 3}
     seeds = sorted(odds, key=lambda w: (-odds[w], w))[: landmarks * 3 // 4]
-    draw = np.random.default_rng(7)
+    draw = np.random.default_rng(seed)
     common = sorted(clean, key=lambda w: (-clean[w], w))
     rare = [common[i] for i in sorted(draw.choice(len(common), min(len(common), negatives), replace=False))]
     against = list(dict.fromkeys(common[:2000] + rare))
     if not seeds:
         seeds = sorted(toxic, key=lambda w: (clean[w] - toxic[w], w))[:8]
     other = [w for w in against if len(w) >= 3]
-    svm = KernelSVM(seeds + [other[i] for i in sorted(draw.choice(len(other), min(len(other), landmarks - len(seeds)), replace=False))])
-    at = [int(draw.integers(1, max(2, len(w)))) for w in seeds for _ in range(3)]
-    disguised = [w[:k] + bytes([draw.choice(list(b"aeiox1"))]) + w[k:] for w, k in zip([w for w in seeds for _ in range(3)], at, strict=True) if len(w) >= 5]
+    svm = KernelSVM(seeds + [other[i] for i in sorted(draw.choice(len(other), max(0, min(len(other), landmarks - len(seeds))), replace=False))])
+    insert = lambda w, k: w[:k] + bytes([draw.choice(list(b"aeiox1_"))]) + w[k:]
+    disguised = {insert(w, k): toxic[w] / 2 for w in seeds if len(w) >= 4 for k in range(1, len(w))}
     positive = sorted({*seeds, *disguised})
+    every = sorted({w for b in bags for w in b})
     for _ in range(3):
         x = svm.features([pieces(w)[0] for w in positive + against])
         label = np.concatenate([np.ones(len(positive)), -np.ones(len(against))])
-        often = np.array([1 + 0.2 * min(toxic[w], 50) for w in positive] + [1 + 0.05 * min(clean[w], 100) for w in against])
-        svm.train(x, label, np.where(label > 0, max(1.0, 2000 / len(positive)), 1.0) * often)
-        every = sorted({w for b in bags for w in b})
+        # each window counts as often as texts of its class have it, disguised ones half as often as the window that they hide
+        svm.train(x, label, np.array([BALANCE * max(toxic[w], disguised.get(w, 1.0)) for w in positive] + [1.0 + min(clean[w], 200) for w in against]))
         value = dict(zip(every, svm.words(every)[:, 0], strict=True))
         top = [max(b, key=lambda w: (value[w], w), default=b"") for b in bags]
-        best = np.array([value.get(w, -3.0) for w in top])
         positive = sorted({w for w, k in zip(top, y, strict=True) if k and w and value[w] > -0.3} | {*seeds, *disguised})
         hard = sorted(w for w in clean if value[w] > -0.7 and not odds.get(w))
         against = list(dict.fromkeys(against + hard))
-    # slope and shift of the logistic curve, by Newton's method on both classes' equal weight
-    w, c = np.array([1.0, 0.0]), np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    x = np.stack([best, np.ones(len(best))], axis=1)
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w - np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (c * (p - y)) + 1e-2 * (w - np.array([1.0, 0.0])))
     svm.phi = svm.root = svm.column = None  # training alone needs them
-    return ToxicModel(svm, float(w[0]), float(w[1]))
+    return svm
+
+
+def _values(svm: KernelSVM, docs: list[list[list[bytes]]]) -> np.ndarray:
+    """The two highest values among the windows of each text."""
+    every = sorted({w for d in docs for s in d for w in s})
+    value = dict(zip(every, svm.words(every)[:, 0], strict=True))
+    return np.array([_two([value[w] for s in d for w in s]) for d in docs])
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w - np.linalg.solve((x * (cost * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (cost * (p - y)) + 0.1 * w)
+    return w
+
+
+def fit_toxicity(rows: list[tuple[str | None, int]], landmarks: int = 160, negatives: int = 12_000, clean_weight: float = 1.0) -> ToxicModel | None:
+    """A machine trained on the sentences of labelled texts (text, 0 or 1); None if one class only is given. Each clean
+    text stands for ``clean_weight`` ones.
+
+    The curve from a text's two highest values to its probability is fitted to values that machines trained on the
+    other half of the texts give; its middle is where these predictions have the best F1. One window alone is enough
+    where its value is over that of all clean training texts'.
+    """
+    rows = [(t, k) for t, k in rows if t]
+    y = np.array([k for _, k in rows], np.int64)
+    if not len(rows) or y.min() == y.max():
+        return None
+    docs = [sentence_bags(t) for t, _ in rows]
+    half = np.array([zlib.crc32(t.encode()) & 1 for t, _ in rows])
+    svm = _train_svm(docs, y, landmarks, negatives, 7)
+    two = _values(svm, docs)
+    if all(np.unique(y[half == k]).size == 2 and (y[half == k] == 1).sum() >= 10 for k in (0, 1)):
+        for k in (0, 1):
+            other = _train_svm([d for d, h in zip(docs, half, strict=True) if h != k], y[half != k], landmarks, negatives, 8 + k)
+            two[half == k] = _values(other, [d for d, h in zip(docs, half, strict=True) if h == k])
+    x, cost = _inputs(two, np.array([sum(map(len, d)) for d in docs])), np.where(y > 0, 1.0, clean_weight)
+    weights = _logistic(x, y, cost)
+    logit = x @ weights
+    order = np.argsort(-logit, kind="stable")
+    f1 = 2 * np.cumsum(y[order]) / (np.cumsum(cost[order]) + y.sum())
+    best = int(np.argmax(f1))
+    weights[3] -= (logit[order[best]] + logit[order[min(best + 1, len(y) - 1)]]) / 2
+    return ToxicModel(svm, weights, float(two[y == 0, 0].max()) + 0.1)
 
 
 def score_texts(texts: pa.Array, model: ToxicModel) -> np.ndarray:
@@ -195,16 +250,21 @@ def score_texts(texts: pa.Array, model: ToxicModel) -> np.ndarray:
     out = np.zeros(len(texts))
     for a, b, buf, off in text_pieces(texts):
         w = Words(buf, off, SPACE)
-        best = np.full(b - a, -3.0)
+        two = np.full((b - a, 2), NONE)
         if len(w.start):
             rows, which = memo(w, w.hashes())
-            has = w.count > 0
-            best[has] = np.maximum.reduceat(rows[which, 0], w.first[:-1][has])
-            one = np.concatenate([[0], np.cumsum(w.end - w.start == 1)])
-            for k in np.flatnonzero(one[w.first[1:]] - one[w.first[:-1]] >= 4):
+            value, has = rows[which, 0].astype(np.float64), w.count > 0
+            starts = w.first[:-1][has]
+            two[has, 0] = np.maximum.reduceat(value, starts)
+            at = np.flatnonzero(value == two[w.doc, 0])
+            _, one = np.unique(w.doc[at], return_index=True)
+            value[at[one]] = NONE  # one window of the highest value
+            two[has, 1] = np.maximum.reduceat(value, starts)
+            short = np.concatenate([[0], np.cumsum(w.end - w.start == 1)])
+            for k in np.flatnonzero(short[w.first[1:]] - short[w.first[:-1]] >= 4):
                 if runs := spelt_out(w, k):
-                    best[k] = max(best[k], svm.words(runs).max())
-        out[a:b] = np.where(w.count > 0, 1 / (1 + np.exp(-np.clip(model.slope * best + model.shift, -30, 30))), 0.0)
+                    two[k] = _two([*two[k], *svm.words(runs)[:, 0]])
+        out[a:b] = np.where(w.count > 0, model.probability(two, w.count), 0.0)
     return out
 
 
@@ -214,9 +274,12 @@ def _score(batches: Iterator[pa.RecordBatch], model: ToxicModel) -> Iterator[pa.
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel | None, id_col: str = "doc_id") -> DataFrame:
-    """(``id_col``, score) for every row of ``docs``: the probability that its text holds an insult, from the largest
-    value of its words. 0 for null and empty texts, and everywhere where labels of one class only were given.
-    Repeated rows are scored each; other columns are ignored."""
+    """(``id_col``, score) for every row of ``docs``: the probability that its text is toxic, from the two highest values
+    among the windows of its sentences.
+
+    0 for null and empty texts and those without words, and everywhere where labels of one class only were given. Texts
+    of any length are read whole; repeated rows are scored each, alike; of windows with equal values the first counts
+    as the highest. An empty table gives an empty result; other columns, whatever their names, are ignored."""
     slim = docs.select(F.col(id_col).alias("_id"), "text")
     if model is None:
         return slim.select(F.col("_id").alias(id_col), F.lit(0.0).alias("score"))
@@ -233,9 +296,20 @@ def drop_toxic(docs: DataFrame, model: ToxicModel | None, limit: float = 0.5) ->
 
 
 def trained(spark: SparkSession, sf_dir: str, bound: int = 1000) -> ToxicModel | None:
-    """A model of about ``bound`` labelled documents of each class at most, none of them held out."""
-    rows = labelled_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", bound).collect()
-    return fit_toxicity([(r.text, r.label) for r in sorted(rows, key=lambda r: r.doc_id)])
+    """A model of about ``bound`` labelled documents of each class at most, none of them held out. One task trains it, so that a
+    lost executor costs a second try and the driver holds no more than the finished model (about 2 MB)."""
+    labels = table(spark, sf_dir, "labels")
+    rows = labelled_texts(table(spark, sf_dir, "documents"), labels, "toxic", bound).select("doc_id", "text", F.col("label").cast("long").alias("label"))
+    clean = known_labels(labels, "toxic").where("label = 0").count()
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (r[0], r[1] or ""))
+        stands = clean / max(1, sum(label == 0 for _, _, label in got))
+        model = fit_toxicity([(text, label) for _, text, label in got], clean_weight=max(1.0, stands))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = rows.where("doc_id is not null").repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(made[0].model) if made else None
 
 
 def op5_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
