@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislewatch.llm.common import cut, number_rows, table
+from aislewatch.llm.common import cut, number_rows, spread_join, table
 
 FINE = 256
 
 
-def _propagate(linked: DataFrame, n_shards: int, capacity: int, rounds: int) -> DataFrame:
+def _propagate(linked: DataFrame, n_shards: int, capacity: int) -> DataFrame:
     """(_seq, shard) of the linked documents that found a place.
 
     ``linked`` has _seq, _g (group) and shard (first label). In a round each group prefers, among the shards that are
     open, the one that most of its members carry (ties: the smallest). Members that carry it settle, the others ask to
     move there. A shard takes requests, largest groups first, up to the capacity that settled documents leave; whole
     groups go by a hash of the group, groups of over 1/64 of the capacity member by member. A shard that turned
-    requests away is closed. What the driver sees of a round is a histogram of bounded size: shards x size classes
-    x ``FINE`` hash steps.
+    requests away is closed, and a round that closes none settles all that asked, so the rounds are n_shards + 2 at most;
+    those that find every shard closed have no place as a group. What the driver sees of a round is a histogram of
+    bounded size: shards x size classes x ``FINE`` hash steps. A group's rows are never gathered: counts are summed
+    before the shuffle, and its preference is joined to its rows over several salts.
     """
     state = cut(linked.select("_seq", "_g", "shard", F.lit(False).alias("settled")))
     quota = dict.fromkeys(range(n_shards), capacity)
-    for _ in range(rounds):
+    while True:
         open_ = [s for s, q in quota.items() if q > 0]
         if not open_:
             break
@@ -35,7 +37,7 @@ def _propagate(linked: DataFrame, n_shards: int, capacity: int, rounds: int) ->
         spill = F.element_at(F.array(*map(F.lit, open_)), (F.pmod(F.xxhash64("_g"), F.lit(len(open_))) + 1).cast("int"))
         pref = pref.select("_g", "left", F.coalesce(-F.col("best.to"), spill).cast("int").alias("to"))
         pref = pref.select("_g", "to", F.when(F.col("left") > max(1, capacity // 64), 99).otherwise(F.floor(F.log2("left"))).cast("int").alias("cls"))
-        ask = state.join(pref, "_g", "left")
+        ask = spread_join(state, pref, ["_g"], ["_seq"], "left")
         step = F.pmod(F.when(F.col("cls") == 99, F.xxhash64("_seq", F.lit(7))).otherwise(F.xxhash64("_g", F.lit(7))), F.lit(FINE)).cast("int")
         ask = cut(ask.select("_seq", "_g", "shard", "settled", "to", "cls", F.when(~F.col("settled") & F.col("to").isNotNull(), step).alias("step")))
         demand = ask.where("step is not null").groupBy("to", "cls", "step").agg(F.count("*").alias("n")).collect()
@@ -60,7 +62,7 @@ def _propagate(linked: DataFrame, n_shards: int, capacity: int, rounds: int) ->
     return state.where("settled").select("_seq", "shard")
 
 
-def balanced_shards(docs: DataFrame, n_shards: int = 16, rounds: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def balanced_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shards for all rows of ``docs``: ``id_col``, size, text_crc32, law, shard, slot, grown_shard.
 
     Documents with equal texts are linked. Linked documents move towards the shard of most of their group in rounds
@@ -68,8 +70,9 @@ def balanced_shards(docs: DataFrame, n_shards: int = 16, rounds: int = 24, id_co
     apart whatever the groups' sizes. A group larger than a shard is cut over as few shards as there is room in.
     ``slot`` numbers a shard's rows without gaps. ``grown_shard`` is null: the law ``rows`` places by counts.
 
-    Null texts: size 1, crc 0, linked with empty ones. Repeated rows are rows of their own. A null id is an id like
-    others. An empty table gives an empty result. Extra columns are ignored.
+    Null texts: size 1, crc 0, linked with empty ones. Texts of any length are hashed whole. Repeated rows are rows of
+    their own, and which of them has which slot can't be told; other ties go by content. A null id is an id like
+    others. An empty table gives an empty result. Extra columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_g"))
@@ -77,10 +80,9 @@ def balanced_shards(docs: DataFrame, n_shards: int = 16, rounds: int = 24, id_co
     slim = cut(slim.withColumn("_seq", F.monotonically_increasing_id()))
     total = slim.count()
     cuts = total // n_shards
-    groups = slim.groupBy("_g", "size", "text_crc32").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_g").alias("g2"), F.col("size").alias("s2"), F.col("text_crc32").alias("c2"))
-    same = (F.col("_g") == F.col("g2")) & (F.col("size") == F.col("s2")) & (F.col("text_crc32") == F.col("c2"))
-    linked = slim.join(groups, same, "left_semi").select("_seq", F.xxhash64("_g", "size", "text_crc32").alias("_g"), F.pmod(F.xxhash64("_id"), F.lit(n_shards)).cast("int").alias("shard"))
-    placed = cut(_propagate(linked, n_shards, cuts, rounds))
+    groups = slim.groupBy("_g", "size", "text_crc32").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    linked = spread_join(slim, groups, ["_g", "size", "text_crc32"], ["_seq"], "left_semi").select("_seq", F.xxhash64("_g", "size", "text_crc32").alias("_g"), F.pmod(F.xxhash64("_id"), F.lit(n_shards)).cast("int").alias("shard"))
+    placed = cut(_propagate(linked, n_shards, cuts))
     taken = {r.shard: r.n for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     all_ = cut(slim.drop("_g").join(placed, "_seq", "left"))
     free = number_rows(all_.where("shard is null").drop("shard"), [], ["_id", "size", "text_crc32"], "_k", ["_seq"])
@@ -96,5 +98,12 @@ def balanced_shards(docs: DataFrame, n_shards: int = 16, rounds: int = 24, id_co
         F.col("_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def cut_links(shards: DataFrame) -> DataFrame:
+    """One row on the result of :func:`balanced_shards`: groups (of equal texts), torn (those in several shards) and cut
+    (their documents outside the shard that holds most of the group: links that are cut of a star over the group)."""
+    per = shards.groupBy("text_crc32", "size", "shard").agg(F.count("*").alias("n")).groupBy("text_crc32", "size").agg(F.sum("n").alias("all"), F.max("n").alias("most")).where("all > 1")
+    return per.agg(F.count("*").alias("groups"), F.coalesce(F.sum((F.col("most") < F.col("all")).cast("long")), F.lit(0)).alias("torn"), F.coalesce(F.sum(F.col("all") - F.col("most")), F.lit(0)).alias("cut"))
+
+
 def op9_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(table(spark, sf_dir, "documents"))
