@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -73,6 +74,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """Rounds grow with the logarithm of a chain's length, whatever the order of its ids."""
+    from aislewatch.llm import common
+
+    calls, plain = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: calls.append(1) or plain(df))
+    got = common.components(spark.range(2000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert {r.component for r in got.collect()} == {0} and got.count() == 2001
+    assert len(calls) <= 3 + 3 * 14
+
+
 def test_jaccard_join(spark):
     texts = near_copies(prose(60)) + ODD + ODD[:3]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(clash(frame(spark, texts))).collect()}
@@ -82,6 +94,7 @@ def test_jaccard_join(spark):
 def test_jaccard_join_small_groups(spark, monkeypatch):
     """Groups of three classes: what chunks and opened groups find together is still all."""
     monkeypatch.setattr(jaccard_join, "GROUP", 3)
+    monkeypatch.setattr(jaccard_join, "LEAD_ROWS", 50)  # a leader's tokens in many parts
     base = prose(1, 5)[0].split() * 1 + prose(1, 6)[0].split()
     r = np.random.default_rng(2)
     texts = []
@@ -102,6 +115,10 @@ def test_jaccard_join_empty_and_one_of_each(spark):
     assert kept == {c for _, c in jaccard_brute(texts).values()}
     twice = jaccard_join.one_of_each(docs.unionByName(docs))
     assert sorted(r.doc_id for r in twice.collect()) == sorted(kept) and twice.columns == docs.columns
+    # one id, or none, for several unlike texts: each text is a row of its own; a linked copy goes whatever its id
+    odd = frame(spark, [texts[0], texts[1], texts[2], texts[0], None, ""]).withColumn("doc_id", F.when(F.col("doc_id") < 3, F.lit(4)).when(F.col("doc_id") == 3, 2))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in jaccard_join.one_of_each(clash(odd)).collect())
+    assert got == sorted([(False, 2, texts[0]), (False, 4, texts[1]), (False, 4, texts[2]), (True, 0, ""), (True, 0, "")])
 
 
 def test_embeddings(spark):
@@ -121,6 +138,27 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.where("vec_id >= 100 AND vec_id <> 104")).count() == 6
 
 
+def test_embeddings_in_many_blocks(spark, monkeypatch):
+    """Small blocks, clusters that no split parts, copies, and two lengths."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    r = np.random.default_rng(14)
+    centres = r.standard_normal((6, 12))
+    x = np.concatenate([centres[r.integers(0, 6, 150)] + 0.25 * r.standard_normal((150, 12)), np.repeat(centres[:1], 60, axis=0), r.standard_normal((40, 12))])
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(1000 + i, [float(c) for c in v[:5]]) for i, v in enumerate(x[:50])]
+    got = {y.vec_id: (y.n_links, y.component_id) for y in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for start, part in ((0, x), (1000, x[:50, :5])):
+        u = part / np.linalg.norm(part, axis=1, keepdims=True)
+        link = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+        root = unite(len(u), [tuple(p) for p in np.argwhere(link)])
+        assert {i: got[start + i] for i in range(len(u))} == {i: (int(link[i].sum()), start + root[i]) for i in range(len(u))}
+
+
+def test_far_blocks_are_left_out():
+    lo, hi = np.array([[0.9, -0.1], [-1.0, -0.1], [0.8, 0.0]]), np.array([[1.0, 0.1], [-0.9, 0.1], [0.9, 0.2]])
+    near = embedding_dedup.near_leaves(lo, hi, np.array([0.1, 0.1, 0.3]), 0.9)
+    assert [n.tolist() for n in near] == [[0, 2], [1], [2]]
+
+
 def test_tile_bounds_lose_nothing():
     """Vectors around the threshold and a hot group, over several tiles."""
     r = np.random.default_rng(8)
@@ -154,11 +192,13 @@ def test_decontamination(spark):
                     hit |= set(range(a, a + m))
                     found.add(str(k))
         want[i] = (len(w), len(hit), sorted(found))
-    for size in (1 << 20, 40):  # one slice, and many
-        got = {r.doc_id: (r.n_words, r.n_hit, list(r.items)) for r in decontamination.find_benchmark(clash(frame(spark, docs)), bench, slice_bytes=size).collect()}
+    for size in (1 << 20, 8):  # one slice, and many
+        got = {r.doc_id: (r.n_words, r.n_hit, list(r.items)) for r in decontamination.find_benchmark(clash(frame(spark, docs)), bench, slice_words=size).collect()}
         assert got == want
-    kept = {r.doc_id for r in decontamination.drop_contaminated(clash(frame(spark, docs)), bench).collect()}
-    assert kept == {i for i, (_, n, _) in want.items() if not n}
+        dropped = decontamination.drop_contaminated(clash(frame(spark, docs)), bench, slice_words=size)
+        assert {r.doc_id for r in dropped.collect()} == {i for i, (_, n, _) in want.items() if not n} and dropped.columns == clash(frame(spark, docs)).columns
+    twice = frame(spark, docs[:3]).unionByName(frame(spark, docs[:3]))
+    assert sorted((r.doc_id, r.n_hit) for r in decontamination.find_benchmark(twice, bench, slice_words=8).collect()) == sorted((i, want[i][1]) for i in (0, 0, 1, 1, 2, 2))
     assert decontamination.find_benchmark(frame(spark, docs), bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontamination.find_benchmark(frame(spark, []), bench).count() == 0
 
@@ -167,7 +207,7 @@ def test_benchmark_items_without_an_id(spark):
     docs = frame(spark, ["one two three four five six", "other words of its own"])
     bench = spark.createDataFrame([(None, "two three four"), (None, "not to be found"), (7, "five six")], "item_id long, text string")
     for size in (1 << 20, 1):
-        got = sorted((r.n_words, r.n_hit, list(r.items)) for r in decontamination.find_benchmark(docs, bench, slice_bytes=size).collect())
+        got = sorted((r.n_words, r.n_hit, list(r.items)) for r in decontamination.find_benchmark(docs, bench, slice_words=size).collect())
         assert got == [(5, 0, []), (6, 5, ["7"])]
         left = decontamination.drop_contaminated(docs, bench.where("item_id IS NULL"))
         assert [r.text for r in left.collect()] == ["other words of its own"]
@@ -200,6 +240,35 @@ def test_token_files(spark, tmp_path, encoding):
     assert ("DELTA_BINARY_PACKED" if encoding == "delta" else "RLE_DICTIONARY") in str(chunk.encodings).replace("PLAIN_DICTIONARY", "RLE_DICTIONARY")
 
 
+def scanned(df):
+    """The rows that the scan of an executed plan gave on."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") and plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    leaf = plan.collectLeaves().apply(0)
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_token_files_are_read_in_parts(spark, tmp_path, encoding):
+    """A range of ids opens its pages only, and a span of positions has the tokens that lie there."""
+    import public_tokenizers
+
+    texts = [f"word {i} of many words" for i in range(4000)]
+    docs, out = frame(spark, texts), str(tmp_path / encoding)
+    token_files.write_tokens(docs, out, public_tokenizers.path("word_bpe_49k.json"), encoding=encoding, page_rows=50, page_bytes=1 << 10)
+    part = token_files.read_tokens(spark, out, first=1000, last=1009)
+    assert sorted(r.doc_id for r in part.collect()) == list(range(1000, 1010))
+    narrow = token_files.read_tokens(spark, out, first=1000, last=1009, columns=("doc_id", "n_tokens"))
+    rows = narrow._jdf.queryExecution().executedPlan().executeCollect()
+    assert len(rows) == 10 and scanned(narrow) <= 200
+    every = sorted((r.doc_id, list(r.ids)) for r in token_files.read_tokens(spark, out).collect())
+    flat = [t for _, ids in every for t in ids]
+    span = sorted((r["at"], list(r.ids)) for r in token_files.read_span(spark, out, 777, 1234).collect())
+    assert [t for _, ids in span for t in ids] == flat[777:1234] and span[0][0] == 777
+    assert token_files.read_span(spark, out, len(flat), len(flat) + 5).count() == 0
+    assert token_files.chunkable(public_tokenizers.path("word_bpe_49k.json")) and not token_files.chunkable(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_token_files_empty(spark, tmp_path):
     P = pytest.importorskip("public_tokenizers")
     token_files.write_tokens(frame(spark, []), str(tmp_path / "t"), P.path("word_bpe_49k.json"))
@@ -233,9 +302,31 @@ def test_mixing(spark):
         again[r.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
         assert r.n_chars == len(r.text)
     assert again == Counter({r.doc_id: r.taken for r in rows if r.taken})
+    named = docs.withColumns({c: F.lit(f"kept {c}") for c in ("size", "epoch", "_k", "_parts", "_row", "_seq", "shard", "a.b")})
+    kinds = {tuple(r[c] for c in ("size", "epoch", "_k", "_parts", "_row", "_seq", "shard", "a.b")) for r in mixing.mixed_documents(named, block=16).collect()}
+    assert kinds == {tuple(f"kept {c}" for c in ("size", "epoch", "_k", "_parts", "_row", "_seq", "shard", "a.b"))}
     assert mixing.mix_sources(frame(spark, [])).count() == 0 and mixing.mixed_documents(frame(spark, [None, ""])).count() == 0
 
 
+def test_mix_plan(spark):
+    """Every source's draws are each taken once, shards are full, and a shard's counts vary as a draw does, with the right mean."""
+    targets = spark.createDataFrame([(False, "a", 9000, 18000.0), (False, "b", 20000, 9000.5), (True, "", 500, 120.0)], "_nil boolean, _src string, source_size long, target double")
+    rows = mixing.mix_plan(targets, block=10, shard_slots=100).collect()
+    words, seen, per = Counter(), set(), defaultdict(Counter)
+    for r in rows:
+        key = (r._nil, r._src)
+        words[key] += r["take"]
+        assert (key, r.epoch, r.block) not in seen
+        seen.add((key, r.epoch, r.block))
+        per[r.shard][key] += 1
+    assert words == {(False, "a"): 18000, (False, "b"): 9000, (True, ""): 120}
+    assert len({(r.shard, r.slot) for r in rows}) == len(rows) == 1800 + 900 + 12
+    assert [sum(per[s].values()) for s in sorted(per)] == [100] * 27 + [12]
+    of_a = [per[s][False, "a"] for s in range(27)]
+    assert abs(np.mean(of_a) - 100 * 1800 / 2712) < 4 and 2 < np.std(of_a) < 9
+    assert sorted(r.block for r in rows if r._src == "b")[:3] != [0, 1, 2]  # a permutation's first ranks, not the first blocks
+
+
 @pytest.mark.parametrize("copies", [40])
 def test_sharding(spark, copies):
     texts = prose(200, 11) + ["hot text"] * copies + ["pair a", "pair b"] * 2 + ODD
@@ -251,6 +342,9 @@ def test_sharding(spark, copies):
     assert all(sorted(v) == list(range(count[s])) for s, v in slots.items())
     assert len(groups[b"pair a"]) == 1 and len(groups[b"pair b"]) == 1
     assert len(groups[b"hot text"]) <= copies // (len(texts) // 8) + 2
+    report = sharding.cut_links(sharding.balanced_shards(frame(spark, texts), 8)).first()
+    torn = {k: c for k, c in groups.items() if len(c) > 1}
+    assert report.groups == sum(sum(c.values()) > 1 for c in groups.values()) and (report.torn, report.cut) == (len(torn), sum(sum(c.values()) - max(c.values()) for c in torn.values()))
 
 
 def test_sharding_odd(spark):
@@ -296,10 +390,37 @@ def test_language(spark, tmp_path):
     assert {r.lang_pred for r in language.identify_language(docs, none).collect()} == {"und"}
 
 
+def padded(*words):
+    x = np.zeros((len(words), max(map(len, words))), np.int64)
+    for i, w in enumerate(words):
+        x[i, : len(w)] = np.frombuffer(w, np.uint8).astype(np.int64) + 1
+    return x, np.array([len(w) for w in words])
+
+
+def test_gru_labels_every_byte():
+    """The fast run over many windows, and whole texts cut into windows, give what the recurrence gives byte by byte."""
+    m = language.ByteGRU(["a", "b", "c"], seed=9)
+    x, n = padded(b"abc de", b"z", "h\u00e9llo, w 12".encode())
+    slow, fast = np.exp(m._forward(x, n)[0]), m.probabilities(x, n)
+    for i, k in enumerate(n):
+        assert np.allclose(slow[:k, i], fast[:k, :, i], atol=1e-5)
+    text = (" ".join(prose(6, 77))).encode()[:1500] + b"\n"
+    off = np.array([0, 0, 5, len(text)])
+    got = language.text_probabilities(np.frombuffer(text, np.uint8), off, m)
+    assert (got[0] == 0).all() and len(text) > 2 * language.WINDOW
+    for row, (a, b) in enumerate([(0, 5), (5, len(text))], 1):
+        total = np.zeros(3)
+        for start in range(a, b, language.WINDOW):
+            lo, hi, stop = max(a, start - language.CONTEXT), min(b, start + language.WINDOW + language.CONTEXT), min(b, start + language.WINDOW)
+            p = np.exp(m._forward(*padded(text[lo:hi]))[0])[:, 0]
+            total += p[start - lo : stop - lo].sum(axis=0)
+        assert np.allclose(got[row], total / (b - a), atol=1e-4)
+
+
 def test_gru_gradients():
     m = language.ByteGRU(["a", "b"], embed=3, hidden=4)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    x, n = language.pad([b"abc", b"zz", b"hello"])
+    x, n = padded(b"abc", b"zz", b"hello")
     y = np.array([0, 1, 1])
 
     def loss():
@@ -344,7 +465,7 @@ def test_toxicity(spark):
         for _ in range(3):
             w.insert(int(r.integers(len(w) + 1)), str(r.choice(["zuckwort", "jammerlump", "quirrkopf"])))
         rows.append((" ".join(w), 1))
-    model = toxicity.fit_toxicity(rows[:100] + rows[160:220])
+    model = toxicity.fit_toxicity(rows[:100] + rows[160:220], clean_weight=1.5)
     texts = [t for t, _ in rows] + ["plain zuckwort", "so a z-u-c-k-w-o-r-t", "z u c k w o r t", "zuckxwort", "Jammerlump!!", *ODD]
     got = {x.doc_id: x.score for x in toxicity.score_toxicity(clash(frame(spark, texts)), model).collect()}
     assert all(0 <= s <= 1 for s in got.values())
@@ -407,3 +528,52 @@ def test_pipeline_stages(spark, tmp_path):
     rows = P.run(spark, str(sf)).collect()
     n = Counter(r.shard for r in rows)
     assert max(n.values()) - min(n.values()) <= 1 and {r.doc_id for r in rows} <= left
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_queries_that_learn(spark):
+    """Held-out parts, ranges and thresholds of the queries' results, and what they get right of the labels that they haven't seen."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    got = language.op2_byte_gru(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(lang)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
+    judged = [r for r in got if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in judged]) >= 0.97
+    known = {r.doc_id: r for r in labels.collect()}
+    for query, cut, label, least in ((quality.op4_bradley_terry, quality.CUT, "quality", 0.95), (toxicity.op5_subsequence_svm, 0.5, "toxic", 0.93)):
+        got = query(spark, SF).collect()
+        assert sorted(r.doc_id for r in got) == sorted(lang)
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= cut) for r in got)
+        judged = [r for r in got if r.held_out and r.doc_id in known]
+        assert np.mean([r.predicted == known[r.doc_id][label] for r in judged]) >= least
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_query_of_token_files(spark):
+    """Against whole-text encoding of every document."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = sorted(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    at, want = 0, {}
+    for doc_id, text in rows:
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        want[doc_id] = (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.op3_token_files(spark, SF).collect()} == want
+
+
+def test_benchmark_patterns_are_small():
+    """Patterns are arrays over one buffer of words: about a hundred bytes a word, so that a slice of SLICE_WORDS stays under 100 MB."""
+    import pickle
+
+    items = [(str(i), t) for i, t in enumerate(prose(2000, 5, 5000))]
+    words = sum(len(t.split()) for _, t in items)
+    found = decontamination.Searchers(items, 10)
+    shifts = len(found.by_length) * (2 << decontamination.BITS)
+    assert (len(pickle.dumps(found)) - shifts) / words < 120 and decontamination.SLICE_WORDS * 120 <= 100 << 20
