@@ -52,6 +52,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing will read again, wherever it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def content(text: str) -> list[Column]:
     """h1 and h2, which tell texts apart; null is like empty in h2 alone."""
     return [F.xxhash64(text).alias("h1"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("h2")]
