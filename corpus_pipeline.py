@@ -7,31 +7,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from aislewatch.llm import decontamination, jaccard_join, mixing, sharding, toxicity
-from aislewatch.llm.common import shared_dir, table
+from aislewatch.llm.common import remove, shared_dir, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the string-kernel machine doesn't reject."""
+    """Documents that the string-kernel machine doesn't reject. Null and empty texts, and everything where there is nothing to learn
+    from, stay; rows that repeat are judged alike; an empty table stays empty."""
     return toxicity.drop_toxic(docs, toxicity.trained(spark, sf_dir))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of a Jaccard similarity of 0.8 connect, the one with the smallest doc_id."""
+    """Of documents that links of a Jaccard similarity of 0.8 connect, the one with the smallest doc_id (null ids last; of rows with
+    one id, one by its content). Texts without words link with nothing and stay."""
     return jaccard_join.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a ten-word window of a benchmark item."""
+    """Documents without a ten-word window of a benchmark item. Null and empty texts stay; without items all do."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each epoch of the mix that takes words of a document."""
+    """A row for each epoch of the mix that takes words of a document; texts without words are taken by none. Null sources are one
+    source, the last in order."""
     return mixing.mixed_documents(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shards and slots of all rows."""
+    """Shards and slots of all rows, equal texts together where shards have room; rows that repeat are rows of their own."""
     return sharding.balanced_shards(docs)
 
 
@@ -48,9 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. A stage's table is deleted when its successor has been written."""
     docs = table(spark, sf_dir, "documents")
     out = f"{shared_dir(spark)}/aislewatch/pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{name}")
         docs = spark.read.parquet(f"{out}/{name}")
+        if last:
+            remove(spark, last)
+        last = f"{out}/{name}"
     return docs
