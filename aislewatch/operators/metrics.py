@@ -6,6 +6,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,22 +183,47 @@ def id_switches(truth: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFr
     return t.groupBy("camera_id").agg(F.sum("switches").alias("switches"), F.avg("preds").alias("tracks_per_identity"), F.sum(good.cast("int")).alias("mostly_tracked"), F.avg(good.cast("double")).alias("mostly_tracked_frac"))
 
 
-def cmc_map(rows: DataFrame, ranks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+def _ahead(q: pa.Table, g: pa.Table) -> pa.Table:
+    """(q, vec_id, ahead): how many entries of a gallery block come before each match of a block of queries."""
+    out: dict[str, list] = {"q": [], "vec_id": [], "ahead": []}
+    if q.num_rows and g.num_rows:
+        gf, gid, gpid, gcam = np.array(g["f"].to_pylist(), float), g["vec_id"].to_numpy(), g["pid"].to_numpy(), g["camera"].to_numpy()
+        sims = np.round(np.array(q["q_f"].to_pylist(), float) @ gf.T, 9)
+        for row, sim in zip(q.to_pylist(), sims, strict=True):
+            use = (gpid != row["q_pid"]) | (gcam != row["q_cam"])
+            order = np.lexsort((gid[use], -sim[use]))
+            key, ids = -sim[use][order], gid[use][order]
+            for m in row["matches"]:
+                lo, hi = np.searchsorted(key, -m["sim"], "left"), np.searchsorted(key, -m["sim"], "right")
+                out["q"].append(row["q"])
+                out["vec_id"].append(m["vec_id"])
+                out["ahead"].append(int(lo + np.searchsorted(ids[lo:hi], m["vec_id"], "left")))
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+
+def cmc_map(rows: DataFrame, ranks: tuple[int, ...] = (1, 5, 10), block: int = 4096) -> DataFrame:
     """One row: mAP, rank-k rates and queries scored, for ``rows`` of vec_id, pid, camera, query, feat.
 
     The gallery is everything else; entries of the query's own identity and camera and of identity -1 don't count.
-    A stated set of queries is compared with all rows; its size is the caller's.
+    A stated set of queries is compared with all rows, block by block as matrix products: a task says of each match how many
+    entries of its gallery block come before it, so that no query's ranking is ever gathered.
     """
     norm = F.sqrt(F.aggregate("feat", F.lit(0.0), lambda s, x: s + x * x))
     v = rows.withColumn("f", F.transform("feat", lambda x: x / F.greatest(norm, F.lit(1e-12))))
     q = v.where("query").select(F.col("vec_id").alias("q"), F.col("pid").alias("q_pid"), F.col("camera").alias("q_cam"), F.col("f").alias("q_f"))
-    g = v.where("NOT query AND pid <> -1").select("vec_id", "pid", "camera", "f")
-    pairs = q.join(g, (F.col("pid") != F.col("q_pid")) | (F.col("camera") != F.col("q_cam")))
-    sim = F.aggregate(F.zip_with("f", "q_f", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    r = pairs.select("q", "vec_id", (F.col("pid") == F.col("q_pid")).alias("match"), F.round(sim, 9).alias("sim"))
-    w = Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id")
-    r = r.withColumns({"rank": F.row_number().over(w), "hits": F.sum(F.col("match").cast("int")).over(w)}).where("match")
-    per = r.groupBy("q").agg(F.avg(F.col("hits") / F.col("rank")).alias("ap"), F.min("rank").alias("first"))
+    g = v.where("NOT query AND pid <> -1").select("vec_id", F.col("pid").cast("long").alias("pid"), F.col("camera").cast("long").alias("camera"), "f")
+    sim = F.round(F.aggregate(F.zip_with("f", "q_f", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 9)
+    pairs = q.join(g, (F.col("pid") == F.col("q_pid")) & (F.col("camera") != F.col("q_cam"))).select("q", "vec_id", sim.alias("sim"))
+    matches = pairs.withColumn("hits", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id")))
+    per_query = matches.groupBy("q").agg(F.collect_list(F.struct("vec_id", "sim")).alias("matches"))  # an identity's pictures
+    total = g.count()
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("long")
+    g_blocks, q_blocks = max(1, -(-total // block)), max(1, -(-q.count() // block))
+    left = q.join(per_query, "q").withColumn("_q", deal("q", q_blocks)).withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g_blocks - 1).cast("long"))))
+    right = g.withColumn("_g", deal("vec_id", g_blocks)).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
+    ahead = left.groupBy("_q", "_g").cogroup(right.groupBy("_q", "_g")).applyInArrow(_ahead, "q long, vec_id long, ahead long")
+    ranked = ahead.groupBy("q", "vec_id").agg((F.sum("ahead") + 1).alias("rank")).join(matches.select("q", "vec_id", "hits"), ["q", "vec_id"])
+    per = ranked.groupBy("q").agg(F.avg(F.col("hits") / F.col("rank")).alias("ap"), F.min("rank").alias("first"))
     return per.agg(F.avg("ap").alias("map"), F.count("*").alias("queries_scored"), *[F.avg((F.col("first") <= k).cast("double")).alias(f"rank{k}") for k in ranks])
 
 
