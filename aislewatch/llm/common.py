@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,20 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint; for narrow tables that are read more than once."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    release(df.sparkSession)
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files and broadcasts of plans that nothing refers to any more; between the phases of
-    a long job they would stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+_RELEASED = {"at": 0.0}
+
+
+def release(spark: SparkSession, every: float = 4.0) -> None:
+    """Lets Spark drop the shuffle files and broadcasts of plans that nothing refers to any more, and the driver their memory;
+    in a long job they would stay until the driver happens to collect its garbage. Once in ``every`` seconds at most."""
+    if time.monotonic() - _RELEASED["at"] >= every:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _RELEASED["at"] = time.monotonic()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back; for tables with packed or long values."""
     path = f"{shared_dir(df.sparkSession)}/aislewatch/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
