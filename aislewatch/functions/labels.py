@@ -79,18 +79,28 @@ def joint(keypoints: Column, k: int, least: float = 0.3) -> Column:
 TORSO_INSET = 0.15  # fixed value
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; expressions that name a column several times repeat its whole tree."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def torso_region(keypoints: Column, least: float = 0.3) -> Column:
     """struct(x0, y0, x1, y1) from the mean row of the measured shoulders to that of the measured hips, as wide as those
     joints, less TORSO_INSET of the width on each side where both shoulders are measured; null without a shoulder and a
     hip, or without an area."""
-    some = lambda *ks: F.array_compact(F.array(*[joint(keypoints, k, least) for k in ks]))
-    shoulders, hips = some(5, 6), some(11, 12)
+    some = lambda k: F.filter(F.slice(keypoints, k + 1, 2), lambda p: p["conf"] >= least)
     row = lambda ps: F.aggregate(ps, F.lit(0.0), lambda s, p: s + p["y"]) / F.nullif(F.size(ps), F.lit(0))
-    x = F.transform(F.concat(shoulders, hips), lambda p: p["x"])
-    lo, hi = F.array_min(x), F.array_max(x)
-    pad = F.when(F.size(shoulders) == 2, TORSO_INSET * (hi - lo)).otherwise(0.0)
-    sides = {"x0": lo + pad, "y0": row(shoulders), "x1": hi - pad, "y1": row(hips)}
-    return F.when((sides["x1"] > sides["x0"]) & (sides["y1"] > sides["y0"]), F.struct(*[c.alias(n) for n, c in sides.items()]))
+
+    def spans(j: Column) -> Column:
+        x = F.transform(F.concat(j["shoulders"], j["hips"]), lambda p: p["x"])
+        return F.struct(F.array_min(x).alias("lo"), F.array_max(x).alias("hi"), row(j["shoulders"]).alias("y0"), row(j["hips"]).alias("y1"), (F.size(j["shoulders"]) == 2).alias("both"))
+
+    def region(s: Column) -> Column:
+        pad = F.when(s["both"], TORSO_INSET * (s["hi"] - s["lo"])).otherwise(0.0)
+        return F.struct((s["lo"] + pad).alias("x0"), s["y0"].alias("y0"), (s["hi"] - pad).alias("x1"), s["y1"].alias("y1"))
+
+    joints = F.struct(some(5).alias("shoulders"), some(11).alias("hips"))
+    return _let(_let(_let(joints, spans), region), lambda r: F.when((r["x1"] > r["x0"]) & (r["y1"] > r["y0"]), r))
 
 
 def torso(keypoints: Column, least: float = 0.3) -> Column:
@@ -107,18 +117,23 @@ def frame_features(keypoints: Column) -> Column:
     A joint is measured if its confidence is over 0. Direction and length are 0 where a joint isn't measured or the limb has no
     length, and lengths are 0 without a torso of SMALLEST_TORSO pixels.
     """
-    j = {k: F.element_at(keypoints, k + 1) for k in range(17)}
-    at = {k: F.when((p["conf"] > 0) & finite(p["x"], p["y"]), p) for k, p in j.items()}
-    mid = lambda a, b, c: (at[a][c] + at[b][c]) / 2
-    torso_px = F.hypot(mid(11, 12, "x") - mid(5, 6, "x"), mid(11, 12, "y") - mid(5, 6, "y"))
-    scale = F.when(torso_px >= SMALLEST_TORSO, torso_px)
-    out = []
-    for a, b in LIMBS:
-        dx, dy = at[b]["x"] - at[a]["x"], at[b]["y"] - at[a]["y"]
-        n = F.hypot(dx, dy)
-        out += [F.coalesce(v, F.lit(0.0)) for v in (F.when(n > 1e-6, dx / n), F.when(n > 1e-6, dy / n), n / scale)]
-    confidence = [F.coalesce(F.greatest(F.least(p["conf"].cast("double"), F.lit(1.0)), F.lit(0.0)), F.lit(0.0)) for p in j.values()]
-    return F.array(*out, *confidence)
+    limbs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in LIMBS])
+    measured = F.transform(keypoints, lambda p: F.when((p["conf"] > 0) & finite(p["x"], p["y"]), p))
+    some = lambda c: F.coalesce(c, F.lit(0.0))
+
+    def with_scale(at: Column) -> Column:
+        mid = lambda a, b, c: (at[a][c] + at[b][c]) / 2
+        torso_px = F.hypot(mid(11, 12, "x") - mid(5, 6, "x"), mid(11, 12, "y") - mid(5, 6, "y"))
+        return F.struct(at.alias("at"), torso_px.alias("torso"))
+
+    def of_limbs(k: Column) -> Column:
+        step = lambda m: F.struct((k["at"][m["b"]]["x"] - k["at"][m["a"]]["x"]).alias("x"), (k["at"][m["b"]]["y"] - k["at"][m["a"]]["y"]).alias("y"))
+        scale = F.when(k["torso"] >= SMALLEST_TORSO, k["torso"])
+        three = lambda d: _let(F.struct(d["x"].alias("x"), d["y"].alias("y"), F.hypot(d["x"], d["y"]).alias("n")), lambda v: F.array(some(F.when(v["n"] > 1e-6, v["x"] / v["n"])), some(F.when(v["n"] > 1e-6, v["y"] / v["n"])), some(v["n"] / scale)))
+        return F.flatten(F.transform(limbs, lambda m: _let(step(m), three)))
+
+    confidence = F.transform(keypoints, lambda p: some(F.greatest(F.least(p["conf"].cast("double"), F.lit(1.0)), F.lit(0.0))))
+    return F.concat(_let(_let(measured, with_scale), of_limbs), confidence)
 
 
 def sequence_features(rows: DataFrame, features: str = "features", *keys: str, order: str = "frame_index") -> DataFrame:
