@@ -455,7 +455,9 @@ def one_of_each(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str =
     h1, h2 = content("text")
     kept = docs.join(gone.withColumnsRenamed(names), F.col(id_col).eqNullSafe(F.col(names["_id"])) & (h1 == F.col(names["h1"])) & (h2 == F.col(names["h2"])), "left_anti")
     again = sets.where("n > 0").groupBy("_id", "h1", "h2").count().where("count > 1")
-    if again.isEmpty():
+    nothing = again.isEmpty()
+    release(docs.sparkSession, 0)  # before the texts are read again
+    if nothing:
         return kept
     twin = again.select(F.col("_id").alias(names["_id"]), F.col("h1").alias(names["h1"]), F.col("h2").alias(names["h2"]))
     same = F.col(id_col).eqNullSafe(F.col(names["_id"])) & (h1 == F.col(names["h1"])) & (h2 == F.col(names["h2"]))
