@@ -108,6 +108,28 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], by: list[str],
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def hot_join(many: DataFrame, few: DataFrame, keys: list[str], count: str, by: list[str]) -> DataFrame:
+    """``many`` with the other columns of ``few``, which has one row for each key (null is a key) and in ``count`` that key's rows in ``many``.
+
+    A key with over a thousandth of all rows is dealt to one salt for each thousandth, by a hash of the columns ``by``; there are fewer
+    than 1,000 such keys, whose salts are broadcast. Other keys are joined as they are.
+    """
+    total = few.agg(F.sum(count)).first()[0] or 0
+    share = max(1, total // 1000)
+    salts = F.ceil(F.col(count) / F.lit(share)).cast("int")
+    hot = few.where(F.col(count) > share).select(*(F.col(k).alias(f"_hot_{k}") for k in keys), salts.alias("_salts"))
+    left = many.join(F.broadcast(hot), _same(keys, "_hot_"), "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_salts", F.lit(1))).cast("int"))
+    right = few.withColumn("_few_salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumnsRenamed({k: f"_few_{k}" for k in keys}).drop(count)
+    return left.join(right, _same(keys, "_few_") & (F.col("_salt") == F.col("_few_salt")), "left").drop("_salts", "_salt", "_few_salt", *(f"_{x}_{k}" for x in ("hot", "few") for k in keys))
+
+
+def _same(keys: list[str], prefix: str) -> Column:
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(prefix + k))
+    return same
+
+
 def _before(a: str, b: str) -> Column:
     """Node ``a`` comes before ``b`` in the order of the nodes' hashes (equal hashes: of the nodes)."""
     x, y = F.xxhash64(a), F.xxhash64(b)

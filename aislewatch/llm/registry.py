@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aislewatch.llm import decontamination, embedding_dedup, jaccard_join, language, licenses, mixing, quality, sharding, token_files, toxicity
+from aislewatch.llm import byte_bpe, decontamination, embedding_dedup, jaccard_join, language, lexical_search, licenses, mixing, quality, sharding, token_files, toxicity, vector_codes
 
 QUERIES = {
     "op1_pca_tiles": embedding_dedup.op1_pca_tiles,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_wu_manber": decontamination.op8_wu_manber,
     "op9_balanced_label_propagation": sharding.op9_balanced_label_propagation,
     "op10_token_group_matrix": jaccard_join.op10_token_group_matrix,
+    "op11_segment_tree": byte_bpe.op11_segment_tree,
+    "op12_grid_cells": vector_codes.op12_grid_cells,
+    "op13_block_max_maxscore": lexical_search.op13_block_max_maxscore,
 }
 
-ORACLE_SQL = {"op7_template_markup": licenses.SQL, "op1_pca_tiles": embedding_dedup.SQL, "op8_wu_manber": decontamination.SQL, "op10_token_group_matrix": jaccard_join.SQL}
+ORACLE_SQL = {"op12_grid_cells": vector_codes.SQL, "op13_block_max_maxscore": lexical_search.SQL, "op7_template_markup": licenses.SQL, "op1_pca_tiles": embedding_dedup.SQL, "op8_wu_manber": decontamination.SQL, "op10_token_group_matrix": jaccard_join.SQL}
