@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from aislewatch.llm.common import table
 
@@ -182,7 +182,7 @@ def decode(rows: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", out:
     rest = [c for c in rows.columns if c != out]
     names = [f"_{i}" for i in range(len(rest))]
     slim = rows.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(rest, names, strict=True)))
-    at, schema = rest.index(ids_col), slim.schema.add("_bytes", "binary")
+    at, schema = rest.index(ids_col), StructType([*slim.schema, StructField("_bytes", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(ranks, pattern)
