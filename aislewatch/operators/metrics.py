@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislewatch.functions.boxes import box, iou
+from aislewatch.operators.assignment import sparse_total
 
 IGNORE = 255
 
@@ -60,82 +59,6 @@ def matched_boxes(truth: DataFrame, pred: DataFrame, least: float = 0.5) -> Data
     return g.join(p, ["camera_id", "frame_index"]).withColumn("iou", iou(box("g_"), box("p_"))).where(F.col("iou") >= least)
 
 
-def best_assignment(value: np.ndarray) -> list[tuple[int, int]]:
-    """Row and column pairs of the largest total, each used once (augmenting paths over dual prices)."""
-    n, m = value.shape
-    size = max(n, m)
-    cost = np.zeros((size + 1, size + 1))
-    cost[1 : n + 1, 1 : m + 1] = -value
-    u, v, owner = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1, int)
-    for i in range(1, size + 1):
-        owner[0], j = i, 0
-        least, way, used = np.full(size + 1, np.inf), np.zeros(size + 1, int), np.zeros(size + 1, bool)
-        while owner[j]:
-            used[j] = True
-            now = cost[owner[j]] - u[owner[j]] - v
-            better = ~used & (now < least)
-            better[0] = False
-            least[better], way[better] = now[better], j
-            free = np.where(used, np.inf, least)
-            free[0] = np.inf
-            k = int(free.argmin())
-            u[owner[used]] += free[k]
-            v[used] -= free[k]
-            least[~used] -= free[k]
-            j = k
-        while j:
-            owner[j] = owner[way[j]]
-            j = way[j]
-    return [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j] <= n]
-
-
-def sparse_total(rows: np.ndarray, cols: np.ndarray, value: np.ndarray) -> float:
-    """The largest total of ``value`` over pairs (row, column) that use each once; only pairs listed may be used, and none has to be.
-
-    Shortest augmenting paths over prices, each row with a column of its own for staying out; memory grows with the pairs.
-    """
-    _, r = np.unique(rows, return_inverse=True)
-    _, c = np.unique(cols, return_inverse=True)
-    n, m = int(r.max()) + 1, int(c.max()) + 1
-    top = float(value.max())
-    edges: list[list[tuple[int, float]]] = [[(m + i, top)] for i in range(n)]
-    for i, j, x in zip(r.tolist(), c.tolist(), value.tolist(), strict=True):
-        edges[i].append((j, top - x))
-    price, owner, mate = [0.0] * (m + n), [-1] * (m + n), [-1] * n
-    for start in range(n):
-        dist: dict[int, float] = {}
-        via: dict[int, int] = {}
-        done: list[int] = []
-        seen: set[int] = set()
-        heap: list[tuple[float, int]] = []
-        i, so_far = start, 0.0
-        while True:
-            # reduced cost of a row's own pair is 0, so ``base`` is what the row pays for where it stands
-            base = 0.0 if mate[i] < 0 else next(w for j, w in edges[i] if j == mate[i]) - price[mate[i]]
-            for j, w in edges[i]:
-                d = so_far + w - price[j] - base
-                if j not in seen and d < dist.get(j, np.inf):
-                    dist[j], via[j] = d, i
-                    heapq.heappush(heap, (d, j))
-            while True:
-                so_far, k = heapq.heappop(heap)
-                if k not in seen:
-                    break
-            seen.add(k)
-            if owner[k] < 0:
-                break
-            done.append(k)
-            i = owner[k]
-        for j in done:
-            price[j] -= so_far - dist[j]
-        while True:
-            i = via[k]
-            owner[k], mate[i], k = i, k, mate[i]
-            if i == start:
-                break
-    return float(sum(top - next(w for j, w in edges[i] if j == mate[i]) for i in range(n)))
-
-
 def identity_groups(hits: DataFrame) -> DataFrame:
     """``hits`` with ``part``: one value for each set of identities that pairs of truth and prediction link, directly or by others.
 

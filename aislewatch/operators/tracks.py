@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislewatch.functions.boxes import box, iou
+from aislewatch.operators.assignment import best_assignment
 from aislewatch.operators.runs import TRACK, observed_runs
 
 
@@ -25,10 +24,9 @@ def pair_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def greedy_pairs(score: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Pairs by falling score, each row and column once; ties by row, then column."""
     out, rows, cols = [], set(), set()
-    for k in np.argsort(-score, axis=None, kind="stable"):
-        i, j = divmod(int(k), score.shape[1])
-        if score[i, j] < least:
-            break
+    x, y = np.nonzero(score >= least)
+    for k in np.argsort(-score[x, y], kind="stable").tolist():
+        i, j = int(x[k]), int(y[k])
         if i not in rows and j not in cols:
             out.append((i, j))
             rows.add(i)
@@ -36,16 +34,37 @@ def greedy_pairs(score: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
+def optimal_pairs(score: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """The pairs of the assignment with the largest total score, but for those under ``least``.
+
+    Only boxes that meet can add to the total, so each set of boxes that overlaps tie together is assigned on its own.
+    """
+    out: list[tuple[int, int]] = []
+    open_ = set(np.flatnonzero((score > 0).any(axis=1)).tolist())
+    while open_:
+        rows, cols, found = set(), set(), {open_.pop()}
+        while found:
+            rows |= found
+            cols = set(np.flatnonzero((score[sorted(rows)] > 0).any(axis=0)).tolist())
+            found = set(np.flatnonzero((score[:, sorted(cols)] > 0).any(axis=1)).tolist()) - rows
+        open_ -= rows
+        r, c = sorted(rows), sorted(cols)
+        some = score[np.ix_(r, c)]
+        pairs = [(0, 0)] if some.size == 1 else best_assignment(some)
+        out += [(r[i], c[j]) for i, j in pairs if i < len(r) and j < len(c) and some[i, j] >= least]
+    return sorted(out)
+
+
 class BoxFilter:
     """A Kalman filter of one box: centre, width, height and their changes a frame; noise in proportion to the height."""
 
     POSITION, VELOCITY = 1 / 20, 1 / 160  # standard deviations over the height
+    STEP = np.eye(8) + np.diag(np.ones(4), 4)
 
     def __init__(self, box: np.ndarray | None = None):
         if box is not None:
-            h = max(float(box[3] - box[1]), 1.0)
             self.x = np.concatenate([self._centre(box), np.zeros(4)])
-            self.p = np.diag(np.r_[np.full(4, 2 * self.POSITION * h), np.full(4, 10 * self.VELOCITY * h)] ** 2)
+            self.p = np.diag((self.x[3] * np.r_[np.full(4, 2 * self.POSITION), np.full(4, 10 * self.VELOCITY)]) ** 2)
 
     @staticmethod
     def _centre(b: np.ndarray) -> np.ndarray:
@@ -53,106 +72,145 @@ class BoxFilter:
 
     def ahead(self, frames: int) -> tuple[np.ndarray, np.ndarray]:
         """State and covariance after so many frames."""
-        f = np.eye(8)
-        f[:4, 4:] = np.eye(4) * frames
-        h = max(float(self.x[3]), 1.0)
-        q = np.diag(np.r_[np.full(4, self.POSITION * h), np.full(4, self.VELOCITY * h)] ** 2) * frames
-        return f @ self.x, f @ self.p @ f.T + q
+        x, p = self.x, self.p
+        for _ in range(frames):
+            noise = max(float(x[3]), 1.0) * np.r_[np.full(4, self.POSITION), np.full(4, self.VELOCITY)]
+            x, p = self.STEP @ x, self.STEP @ p @ self.STEP.T + np.diag(noise**2)
+        return x, p
 
     def box(self, frames: int) -> np.ndarray:
-        cx, cy, w, h = self.ahead(frames)[0][:4]
+        cx, cy, w, h = self.x[:4] + frames * self.x[4:]
         return np.array([cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2])
 
     def update(self, box: np.ndarray, frames: int) -> None:
         x, p = self.ahead(frames)
-        r = np.diag(np.full(4, self.POSITION * max(float(x[3]), 1.0)) ** 2)
-        gain = np.linalg.solve(p[:4, :4] + r, p[:4]).T
-        self.x, self.p = x + gain @ (self._centre(box) - x[:4]), p - gain @ p[:4]
+        z = self._centre(box)
+        gain = np.linalg.solve(p[:4, :4] + np.diag(np.full(4, self.POSITION * max(float(z[3]), 1.0)) ** 2), p[:4]).T
+        self.x, self.p = x + gain @ (z - x[:4]), p - gain @ p[:4]
 
 
 class BoxTracker:
-    """Greedy IoU tracking of one camera: prediction, birth, confirmation, retirement.
+    """IoU tracking of one camera: prediction, birth, confirmation, retirement, memory.
 
-    A box joins the live track that its predicted or last box overlaps most; prediction is by constant velocity, or with
-    ``filtered`` by a Kalman filter of eight states. With ``low`` set, boxes of a score between ``low`` and ``high`` may only
-    prolong what the better ones left without a box (two-stage association). Ages are frame differences, so frames
+    A box joins the live track that its predicted or last box overlaps most; prediction moves the last box by what the centre was
+    off the prediction at the last match, or is that of a Kalman filter of eight states (``filtered``). ``assignment``: "greedy" by
+    falling overlap, or "optimal" by the largest total. With ``low`` set, boxes of a score between ``low`` and ``high`` may only prolong what
+    the better ones left without a box, at an overlap of ``least_low`` (two-stage association). Ages are frame differences, so frames
     without boxes need no rows. Ids are (birth frame, order of birth in it): the same whatever the batch.
+
+    With ``memory_gap`` a track of ``min_hits`` boxes or more is remembered for so many frames from its last box on, though it was retired
+    after ``max_age``: a track that is born over its last box (``memory_iou`` at least; the largest overlap, then the one seen last)
+    is its heir, whose verdicts on the person go on with the donor's. A track has one heir at most.
     """
 
-    def __init__(self, least: float = 0.3, max_age: int = 15, high: float = 0.0, low: float | None = None, filtered: bool = False):
+    def __init__(self, least: float = 0.3, max_age: int = 15, high: float = 0.0, low: float | None = None, filtered: bool = False, least_low: float | None = None, assignment: str = "greedy", min_hits: int = 3, memory_gap: int = 0, memory_iou: float = 0.3):
         self.least, self.max_age, self.high, self.low, self.filtered = least, max_age, high, low, filtered
+        self.least_low = least if least_low is None else least_low
+        self.pairs = {"greedy": greedy_pairs, "optimal": optimal_pairs}[assignment]
+        self.min_hits, self.memory_gap, self.memory_iou = min_hits, memory_gap, memory_iou
         self.live: list[dict] = []
+        self.retired: list[dict] = []
+        self.heirs: dict[tuple[int, int], tuple[int, int]] = {}
 
     def _ahead(self, t: dict, frame: int) -> np.ndarray:
         return t["filter"].box(frame - t["frame"]) if self.filtered else t["box"] + np.tile(t["v"], 2) * (frame - t["frame"])
 
+    def _retire(self, frame: int) -> None:
+        gone = [t for t in self.live if frame - t["frame"] > self.max_age]
+        if gone:
+            self.live = [t for t in self.live if frame - t["frame"] <= self.max_age]
+            self.retired += [t for t in gone if t["hits"] >= self.min_hits]
+        self.retired = [t for t in self.retired if frame - t["frame"] <= self.memory_gap and not t["given"]]
+
+    def _donor(self, box: np.ndarray) -> dict | None:
+        open_ = [t for t in self.retired if not t["given"]]
+        if not open_:
+            return None
+        overlap = pair_iou(np.stack([t["box"] for t in open_]), box[None])[:, 0]
+        best, _, _, k = max((float(o), t["frame"], t["id"], i) for i, (o, t) in enumerate(zip(overlap, open_, strict=True)))
+        return open_[k] if best >= self.memory_iou else None
+
     def step(self, frame: int, boxes: np.ndarray, scores: np.ndarray) -> list[tuple[int, int] | None]:
         """The track (birth frame, order) of each box, None for boxes that no track takes and that start none."""
-        self.live = [t for t in self.live if frame - t["frame"] <= self.max_age]
+        self._retire(frame)
         out: list[tuple[int, int] | None] = [None] * len(boxes)
         free = list(range(len(self.live)))
-        for stage in ("high", "low"):
-            use = np.flatnonzero(scores >= self.high) if stage == "high" else np.flatnonzero((scores < self.high) & (scores >= self.low)) if self.low is not None else np.zeros(0, int)
+        better = scores >= self.high
+        for use, least in ((np.flatnonzero(better), self.least), (np.flatnonzero(~better & (scores >= self.low)) if self.low is not None else np.zeros(0, int), self.least_low)):
             if len(use) and free:
                 last = np.stack([self.live[k]["box"] for k in free])
                 ahead = np.stack([self._ahead(self.live[k], frame) for k in free])
-                pairs = greedy_pairs(np.maximum(pair_iou(last, boxes[use]), pair_iou(ahead, boxes[use])), self.least)
+                pairs = self.pairs(np.maximum(pair_iou(last, boxes[use]), pair_iou(ahead, boxes[use])), least)
                 for i, j in pairs:
                     t, b = self.live[free[i]], boxes[use[j]]
-                    dt = max(frame - t["frame"], 1)
                     if self.filtered:
-                        t["filter"].update(b, dt)
-                    t |= {"v": ((b - t["box"]).reshape(2, 2).mean(axis=0)) / dt, "box": b, "frame": frame}
+                        t["filter"].update(b, frame - t["frame"])
+                    else:
+                        t["v"] = (b - ahead[i]).reshape(2, 2).mean(axis=0)
+                    t |= {"box": b, "frame": frame, "hits": t["hits"] + 1}
                     out[use[j]] = t["id"]
                 taken = {free[i] for i, _ in pairs}
                 free = [k for k in free if k not in taken]
-            if stage == "high":
-                born = [k for k in use if out[k] is None]
-        for n, k in enumerate(born):
-            self.live.append({"id": (frame, n), "box": boxes[k], "v": np.zeros(2), "frame": frame} | ({"filter": BoxFilter(boxes[k])} if self.filtered else {}))
+        for n, k in enumerate(k for k in np.flatnonzero(better).tolist() if out[k] is None):
+            donor = self._donor(boxes[k]) if self.memory_gap else None
+            if donor:
+                donor["given"] = True
+                self.heirs[frame, n] = donor["id"]
+            self.live.append({"id": (frame, n), "box": boxes[k], "v": np.zeros(2), "frame": frame, "hits": 1, "given": False} | ({"filter": BoxFilter(boxes[k])} if self.filtered else {}))
             out[k] = (frame, n)
         return out
 
-    def follow(self, rows: pd.DataFrame) -> list[str | None]:
-        """The track key of each row (frame_index, x0..y1, score) of frames in order."""
+    def follow(self, rows: pd.DataFrame) -> tuple[list[str | None], list[str | None]]:
+        """(the track key of each row, the key of the track whose heir it is where a row starts one) of rows (frame_index, x0..y1, score) in the order of frames."""
+        frames, boxes, scores = rows["frame_index"].to_numpy(), rows[["x0", "y0", "x1", "y1"]].to_numpy(float), rows["score"].to_numpy(float)
+        cuts = np.flatnonzero(np.diff(frames)) + 1
+        name = lambda k: None if k is None else f"{k[0]}-{k[1]}"
         keys: list[str | None] = []
-        for frame, some in rows.groupby("frame_index", sort=True):
-            keys += [None if k is None else f"{k[0]}-{k[1]}" for k in self.step(int(frame), some[["x0", "y0", "x1", "y1"]].to_numpy(float), some["score"].to_numpy(float))]
-        return keys
-
-    def state(self) -> str:
-        """The live tracks as JSON, for streams."""
-        rows = [{"id": t["id"], "box": t["box"].tolist(), "v": t["v"].tolist(), "frame": t["frame"]} | ({"x": t["filter"].x.tolist(), "p": t["filter"].p.tolist()} if self.filtered else {}) for t in self.live]
-        return json.dumps(rows)
-
-    def restore(self, state: str) -> None:
-        self.live = []
-        for r in json.loads(state):
-            t = {"id": tuple(r["id"]), "box": np.array(r["box"]), "v": np.array(r["v"]), "frame": r["frame"]}
+        heirs: list[str | None] = []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(frames)], strict=True):
+            if a < b:
+                self.heirs = {}
+                found = self.step(int(frames[a]), boxes[a:b], scores[a:b])
+                keys += [name(k) for k in found]
+                heirs += [name(self.heirs.get(k)) if k is not None else None for k in found]
+        return keys, heirs
+
+    def rows(self) -> dict[tuple[int, int], tuple]:
+        """The live and remembered tracks by id, as plain values, for the state of a stream."""
+        kept = [(t, False) for t in self.live] + [(t, True) for t in self.retired]
+        return {t["id"]: (t["frame"], t["hits"], t["box"].tolist(), t["v"].tolist(), *((t["filter"].x.tolist(), t["filter"].p.ravel().tolist()) if self.filtered else ([], [])), retired, t["given"]) for t, retired in kept}
+
+    def restore(self, rows: dict[tuple[int, int], tuple]) -> None:
+        """Sets live and remembered tracks to :meth:`rows`, in the order in which they were born and retired."""
+        self.live, self.retired = [], []
+        for k, (frame, hits, box_, v, x, p, retired, given) in sorted(rows.items()):
+            t = {"id": tuple(k), "box": np.array(box_, float), "v": np.array(v, float), "frame": frame, "hits": hits, "given": given}
             if self.filtered:
                 t["filter"] = BoxFilter()
-                t["filter"].x, t["filter"].p = np.array(r["x"]), np.array(r["p"])
-            self.live.append(t)
+                t["filter"].x, t["filter"].p = np.array(x, float), np.array(p, float).reshape(8, 8)
+            (self.retired if retired else self.live).append(t)
 
 
-def track_boxes(det: DataFrame, least: float = 0.3, max_age: int = 15, min_hits: int = 3, high: float = 0.0, low: float | None = None, filtered: bool = False) -> DataFrame:
-    """(camera_id, class_name, det_id, frame_index, track_key, confirmed, box) of detections.
+def track_boxes(det: DataFrame, least: float = 0.3, max_age: int = 15, min_hits: int = 3, high: float = 0.0, low: float | None = None, filtered: bool = False, memory_gap: int = 0, **options) -> DataFrame:
+    """(camera_id, class_name, det_id, frame_index, track_key, heir_of, confirmed, box) of detections; ``options`` are those of :class:`BoxTracker`.
 
-    A clip is sequential, but no track outlives ``max_age`` empty frames: a camera's stream is cut at longer gaps, and
-    each stretch is a group of its own. A track with ``min_hits`` boxes or more is confirmed.
+    A clip is sequential, but no track outlives ``max_age`` empty frames, and none is remembered beyond ``memory_gap``: a camera's stream is
+    cut at longer gaps, and each stretch is a group of its own. A track with ``min_hits`` boxes or more is confirmed.
     """
+    longest = max(max_age, memory_gap)
     key = ["camera_id", "class_name"]
     w = Window.partitionBy(*key).orderBy("frame_index")
-    frames = det.select(*key, "frame_index").distinct().withColumn("_g", (F.col("frame_index") - F.lag("frame_index").over(w) > max_age).cast("int")).withColumn("_part", F.coalesce(F.sum("_g").over(w), F.lit(0)))
+    frames = det.select(*key, "frame_index").distinct().withColumn("_g", (F.col("frame_index") - F.lag("frame_index").over(w) > longest).cast("int")).withColumn("_part", F.coalesce(F.sum("_g").over(w), F.lit(0)))
     rows = det.join(frames.drop("_g"), [*key, "frame_index"])
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame_index", "det_id"], kind="stable").reset_index(drop=True)
-        out = pdf[["camera_id", "class_name", "det_id", "frame_index", "x0", "y0", "x1", "y1"]].assign(track_key=BoxTracker(least, max_age, high, low, filtered).follow(pdf))
+        keys, heirs = BoxTracker(least, max_age, high, low, filtered, min_hits=min_hits, memory_gap=memory_gap, **options).follow(pdf)
+        out = pdf[["camera_id", "class_name", "det_id", "frame_index", "x0", "y0", "x1", "y1"]].assign(track_key=keys, heir_of=heirs)
         return out[out.track_key.notna()]
 
     kind = dict(det.dtypes)
-    schema = ", ".join(f"{c} {kind[c]}" for c in ("camera_id", "class_name", "det_id", "frame_index", "x0", "y0", "x1", "y1")) + ", track_key string"
+    schema = ", ".join(f"{c} {kind[c]}" for c in ("camera_id", "class_name", "det_id", "frame_index", "x0", "y0", "x1", "y1")) + ", track_key string, heir_of string"
     tracked = rows.groupBy(*key, "_part").applyInPandas(follow, schema)
     return tracked.withColumn("confirmed", F.count("*").over(Window.partitionBy(*key, "track_key")) >= min_hits)
 

@@ -1,16 +1,15 @@
-"""Streaming twins: freshest frames, deduplication, sequences, occupancy windows, events, alert sink."""
+"""Streaming twins: deduplication, sequences, occupancy windows, alerts with verdicts, alert sink."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from aislewatch.functions.geometry import point_in_polygon
-from aislewatch.operators.tracks import BoxTracker
 
 
 def without_duplicates(frames: DataFrame, delay: str = "1 minute") -> DataFrame:
@@ -18,12 +17,6 @@ def without_duplicates(frames: DataFrame, delay: str = "1 minute") -> DataFrame:
     return frames.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["camera_id", "seq"])
 
 
-def freshest(frames: DataFrame, tick: str = "1 second", delay: str = "10 seconds") -> DataFrame:
-    """Per camera and tick the newest frame, and how many it replaced."""
-    f = frames.withWatermark("ts", delay)
-    return f.groupBy(F.window("ts", tick), "camera_id").agg(F.max("seq").alias("seq"), (F.count("*") - 1).alias("replaced")).select("camera_id", F.col("window.start").alias("tick"), "seq", "replaced")
-
-
 def occupancy_windows(obs: DataFrame, zones: DataFrame, width: str = "1 minute", delay: str = "2 minutes") -> DataFrame:
     """Per camera, zone and window: rows inside and (approximately) distinct tracks. Zones are a static, small table."""
     j = obs.join(F.broadcast(zones.select("camera_id", "zone", "polygon")), "camera_id").where(point_in_polygon(F.col("x_m"), F.col("z_m"), F.col("polygon")))
@@ -53,68 +46,45 @@ def sequences(frames: DataFrame) -> DataFrame:
     return frames.groupBy("camera_id").applyInPandasWithState(number, "camera_id long, pts double, seq long", "seq long, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def zone_stays(inside: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Stays per (camera_id, track_id, zone) of rows with ``ts``, frame_index and ``inside``, given out when a row outside
-    ends one or the watermark passes the track's last row. Rows behind the last one are counted in ``late``, not used."""
+def with_verdicts(alerts: DataFrame, verdicts: DataFrame, within: str = "1 day", delay: str = "10 minutes", verdict_delay: str = "10 minutes") -> DataFrame:
+    """A stream of alerts (alert_id, at, ...) with each verdict (alert_id, decided_at, status) of a second stream that came ``within`` it.
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last, late = state.get if state.exists else (-1, -1, 0)
-        out = []
-        if state.hasTimedOut:
-            if start >= 0:
-                out.append((*key, start, last, late))
-            state.remove()
-        else:
-            rows = sorted((int(f), bool(i), t) for b in batches for f, i, t in zip(b["frame_index"], b["inside"], b["ts"], strict=True))
-            for frame, is_in, _ in rows:
-                if frame <= last and start >= 0:
-                    late += 1
-                elif is_in:
-                    start, last = (frame if start < 0 else start), frame
-                elif start >= 0:
-                    out.append((*key, start, last, late))
-                    start = -1
-            state.update((start, last, late))
-            wait = max(int(pd.Timestamp(t).timestamp() * 1000) for _, _, t in rows) + 60_000
-            state.setTimeoutTimestamp(max(wait, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["camera_id", "track_id", "zone", "frame_start", "frame_end", "late"])
-
-    rows = inside.withWatermark("ts", delay)
-    return rows.groupBy("camera_id", "track_id", "zone").applyInPandasWithState(
-        follow, "camera_id long, track_id long, zone string, frame_start long, frame_end long, late long", "start long, last long, late long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def tracks(det: DataFrame, least: float = 0.3, max_age: int = 15, high: float = 0.0, low: float | None = None, filtered: bool = False) -> DataFrame:
-    """(camera_id, class_name, det_id, frame_index, track_key) of a stream of detections (camera_id, class_name, det_id,
-    frame_index, score, box): the tracker of :func:`aislewatch.operators.tracks.track_boxes`, whose live tracks are the
-    state of a camera and class. Frames have to arrive in order from batch to batch; rows of frames up to the last one are left out."""
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, last = BoxTracker(least, max_age, high, low, filtered), -1
-        if state.exists:
-            live, last = state.get
-            tracker.restore(live)
-        rows = pd.concat(list(batches)).sort_values(["frame_index", "det_id"], kind="stable")
-        rows = rows[rows.frame_index > last].reset_index(drop=True)
-        keys = tracker.follow(rows)
-        state.update((tracker.state(), int(rows.frame_index.max()) if len(rows) else last))
-        out = pd.DataFrame({"camera_id": key[0], "class_name": key[1], "det_id": rows.det_id, "frame_index": rows.frame_index, "track_key": keys})
-        yield out[out.track_key.notna()]
-
-    return det.groupBy("camera_id", "class_name").applyInPandasWithState(
-        follow, "camera_id long, class_name string, det_id long, frame_index long, track_key string", "live string, last long", "append", GroupStateTimeout.NoTimeout)
+    Both streams have a watermark of their own: an alert waits until its time for verdicts is over, and is given out without
+    one (status "unreviewed") if there was none; then its state goes, as do verdicts that no later alert can claim.
+    """
+    a = alerts.withWatermark("at", delay)
+    v = verdicts.select(F.col("alert_id").alias("_alert_id"), "decided_at", "status").withWatermark("decided_at", verdict_delay)
+    ok = (F.col("alert_id") == F.col("_alert_id")) & (F.col("decided_at") >= F.col("at")) & (F.col("decided_at") <= F.col("at") + F.expr(f"INTERVAL {within}"))
+    return a.join(v, ok, "leftOuter").drop("_alert_id").withColumn("status", F.coalesce("status", F.lit("unreviewed")))
 
 
 def write_alerts(alerts: DataFrame, path: str, checkpoint: str, once: bool = False):
-    """Starts a query, which ends with the input if ``once``, that appends alerts under their UTC date; a batch that is run again replaces its own files."""
+    """Starts a query, which ends with the input if ``once``, that appends alerts under their UTC date.
+
+    Each batch's files stand under its number, and when they are complete a row in the ledger says how many alerts it has. A batch
+    that the ledger has is not written again; one that was cut short replaces its own files. :func:`read_alerts` reads what the ledger has.
+    """
 
     def append(batch: DataFrame, number: int) -> None:
-        batch.withColumn("utc_date", F.to_date("at")).write.mode("overwrite").partitionBy("utc_date").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/ledger/batch={number}/_SUCCESS")
+        if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            return
+        rows = f"{path}/alerts/batch={number}"
+        batch.withColumn("utc_date", F.to_date("at")).write.mode("overwrite").partitionBy("utc_date").parquet(rows)
+        written = spark.read.schema(batch.schema).parquet(rows)
+        written.agg(F.count("*").alias("alerts")).write.mode("overwrite").parquet(f"{path}/ledger/batch={number}")
 
     w = alerts.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 
 
+def read_alerts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The alerts (``schema``) with utc_date and batch, of the batches that the ledger has."""
+    ledger = spark.read.option("basePath", f"{path}/ledger").schema("alerts long, batch long").parquet(f"{path}/ledger").select("batch")
+    return spark.read.option("basePath", f"{path}/alerts").schema(schema + ", batch long, utc_date date").parquet(f"{path}/alerts").join(ledger, "batch", "left_semi")
+
+
 def with_current_verdict(alerts: DataFrame, verdicts: DataFrame) -> DataFrame:
     """A stream of alerts with the static table's current verdict."""
     return alerts.join(verdicts.select("alert_id", "status"), "alert_id", "left").withColumn("status", F.coalesce("status", F.lit("unreviewed")))

@@ -10,7 +10,6 @@ from aislewatch.functions import labels as L
 from aislewatch.operators import evidence as E
 from aislewatch.operators import poses as P
 from aislewatch.operators import tracks as T
-from aislewatch.streaming import pipelines as S
 
 DET = "camera_id long, det_id long, frame_index long, class_name string, score double, x0 double, y0 double, x1 double, y1 double"
 
@@ -48,20 +47,6 @@ def test_box_survival(spark):
     assert report.lives == len(want) and report.longest == max(want.values()) and abs(report.one_frame - np.mean([v == 1 for v in want.values()])) < 1e-9
 
 
-@pytest.mark.parametrize("filtered", [False, True])
-def test_tracks_of_a_stream_are_those_of_the_batch(spark, tmp_path, filtered):
-    df, _ = detections(spark, 5)
-    for part in range(3):
-        df.where(F.floor(F.col("frame_index") / 10) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = S.tracks(stream, max_age=5, high=0.5, low=0.1, filtered=filtered)
-    q = out.writeStream.format("memory").queryName(f"tracked_{filtered}").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {(r.det_id, r.track_key) for r in spark.table(f"tracked_{filtered}").collect()}
-    want = {(r.det_id, r.track_key) for r in T.track_boxes(df, max_age=5, high=0.5, low=0.1, filtered=filtered).collect()}
-    assert got == want and len({k for _, k in want}) < len(want)
-
-
 def test_filter_follows_a_steady_walk():
     f = T.BoxFilter(np.array([0.0, 0.0, 40.0, 100.0]))
     for k in range(1, 20):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from aislewatch.functions import geometry as G
 from aislewatch.functions import labels as L
+from aislewatch.operators import assignment as N
 from aislewatch.operators import audits as A
 from aislewatch.operators import events as E
 from aislewatch.operators import metrics as M
@@ -121,7 +122,7 @@ def test_best_assignment_is_optimal():
     r = np.random.default_rng(1)
     for n, m in ((3, 3), (2, 5), (5, 2), (4, 4)):
         v = r.integers(0, 20, (n, m)).astype(float)
-        got = sum(v[i, j] for i, j in M.best_assignment(v))
+        got = sum(v[i, j] for i, j in N.best_assignment(v))
         small, large = min(n, m), max(n, m)
         w = v if n <= m else v.T
         assert got == max(sum(w[i, p[i]] for i in range(small)) for p in itertools.permutations(range(large), small))
@@ -146,7 +147,7 @@ def test_sparse_total_is_optimal():
             v = r.integers(1, 20, (n, m)) * (r.random((n, m)) < share)
             v[0, 0] = 7
             i, j = np.nonzero(v)
-            assert M.sparse_total(i, j, v[i, j].astype(float)) == sum(v[a, b] for a, b in M.best_assignment(v.astype(float)))
+            assert N.sparse_total(i, j, v[i, j].astype(float)) == sum(v[a, b] for a, b in N.best_assignment(v.astype(float)))
 
 
 def grouped(monkeypatch):
