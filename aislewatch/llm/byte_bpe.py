@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import re
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +19,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from aislewatch.llm.common import table
 
 PIECE = 4 << 20  # bytes of text that are encoded at once
-KEPT = 400_000  # chunks, and pieces, that a worker keeps the ids of
+KEPT = 300_000  # chunks, and pieces, that a worker keeps the ids of
+ROWS = 8192  # pieces that are merged side by side
 LONGEST_KEPT = 64
 #: A space goes with what follows it, and the last white space of a run does if it is a space: no match of the pattern reaches across these places.
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
@@ -28,8 +32,9 @@ class Vocabulary(NamedTuple):
     tokens: list[bytes]
     longest: int
     pattern: object
+    pairs: tuple[np.ndarray, np.ndarray]  # two parts' ids in one number, ascending, and the id of their union
     chunks: dict[str, bytes]
-    pieces: dict[bytes, list[int]]
+    pieces: dict[str, bytes]  # at first the tokens that are text: a match that is a token has its id
 
 
 _WORKER: dict[tuple[str, str], Vocabulary] = {}
@@ -45,11 +50,28 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
+        known = {}
+        for token, rank in ranks.items():
+            with contextlib.suppress(UnicodeDecodeError):
+                known[token.decode()] = rank.to_bytes(4, "little")
         _WORKER.clear()
-        _WORKER[path, pattern] = Vocabulary(ranks, tokens, max(map(len, ranks)), regex.compile(pattern), {}, {})
+        _WORKER[path, pattern] = Vocabulary(ranks, tokens, max(map(len, ranks)), regex.compile(pattern), pair_table(ranks), {}, known)
     return _WORKER[path, pattern]
 
 
+def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of tokens whose union is a token."""
+    keys, to = [], []
+    for token, rank in ranks.items():
+        for k in range(1, len(token)):
+            left, right = ranks.get(token[:k]), ranks.get(token[k:])
+            if left is not None and right is not None:
+                keys.append(left << 32 | right)
+                to.append(rank)
+    order = np.argsort(np.array(keys, np.int64), kind="stable")
+    return np.array(keys, np.int64)[order], np.array(to, np.int64)[order]
+
+
 class PairTree:
     """The neighbouring parts of a piece and the ranks of their unions, as a segment tree over byte positions.
 
@@ -108,35 +130,110 @@ class PairTree:
         return ids
 
 
-def encode_piece(piece: bytes, v: Vocabulary) -> list[int]:
-    """The ids of one match of the pattern: its own, if it is a token, or those that merging leaves."""
-    rank = v.ranks.get(piece)
-    if rank is not None:
-        return [rank]
-    ids = v.pieces.get(piece)
-    if ids is None:
-        ids = PairTree(piece, v.ranks, v.longest).merged()
-        if len(piece) <= LONGEST_KEPT and len(v.pieces) < KEPT:
-            v.pieces[piece] = ids
-    return ids
+NONE = 1 << 62
+
 
+class PairTrees:
+    """:class:`PairTree` for many short pieces at once: a tree for each row, whose merges go on side by side until no row has a pair.
 
-def _encode_chunk(chunk: str, v: Vocabulary) -> bytes:
-    ids: list[int] = []
-    for match in v.pattern.findall(chunk):
-        ids += encode_piece(match.encode(), v)
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    The id of a part is its rank, so the root of a row says where it merges and to what. A part that another took in has the id -1.
+    """
+
+    def __init__(self, pieces: list[bytes], width: int, ranks: dict[bytes, int], pairs: tuple[np.ndarray, np.ndarray]):
+        self.width, self.bits, self.pairs = width, width.bit_length() - 1, pairs
+        m = len(pieces)
+        self.n = np.fromiter(map(len, pieces), np.int64, m)
+        inside = np.arange(width) < self.n[:, None]
+        self.ids = np.full((m, width), -1, np.int64)
+        single = np.array([ranks[bytes([c])] for c in range(256)], np.int64)
+        self.ids[inside] = single[np.frombuffer(b"".join(pieces), np.uint8)]
+        self.after = np.broadcast_to(np.arange(1, width + 1), (m, width)).copy()
+        self.before = np.broadcast_to(np.arange(-1, width - 1), (m, width)).copy()
+        self.tree = np.full((m, 2 * width), NONE, np.int64)
+        row, i = np.nonzero(inside[:, 1:])
+        self.tree[row, width + i] = self._value(self.ids[row, i], self.ids[row, i + 1], i)
+        k = width
+        while k > 1:
+            k //= 2
+            self.tree[:, k : 2 * k] = np.minimum(self.tree[:, 2 * k : 4 * k : 2], self.tree[:, 2 * k + 1 : 4 * k : 2])
+
+    def _value(self, left: np.ndarray, right: np.ndarray, i: np.ndarray) -> np.ndarray:
+        keys, to = self.pairs
+        want = left << 32 | right
+        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        return np.where(keys[at] == want, to[at] << self.bits | i, NONE)
+
+    def _set(self, row: np.ndarray, i: np.ndarray, value: np.ndarray | int) -> None:
+        """New values of leaves, and the minima above them; rows whose minimum stays are left at that node."""
+        flat = self.tree.reshape(-1)
+        base, k = row * (2 * self.width), self.width + i
+        flat[base + k] = value
+        for _ in range(self.bits):
+            k = k >> 1
+            least = np.minimum(flat[base + 2 * k], flat[base + 2 * k + 1])
+            changed = flat[base + k] != least
+            base, k = base[changed], k[changed]
+            if not len(k):
+                return
+            flat[base + k] = least[changed]
+
+    def merged(self) -> list[bytes]:
+        """The ids of each piece after all merges, as little-endian 32-bit integers."""
+        row = np.flatnonzero(self.tree[:, 1] < NONE)
+        while len(row):
+            root = self.tree[row, 1]
+            i, union = root & (self.width - 1), root >> self.bits
+            taken = self.after[row, i]
+            stop = self.after[row, taken]
+            self.ids[row, i], self.ids[row, taken], self.after[row, i] = union, -1, stop
+            inner = np.flatnonzero(stop < self.n[row])
+            self.before[row[inner], stop[inner]] = i[inner]
+            value = np.full(len(row), NONE, np.int64)
+            value[inner] = self._value(union[inner], self.ids[row[inner], stop[inner]], i[inner])
+            last = taken < self.width
+            self._set(row[last], taken[last], NONE)
+            self._set(row, i, value)
+            p = self.before[row, i]
+            later = np.flatnonzero(p >= 0)
+            self._set(row[later], p[later], self._value(self.ids[row[later], p[later]], union[later], p[later]))
+            row = row[self.tree[row, 1] < NONE]
+        alive = self.ids >= 0
+        flat, stops = self.ids[alive].astype("<u4").tobytes(), [0, *(4 * np.cumsum(alive.sum(axis=1))).tolist()]
+        return [flat[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
+
+
+def encode_pieces(pieces: list[bytes], v: Vocabulary) -> list[bytes]:
+    """The ids of matches of the pattern that are no tokens: what merging leaves. Short ones are merged side by side."""
+    out: list[bytes] = [b""] * len(pieces)
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    low = 0
+    for width in (8, 16, 32, 64):
+        some = np.flatnonzero((size > low) & (size <= width))
+        for a in range(0, len(some), ROWS):
+            at = some[a : a + ROWS].tolist()
+            for k, ids in zip(at, PairTrees([pieces[k] for k in at], width, v.ranks, v.pairs).merged(), strict=True):
+                out[k] = ids
+        low = width
+    for k in np.flatnonzero(size > low).tolist():
+        out[k] = array("I", PairTree(pieces[k], v.ranks, v.longest).merged()).tobytes()
+    return out
 
 
 def encode_texts(texts: list[str | None], v: Vocabulary) -> list[bytes]:
-    """The ids of whole texts as little-endian 32-bit integers. Each distinct chunk of the texts is encoded once."""
+    """The ids of whole texts as little-endian 32-bit integers. Each distinct chunk of the texts, and each distinct match in them, is encoded once."""
     cut = [[] if not t else v.pattern.findall(t) if SEPARATORS.search(t) else CHUNK.findall(t) for t in texts]
-    known = v.chunks
-    here = {c: known.get(c) for c in set().union(*cut)}
-    for c in [c for c, ids in here.items() if ids is None]:
-        here[c] = ids = _encode_chunk(c, v)
-        if len(c) <= LONGEST_KEPT and len(known) < KEPT:
-            known[c] = ids
+    here = {c: v.chunks.get(c) for c in set().union(*cut)}
+    new = [(c, v.pattern.findall(c)) for c, ids in here.items() if ids is None]
+    matches = {p: v.pieces.get(p) for p in set().union(*(ps for _, ps in new))}
+    unknown = [p for p, ids in matches.items() if ids is None]
+    for p, ids in zip(unknown, encode_pieces([p.encode() for p in unknown], v), strict=True):
+        matches[p] = ids
+        if len(p) <= LONGEST_KEPT and len(v.pieces) < KEPT:
+            v.pieces[p] = ids
+    for c, ps in new:
+        here[c] = ids = matches[ps[0]] if len(ps) == 1 else b"".join([matches[p] for p in ps])
+        if len(c) <= LONGEST_KEPT and len(v.chunks) < KEPT:
+            v.chunks[c] = ids
     return [b"".join(map(here.__getitem__, chunks)) for chunks in cut]
 
 
@@ -190,7 +287,7 @@ def decode(rows: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", out:
             lists = batch.column(at)
             for a, b in _slices([n and 4 * n for n in pa.compute.list_value_length(lists).to_pylist()]):
                 part = lists.slice(a, b - a)
-                found = [None if ids is None else b"".join([v.tokens[i] for i in ids.values.to_numpy().tolist()]) for ids in part]
+                found = [None if ids.values is None else b"".join([v.tokens[i] for i in ids.values.to_numpy().tolist()]) for ids in part]
                 yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns] + [pa.array(found, pa.binary())], names=schema.names)
 
     return slim.mapInArrow(run, schema).withColumnsRenamed(dict(zip(names, rest, strict=True))).withColumnRenamed("_bytes", out)

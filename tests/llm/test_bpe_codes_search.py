@@ -55,10 +55,13 @@ def plain_merges(piece, ranks):
 def test_segment_tree_merges_as_plain_search_does():
     """Ties of the rank go to the leftmost pair; merges that make new pairs on both sides; pieces of one byte to some hundred."""
     r = np.random.default_rng(5)
-    ranks = {bytes([c]): c for c in b"abc"} | {x: 200 + i for i, x in enumerate([b"ab", b"bc", b"aa", b"abab", b"aaa", b"cab", b"ca", b"abc", b"bcab", b"aaaa"])}
-    for n in [*range(1, 40), 100, 333]:
-        piece = bytes(r.choice(list(b"abc"), n))
-        assert byte_bpe.PairTree(piece, ranks, 4).merged() == plain_merges(piece, ranks)
+    merges = [b"ab", b"bc", b"aa", b"abab", b"aaa", b"cab", b"ca", b"abc", b"bcab", b"aaaa"]
+    ranks = {bytes([c]): c for c in range(256)} | {x: 256 + i for i, x in enumerate(merges)}
+    pieces = [bytes(r.choice(list(b"abc"), n)) for n in [*range(1, 65), *[7] * 200, *[15] * 200, 100, 333]]
+    v = byte_bpe.Vocabulary(ranks, [], 4, None, byte_bpe.pair_table(ranks), {}, {})
+    for piece, ids in zip(pieces, byte_bpe.encode_pieces(pieces, v), strict=True):
+        want = plain_merges(piece, ranks)
+        assert byte_bpe.PairTree(piece, ranks, 4).merged() == want and np.frombuffer(ids, "<u4").tolist() == want
 
 
 TEXTS = [*ODD, "don't  we'll\n\n  it's 'S", " a b　 c ", "x\x1cy\x1e z \x1f", "a\r\n\tb  \n", "عربي 123,456.78", "ab" * 20_000, "\U0001f469‍\U0001f4bb!!", "  lead", "trail  ", "é́ ﻿"]
