@@ -25,16 +25,6 @@ def consensus_fleet(cons: DataFrame, least_frames: int = 2) -> DataFrame:
     return cons.groupBy("camera_id").agg(F.count(F.when(ok, 1)).alias("cells"), F.avg(F.when(ok, F.col("stable").cast("double"))).alias("stable_share"))
 
 
-def flip_rates(cells: DataFrame, within: int = 3) -> DataFrame:
-    """Per camera and class: changes between neighbouring frames, and changes that return within ``within`` observations."""
-    w = Window.partitionBy(*CELL).orderBy("frame_index")
-    prev = F.lag("class_id").over(w)
-    ahead = F.collect_list("class_id").over(w.rowsBetween(1, within))
-    c = cells.withColumns({"_p": prev, "_a": ahead}).where("_p IS NOT NULL")
-    flip = F.col("class_id") != F.col("_p")
-    return c.groupBy("camera_id", F.col("_p").alias("from_class")).agg(F.count("*").alias("pairs"), F.sum(flip.cast("long")).alias("flips"), F.sum((flip & F.array_contains("_a", F.col("_p"))).cast("long")).alias("bounced"))
-
-
 def label_moves(old: DataFrame, new: DataFrame) -> DataFrame:
     """(camera_id, old_class, new_class, n): how the class of each cell and frame differs between two label sets."""
     key = [*CELL, "frame_index"]
@@ -46,19 +36,6 @@ def top_moves(moves: DataFrame, n: int = 10) -> DataFrame:
     return moves.where("old_class <> new_class").orderBy(F.desc("n"), "camera_id", "old_class", "new_class").limit(n)
 
 
-def hotspots(det: DataFrame, cell: float = 64.0, strong: float = 0.5, candidate: float = 0.35, low_score: float = 0.5) -> DataFrame:
-    """Cells in which low-score centres lie in a large share of the camera's frames."""
-    frames = det.groupBy("camera_id").agg(F.countDistinct("frame_index").alias("_n"))
-    c = det.where(F.col("score") < low_score).groupBy("camera_id", F.floor((F.col("x0") + F.col("x1")) / 2 / cell).alias("cx"), F.floor((F.col("y0") + F.col("y1")) / 2 / cell).alias("cy")).agg(F.countDistinct("frame_index").alias("frames"))
-    share = F.col("frames") / F.col("_n")
-    return c.join(frames, "camera_id").select("camera_id", "cx", "cy", "frames", share.alias("share"), F.when(share > strong, "strong").when(share > candidate, "candidate").otherwise("none").alias("level"))
-
-
-def box_of_region(runs: DataFrame, *keys: str, least_area: int = 1) -> DataFrame:
-    """Tight box and area of each region of run-length rows (y, x_start, x_end)."""
-    return runs.groupBy(*keys).agg(F.min("x_start").alias("x0"), F.min("y").alias("y0"), F.max("x_end").alias("x1"), (F.max("y") + 1).alias("y1"), F.sum(F.col("x_end") - F.col("x_start")).alias("area")).where(F.col("area") >= least_area)
-
-
 def covered_share(boxes: DataFrame, runs: DataFrame, class_id: int, band: int = 64) -> DataFrame:
     """Boxes (det_id, camera_id, frame_index, x0..y1 in pixels) with the share of their area that runs of ``class_id`` cover.
 

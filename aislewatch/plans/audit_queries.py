@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aislewatch.operators import audits as A
+from aislewatch.operators import regions as G
 from aislewatch.plans import views as V
 
 C = V.Catalogue()
@@ -25,11 +26,23 @@ def agg_consensus_fleet(spark, d):
     return _r(A.consensus_fleet(A.consensus(V.label_cells(spark, d), 0.3)), "stable_share")
 
 
-@C.add("agg_flip_rates", """
-, p AS (SELECT *, lag(class_id) OVER w AS p, lead(class_id, 1) OVER w AS a1, lead(class_id, 2) OVER w AS a2, lead(class_id, 3) OVER w AS a3 FROM label_cells WINDOW w AS (PARTITION BY camera_id, cell_y, cell_x ORDER BY frame_index))
-SELECT camera_id, p AS from_class, count(*) AS pairs, count(*) FILTER (class_id <> p) AS flips, count(*) FILTER (class_id <> p AND (coalesce(a1 = p, false) OR coalesce(a2 = p, false) OR coalesce(a3 = p, false))) AS bounced FROM p WHERE p IS NOT NULL GROUP BY 1, 2""", ("label_cells",))
+_OF = "sum(pairs) AS pairs, sum(flips) AS flips, sum(bounced) AS bounced, sum(evaluable) AS evaluable"
+
+
+@C.add("agg_flip_rates", _CONS + f"""
+, o AS (SELECT *, lag(class_id) OVER w AS p, lead(class_id, 1) OVER w AS a1, lead(class_id, 2) OVER w AS a2, lead(class_id, 3) OVER w AS a3 FROM label_cells WINDOW w AS (PARTITION BY camera_id, cell_y, cell_x ORDER BY frame_index)),
+q AS (SELECT camera_id, cell_y, cell_x, p, class_id <> p AS flip, coalesce(a1 = p, false) OR coalesce(a2 = p, false) OR coalesce(a3 = p, false) AS back, a3 IS NOT NULL AS full_ FROM o WHERE p IS NOT NULL),
+f AS (SELECT camera_id, cell_y, cell_x, p, count(*) AS pairs, count(*) FILTER (flip) AS flips, count(*) FILTER (flip AND back) AS bounced, count(*) FILTER (flip AND (back OR full_)) AS evaluable FROM q GROUP BY 1, 2, 3, 4),
+z AS (SELECT f.*, c.class_id AS modal, unnest([CASE WHEN agreement >= 3e-1 THEN 'static' ELSE 'moving' END, 'all']) AS zone FROM f JOIN c USING (camera_id, cell_y, cell_x)),
+d AS (SELECT a.camera_id, a.cell_y, a.cell_x, b.class_id AS region, count(*) AS n FROM c a JOIN c b ON a.camera_id = b.camera_id AND abs(a.cell_y - b.cell_y) + abs(a.cell_x - b.cell_x) <= 1 GROUP BY 1, 2, 3, 4)
+SELECT *, CAST(pairs AS BIGINT) AS pairs, CAST(flips AS BIGINT) AS flips, CAST(bounced AS BIGINT) AS bounced, CAST(evaluable AS BIGINT) AS evaluable FROM (
+SELECT camera_id, 'all' AS subject, NULL AS class_id, zone, count(DISTINCT (cell_y, cell_x)) AS cells, {_OF} FROM z GROUP BY camera_id, zone
+UNION ALL SELECT camera_id, 'from', p, zone, count(*), {_OF} FROM z GROUP BY camera_id, p, zone
+UNION ALL SELECT camera_id, CASE WHEN n = 5 THEN 'interior' ELSE 'band' END AS place, region, zone, count(DISTINCT (cell_y, cell_x)), {_OF} FROM d JOIN z USING (camera_id, cell_y, cell_x) GROUP BY camera_id, place, region, zone)""".replace("SELECT *, CAST(pairs AS BIGINT) AS pairs", "SELECT camera_id, subject, class_id, zone, cells, CAST(pairs AS BIGINT) AS pairs"), ("label_cells",))
 def agg_flip_rates(spark, d):
-    return A.flip_rates(V.label_cells(spark, d))
+    cells = V.label_cells(spark, d)
+    cons = A.consensus(cells, 0.3)
+    return G.flip_report(cells, cons.where("stable"), cons)
 
 
 _MOVES = """, m AS (SELECT coalesce(a.camera_id, b.camera_id) AS camera_id, a.class_id AS old_class, b.class_id AS new_class, count(*) AS n FROM (SELECT * FROM label_cells WHERE frame_index % 7 <> 0) a
@@ -52,24 +65,64 @@ def top_moves(spark, d):
     return A.top_moves(_moves(spark, d))
 
 
-@C.add("agg_fp_hotspots", """
-, f AS (SELECT camera_id, count(DISTINCT frame_index) AS n FROM detections GROUP BY 1), c AS (SELECT camera_id, CAST(floor((x0 + x1) / 2 / 64) AS BIGINT) AS cx, CAST(floor((y0 + y1) / 2 / 64) AS BIGINT) AS cy, count(DISTINCT frame_index) AS frames FROM detections WHERE score < 5e-1 GROUP BY 1, 2, 3)
-SELECT c.camera_id, cx, cy, frames, round(frames / n, 6) AS share, CASE WHEN frames / n > 8e-2 THEN 'strong' WHEN frames / n > 5e-2 THEN 'candidate' ELSE 'none' END AS level FROM c JOIN f ON c.camera_id = f.camera_id""", ("detections",))
+_HOT = """
+, w AS (SELECT *, row_number() OVER (PARTITION BY camera_id, frame_index, class_name ORDER BY score DESC, det_id) AS k, struct_pack(det_id, score, x0, y0, x1, y1) AS b FROM detections),
+s AS (SELECT camera_id, frame_index, class_name, k, [b] AS kept FROM w WHERE k = 1
+  UNION ALL SELECT w.camera_id, w.frame_index, w.class_name, w.k, CASE WHEN len(list_filter(kept, lambda a: greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0e0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0e0) * 15e-1 >= 5e-1 * ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0)))) = 0 THEN list_append(kept, b) ELSE kept END
+  FROM s JOIN w ON w.camera_id = s.camera_id AND w.frame_index = s.frame_index AND w.class_name = s.class_name AND w.k = s.k + 1),
+g AS (SELECT camera_id, frame_index, b.det_id AS det_id, (b.x0 + b.x1) / 2 AS u, (b.y0 + b.y1) / 2 AS v FROM (SELECT camera_id, frame_index, unnest(arg_max(kept, k)) AS b FROM s GROUP BY camera_id, frame_index, class_name) WHERE b.score < 35e-2),
+f AS (SELECT camera_id, count(DISTINCT frame_index) AS n FROM detections GROUP BY 1),
+h AS (SELECT g.camera_id, CAST(floor(u / 64) AS BIGINT) AS cx, CAST(floor(v / 64) AS BIGINT) AS cy, count(DISTINCT frame_index) / any_value(n) AS share FROM g JOIN f ON g.camera_id = f.camera_id GROUP BY 1, 2, 3),
+t AS (SELECT *, CASE WHEN share > {strong} THEN 'strong' WHEN share > {candidate} THEN 'candidate' END AS tier, cy * 1000 + cx AS id FROM h),
+e AS (SELECT a.camera_id, a.tier, a.id AS x, b.id AS y FROM t a JOIN t b ON a.camera_id = b.camera_id AND a.tier = b.tier AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1),
+z AS (SELECT camera_id, tier, id, id AS root FROM t WHERE tier IS NOT NULL UNION SELECT z.camera_id, z.tier, e.y, z.root FROM z JOIN e ON e.camera_id = z.camera_id AND e.tier = z.tier AND e.x = z.id),
+c AS (SELECT camera_id, tier, id, min(root) AS root FROM z GROUP BY 1, 2, 3),
+p AS (SELECT c.camera_id, c.tier, root, min(cx) AS l, min(cy) AS tp, max(cx) AS r, max(cy) AS bt, count(*) AS cells FROM c JOIN t ON c.camera_id = t.camera_id AND c.id = t.id GROUP BY 1, 2, 3),
+q AS (SELECT camera_id, tier, greatest(0, l * 64 - 32) AS x0, greatest(0, tp * 64 - 32) AS y0, least(1920, (r + 1) * 64 + 32) AS x1, least(1080, (bt + 1) * 64 + 32) AS y1,
+  (SELECT max(share) FROM t WHERE t.camera_id = p.camera_id AND cx BETWEEN l AND r AND cy BETWEEN tp AND bt) AS share, cells FROM p)
+""".replace("{strong}", "3e-2").replace("{candidate}", "2e-2")
+
+
+def _hot(spark, d):
+    det = V.detections(spark, d)
+    return det, G.hotspot_regions(G.hotspots(det, strong=0.03, candidate=0.02))
+
+
+@C.add("agg_fp_hotspots", _HOT + "SELECT camera_id, tier, x0, y0, x1, y1, round(share, 6) AS share, cells FROM q", ("detections",))
 def agg_fp_hotspots(spark, d):
-    return _r(A.hotspots(V.detections(spark, d), strong=0.08, candidate=0.05), "share")
+    V.shared_dir(spark)
+    return _r(_hot(spark, d)[1], "share")
+
+
+@C.add("agg_fp_cover", _HOT + """, x AS (SELECT DISTINCT camera_id, unnest(range(x0 // 8, x1 // 8)) AS i, y0, y1 FROM q), y AS (SELECT DISTINCT camera_id, i, unnest(range(y0 // 8, y1 // 8)) AS j FROM x)
+SELECT f.camera_id, (SELECT count(*) FROM q WHERE q.camera_id = f.camera_id) AS regions, 64 * (SELECT count(*) FROM y WHERE y.camera_id = f.camera_id) AS area, (SELECT count(*) FROM g WHERE g.camera_id = f.camera_id) AS boxes,
+  (SELECT count(DISTINCT det_id) FROM g JOIN q ON q.camera_id = g.camera_id AND u >= x0 AND u < x1 AND v >= y0 AND v < y1 WHERE g.camera_id = f.camera_id) AS covered FROM f""", ("detections",))
+def agg_fp_cover(spark, d):
+    V.shared_dir(spark)
+    return G.hotspot_cover(*_hot(spark, d))
 
 
-_RUNS = "SELECT user_id % 8 AS camera_id, event_id % 40 AS frame_index, event_id % 900 AS y, (event_id * 7) % 800 AS x_start, (event_id * 7) % 800 + 60 AS x_end, event_id % 3 AS class_id FROM events"
+_REGION_KEYS = "camera_id, frame_index, class_id"
+_REGION_RUNS = "SELECT user_id % 8 AS camera_id, event_id % 40 AS frame_index, (event_id // 120) % 24 AS y, (user_id * 37 + event_id // 40 * 11) % 200 AS x_start, (user_id * 37 + event_id // 40 * 11) % 200 + 20 + event_id % 40 AS x_end, event_id // 40 % 3 AS class_id FROM events"
 
 
-def _runs(spark, d):
-    e, i = V.table(spark, d, "events"), F.col("event_id")
-    return e.select((F.col("user_id") % 8).alias("camera_id"), (i % 40).alias("frame_index"), (i % 900).alias("y"), ((i * 7) % 800).alias("x_start"), ((i * 7) % 800 + 60).alias("x_end"), (i % 3).alias("class_id"))
+def _region_runs(spark, d):
+    e, u, i = V.table(spark, d, "events"), F.col("user_id"), F.col("event_id")
+    x = (u * 37 + F.floor(i / 40) * 11) % 200
+    return e.select((u % 8).alias("camera_id"), (i % 40).alias("frame_index"), (F.floor(i / 120) % 24).alias("y"), x.alias("x_start"), (x + 20 + i % 40).alias("x_end"), (F.floor(i / 40) % 3).alias("class_id"))
 
 
-@C.add("agg_box_of_region", f"SELECT camera_id, frame_index, class_id, min(x_start) AS x0, min(y) AS y0, max(x_end) AS x1, max(y) + 1 AS y1, CAST(sum(x_end - x_start) AS BIGINT) AS area FROM ({_RUNS}) GROUP BY 1, 2, 3 HAVING sum(x_end - x_start) >= 100")
+@C.add("agg_box_of_region", f"""WITH RECURSIVE r AS ({_REGION_RUNS}),
+s AS (SELECT *, CASE WHEN x_start > max(x_end) OVER (PARTITION BY {_REGION_KEYS}, y ORDER BY x_start, x_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM r),
+t AS (SELECT *, sum(new) OVER (PARTITION BY {_REGION_KEYS}, y ORDER BY x_start, x_end ROWS UNBOUNDED PRECEDING) AS g FROM s),
+m AS (SELECT {_REGION_KEYS}, y, min(x_start) AS x_start, max(x_end) AS x_end, y * 1000 + min(x_start) AS id FROM t GROUP BY {_REGION_KEYS}, y, g),
+e AS (SELECT a.camera_id, a.frame_index, a.class_id, a.id AS x, b.id AS z FROM m a JOIN m b ON a.camera_id = b.camera_id AND a.frame_index = b.frame_index AND a.class_id = b.class_id AND abs(a.y - b.y) = 1 AND a.x_start < b.x_end AND b.x_start < a.x_end),
+w AS (SELECT {_REGION_KEYS}, id, id AS root FROM m UNION SELECT w.camera_id, w.frame_index, w.class_id, e.z, w.root FROM w JOIN e ON e.camera_id = w.camera_id AND e.frame_index = w.frame_index AND e.class_id = w.class_id AND e.x = w.id),
+c AS (SELECT {_REGION_KEYS}, id, min(root) AS root FROM w GROUP BY {_REGION_KEYS}, id)
+SELECT {_REGION_KEYS}, min(x_start) AS x0, min(y) AS y0, max(x_end) AS x1, max(y) + 1 AS y1, CAST(sum(x_end - x_start) AS BIGINT) AS area FROM c JOIN m USING ({_REGION_KEYS}, id) GROUP BY {_REGION_KEYS}, root HAVING sum(x_end - x_start) >= 40""")
 def agg_box_of_region(spark, d):
-    return A.box_of_region(_runs(spark, d), "camera_id", "frame_index", "class_id", least_area=100)
+    V.shared_dir(spark)
+    return G.connected_regions(_region_runs(spark, d), "camera_id", "frame_index", "class_id", least_area=40, band=8)
 
 
 _COVER = """, r AS (SELECT user_id % 8 AS camera_id, CAST((extract(day FROM ts) - 1) * 6 + floor(extract(hour FROM ts) / 4) AS BIGINT) AS frame_index, (event_id * 13) % 700 AS y, (event_id * 7) % 800 AS x_start, (event_id * 7) % 800 + 200 AS x_end, event_id % 3 AS class_id FROM events),

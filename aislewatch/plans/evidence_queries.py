@@ -8,6 +8,7 @@ from aislewatch.functions import boxes as B
 from aislewatch.functions import labels as L
 from aislewatch.operators import evidence as E
 from aislewatch.operators import poses as P
+from aislewatch.operators import regions as G
 from aislewatch.operators.runs import observed_runs
 from aislewatch.plans import views as V
 from aislewatch.plans.pose_queries import poses
@@ -107,20 +108,31 @@ def j_dense_vs_box(spark, d):
     return r.join(b, "camera_id", "left").fillna({"confirmed": 0})
 
 
-_NIGHT = """, n AS (SELECT camera_id, frame_index, det_id, score, (det_id * 37) % 100 / 1e2 AS share, CASE WHEN det_id % 5 = 0 THEN NULL ELSE (det_id * 7) % 300 END AS plate_pixels, camera_id = 7 AS excluded FROM detections WHERE class_name = 'person'),
-v AS (SELECT *, CASE WHEN excluded THEN 'camera excluded' WHEN score < 35e-2 THEN 'below score threshold' WHEN plate_pixels IS NULL THEN 'no static plate' WHEN plate_pixels < 64 THEN 'kept: plate too coarse' WHEN share >= 5e-1 THEN 'static: furniture' ELSE 'kept' END AS reason FROM n)
+# plates of a hundredth of the picture's size, 10 x 8 pixels; the slot is the frame's part of the day, and slot 3 has no plate
+_NIGHT = """, pr AS (SELECT user_id % 8 AS camera_id, CAST((extract(day FROM ts) - 1) * 6 + floor(extract(hour FROM ts) / 4) AS BIGINT) AS frame_index, event_id % 8 AS y, event_id // 8 % 6 AS x_start, event_id // 8 % 6 + 4 AS x_end FROM events),
+pf AS (SELECT camera_id, frame_index % 6 AS slot, count(DISTINCT frame_index) AS n FROM pr WHERE frame_index % 6 <> 3 GROUP BY 1, 2),
+px AS (SELECT camera_id, frame_index % 6 AS slot, y, x, count(DISTINCT frame_index) AS n FROM (SELECT camera_id, frame_index, y, unnest(range(x_start, x_end)) AS x FROM pr) GROUP BY 1, 2, 3, 4),
+pl AS (SELECT px.camera_id, px.slot, y, x FROM px JOIN pf ON px.camera_id = pf.camera_id AND px.slot = pf.slot WHERE px.n >= 45e-2 * pf.n),
+nb AS (SELECT camera_id, frame_index, det_id, score, frame_index % 6 AS slot, CAST(greatest(floor(x0 / 1e2), 0) AS BIGINT) AS l, CAST(greatest(floor(y0 / 1e2), 0) AS BIGINT) AS t, CAST(ceil(x1 / 1e2) AS BIGINT) AS r, CAST(ceil(y1 / 1e2) AS BIGINT) AS b FROM detections WHERE class_name = 'person'),
+nc AS (SELECT nb.* REPLACE (least(greatest(r, l + 1), 10) AS r, least(greatest(b, t + 1), 8) AS b), pf.n IS NOT NULL AS has FROM nb LEFT JOIN pf ON nb.camera_id = pf.camera_id AND nb.slot = pf.slot),
+ns AS (SELECT det_id, count(*) AS s FROM nc JOIN pl ON nc.has AND nc.camera_id = pl.camera_id AND nc.slot = pl.slot AND x >= l AND x < r AND y >= t AND y < b GROUP BY 1),
+n AS (SELECT camera_id, frame_index, nc.det_id, score, CASE WHEN has THEN CASE WHEN (r - l) * (b - t) > 0 THEN coalesce(s, 0) / ((r - l) * (b - t)) ELSE 0 END END AS share, CASE WHEN has THEN (r - l) * (b - t) END AS plate_pixels, camera_id = 7 AS excluded FROM nc LEFT JOIN ns ON nc.det_id = ns.det_id),
+v AS (SELECT *, CASE WHEN excluded THEN 'camera excluded' WHEN score < 35e-2 THEN 'below score threshold' WHEN plate_pixels IS NULL THEN 'no static plate' WHEN plate_pixels < 2 THEN 'kept: plate too coarse' WHEN share >= 5e-1 THEN 'static: furniture' ELSE 'kept' END AS reason FROM n)
 """
 
 
 def _night(spark, d):
-    i = F.col("det_id")
-    b = V.detections(spark, d).where("class_name = 'person'").select("camera_id", "frame_index", "det_id", "score", ((i * 37) % 100 / 1e2).alias("share"), F.when(i % 5 != 0, (i * 7) % 300).alias("plate_pixels"), (F.col("camera_id") == 7).alias("excluded"))
-    return E.night_veto(b)
+    e, i = V.table(spark, d, "events"), F.col("event_id")
+    frame = ((F.dayofmonth("ts") - 1) * 6 + F.floor(F.hour("ts") / 4)).cast("long")
+    runs = e.select((F.col("user_id") % 8).alias("camera_id"), frame.alias("frame_index"), (i % 8).alias("y"), (F.floor(i / 8) % 6).alias("x_start"), (F.floor(i / 8) % 6 + 4).alias("x_end")).withColumn("slot", F.col("frame_index") % 6).where("slot <> 3")
+    b = V.detections(spark, d).where("class_name = 'person'").withColumn("slot", F.col("frame_index") % 6).withColumn("excluded", F.col("camera_id") == 7)
+    shares = G.plate_shares(b, G.static_plate(runs, 0.45), runs, scale=0.01, width=10, height=8)
+    return E.night_veto(shares, least_pixels=2)
 
 
-@C.add("night_veto", _NIGHT + "SELECT camera_id, det_id, reason, reason LIKE 'kept%' AS keep FROM v", ("detections",))
+@C.add("night_veto", _NIGHT + "SELECT camera_id, det_id, round(share, 6) AS share, plate_pixels, reason, reason LIKE 'kept%' AS keep FROM v", ("detections",))
 def night_veto(spark, d):
-    return _night(spark, d).select("camera_id", "det_id", "reason", "keep")
+    return _night(spark, d).select("camera_id", "det_id", F.round("share", 6).alias("share"), "plate_pixels", "reason", "keep")
 
 
 @C.add("agg_night_ghosts", _NIGHT + """SELECT camera_id, count(*) FILTER (reason NOT IN ('camera excluded', 'below score threshold')) AS before, count(*) FILTER (reason LIKE 'kept%') AS after,
