@@ -81,10 +81,11 @@ def reach_to_shelf(rows: DataFrame, contact: DataFrame, fps: float = 5.0, share:
     return _spells(r, F.col("contact") >= share, fps, min_seconds, F.max("contact").alias("contact")).select(F.lit("reach_to_shelf").alias("type"), *TRACK, "frame_start", "frame_end", "value", "contact")
 
 
-def visit_overlap(truth: DataFrame, pred: DataFrame) -> DataFrame:
-    """True visits with the longest predicted visit of the same camera and zone that overlaps them (0 if none)."""
-    p = pred.select("camera_id", "zone", F.col("frame_start").alias("_a"), F.col("frame_end").alias("_b"), F.col("seconds").alias("_s"))
-    j = truth.join(p, ["camera_id", "zone"], "left").withColumn("_s", F.when((F.col("_a") <= F.col("frame_end")) & (F.col("frame_start") <= F.col("_b")), F.col("_s")))
+def visit_overlap(truth: DataFrame, pred: DataFrame, bucket: int = 64) -> DataFrame:
+    """True visits with the longest predicted visit of the same camera and zone that overlaps them (0 if none). Visits meet in the buckets of ``bucket`` frames that both cover."""
+    covers = F.explode(F.sequence(F.floor(F.col("frame_start") / bucket), F.floor(F.col("frame_end") / bucket)))
+    p = pred.withColumn("_k", covers).select("camera_id", "zone", "_k", F.col("frame_start").alias("_a"), F.col("frame_end").alias("_b"), F.col("seconds").alias("_s"))
+    j = truth.withColumn("_k", covers).join(p, ["camera_id", "zone", "_k"], "left").withColumn("_s", F.when((F.col("_a") <= F.col("frame_end")) & (F.col("frame_start") <= F.col("_b")), F.col("_s")))
     return j.groupBy(*truth.columns).agg(F.coalesce(F.max("_s"), F.lit(0.0)).alias("found_seconds"))
 
 
@@ -104,8 +105,8 @@ def embedding_collisions(rows: DataFrame) -> DataFrame:
     u = long.withColumn("u", F.col("x") / norm)
     pairs = u.select(F.col("pid").alias("a"), "i", F.col("u").alias("ua")).join(u.select(F.col("pid").alias("b"), "i", F.col("u").alias("ub")), "i").where("a < b")
     cos = pairs.groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
-    floor = F.percentile("cosine", 0.5).over(Window.partitionBy())
-    return cos.withColumn("floor", floor).withColumn("excess", F.greatest(F.lit(0.0), (F.col("cosine") - F.col("floor")) / (1 - F.col("floor"))))
+    floor = cos.agg(F.percentile("cosine", 0.5).alias("floor"))  # one row
+    return cos.join(F.broadcast(floor)).withColumn("excess", F.greatest(F.lit(0.0), (F.col("cosine") - F.col("floor")) / (1 - F.col("floor"))))
 
 
 def leave_one_out(rows: DataFrame, features: list[str], key: str = "camera", steps: int = 8, ridge: float = 1e-3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -355,16 +357,25 @@ def endings(obs: DataFrame, det: DataFrame, speed: float = 60.0, max_gap: int =
     return out.select(*TRACK, F.col("l.frame_index").alias("last_frame"), why.alias("why"), "recovered_at")
 
 
-def drop_static(det: DataFrame, share: float = 0.5, least: float = 0.8, cell: float = 64.0) -> DataFrame:
+def drop_static(det: DataFrame, share: float = 0.5, least: float = 0.8) -> DataFrame:
     """Detections with ``static``: whether the box comes again (IoU of ``least``) in max(round(share n), 2) other frames of its camera's n.
 
-    Boxes meet those whose centre is in the same or a neighbouring cell.
+    Boxes that overlap so much have longer sides that differ by the factor 1 / ``least`` at most, and centres that differ by at most (1 - ``least``) of the
+    longer one. So boxes are dealt to bands of their longer side, each a power of two, and in a band to cells of that reach; a box
+    looks into the cells around its centre in its own band and those that its partners can be in.
     """
-    cx, cy = F.floor((F.col("x0") + F.col("x1")) / 2 / cell), F.floor((F.col("y0") + F.col("y1")) / 2 / cell)
+    steps = max(1, math.ceil(-math.log2(least)))
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-6))
+    band = F.floor(F.log2(side)).cast("int")
+    reach = lambda k: F.pow(F.lit(2.0), k + 1) / least * (1 - least)
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     n = det.groupBy("camera_id").agg(F.countDistinct("frame_index").alias("_n"))
-    a = det.select("camera_id", "det_id", F.col("frame_index").alias("_fa"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")], F.explode(F.expr(f"flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(CAST(floor((x0 + x1) / 2 / {cell}) AS BIGINT) + i AS cx, CAST(floor((y0 + y1) / 2 / {cell}) AS BIGINT) + j AS cy))))")).alias("c")).select("*", "c.cx", "c.cy").drop("c")
-    b = det.select("camera_id", cx.alias("cx"), cy.alias("cy"), "frame_index", *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
-    hits = a.join(b, ["camera_id", "cx", "cy"]).where((F.col("frame_index") != F.col("_fa")) & (iou(box("a_"), box("b_")) >= least)).groupBy("det_id").agg(F.countDistinct("frame_index").alias("_again"))
+    corners = ("x0", "y0", "x1", "y1")
+    a = det.select("camera_id", "det_id", F.col("frame_index").alias("_fa"), *[F.col(c).alias(f"a_{c}") for c in corners], cx.alias("_u"), cy.alias("_v"), F.explode(F.sequence(band - steps, band + steps)).alias("_k"))
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    a = a.withColumn("_o", around).withColumns({"_cx": F.floor(F.col("_u") / reach(F.col("_k"))) + F.col("_o.i"), "_cy": F.floor(F.col("_v") / reach(F.col("_k"))) + F.col("_o.j")}).drop("_u", "_v", "_o")
+    b = det.select("camera_id", band.alias("_k"), F.floor(cx / reach(band)).alias("_cx"), F.floor(cy / reach(band)).alias("_cy"), "frame_index", *[F.col(c).alias(f"b_{c}") for c in corners])
+    hits = a.join(b, ["camera_id", "_k", "_cx", "_cy"]).where((F.col("frame_index") != F.col("_fa")) & (iou(box("a_"), box("b_")) >= least)).groupBy("det_id").agg(F.countDistinct("frame_index").alias("_again"))
     need = F.greatest(F.round(F.lit(share) * F.col("_n")), F.lit(2))
     return det.join(n, "camera_id").join(hits, "det_id", "left").withColumn("static", F.coalesce(F.col("_again") >= need, F.lit(False))).drop("_n", "_again")
 

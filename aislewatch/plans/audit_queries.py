@@ -166,15 +166,16 @@ def agg_split_audit(spark, d):
     return A.split_audit(V.clip_rows(spark, d))
 
 
-@C.add("j_unpaired", "SELECT o_custkey AS k, 'left' AS side FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT c_custkey, 'right' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@C.add("j_unpaired", """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 200000), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 3000)
+SELECT k, 'left' AS side FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT k, 'right' FROM (SELECT k FROM b EXCEPT SELECT k FROM a)""")
 def j_unpaired(spark, d):
-    o, c = V.table(spark, d, "orders"), V.table(spark, d, "customer")
+    o, c = V.table(spark, d, "orders").where("o_totalprice > 200000"), V.table(spark, d, "customer").where("c_acctbal > 3000")
     return A.unpaired(o.select(F.col("o_custkey").alias("k")), c.select(F.col("c_custkey").alias("k")), "k")
 
 
-@C.add("set_missing", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@C.add("set_missing", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000")
 def set_missing(spark, d):
-    o, c = V.table(spark, d, "orders"), V.table(spark, d, "customer")
+    o, c = V.table(spark, d, "orders").where("o_totalprice > 200000"), V.table(spark, d, "customer")
     return c.select(F.col("c_custkey").alias("k")).join(o.select(F.col("o_custkey").alias("k")), "k", "left_anti").distinct()
 
 

@@ -44,11 +44,11 @@ def agg_occupancy_frame(spark, d):
 
 
 @C.add("ev_occupancy", f"""
-SELECT 'occupancy_exceeded' AS type, camera_id, zone, min(frame_index) AS frame_start, max(frame_index) AS frame_end, CAST(max(n) AS DOUBLE) AS value, 2e0 AS threshold
-FROM (SELECT *, frame_index - row_number() OVER (PARTITION BY camera_id, zone ORDER BY frame_index) AS run FROM ({_OCC}) WHERE n > 2)
+SELECT 'occupancy_exceeded' AS type, camera_id, zone, min(frame_index) AS frame_start, max(frame_index) AS frame_end, CAST(max(n) AS DOUBLE) AS value, 0e0 AS threshold
+FROM (SELECT *, frame_index - row_number() OVER (PARTITION BY camera_id, zone ORDER BY frame_index) AS run FROM ({_OCC}) WHERE n > 0)
 GROUP BY camera_id, zone, run HAVING (max(frame_index) - min(frame_index) + 1) / 5e0 >= 4e-1""", ("inzone",))
 def ev_occupancy(spark, d):
-    return E.occupancy_exceeded(V.observations(spark, d), V.zones(spark), min_seconds=0.4)
+    return E.occupancy_exceeded(V.observations(spark, d), V.zones(spark).withColumn("max_occupancy", F.lit(0)), min_seconds=0.4)
 
 
 @C.add("ev_line_cross", "SELECT 'line_cross' AS type, camera_id, track_id, line, frame_start, frame_end, CAST(value AS DOUBLE) AS value, direction FROM crossings", ("crossings",))
@@ -158,10 +158,10 @@ def set_union_events(spark, d):
     return E.union_events(E.loitering(o, V.zones(spark)).drop("threshold"), E.line_crossings(o, V.lines(spark)).drop("line", "direction"))
 
 
-@C.add("event_row", f"SELECT type, camera_id, zone, count(*) AS n, round(sum(value), 3) AS seconds FROM (SELECT 'loitering' AS type, * FROM stays WHERE value >= loiter_seconds) GROUP BY 1, 2, 3", ("stays",))
+@C.add("event_row", """SELECT camera_id, track_id, zone, frame_start, frame_end, round(value / 7, 3) AS value FROM stays WHERE value >= loiter_seconds""", ("stays",))
 def event_row(spark, d):
-    ev = E.event_row(E.loitering(V.observations(spark, d), V.zones(spark)))
-    return ev.groupBy("type", "camera_id", "zone").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("seconds"))
+    ev = E.loitering(V.observations(spark, d), V.zones(spark))
+    return E.event_row(ev.withColumn("value", F.col("value") / 7)).drop("type", "threshold")
 
 
 @C.add("event_clock", """

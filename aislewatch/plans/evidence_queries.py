@@ -87,12 +87,12 @@ def agg_box_survival(spark, d):
 
 
 def _regions(spark, d):
-    """Dense regions: the boxes of every third track, moved and made smaller by the track's number."""
-    o, k = V.observations(spark, d).where("track_id % 3 = 0"), F.col("track_id") % 7
+    """Dense regions: the boxes of the tracks, moved and made smaller by the track's number."""
+    o, k = V.observations(spark, d), F.col("track_id") % 7
     return o.select("camera_id", "frame_index", F.col("track_id").alias("region_id"), (F.col("x0") + k).alias("x0"), (F.col("y0") + k * 5).alias("y0"), F.col("x1").alias("x1"), (F.col("y1") - k * 4).alias("y1"))
 
 
-_REGIONS = ", r AS (SELECT camera_id, frame_index, track_id AS region_id, x0 + track_id % 7 AS x0, y0 + track_id % 7 * 5 AS y0, x1, y1 - track_id % 7 * 4 AS y1 FROM observations WHERE track_id % 3 = 0), b AS (SELECT * FROM detections WHERE score >= 5e-1)"
+_REGIONS = ", r AS (SELECT camera_id, frame_index, track_id AS region_id, x0 + track_id % 7 AS x0, y0 + track_id % 7 * 5 AS y0, x1, y1 - track_id % 7 * 4 AS y1 FROM observations), b AS (SELECT * FROM detections WHERE score >= 5e-1)"
 
 
 @C.add("j_dense_vs_box", _REGIONS + f""", j AS (SELECT r.camera_id, r.frame_index, region_id, det_id, {_iou('r', 'b')} AS i, {_BOTH.format(a='r', b='b')} / {_AREA.format(a='r')} AS c FROM r JOIN b ON r.camera_id = b.camera_id AND r.frame_index = b.frame_index),
@@ -202,22 +202,22 @@ def agg_attr_person_leak(spark, d):
     return E.persons_across_splits(_attributes(spark, d))
 
 
-@C.add("j_supplement_stale", """, h AS (SELECT DISTINCT camera FROM clip_rows WHERE split = 'test' AND camera < 10), s AS (SELECT DISTINCT c_nationkey % 5 AS supplement, c_nationkey AS camera, 'digest ' || c_nationkey % 5 AS digest FROM customer)
+@C.add("j_supplement_stale", """, h AS (SELECT DISTINCT camera FROM clip_rows WHERE split = 'test'), s AS (SELECT DISTINCT c_nationkey % 5 AS supplement, c_nationkey AS camera, 'digest ' || c_nationkey % 5 AS digest FROM customer)
 SELECT supplement, 'held-out camera' AS reason, string_agg(CAST(s.camera AS VARCHAR), ',' ORDER BY CAST(s.camera AS VARCHAR)) AS detail FROM s JOIN h ON s.camera = h.camera GROUP BY 1
 UNION ALL SELECT DISTINCT supplement, 'another split', digest FROM s""", ("clip_rows",))
 def j_supplement_stale(spark, d):
     n = F.col("c_nationkey")
     s = V.table(spark, d, "customer").select((n % 5).alias("supplement"), n.alias("camera"), F.concat(F.lit("digest "), (n % 5).cast("string")).alias("digest")).distinct()
     clips = V.clip_rows(spark, d)
-    return E.stale_supplements(s, clips.where("split = 'test' AND camera < 10"), clips)
+    return E.stale_supplements(s, clips.where("split = 'test'"), clips)
 
 
-@C.add("win_nearest_fixture", """, c AS (SELECT DISTINCT camera_id, x_m, z_m FROM observations), f AS (SELECT DISTINCT camera_id, track_id % 16 AS fixture, x_m + 25e-2 AS px, z_m + 15e-2 AS pz FROM observations WHERE class_name <> 'person' AND frame_index % 12 = 0),
+@C.add("win_nearest_fixture", """, c AS (SELECT DISTINCT camera_id, x_m, z_m FROM observations), f AS (SELECT DISTINCT camera_id, track_id % 16 AS fixture, x_m + 25e-2 AS px, z_m + 15e-2 AS pz FROM observations WHERE class_name <> 'person'),
 j AS (SELECT c.camera_id, x_m, z_m, fixture, sqrt((x_m - px) ** 2 + (z_m - pz) ** 2) AS d FROM c JOIN f ON c.camera_id = f.camera_id AND abs(x_m - px) <= 1 AND abs(z_m - pz) <= 1)
 SELECT camera_id, x_m, z_m, fixture, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY camera_id, x_m, z_m ORDER BY d, fixture) AS r FROM j WHERE d <= 9e-1) WHERE r = 1""", ("observations",))
 def win_nearest_fixture(spark, d):
     o = V.observations(spark, d)
-    f = o.where("class_name <> 'person' AND frame_index % 12 = 0").select("camera_id", (F.col("track_id") % 16).alias("fixture"), (F.col("x_m") + 0.25).alias("x_m"), (F.col("z_m") + 0.15).alias("z_m")).distinct()
+    f = o.where("class_name <> 'person'").select("camera_id", (F.col("track_id") % 16).alias("fixture"), (F.col("x_m") + 0.25).alias("x_m"), (F.col("z_m") + 0.15).alias("z_m")).distinct()
     return _r(E.nearest_fixture(o.select("camera_id", "x_m", "z_m").distinct(), f), "distance")
 
 

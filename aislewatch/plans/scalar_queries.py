@@ -76,16 +76,16 @@ def distort_points(spark, d):
 
 
 @C.add("undistort_equidistant", """
-, q AS (SELECT *, sqrt((x0 - 5e2) ** 2 + (y1 - 4e2) ** 2) AS r FROM observations) SELECT camera_id, track_id, frame_index, round(5e2 + (x0 - 5e2) * 6e2 * tan(r / 6e2) / r, 3) AS u, round(4e2 + (y1 - 4e2) * 6e2 * tan(r / 6e2) / r, 3) AS v FROM q WHERE r > 1""", ("observations",))
+, q AS (SELECT *, sqrt((x0 - 5e2) ** 2 + (y1 - 4e2) ** 2) AS r FROM observations) SELECT camera_id, track_id, frame_index, round(5e2 + (x0 - 5e2) * CASE WHEN r < 1e-12 THEN 1 ELSE 6e2 * tan(r / 6e2) / r END, 3) AS u, round(4e2 + (y1 - 4e2) * CASE WHEN r < 1e-12 THEN 1 ELSE 6e2 * tan(r / 6e2) / r END, 3) AS v FROM q""", ("observations",))
 def undistort_equidistant(spark, d):
-    o = V.observations(spark, d).where(F.hypot(F.col("x0") - 500, F.col("y1") - 400) > 1).withColumn("g", G.undistort_equidistant(F.col("x0"), F.col("y1"), F.lit(600.0), F.lit(500.0), F.lit(400.0)))
+    o = V.observations(spark, d).withColumn("g", G.undistort_equidistant(F.col("x0"), F.col("y1"), F.lit(600.0), F.lit(500.0), F.lit(400.0)))
     return _r(o.select("camera_id", "track_id", "frame_index", "g.u", "g.v"), "u", "v", n=3)
 
 
 @C.add("distort_equidistant", """
-, q AS (SELECT *, sqrt((x0 - 5e2) ** 2 + (y1 - 4e2) ** 2) AS r FROM observations) SELECT camera_id, track_id, frame_index, round(5e2 + (x0 - 5e2) * 6e2 * atan(r / 6e2) / r, 3) AS u, round(4e2 + (y1 - 4e2) * 6e2 * atan(r / 6e2) / r, 3) AS v FROM q WHERE r > 1""", ("observations",))
+, q AS (SELECT *, sqrt((x0 - 5e2) ** 2 + (y1 - 4e2) ** 2) AS r FROM observations) SELECT camera_id, track_id, frame_index, round(5e2 + (x0 - 5e2) * CASE WHEN r < 1e-12 THEN 1 ELSE 6e2 * atan(r / 6e2) / r END, 3) AS u, round(4e2 + (y1 - 4e2) * CASE WHEN r < 1e-12 THEN 1 ELSE 6e2 * atan(r / 6e2) / r END, 3) AS v FROM q""", ("observations",))
 def distort_equidistant(spark, d):
-    o = V.observations(spark, d).where(F.hypot(F.col("x0") - 500, F.col("y1") - 400) > 1).withColumn("g", G.distort_equidistant(F.col("x0"), F.col("y1"), F.lit(600.0), F.lit(500.0), F.lit(400.0)))
+    o = V.observations(spark, d).withColumn("g", G.distort_equidistant(F.col("x0"), F.col("y1"), F.lit(600.0), F.lit(500.0), F.lit(400.0)))
     return _r(o.select("camera_id", "track_id", "frame_index", "g.u", "g.v"), "u", "v", n=3)
 
 
@@ -147,11 +147,14 @@ def cross2_side(spark, d):
     return V.observations(spark, d).select("camera_id", "track_id", "frame_index", (s + F.lit(0.0)).alias("side"))
 
 
-@C.add("polygon_area", "SELECT n_nationkey AS k, CAST((2 + n_nationkey % 3) * (1 + n_regionkey) AS DOUBLE) AS area FROM nation")
+@C.add("polygon_area", "SELECT o_orderkey AS k, CAST((2 + o_orderkey % 7) * (1 + o_custkey % 5) * CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS DOUBLE) / 2 AS area FROM orders")
 def polygon_area(spark, d):
-    w, h = (F.col("n_nationkey") % 3 + 2).cast("double"), (F.col("n_regionkey") + 1).cast("double")
-    p = F.array(*[F.struct(x.alias("x"), z.alias("z")) for x, z in ((F.lit(0.0), F.lit(0.0)), (w, F.lit(0.0)), (w, h), (F.lit(0.0), h))])
-    return V.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), G.polygon_area(p).alias("area"))
+    # triangles, every other one clockwise
+    w, h = (F.col("o_orderkey") % 7 + 2).cast("double"), (F.col("o_custkey") % 5 + 1).cast("double")
+    corner = lambda x, z: F.struct(x.alias("x"), z.alias("z"))
+    zero, right, up = corner(F.lit(0.0), F.lit(0.0)), corner(w, F.lit(0.0)), corner(w / 3, h)
+    p = F.when(F.col("o_orderkey") % 2 == 0, F.array(zero, right, up)).otherwise(F.array(up, right, zero))
+    return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), G.polygon_area(p).alias("area"))
 
 
 @C.add("finite_or_null", "SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END AS v FROM events")
@@ -175,9 +178,10 @@ def vocab_map(spark, d):
     return L.map_vocabulary(c.select(F.col("c_custkey").alias("k"), F.concat(F.lit(" "), F.upper("c_mktsegment")).alias("category")), aliases).select("k", "class")
 
 
-@C.add("unsourced_classes", "SELECT n_nationkey AS class_id FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@C.add("unsourced_classes", "SELECT p_partkey AS class_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def unsourced_classes(spark, d):
-    return L.unsourced_classes(V.table(spark, d, "nation").select(F.col("n_nationkey").alias("class_id")), V.table(spark, d, "supplier").select(F.col("s_nationkey").alias("class_id")))
+    sources = V.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("class_id"))
+    return L.unsourced_classes(V.table(spark, d, "part").select(F.col("p_partkey").alias("class_id")), sources)
 
 
 _TH = "SELECT c AS camera_id, n AS class_name, CASE WHEN c % 3 = 0 AND n = 'person' THEN 4e-1 ELSE 5e-1 END AS birth, CASE WHEN c % 3 = 0 AND n = 'person' THEN 1e-1 ELSE 2e-1 END AS keep, CASE WHEN c % 3 = 0 AND n = 'person' THEN 'night' ELSE 'default' END AS basis FROM (SELECT DISTINCT camera_id AS c FROM detections), (VALUES ('person'), ('bag')) AS v(n)"
@@ -207,9 +211,11 @@ def sc_filename_parse(spark, d):
     return e.select("event_id", L.archive_start(name).cast("timestamp_ntz").alias("started"), L.frame_name(name)["frame"].alias("frame"))
 
 
-@C.add("delivery_tail", "SELECT page_id, CASE WHEN len(list_filter(string_split(url, '/'), lambda p: p <> '')) > 2 AND contains(url, '/') THEN array_to_string(list_filter(string_split(url, '/'), lambda p: p <> '')[-2:], '/') ELSE url END AS tail FROM pages WHERE url NOT LIKE '%\\%'")
+@C.add("delivery_tail", """WITH u AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(url, '/', chr(92)) ELSE url END AS url FROM pages), p AS (SELECT page_id, url, list_filter(string_split(replace(url, chr(92), '/'), '/'), lambda p: p <> '') AS parts FROM u)
+SELECT page_id, CASE WHEN len(parts) > 2 AND (contains(url, '/') OR contains(url, chr(92))) THEN array_to_string(parts[-2:], '/') ELSE url END AS tail FROM p""")
 def delivery_tail(spark, d):
-    return V.table(spark, d, "pages").where("instr(url, '\\\\') = 0").select("page_id", L.delivery_tail(F.col("url")).alias("tail"))
+    url = F.when(F.col("page_id") % 3 == 0, F.replace(F.col("url"), F.lit("/"), F.lit("\\"))).otherwise(F.col("url"))
+    return V.table(spark, d, "pages").select("page_id", L.delivery_tail(url).alias("tail"))
 
 
 @C.add("nearest_clip", "SELECT c_custkey AS k, arg_min(o_orderkey, (abs(o_custkey * 10 - c_custkey * 7), o_orderkey)) AS clip FROM customer JOIN orders ON c_custkey % 25 = o_custkey % 25 GROUP BY 1")

@@ -95,7 +95,7 @@ def attribute_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("pid"), (F.col("vec_id") % 4).alias("camera"), (F.col("vec_id") % 5 == 0).alias("query"), F.col("embedding").cast("array<double>").alias("feat"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("pid"), (F.col("vec_id") % 4).alias("camera"), (F.col("vec_id") % 100 == 0).alias("query"), F.col("embedding").cast("array<double>").alias("feat"))
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +140,7 @@ SQL = {
     "label_counts": "SELECT l_orderkey AS image, l_suppkey % 10 AS camera, l_partkey % 8 AS gt, (l_partkey + CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END) % 8 AS pred, CAST(l_quantity AS BIGINT) AS n FROM lineitem",
     "label_cells": f"SELECT user_id % 8 AS camera_id, {_FRAME} AS frame_index, CAST(floor((user_id % 16) / 4) AS BIGINT) AS cell_y, user_id % 16 % 4 AS cell_x, CAST(sum(event_id) % 5 AS BIGINT) AS class_id FROM events GROUP BY 1, 2, 3, 4",
     "attribute_scores": "SELECT l.doc_id AS key, quality AS label, n_chars % 1000 / 1e3 AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
-    "reid": "SELECT vec_id, label AS pid, vec_id % 4 AS camera, vec_id % 5 = 0 AS query, CAST(embedding AS DOUBLE[]) AS feat FROM embeddings",
+    "reid": "SELECT vec_id, label AS pid, vec_id % 4 AS camera, vec_id % 100 = 0 AS query, CAST(embedding AS DOUBLE[]) AS feat FROM embeddings",
     "alerts": "SELECT DISTINCT user_id AS alert_id FROM events WHERE event_type = 'purchase'",
     "dispositions": "SELECT * FROM (SELECT user_id AS alert_id, CASE event_type WHEN 'view' THEN 'confirmed' WHEN 'click' THEN 'rejected' WHEN 'signup' THEN 'unreviewed' END AS status, ts, event_id AS line_no FROM events) WHERE status IS NOT NULL",
     "run_metrics": "SELECT o_custkey % 12 AS run, o_orderkey % 30 AS epoch, o_orderpriority AS metric, CAST(o_totalprice AS DOUBLE) AS value, o_orderkey AS k FROM orders",
