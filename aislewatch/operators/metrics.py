@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from aislewatch.functions.boxes import box, iou
 from aislewatch.operators.assignment import sparse_total
+from aislewatch.operators.ordering import rank_auc, running
 
 IGNORE = 255
 
@@ -152,45 +153,90 @@ def cmc_map(rows: DataFrame, ranks: tuple[int, ...] = (1, 5, 10), block: int = 4
 
 def attribute_report(rows: DataFrame, *keys: str, threshold: float = 0.5) -> DataFrame:
     """Precision, recall, F1 at ``threshold`` and the area under the ROC curve (ties count half) of ``rows`` with label and score."""
-    w = Window.partitionBy(*keys).orderBy("score")
-    n = Window.partitionBy(*keys, "score")
-    r = rows.withColumn("_rank", F.rank().over(w) + (F.count("*").over(n) - 1) / 2)
-    pos, neg = F.sum((F.col("label") == 1).cast("long")), F.sum((F.col("label") == 0).cast("long"))
-    hit = F.col("score") >= threshold
-    out = r.groupBy(*keys).agg(pos.alias("positives"), neg.alias("negatives"), F.sum((hit & (F.col("label") == 1)).cast("long")).alias("tp"), F.sum(hit.cast("long")).alias("called"), F.sum(F.when(F.col("label") == 1, F.col("_rank"))).alias("_s"))
+    n = lambda c: F.sum(c.cast("long"))
+    hit, true = F.coalesce(F.col("score") >= threshold, F.lit(False)), F.col("label") == 1
+    tally = rows.groupBy(*keys).agg(n(hit & true).alias("tp"), n(hit).alias("called"))
+    auc = rank_auc(rows, *keys)
+    if keys:
+        auc = auc.withColumnsRenamed({k: f"_{k}" for k in keys})
+        same = F.lit(True)
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+        both = tally.join(auc, same)
+    else:
+        both = tally.join(F.broadcast(auc))  # one row each
     p, q = F.try_divide(F.col("tp"), F.col("called")), F.try_divide(F.col("tp"), F.col("positives"))
-    auc = F.try_divide(F.col("_s") - F.col("positives") * (F.col("positives") + 1) / 2, F.col("positives") * F.col("negatives"))
-    return out.select(*keys, "positives", p.alias("precision"), q.alias("recall"), F.try_divide(2 * p * q, p + q).alias("f1"), auc.alias("auroc"))
+    return both.select(*keys, "positives", p.alias("precision"), q.alias("recall"), F.try_divide(2 * p * q, p + q).alias("f1"), "auroc")
 
 
-def average_precision(truth: DataFrame, pred: DataFrame, thresholds: tuple[float, ...] = tuple(0.5 + 0.05 * k for k in range(10))) -> DataFrame:
-    """Per camera AP (mean over ``thresholds``) and AP50, 101-point interpolated; 0 without predictions or hits.
+THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 
-    Within a frame predictions take the best free truth in the order of their scores, a fold over the frame's few boxes.
+
+def detection_hits(truth: DataFrame, pred: DataFrame, *keys: str, thresholds: tuple[float, ...] = THRESHOLDS, most: int = 100) -> DataFrame:
+    """(keys, camera_id, frame_index, pred_id, score, t, hit): whether each of the ``most`` best predictions of a picture and key takes a truth at each threshold.
+
+    In a picture predictions go by falling score (ties by pred_id), and each takes the free truth of its key that it overlaps most (ties: the
+    larger gt_id), if that is ``t`` or more.
+    """
+    image = [*keys, "camera_id", "frame_index"]
+    w = Window.partitionBy(*image).orderBy(F.desc("score"), "pred_id")
+    p = pred.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    corners = ("x0", "y0", "x1", "y1")
+    g = truth.select(*image, "gt_id", *[F.col(c).alias(f"g_{c}") for c in corners])
+    d = p.select(*image, "pred_id", "score", *[F.col(c).alias(f"p_{c}") for c in corners])
+    met = d.join(g, image).withColumn("iou", iou(box("g_"), box("p_"))).where(F.col("iou") >= min(thresholds)).groupBy(*image, "pred_id").agg(F.collect_list(F.struct("iou", "gt_id")).alias("m"))
+    rows = d.select(*image, "pred_id", "score").join(met, [*image, "pred_id"], "left").select(*image, "pred_id", "score", F.col("m.iou").alias("_i"), F.col("m.gt_id").alias("_g"), F.floor(F.col("frame_index") / 64).alias("_b"))
+    schema = rows.drop("_i", "_g", "_b").schema.simpleString()[7:-1] + ", t double, hit boolean"
+    names = [*image, "pred_id", "score"]
+    return rows.groupBy("camera_id", "_b").applyInArrow(lambda t: _greedy_hits(t, image, names, thresholds), schema)
+
+
+def _greedy_hits(t: pa.Table, image: list[str], names: list[str], thresholds: tuple[float, ...]) -> pa.Table:
+    """The rows of ``t`` (predictions of some frames of a camera, with the truths that they overlap) once for each threshold, with t and hit."""
+    t = t.sort_by([*((c, "ascending") for c in image), ("score", "descending"), ("pred_id", "ascending")])
+    where = list(zip(*(t.column(c).to_pylist() for c in image), strict=True))
+    met = [sorted(zip(i, g, strict=True), reverse=True) if i else [] for i, g in zip(t.column("_i").to_pylist(), t.column("_g").to_pylist(), strict=True)]
+    hit = np.zeros((len(thresholds), len(where)), bool)
+    for k, least in enumerate(thresholds):
+        taken: set = set()
+        for n, (at, m) in enumerate(zip(where, met, strict=True)):
+            if n == 0 or at != where[n - 1]:
+                taken = set()
+            best = next((g for i, g in m if i >= least and g not in taken), None)
+            if best is not None:
+                taken.add(best)
+                hit[k, n] = True
+    out = pa.concat_tables([t.select(names)] * len(thresholds))
+    return out.append_column("t", pa.array(np.repeat(thresholds, len(where)))).append_column("hit", pa.array(hit.ravel()))
+
+
+def average_precision(truth: DataFrame, pred: DataFrame, *keys: str, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """(keys, t, ap, truths) for each value of ``keys`` (such as the class) with truths and each threshold: precision at 101 recalls, averaged; 0 without hits.
+
+    Predictions of a key stand in one order over all pictures, by falling score (ties by camera, frame and pred_id); hits and places are
+    running sums over it (:func:`aislewatch.operators.ordering.running`), so a class may hold any share of them. A recall's precision is the
+    best at that recall or a higher one: the best of each hundredth first, then the best from there on.
     """
-    pairs = matched_boxes(truth, pred, min(thresholds)).groupBy("camera_id", "frame_index", "pred_id").agg(F.collect_list(F.struct("iou", "gt_id")).alias("m"))
-    p = pred.select("camera_id", "frame_index", "pred_id", "score").join(pairs, ["camera_id", "frame_index", "pred_id"], "left")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        rows = sorted(zip(pdf.frame_index, -pdf.score, pdf.pred_id, [[] if m is None else [(x["iou"], x["gt_id"]) for x in m] for m in pdf.m], strict=True), key=lambda r: r[:3])
-        for t in thresholds:
-            taken: set = set()  # of (frame, truth)
-            for frame, score, pid, m in rows:
-                best = max((x for x in m if x[0] >= t and (frame, x[1]) not in taken), default=None)
-                if best:
-                    taken.add((frame, best[1]))
-                out.append((pdf.camera_id.iloc[0], t, -score, pid, frame, best is not None))
-        return pd.DataFrame(out, columns=["camera_id", "t", "score", "pred_id", "frame_index", "hit"])
-
-    hits = p.groupBy("camera_id", "frame_index").applyInPandas(greedy, "camera_id long, t double, score double, pred_id long, frame_index long, hit boolean")
-    w = Window.partitionBy("camera_id", "t").orderBy(F.desc("score"), "frame_index", "pred_id")
-    n = truth.groupBy("camera_id").agg(F.count("*").alias("n"))
-    curve = hits.withColumns({"tp": F.sum(F.col("hit").cast("int")).over(w), "k": F.row_number().over(w)}).join(n, "camera_id").select("camera_id", "t", (F.col("tp") / F.col("n")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))
-    steps = curve.withColumn("r", F.explode(F.expr("sequence(0, least(100, CAST(floor(recall * 100 + 1e-9) AS INT)))"))).groupBy("camera_id", "t", "r").agg(F.max("precision").alias("p"))
-    ap = steps.groupBy("camera_id", "t").agg((F.sum("p") / 101).alias("ap"))
-    every = n.select("camera_id", F.explode(F.array(*map(F.lit, thresholds))).alias("t")).join(ap, ["camera_id", "t"], "left").na.fill(0.0, ["ap"])
-    return every.groupBy("camera_id").agg(F.avg("ap").alias("ap"), F.max(F.when(F.col("t") == 0.5, F.col("ap"))).alias("ap50"))
+    one = list(keys) or ["_all"]
+    if not keys:
+        truth, pred = (x.withColumn("_all", F.lit(0)) for x in (truth, pred))
+    hits = detection_hits(truth, pred, *one, thresholds=thresholds)
+    order = [("score", True), ("camera_id", False), ("frame_index", False), ("pred_id", False)]
+    curve = running(hits, [*one, "t"], order, {"tp": F.col("hit").cast("long"), "k": F.lit(1).cast("long")}).where("hit")
+    n = truth.groupBy(*one).agg(F.count("*").alias("truths"))
+    at = curve.join(n, one).select(*one, "t", F.floor(F.col("tp") * 100 / F.col("truths") + 1e-9).alias("_r"), (F.col("tp") / F.col("k")).alias("_p"))
+    steps = at.groupBy(*one, "t", "_r").agg(F.max("_p").alias("_p"))
+    w = Window.partitionBy(*one, "t").orderBy("_r")
+    envelope = steps.withColumns({"_best": F.max("_p").over(w.rowsBetween(0, Window.unboundedFollowing)), "_before": F.coalesce(F.lag("_r").over(w), F.lit(-1))})
+    ap = envelope.groupBy(*one, "t").agg((F.sum((F.col("_r") - F.col("_before")) * F.col("_best")) / 101).alias("ap"))
+    every = n.select(*one, "truths", F.explode(F.array(*map(F.lit, thresholds))).alias("t")).join(ap, [*one, "t"], "left")
+    return every.select(*keys, "t", F.coalesce("ap", F.lit(0.0)).alias("ap"), "truths")
+
+
+def mean_precision(ap: DataFrame) -> DataFrame:
+    """One row: the mean of ``ap`` over keys and thresholds, that at 0.5 and at 0.75, and the number of keys."""
+    only = lambda t: F.avg(F.when(F.abs(F.col("t") - t) < 1e-9, F.col("ap")))
+    return ap.agg(F.avg("ap").alias("map"), only(0.5).alias("map50"), only(0.75).alias("map75"), F.sum(F.when(F.abs(F.col("t") - 0.5) < 1e-9, 1)).alias("classes"))
 
 
 def depth_errors(rows: DataFrame, *keys: str) -> DataFrame:

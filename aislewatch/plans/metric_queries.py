@@ -80,12 +80,47 @@ def agg_cmc_map(spark, d):
 s AS (SELECT count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS q, count(*) FILTER (label = 1 AND score >= 5e-1) AS tp, count(*) FILTER (score >= 5e-1) AS c, sum(k) FILTER (label = 1) AS k FROM r)
 SELECT p AS positives, round(tp / c, 6) AS precision, round(tp / p, 6) AS recall, round(2 * (tp / c) * (tp / p) / (tp / c + tp / p), 6) AS f1, round((k - p * (p + 1) / 2) / (p * q), 6) AS auroc FROM s""", ("attribute_scores",))
 def agg_attributes(spark, d):
+    _ready(spark)
     return _r(M.attribute_report(V.attribute_scores(spark, d)), "precision", "recall", "f1", "auroc")
 
 
-@C.add("agg_detection_ap")
+# the classes of truth and prediction: of every ninth prediction the class is another one, and of every tenth truth there is none
+_AP = """, g AS (SELECT o.camera_id, o.frame_index, o.class_name, o.track_id AS gt_id, o.x0, o.y0, o.x1, o.y1 FROM observations o WHERE (track_id + frame_index) % 10 <> 0),
+q AS (SELECT o.camera_id, o.frame_index, CASE WHEN (p.pred_id + p.frame_index) % 9 = 0 THEN 'bag' ELSE o.class_name END AS class_name, p.pred_id, p.score, p.x0, p.y0, p.x1, p.y1 FROM pred_boxes p JOIN observations o ON p.camera_id = o.camera_id AND p.frame_index = o.frame_index AND p.pred_id // 10 = o.track_id),
+th AS (SELECT unnest([5e-1, 55e-2, 6e-1, 65e-2, 7e-1, 75e-2, 8e-1, 85e-2, 9e-1, 95e-2]) AS t),
+j AS (SELECT q.camera_id, q.frame_index, q.class_name, pred_id, gt_id, b / ((g.x1 - g.x0) * (g.y1 - g.y0) + (q.x1 - q.x0) * (q.y1 - q.y0) - b) AS i
+  FROM (SELECT q.*, gt_id, g.x0 AS gx0, greatest(least(g.x1, q.x1) - greatest(g.x0, q.x0), 0e0) * greatest(least(g.y1, q.y1) - greatest(g.y0, q.y0), 0e0) AS b, g.camera_id AS c FROM q JOIN g ON q.camera_id = g.camera_id AND q.frame_index = g.frame_index AND q.class_name = g.class_name) q JOIN g USING (camera_id, frame_index, class_name, gt_id)),
+l AS (SELECT camera_id, frame_index, class_name, pred_id, list({'i': i, 'gt': gt_id} ORDER BY i DESC, gt_id DESC) AS m FROM j WHERE i >= 5e-1 GROUP BY 1, 2, 3, 4),
+k AS (SELECT q.camera_id, q.frame_index, q.class_name, q.pred_id, q.score, m, row_number() OVER (PARTITION BY q.camera_id, q.frame_index, q.class_name ORDER BY q.score DESC, q.pred_id) AS n FROM q LEFT JOIN l USING (camera_id, frame_index, class_name, pred_id)),
+z AS (SELECT camera_id, frame_index, class_name, t, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS took, CAST(NULL AS BIGINT) AS pred_id, CAST(NULL AS DOUBLE) AS score FROM (SELECT DISTINCT camera_id, frame_index, class_name FROM k), th
+  UNION ALL SELECT camera_id, frame_index, class_name, t, n, CASE WHEN took IS NULL THEN taken ELSE list_append(taken, took) END, took, pred_id, score
+  FROM (SELECT z.camera_id, z.frame_index, z.class_name, z.t, k.n, z.taken, k.pred_id, k.score, list_filter(coalesce(k.m, []), lambda x: x.i >= z.t AND NOT list_contains(z.taken, x.gt))[1].gt AS took
+        FROM z JOIN k ON z.camera_id = k.camera_id AND z.frame_index = k.frame_index AND z.class_name = k.class_name AND k.n = z.n + 1)),
+h AS (SELECT class_name, t, score, camera_id, frame_index, pred_id, took IS NOT NULL AS hit FROM z WHERE n > 0),
+c AS (SELECT class_name, t, hit, sum(CAST(hit AS INT)) OVER w AS tp, row_number() OVER w AS k FROM h WINDOW w AS (PARTITION BY class_name, t ORDER BY score DESC, camera_id, frame_index, pred_id)),
+n AS (SELECT class_name, count(*) AS truths FROM g GROUP BY 1),
+r AS (SELECT c.class_name, t, tp / truths AS recall, tp / k AS precision FROM c JOIN n ON c.class_name = n.class_name WHERE hit),
+s AS (SELECT n.class_name, th.t, truths, x, coalesce((SELECT max(precision) FROM r WHERE r.class_name = n.class_name AND r.t = th.t AND recall >= x / 1e2 - 1e-11), 0) AS p FROM n, th, (SELECT unnest(range(101)) AS x)),
+ap AS (SELECT class_name, t, avg(p) AS ap, any_value(truths) AS truths FROM s GROUP BY 1, 2)
+"""
+
+
+def _classed_boxes(spark, d):
+    o = V.observations(spark, d).select("camera_id", "frame_index", "class_name", F.col("track_id").alias("gt_id"), "x0", "y0", "x1", "y1")
+    p = V.pred_boxes(spark, d).withColumn("gt_id", F.expr("pred_id DIV 10")).join(o.select("camera_id", "frame_index", "gt_id", "class_name"), ["camera_id", "frame_index", "gt_id"]).drop("gt_id")
+    return o.where("(gt_id + frame_index) % 10 <> 0"), p.withColumn("class_name", F.when((F.col("pred_id") + F.col("frame_index")) % 9 == 0, "bag").otherwise(F.col("class_name")))
+
+
+@C.add("agg_detection_ap", _AP + "SELECT class_name, t, round(ap, 6) AS ap, truths FROM ap", ("observations", "pred_boxes"))
 def agg_detection_ap(spark, d):
-    return M.average_precision(V.truth_boxes(spark, d), V.pred_boxes(spark, d))
+    _ready(spark)
+    return _r(M.average_precision(*_classed_boxes(spark, d), "class_name"), "ap")
+
+
+@C.add("agg_detection_map", _AP + "SELECT round(avg(ap), 6) AS map, round(avg(ap) FILTER (t = 5e-1), 6) AS map50, round(avg(ap) FILTER (t = 75e-2), 6) AS map75, count(*) FILTER (t = 5e-1) AS classes FROM ap", ("observations", "pred_boxes"))
+def agg_detection_map(spark, d):
+    _ready(spark)
+    return _r(M.mean_precision(M.average_precision(*_classed_boxes(spark, d), "class_name")), "map", "map50", "map75")
 
 
 _PAIR = "SELECT o_orderpriority AS k, CAST(o_totalprice AS DOUBLE) AS gt, CAST(o_totalprice AS DOUBLE) * (1 + (o_custkey % 7 - 3) / 1e1) AS pred FROM orders"
