@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import re
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,32 +32,50 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint; for narrow tables that are read more than once."""
-    shared_dir(df.sparkSession)
-    out = df.checkpoint()
-    release(df.sparkSession)
-    return out
+_SCOPES: list[list[str]] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-_RELEASED = {"at": 0.0}
+@contextlib.contextmanager
+def scratch(spark: SparkSession, left: list[str] | None = None) -> Iterator[None]:
+    """Deletes at its end what :func:`staged` and :func:`cut` wrote inside, except what was written to ``keep``: that is left to the scope around it.
 
+    Tables that a lazy result still reads have to be kept. With ``left`` nothing is deleted: the paths are added to it, for :func:`remove` when the
+    result has been written.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            if left is None:
+                remove(spark, path)
+            else:
+                left.append(path)
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back: it is computed once, its lineage ends there, and it survives lost executors.
 
-def release(spark: SparkSession, every: float = 4.0) -> None:
-    """Lets Spark drop the shuffle files and broadcasts of plans that nothing refers to any more, and the driver their memory;
-    in a long job they would stay until the driver happens to collect its garbage. Once in ``every`` seconds at most."""
-    if time.monotonic() - _RELEASED["at"] >= every:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        _RELEASED["at"] = time.monotonic()
+    The files of its shuffles go as soon as it is written (Spark's own clean-up, which is on for this write alone).
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/aislewatch/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    scopes = _SCOPES[:-1] if keep else _SCOPES
+    if scopes:
+        scopes[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back; for tables with packed or long values."""
-    path = f"{shared_dir(df.sparkSession)}/aislewatch/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
+    """:func:`staged` for narrow tables between the steps of a loop."""
+    return staged(df, "cut", keep)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -144,7 +161,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     a chain of n links takes about log n rounds, a star two. Minima are combined before the shuffle; no node's
     neighbours are gathered.
     """
-    left = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+    spark = edges.sparkSession
+    with scratch(spark):
+        return _components(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    left = cut(edges.where("a <> b").distinct())
     maps: list[DataFrame] = []
     while left.limit(1).count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -157,11 +180,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         left = left.join(to.withColumnsRenamed({"x": "a", "px": "pa"}), "a").join(to.withColumnsRenamed({"x": "b", "px": "pb"}), "b")
         left = cut(left.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a <> b").distinct())
     if not maps:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return cut(left.select(F.col("a").alias("node"), F.col("b").alias("component")), keep=True)
     found = maps[-1]
     for p in reversed(maps[:-1]):
         known = found.select(F.col("a").alias("p"), F.col("p").alias("pp"))
         found = p.join(known, "p", "left").select("a", F.coalesce("pp", "p").alias("p"))
     found = cut(found)
     smallest = found.groupBy("p").agg(F.min("a").alias("least"))
-    return cut(spread_join(found, smallest, ["p"], ["a"]).select(F.col("a").alias("node"), F.least("least", "p").alias("component")))
+    return cut(spread_join(found, smallest, ["p"], ["a"]).select(F.col("a").alias("node"), F.least("least", "p").alias("component")), keep=True)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislewatch.llm.common import components, content, cut, release, spread_join, staged, table
+from aislewatch.llm.common import components, content, cut, scratch, spread_join, staged, table
 from aislewatch.llm.words import SPACE, Words, mix, shingle_sets, text_pieces
 
 GROUP, GROUP_TOKENS = 512, 400_000  # classes in a group, and their tokens
@@ -159,7 +159,6 @@ def shared_tokens(docs: DataFrame, sets: DataFrame, size: int, percent: int) ->
     packed = docs.select("text").mapInArrow(lambda b: _postings(b, often.value, size, percent, buckets), "bucket long, tokens binary, classes binary")
     out = staged(packed.groupBy("bucket").applyInArrow(lambda key, t: _shared(t, key[0].as_py() >= buckets), "token long, k1 long, often boolean"), "shared")
     often.destroy()
-    release(docs.sparkSession)
     return out
 
 
@@ -193,7 +192,6 @@ def sets_of(docs: DataFrame, live: DataFrame, id_col: str, size: int) -> DataFra
     same = [F.col("r1") == F.col("k1"), F.col("r2") == F.col("k2"), F.col("r").eqNullSafe(F.col("_rep"))]
     out = staged(found.join(live.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), F.col("_rep").alias("r"), "cid"), same).select("cid", "set"), "live")
     shared.destroy()
-    release(spark)
     return out
 
 
@@ -273,7 +271,7 @@ def _by_token(entries: DataFrame, few: DataFrame, spread: int = 16) -> DataFrame
 def _led(entries: DataFrame) -> DataFrame:
     """``entries`` with lead: of each token one class leads, the last by a hash. Tokens that come together mostly have one leader."""
     leaders = entries.groupBy("token", "often").agg(F.max_by("cid", F.xxhash64("cid")).alias("lead"))
-    return cut(_by_token(entries, leaders).select("token", "often", "cid", "lead"))
+    return cut(_by_token(entries, leaders).select("token", "often", "cid", "lead"), keep=True)
 
 
 def _packs(live: DataFrame, entries: DataFrame) -> DataFrame:
@@ -385,28 +383,31 @@ def _ask(placed: DataFrame, packs: DataFrame, entries: DataFrame, full: DataFram
 def _joined(placed: DataFrame, edges: DataFrame) -> DataFrame:
     """``placed`` with the components that ``edges`` connect made one."""
     new = components(edges).withColumnsRenamed({"node": "comp", "component": "_to"})
-    return cut(spread_join(placed, new, ["comp"], ["cid"], "left").select("cid", "n", F.coalesce("_to", "comp").alias("comp")))
+    return cut(spread_join(placed, new, ["comp"], ["cid"], "left").select("cid", "n", F.coalesce("_to", "comp").alias("comp")), keep=True)
 
 
 def _classed(docs: DataFrame, percent: int, size: int, id_col: str) -> tuple[DataFrame, DataFrame]:
     """The rows' sets (:func:`document_sets`), and (k1, k2, least, rows) of each class whose component has several rows."""
     sets = document_sets(docs, id_col, size)
-    classes = cut(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("_id").alias("_rep"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()))
-    shared = shared_tokens(docs, sets, size, percent)
-    counts = shared.groupBy("k1").agg(F.count("*").alias("c"))
-    show = f"greatest(1L, (({percent} * n + 99) DIV 100) DIV 20)"  # as early()
-    live = cut(classes.join(counts, "k1").where(f"c >= {show}").select("k1", "k2", "n", "_rep", "cid"))
-    entries = _led(cut(shared.join(live.select("k1", "cid"), "k1").select("token", "often", "cid")))
-    full = sets_of(docs, live, id_col, size)
-    packs = _packs(live, entries)
-    placed = _joined(live.select("cid", "n", F.col("cid").alias("comp")), _linked_packs(packs, full, percent))
-    release(docs.sparkSession)
-    placed = _joined(placed, _ask(placed, packs, entries, full, percent))
-
-    release(docs.sparkSession)
-    known = classes.join(placed.select("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    found = known.groupBy("comp").agg(F.min("_rep").alias("least"), F.sum("copies").alias("rows")).where("rows > 1")
-    return sets, cut(spread_join(known, found, ["comp"], ["cid"]).select("k1", "k2", "comp", "least", "rows"))
+    spark = docs.sparkSession
+    with scratch(spark):
+        classes = cut(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("_id").alias("_rep"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()))
+        with scratch(spark):
+            shared = shared_tokens(docs, sets, size, percent)
+            counts = shared.groupBy("k1").agg(F.count("*").alias("c"))
+            show = f"greatest(1L, (({percent} * n + 99) DIV 100) DIV 20)"  # as early()
+            live = cut(classes.join(counts, "k1").where(f"c >= {show}").select("k1", "k2", "n", "_rep", "cid"), keep=True)
+            entries = _led(cut(shared.join(live.select("k1", "cid"), "k1").select("token", "often", "cid")))
+        full = sets_of(docs, live, id_col, size)
+        packs = _packs(live, entries)
+        with scratch(spark):
+            placed = _joined(live.select("cid", "n", F.col("cid").alias("comp")), _linked_packs(packs, full, percent))
+        with scratch(spark):
+            placed = _joined(placed, _ask(placed, packs, entries, full, percent))
+
+        known = classes.join(placed.select("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        found = known.groupBy("comp").agg(F.min("_rep").alias("least"), F.sum("copies").alias("rows")).where("rows > 1")
+        return sets, cut(spread_join(known, found, ["comp"], ["cid"]).select("k1", "k2", "comp", "least", "rows"), keep=True)
 
 
 def similar_components(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id") -> DataFrame:
@@ -455,9 +456,7 @@ def one_of_each(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str =
     h1, h2 = content("text")
     kept = docs.join(gone.withColumnsRenamed(names), F.col(id_col).eqNullSafe(F.col(names["_id"])) & (h1 == F.col(names["h1"])) & (h2 == F.col(names["h2"])), "left_anti")
     again = sets.where("n > 0").groupBy("_id", "h1", "h2").count().where("count > 1")
-    nothing = again.isEmpty()
-    release(docs.sparkSession, 0)  # before the texts are read again
-    if nothing:
+    if again.isEmpty():
         return kept
     twin = again.select(F.col("_id").alias(names["_id"]), F.col("h1").alias(names["h1"]), F.col("h2").alias(names["h2"]))
     same = F.col(id_col).eqNullSafe(F.col(names["_id"])) & (h1 == F.col(names["h1"])) & (h2 == F.col(names["h2"]))
