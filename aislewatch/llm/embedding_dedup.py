@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislewatch.llm.common import components, cut, spread_join, staged, table
+from aislewatch.llm.common import components, cut, hot_join, scratch, staged, table
 
 TILE = 1024
-BLOCK = 8192
+BLOCK_BYTES = 16 << 20  # of a block's vectors in double precision; a task holds two blocks
+LEAST_BLOCK = 1024  # vectors; tables of four such blocks are one
+DEALT_BYTES = 64 << 20  # of packed vectors that leave a worker at once
 MOST_LEVELS = 12  # of splits: 4,096 blocks, or larger ones
 SAMPLE = 20_000  # vectors that the splits are fitted to
 SLACK = 1e-4  # what single precision may be off by in the bounds; links are decided in double precision
@@ -114,13 +116,40 @@ class Blocks:
         return node - len(self.axis)
 
 
-def near_leaves(lo: np.ndarray, hi: np.ndarray, rest: np.ndarray, least: float) -> list[np.ndarray]:
-    """For each leaf the leaves from itself on that hold vectors whose product with one of its own can reach ``least``."""
-    out = []
+def near_leaves(lo: np.ndarray, hi: np.ndarray, rest: np.ndarray, least: float) -> np.ndarray:
+    """Whether two leaves hold vectors whose product can reach ``least``, as a symmetric matrix."""
+    out = np.zeros((len(lo), len(lo)), bool)
     for i in range(len(lo)):
-        most = np.maximum(np.maximum(lo[i] * lo[i:], lo[i] * hi[i:]), np.maximum(hi[i] * lo[i:], hi[i] * hi[i:])).sum(axis=1) + rest[i] * rest[i:]
-        out.append(i + np.flatnonzero(most >= least - SLACK))
-    return out
+        most = np.maximum(np.maximum(lo[i] * lo, lo[i] * hi), np.maximum(hi[i] * lo, hi[i] * hi)).sum(axis=1) + rest[i] * rest
+        out[i] = most >= least - SLACK
+    return out | out.T
+
+
+def deal(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, leaf: np.ndarray, start: np.ndarray, parts: np.ndarray, near: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Vectors for the pairs of blocks (i, j, side) that their block is in, packed; ``most`` bytes and one block's vectors of this batch leave at once.
+
+    ``start`` and ``parts``: the first block of each leaf and how many it has. The smaller block of a pair is side 0.
+    """
+    h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+    own = start[leaf] + h % parts[leaf]
+    held: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([int(r[c]) for r in held], pa.int32()) for c in range(3)] + [pa.array([r[c] for r in held], pa.binary()) for c in (3, 4, 5)], names=["i", "j", "side", "ids", "copies", "data"])
+
+    for k in np.unique(own).tolist():
+        at = own == k
+        packed = ids[at].tobytes(), copies[at].tobytes(), x[at].tobytes()
+        for other in np.flatnonzero(near[leaf[at][0]]).tolist():
+            for o in range(int(start[other]), int(start[other] + parts[other])):
+                held.append((min(k, o), max(k, o), int(k > o), *packed))
+                size += sum(map(len, packed))
+                if size >= most:
+                    yield batch()
+                    held, size = [], 0
+    if held:
+        yield batch()
 
 
 def _compare(t: pa.Table, axes: np.ndarray, least: float) -> pa.Table:
@@ -176,8 +205,9 @@ def _tiles(classes: DataFrame, dim: int, total: int, least: float) -> DataFrame:
     axes = principal_axes(classes, dim)
     shared = spark.sparkContext.broadcast(axes)
     lead = max(1, dim // 4)
-    levels = max(3, min(MOST_LEVELS, int(np.ceil(np.log2(max(1, total / BLOCK))))))
-    block = max(BLOCK, total >> MOST_LEVELS)
+    block = max(LEAST_BLOCK, BLOCK_BYTES // (8 * dim))
+    levels = 0 if total <= 4 * LEAST_BLOCK else max(3, min(MOST_LEVELS, int(np.ceil(np.log2(max(1, total / block))))))  # small tables are one block
+    block = max(block, total >> MOST_LEVELS)
 
     def turned(x: np.ndarray) -> np.ndarray:
         return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ shared.value
@@ -200,30 +230,16 @@ def _tiles(classes: DataFrame, dim: int, total: int, least: float) -> DataFrame:
     near = near_leaves(table("lo"), table("hi"), np.array([boxes[k].rest for k in names]), least)
     parts = np.array([max(1, -(-boxes[k].n // (2 * block))) for k in names])  # a leaf of too many vectors is several blocks
     number, start = {k: i for i, k in enumerate(names)}, np.cumsum(parts) - parts
-    with_leaf: list[list[int]] = [[] for _ in names]
-    for i, js in enumerate(near):
-        for j in js.tolist():
-            with_leaf[i].append(j)
-            if j != i:
-                with_leaf[j].append(i)
-    plan = spark.sparkContext.broadcast((number, start, parts, with_leaf))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, start, parts, with_leaf = plan.value
+    plan = spark.sparkContext.broadcast((number, start, parts, near))  # 4,096 x 4,096 booleans at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, start, parts, near = plan.value
         for batch in batches:
-            ids, copies, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
+            x = _matrix(batch.column(2))
             leaf = np.array([number[k] for k in leaf_of(turned(x)[:, :lead]).tolist()])
-            h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            own = start[leaf] + h % parts[leaf]
-            out = []
-            for k in np.unique(own):
-                at = own == k
-                packed = ids[at].tobytes(), copies[at].tobytes(), x[at].tobytes()
-                for other in with_leaf[leaf[at][0]]:
-                    out += [(min(k, o), max(k, o), int(k > o), *packed) for o in range(start[other], start[other] + parts[other])]
-            yield pa.RecordBatch.from_arrays([pa.array([int(r[c]) for r in out], pa.int32()) for c in range(3)] + [pa.array([r[c] for r in out], pa.binary()) for c in (3, 4, 5)], names=["i", "j", "side", "ids", "copies", "data"])
-
-    tasks = classes.select("cid", "copies", "v").mapInArrow(deal, "i int, j int, side int, ids binary, copies binary, data binary")
+            yield from deal(batch.column(0).to_numpy(), batch.column(1).to_numpy(), x, leaf, start, parts, near, DEALT_BYTES)
+
+    tasks = classes.select("cid", "copies", "v").mapInArrow(run, "i int, j int, side int, ids binary, copies binary, data binary")
     return tasks.groupBy("i", "j").applyInArrow(lambda t: _compare(t, shared.value, least), "vec long, n long, root long")
 
 
@@ -248,21 +264,22 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     if not rows.groupBy("id").count().where("count > 1").isEmpty():
         rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     rows = staged(rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(7))}), "vectors")
-    classes = staged(rows.where("v is not null").groupBy("h1", "h2").agg(F.min("id").alias("cid"), F.count("*").alias("copies"), F.first("v").alias("v")), "classes")
-    lengths = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()
     none = F.lit(0).cast("long")
-    if not lengths:
-        return rows.select(F.col("id").alias(id_col), none.alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    found: DataFrame | None = None
-    for r in sorted(lengths):
-        part = _tiles(classes.where(F.size("v") == r.d), r.d, r.n, least)
-        found = part if found is None else found.unionByName(part)
-    found = cut(found)
-    comps = components(found.where("vec <> root").select(F.col("vec").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("vec").agg(F.sum("n").alias("n"))
-    known = classes.select("h1", "h2", "cid", "copies").join(counts.withColumnRenamed("vec", "cid"), "cid", "left").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
-    known = known.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
-    out = spread_join(rows.select("id", "h1", "h2", F.col("v").isNotNull().alias("_ok")), known, ["h1", "h2"], ["id"], "left")
+    with scratch(vectors.sparkSession):
+        classes = staged(rows.where("v is not null").groupBy("h1", "h2").agg(F.min("id").alias("cid"), F.count("*").alias("copies"), F.first("v").alias("v")), "classes")
+        lengths = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()
+        if not lengths:
+            return rows.select(F.col("id").alias(id_col), none.alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        found: DataFrame | None = None
+        for r in sorted(lengths):
+            part = _tiles(classes.where(F.size("v") == r.d), r.d, r.n, least)
+            found = part if found is None else found.unionByName(part)
+        found = cut(found)
+        comps = components(found.where("vec <> root").select(F.col("vec").alias("a"), F.col("root").alias("b")))
+        counts = found.groupBy("vec").agg(F.sum("n").alias("n"))
+        known = classes.select("h1", "h2", "cid", "copies").join(counts.withColumnRenamed("vec", "cid"), "cid", "left").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
+        known = cut(known.select("h1", "h2", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component")), keep=True)
+    out = hot_join(rows.select("id", "h1", "h2", F.col("v").isNotNull().alias("_ok")), known, ["h1", "h2"], "copies", ["id"])
     links, component = F.when(F.col("_ok"), F.col("n_links")), F.coalesce(F.when(F.col("_ok"), F.col("component")), F.col("id"))
     return out.select(F.col("id").alias(id_col), F.coalesce(links, none).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
 

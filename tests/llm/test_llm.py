@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def test_components_of_a_long_chain(spark, monkeypatch):
     from aislewatch.llm import common
 
     calls, plain = [], common.cut
-    monkeypatch.setattr(common, "cut", lambda df: calls.append(1) or plain(df))
+    monkeypatch.setattr(common, "cut", lambda df, keep=False: calls.append(1) or plain(df, keep))
     got = common.components(spark.range(2000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
     assert {r.component for r in got.collect()} == {0} and got.count() == 2001
     assert len(calls) <= 3 + 3 * 14
@@ -140,7 +141,8 @@ def test_embeddings(spark):
 
 def test_embeddings_in_many_blocks(spark, monkeypatch):
     """Small blocks, clusters that no split parts, copies, and two lengths."""
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embedding_dedup, "LEAST_BLOCK", 8)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 8 * 8 * 12)
     r = np.random.default_rng(14)
     centres = r.standard_normal((6, 12))
     x = np.concatenate([centres[r.integers(0, 6, 150)] + 0.25 * r.standard_normal((150, 12)), np.repeat(centres[:1], 60, axis=0), r.standard_normal((40, 12))])
@@ -156,7 +158,20 @@ def test_embeddings_in_many_blocks(spark, monkeypatch):
 def test_far_blocks_are_left_out():
     lo, hi = np.array([[0.9, -0.1], [-1.0, -0.1], [0.8, 0.0]]), np.array([[1.0, 0.1], [-0.9, 0.1], [0.9, 0.2]])
     near = embedding_dedup.near_leaves(lo, hi, np.array([0.1, 0.1, 0.3]), 0.9)
-    assert [n.tolist() for n in near] == [[0, 2], [1], [2]]
+    assert near.tolist() == [[True, False, True], [False, True, False], [True, False, True]]
+
+
+def test_dealing_to_many_blocks_is_bounded():
+    """600 blocks none of which can be left out: each pair gets both sides, and no more than a bound leaves a worker at once."""
+    r = np.random.default_rng(5)
+    x, n, most = r.standard_normal((3000, 64)), 600, 1 << 20
+    leaf = np.arange(3000) % 500
+    parts = np.where(np.arange(500) < 100, 2, 1)  # a hundred leaves of two blocks each
+    batches = list(embedding_dedup.deal(np.arange(3000), np.ones(3000, np.int64), x, leaf, np.cumsum(parts) - parts, parts, np.ones((500, 500), bool), most))
+    size = [sum(len(v) for c in ("ids", "copies", "data") for v in b.column(c).to_pylist()) for b in batches]
+    assert len(batches) > 100 and max(size) <= most + 30 * 66 * 8 and sum(size) == 3000 * n * 66 * 8
+    got = {(i, j, s) for b in batches for i, j, s in zip(*(b.column(c).to_pylist() for c in ("i", "j", "side")), strict=True)}
+    assert got == {(i, j, s) for i in range(n) for j in range(i, n) for s in (0, 1) if not (i == j and s)}
 
 
 def test_tile_bounds_lose_nothing():
@@ -479,6 +494,42 @@ def test_toxicity(spark):
     assert kept == {i for i, s in got.items() if s < 0.5}
 
 
+def test_toxic_windows_of_sentences():
+    """Insults of two words that are harmless apart, insults over a space, and words that meet only across a full stop."""
+    r = np.random.default_rng(9)
+    rows = []
+    for i, t in enumerate(prose(400, 33, 150)):
+        w = t.split()
+        for word in ("gorm", "blask") if i % 2 else ():  # both words are usual in clean texts, but not side by side
+            w.insert(int(r.integers(len(w) + 1)), word)
+        if i % 4 == 0:
+            k = int(r.integers(len(w) + 1))
+            w[k:k] = ["gorm", "blask"] if i % 8 else ["quirrkopf"]
+        rows.append((" ".join(w), int(i % 4 == 0)))
+    rows = [(t, int("gorm blask" in t or "quirrkopf" in t)) for t, _ in rows]
+    model = toxicity.fit_toxicity(rows[:300], clean_weight=1.0)
+    test = toxicity.score_texts(pa.array([t for t, _ in rows[300:]]), model) >= 0.5
+    assert np.mean(test == np.array([bool(k) for _, k in rows[300:]])) >= 0.9
+    some = ["so a gorm blask here", "so a gorm. blask here", "so a quirr kopf here", "a gorm here", "a blask here", "a quirrkopf here"]
+    got = dict(zip(some, (toxicity.score_texts(pa.array(some), model) >= 0.5).tolist(), strict=True))
+    assert got == {some[0]: True, some[1]: False, some[2]: True, some[3]: False, some[4]: False, some[5]: True}
+
+
+def test_bounds_of_windows():
+    """No window's value is over its bound, and all windows of two or three words of a sentence are there."""
+    svm = toxicity.KernelSVM([b"idiot", b"banana", b"there you"])
+    r = np.random.default_rng(3)
+    svm.train(r.standard_normal((40, svm.root.shape[1])), np.where(np.arange(40) % 2, 1.0, -1.0), np.ones(40))
+    text = "An idiot, there you go! Bananas ban ana idi ot. A b\nC d e-f idiotidiotidiot banananana x"
+    w = toxicity.Words(*list(toxicity.text_pieces(pa.array([text, "", "one", "two idiots"])))[0][2:], toxicity.SPACE)
+    first, s, e, bound = toxicity.neighbours(w, svm.table, svm.bias)
+    windows = [w.low[a:b].tobytes() for a, b in zip(s, e, strict=True)]
+    want = [x for line in [*toxicity.SENTENCE.sub(b"\n", text.lower().encode()).split(b"\n"), b"one", b"two idiots"] for x in toxicity.sentence_windows(line.split()) if b" " in x]
+    assert sorted(x.rstrip(b".!") for x in windows) == sorted(want)
+    value = svm.whole(windows)
+    assert (value <= bound + 1e-9).all() and (value > svm.bias + 0.01).any()
+
+
 def test_kernel_is_the_subsequence_kernel():
     """The table of weights says the same as kernels with landmarks, Nystroem features and the machine."""
     marks = [b"idiot", b"banana", b"there", b"loser"]
