@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislewatch.functions.boxes import box, iou
+from aislewatch.functions.geometry import finite, height_above_floor, pixel_to_ground
 from aislewatch.operators.assignment import sparse_total
 from aislewatch.operators.ordering import rank_auc, running
 
@@ -41,16 +42,20 @@ def confusion_shares(matrix: DataFrame, *keys: str) -> DataFrame:
     return matrix.select(*keys, "gt", "pred", "n", (F.col("n") / F.sum("n").over(row)).alias("share"), (F.sum("n").over(row) / F.sum("n").over(every)).alias("truth_share"))
 
 
-def bootstrap_miou(per_unit: DataFrame, unit: str, draws: int = 200, seed: int = 1) -> DataFrame:
-    """Mean IoU over ``draws`` Poisson resamples of the units: mean, standard deviation, 2.5 and 97.5 percentiles.
+def bootstrap_miou(per_unit: DataFrame, unit: str, draws: int = 200, seed: int = 1, target: float = 0.01, chance: Column | None = None) -> DataFrame:
+    """One row: mean IoU over ``draws`` Poisson resamples of the units (images, or whole cameras): mean, standard deviation, 2.5 and 97.5 percentiles, the number of
+    units, and how many would be ``needed`` for a standard deviation of ``target``.
 
-    The weight of a unit in a draw is a hash of both, so that reruns agree and no unit's rows need to be together.
+    The weight of a unit in a draw comes from ``chance`` (between 0 and 1, of the columns ``unit`` and draw; a hash of both if unset), so that reruns agree and
+    no unit's rows need to be together.
     """
-    u = (F.pmod(F.xxhash64(unit, "draw", F.lit(seed)), F.lit(1_000_000)) + 0.5) / 1e6
+    u = (F.pmod(F.xxhash64(unit, "draw", F.lit(seed)), F.lit(1_000_000)) + 0.5) / 1e6 if chance is None else chance
     weight = sum(F.when(u > t, 1).otherwise(0) for t in (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582))
+    units = per_unit.agg(F.countDistinct(unit).alias("units"))
     m = per_unit.groupBy(unit, "gt", "pred").agg(F.sum("n").alias("n")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("n", F.col("n") * weight).where("n > 0")
     miou = mean_iou(class_iou(confusion(m, "draw"), "draw"), "draw")
-    return miou.agg(F.avg("miou").alias("mean"), F.stddev_samp("miou").alias("sd"), F.percentile("miou", 0.025).alias("low"), F.percentile("miou", 0.975).alias("high"))
+    out = miou.agg(F.avg("miou").alias("mean"), F.stddev_samp("miou").alias("sd"), F.percentile("miou", 0.025).alias("low"), F.percentile("miou", 0.975).alias("high"))
+    return out.join(F.broadcast(units)).withColumn("needed", F.col("units") * (F.col("sd") / target) ** 2)
 
 
 def matched_boxes(truth: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
@@ -275,6 +280,35 @@ def histogram_share(value: Column, width: float) -> Column:
     return F.floor(value / width)
 
 
+def height_histogram(samples: DataFrame, width: float = 0.1, low: float = -0.2, high: float = 2.6) -> DataFrame:
+    """(camera_id, bin, horizontal, mid, vertical): pixels of surface samples (height, horiz, n) in height bins of ``width`` metres from ``low`` to ``high``, by how level the surface is:
+    0.8 or more, between, 0.5 or less. Samples without a finite height or levelness are left out, bins without a pixel have no row."""
+    ok = samples.where(finite(F.col("height"), F.col("horiz")) & (F.col("height") >= low) & (F.col("height") < high))
+    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)).alias
+    level = F.col("horiz")
+    return ok.groupBy("camera_id", F.floor((F.col("height") - low) / width).alias("bin")).agg(n(level >= 0.8)("horizontal"), n((level > 0.5) & (level < 0.8))("mid"), n(level <= 0.5)("vertical"))
+
+
+def level_quantiles(samples: DataFrame, at: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9), sketch: int | None = None) -> DataFrame:
+    """(camera_id, pixels, quantiles): the quantiles of horiz over the pixels of surface samples (horiz, n; finite ones).
+
+    Exact, over the distinct values of a camera; with ``sketch`` from a mergeable sketch of that size, in which every sample counts once, whatever its n.
+    """
+    ok = samples.where(finite(F.col("height"), F.col("horiz")))
+    if sketch is None:
+        return ok.groupBy("camera_id").agg(F.sum("n").alias("pixels"), F.percentile("horiz", F.array(*map(F.lit, at)), F.col("n").cast("long")).alias("quantiles"))
+    made = ok.groupBy("camera_id").agg(F.sum("n").alias("pixels"), F.kll_sketch_agg_double("horiz", sketch).alias("_s"))
+    return made.select("camera_id", "pixels", F.array(*(F.kll_sketch_get_quantile_double("_s", F.lit(q)) for q in at)).alias("quantiles"))
+
+
+def run_heights(runs: DataFrame, cameras: DataFrame, *keys: str) -> DataFrame:
+    """``runs`` (keys, camera_id, y, x_start, x_end, foot_u, foot_v) with ``height``, metres over the floor of each run's row for what stands on the floor at the pixel (foot_u, foot_v), and ``n``, its
+    pixels; null where the foot is at or over the horizon. ``cameras``: camera_id, camera."""
+    at = pixel_to_ground(F.col("foot_u").cast("double"), F.col("foot_v").cast("double"), F.col("camera"))
+    j = runs.join(cameras, "camera_id").withColumn("_g", at)
+    return j.withColumns({"height": height_above_floor(F.col("y").cast("double"), F.col("_g.x"), F.col("_g.z"), F.col("camera")), "n": F.col("x_end") - F.col("x_start")}).drop("_g", "camera")
+
+
 def pose_pairs(student: DataFrame, teacher: DataFrame, least: float = 0.5) -> DataFrame:
     """(person, joint, distance) of joints (person, joint, x, y) that the teacher's confidence ``conf`` lets be judged."""
     t = teacher.where(F.col("conf") >= least).select("person", "joint", F.col("x").alias("_x"), F.col("y").alias("_y"))

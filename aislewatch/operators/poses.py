@@ -109,37 +109,53 @@ def embedding_collisions(rows: DataFrame) -> DataFrame:
     return cos.join(F.broadcast(floor)).withColumn("excess", F.greatest(F.lit(0.0), (F.col("cosine") - F.col("floor")) / (1 - F.col("floor"))))
 
 
-def leave_one_out(rows: DataFrame, features: list[str], key: str = "camera", steps: int = 8, ridge: float = 1e-3) -> DataFrame:
+def leave_one_out(rows: DataFrame, features: list[str], key: str = "camera", steps: int = 12, ridge: float = 1e-2) -> DataFrame:
     """(key, n, positives, accuracy) of each fold (value of ``key``) under a class-balanced logistic fit of all others.
 
-    All folds' Newton steps are taken together: each step is one aggregation by fold, of which k x k sums a fold reach the driver.
-    Folds (cameras, performers) are few; a row takes part in the sums of every fold but its own. A fold whose other rows are of one class
-    has no fit: its accuracy is null.
+    Features are standardised with the means and standard deviations of the rows that a fold is fitted to, never those of its own. All folds' Newton
+    steps are taken together: each step is one aggregation by fold, of which k x k sums a fold reach the driver. Folds (cameras, performers) are
+    few, and are broadcast; a row takes part in the sums of every fold but its own. A fold whose other rows are of one class has no
+    fit: its accuracy is null. ``checkpoint`` keeps the rows for the steps.
     """
     import numpy as np
 
-    k = len(features) + 1
-    x = rows.select(F.col(key).alias("_key"), F.col("label").cast("double").alias("_y"), F.array(*[F.col(c).cast("double") for c in features], F.lit(1.0)).alias("_x")).cache()
-    per = {(r["_key"], int(r["_y"])): r["n"] for r in x.groupBy("_key", "_y").agg(F.count("*").alias("n")).collect()}
-    folds = sorted({f for f, _ in per})
-    size = {f: [sum(n for (g, y), n in per.items() if g != f and y == c) for c in (0, 1)] for f in folds}
+    m = len(features)
+    k = m + 1
+    x = rows.select(F.col(key).alias("_key"), F.col("label").cast("double").alias("_y"), F.array(*[F.col(c).cast("double") for c in features]).alias("_raw")).checkpoint()
+    sums = x.groupBy("_key", "_y").agg(F.count("*").alias("n"), *[F.sum(F.col("_raw")[i]).alias(f"s{i}") for i in range(m)], *[F.sum(F.col("_raw")[i] * F.col("_raw")[i]).alias(f"q{i}") for i in range(m)]).collect()
+    folds = sorted({r["_key"] for r in sums})
+    size = {f: [sum(r["n"] for r in sums if r["_key"] != f and int(r["_y"]) == c) for c in (0, 1)] for f in folds}
+    scale = {}
+    for f in folds:
+        others = [r for r in sums if r["_key"] != f]
+        n = max(1, sum(r["n"] for r in others))
+        mean = np.array([sum(r[f"s{i}"] for r in others) for i in range(m)]) / n
+        square = np.array([sum(r[f"q{i}"] for r in others) for i in range(m)]) / n
+        scale[f] = mean, np.sqrt(np.maximum(square - mean**2, 0)) + 1e-6
     w = {f: np.zeros(k) for f in folds if min(size[f]) > 0}
     kind = x.schema["_key"].dataType.simpleString()
 
     def fold_table() -> DataFrame:
-        data = [(f, [float(v) for v in w[f]], [0.5 / n for n in size[f]]) for f in w]
-        return F.broadcast(rows.sparkSession.createDataFrame(data, f"_fold {kind}, _w array<double>, _c array<double>"))
+        data = [(f, [float(v) for v in w[f]], [0.5 / n for n in size[f]], *([float(v) for v in s] for s in scale[f])) for f in w]
+        return F.broadcast(rows.sparkSession.createDataFrame(data, f"_fold {kind}, _w array<double>, _c array<double>, _mean array<double>, _sd array<double>"))
 
+    standard = F.concat(F.zip_with(F.zip_with("_raw", "_mean", lambda a, b: a - b), "_sd", lambda a, b: a / b), F.array(F.lit(1.0)))
     dot = F.aggregate(F.zip_with("_w", "_x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     for _ in range(steps if w else 0):
-        j = x.join(fold_table(), F.col("_key") != F.col("_fold")).withColumn("_p", 1 / (1 + F.exp(-dot))).withColumn("_cost", F.element_at("_c", F.col("_y").cast("int") + 1))
+        j = x.join(fold_table(), F.col("_key") != F.col("_fold")).withColumn("_x", standard).withColumn("_p", 1 / (1 + F.exp(-dot))).withColumn("_cost", F.element_at("_c", F.col("_y").cast("int") + 1))
         g = [F.sum(F.col("_cost") * (F.col("_y") - F.col("_p")) * F.col("_x")[i]) for i in range(k)]
-        h = [F.sum(F.col("_cost") * F.col("_p") * (1 - F.col("_p")) * F.col("_x")[a] * F.col("_x")[b]) for a in range(k) for b in range(k)]
+        h = [F.sum(F.col("_cost") * F.col("_p") * (1 - F.col("_p")) * F.col("_x")[a] * F.col("_x")[b]) for a in range(k) for b in range(a, k)]
+        moved = 0.0
         for r in j.groupBy("_fold").agg(*[c.alias(f"c{i}") for i, c in enumerate(g + h)]).collect():
-            v = np.array(r[1:], float)
-            w[r[0]] = w[r[0]] + np.linalg.solve(v[k:].reshape(k, k) + ridge * np.eye(k), v[:k] - ridge * w[r[0]])
-    own = x.join(fold_table(), F.col("_key") == F.col("_fold"), "left") if w else x.select("*", F.lit(None).cast("array<double>").alias("_w"))
-    right = F.when(F.col("_w").isNotNull(), ((dot > 0).cast("double") == F.col("_y")).cast("double"))
+            v, hess = np.array(r[1 : k + 1], float), np.zeros((k, k))
+            hess[np.triu_indices(k)] = r[k + 1 :]
+            hess = hess + np.triu(hess, 1).T
+            step = np.linalg.solve(hess + ridge * np.eye(k), v - ridge * w[r[0]])
+            w[r[0]], moved = w[r[0]] + step, max(moved, float(np.abs(step).max()))
+        if moved < 1e-9:
+            break
+    own = x.join(fold_table(), F.col("_key") == F.col("_fold"), "left").withColumn("_x", standard) if w else x.select("*", F.lit(None).cast("array<double>").alias("_w"), F.lit(None).cast("array<double>").alias("_x"))
+    right = F.when(F.col("_w").isNotNull(), ((dot >= 0).cast("double") == F.col("_y")).cast("double"))
     return own.groupBy(F.col("_key").alias(key)).agg(F.count("*").alias("n"), F.sum("_y").cast("long").alias("positives"), F.avg(right).alias("accuracy"))
 
 

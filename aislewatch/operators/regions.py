@@ -8,28 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislewatch.operators.audits import CELL
+from aislewatch.operators.components import connected_components
 from aislewatch.operators.tracks import suppress
 
 
-def connected_components(edges: DataFrame, *keys: str, a: str = "a", b: str = "b") -> DataFrame:
-    """(keys, node, component) of every node of ``edges``: the smallest node that edges of the same keys reach.
-
-    A round hands each node the smallest label of its neighbours, and each label's own label; it ends when none changes, after about
-    as many rounds as the logarithm of the longest way. ``checkpoint`` ends each round's lineage.
-    """
-    on = [*keys, "node"]
-    to = [*(F.col(k) for k in keys)]
-    both = edges.select(*to, F.col(a).alias("node"), F.col(b).alias("_next")).unionByName(edges.select(*to, F.col(b).alias("node"), F.col(a).alias("_next"))).distinct().checkpoint()
-    label = both.groupBy(*on).agg(F.least("node", F.min("_next")).alias("component")).checkpoint()
-    while True:
-        near = both.join(label.select(*to, F.col("node").alias("_next"), F.col("component").alias("_c")), [*keys, "_next"]).groupBy(*on).agg(F.min("_c").alias("_near"))
-        up = label.select(*to, F.col("node").alias("_near"), F.col("component").alias("_up"))
-        found = label.join(near, on).withColumn("_near", F.least("_near", "component")).join(up, [*keys, "_near"]).select(*on, F.least("_near", "_up").alias("_new"), "component").checkpoint()
-        label = found.select(*on, F.col("_new").alias("component"))
-        if found.where("_new <> component").limit(1).count() == 0:
-            return label
-
-
 def whole_runs(runs: DataFrame, *keys: str) -> DataFrame:
     """(keys, y, x_start, x_end): runs of one row that overlap or touch are one; empty ones go."""
     w = Window.partitionBy(*keys, "y").orderBy("x_start", "x_end")

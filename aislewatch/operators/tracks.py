@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from aislewatch.functions.boxes import box, iou
 from aislewatch.operators.assignment import best_assignment
+from aislewatch.operators.components import connected_components
 from aislewatch.operators.runs import TRACK, observed_runs
 
 
@@ -193,28 +194,62 @@ class BoxTracker:
             (self.retired if retired else self.live).append(t)
 
 
-def track_boxes(det: DataFrame, least: float = 0.3, max_age: int = 15, min_hits: int = 3, high: float = 0.0, low: float | None = None, filtered: bool = False, memory_gap: int = 0, **options) -> DataFrame:
+def track_boxes(det: DataFrame, least: float = 0.3, max_age: int = 15, min_hits: int = 3, high: float = 0.0, low: float | None = None, filtered: bool = False, memory_gap: int = 0, block: int | None = None, overlap: int | None = None, **options) -> DataFrame:
     """(camera_id, class_name, det_id, frame_index, track_key, heir_of, confirmed, box) of detections; ``options`` are those of :class:`BoxTracker`.
 
     A clip is sequential, but no track outlives ``max_age`` empty frames, and none is remembered beyond ``memory_gap``: a camera's stream is
     cut at longer gaps, and each stretch is a group of its own. A track with ``min_hits`` boxes or more is confirmed.
+
+    A stretch may be as long as the stream. With ``block`` it is also cut every so many frames, and each block is tracked from ``overlap`` frames
+    (three times the longest silence, if unset) before its first one on; tracks of neighbouring blocks that share the most boxes of the
+    overlap, each the other's first choice, are one, under the key of the earlier block. That equals the sequential tracker where a block's tracks have
+    settled within the overlap. What may differ: a track that is silent for the whole overlap is cut, a prediction at a seam
+    knows no more than the overlap (the plain one carries its errors on over silences, so it may then take another box), and a donor before it isn't remembered.
     """
     longest = max(max_age, memory_gap)
     key = ["camera_id", "class_name"]
     w = Window.partitionBy(*key).orderBy("frame_index")
     frames = det.select(*key, "frame_index").distinct().withColumn("_g", (F.col("frame_index") - F.lag("frame_index").over(w) > longest).cast("int")).withColumn("_part", F.coalesce(F.sum("_g").over(w), F.lit(0)))
     rows = det.join(frames.drop("_g"), [*key, "frame_index"])
+    overlap = 3 * max(longest, 1) if overlap is None else overlap
+    at = F.floor(F.col("frame_index") / block) if block else F.lit(0).cast("long")
+    if block:
+        if overlap >= block:
+            raise ValueError("a block has to be longer than its overlap")
+        rows = rows.withColumn("_k", F.explode(F.when(F.col("frame_index") >= (at + 1) * block - overlap, F.array(at, at + 1)).otherwise(F.array(at))))
+    else:
+        rows = rows.withColumn("_k", at)
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame_index", "det_id"], kind="stable").reset_index(drop=True)
         keys, heirs = BoxTracker(least, max_age, high, low, filtered, min_hits=min_hits, memory_gap=memory_gap, **options).follow(pdf)
-        out = pdf[["camera_id", "class_name", "det_id", "frame_index", "x0", "y0", "x1", "y1"]].assign(track_key=keys, heir_of=heirs)
+        out = pdf[["camera_id", "class_name", "det_id", "frame_index", "x0", "y0", "x1", "y1", "_k"]].assign(track_key=keys, heir_of=heirs)
         return out[out.track_key.notna()]
 
     kind = dict(det.dtypes)
-    schema = ", ".join(f"{c} {kind[c]}" for c in ("camera_id", "class_name", "det_id", "frame_index", "x0", "y0", "x1", "y1")) + ", track_key string, heir_of string"
-    tracked = rows.groupBy(*key, "_part").applyInPandas(follow, schema)
-    return tracked.withColumn("confirmed", F.count("*").over(Window.partitionBy(*key, "track_key")) >= min_hits)
+    schema = ", ".join(f"{c} {kind[c]}" for c in ("camera_id", "class_name", "det_id", "frame_index", "x0", "y0", "x1", "y1")) + ", _k long, track_key string, heir_of string"
+    tracked = rows.groupBy(*key, "_part", "_k").applyInPandas(follow, schema)
+    if block:
+        tracked = _across_seams(tracked.checkpoint(), block)
+    return tracked.drop("_k").withColumn("confirmed", F.count("*").over(Window.partitionBy(*key, "track_key")) >= min_hits)
+
+
+def _across_seams(tracked: DataFrame, block: int) -> DataFrame:
+    """Blocks' own rows of ``tracked`` (block _k, track_key), with the keys of tracks that go on over seams made one."""
+    key = ["camera_id", "class_name"]
+    own = F.floor(F.col("frame_index") / block) == F.col("_k")
+    a = tracked.where(own).select(*key, "det_id", "frame_index", F.col("_k").alias("_ka"), F.col("track_key").alias("_a"))
+    b = tracked.where(~own).select(*key, "det_id", F.col("_k").alias("_kb"), F.col("track_key").alias("_b"))
+    shared = a.join(b, [*key, "det_id"]).groupBy(*key, "_ka", "_a", "_kb", "_b").agg(F.struct(F.count("*"), F.max("frame_index")).alias("_n"))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*key, "_ka", *by).orderBy(F.desc("_n"), "_a", "_b"))
+    links = shared.withColumns({"_i": first("_a"), "_j": first("_b")}).where("_i = 1 AND _j = 1")
+    node = lambda k, t: F.struct(F.col(k).alias("k"), F.col(t).alias("t"))
+    comps = connected_components(links.select(*key, node("_ka", "_a").alias("a"), node("_kb", "_b").alias("b")), *key)
+    to = comps.select(*key, F.col("node.k").alias("_k"), F.col("node.t").alias("_t"), F.col("component.t").alias("_to"))
+    mine = tracked.where(own)
+    named = mine.join(to.withColumnRenamed("_t", "track_key"), [*key, "_k", "track_key"], "left").withColumn("track_key", F.coalesce("_to", "track_key")).drop("_to")
+    named = named.join(to.withColumnRenamed("_t", "heir_of"), [*key, "_k", "heir_of"], "left").withColumn("heir_of", F.coalesce("_to", "heir_of")).drop("_to")
+    return named.select(*tracked.columns)
 
 
 def suppress(det: DataFrame, least: float = 0.5) -> DataFrame:

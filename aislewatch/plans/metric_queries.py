@@ -38,9 +38,25 @@ def agg_confusion_report(spark, d):
     return _r(M.confusion_shares(M.confusion(V.label_counts(spark, d), "camera"), "camera"), "share", "truth_share")
 
 
-@C.add("agg_bootstrap_miou")
+_BOOT = """, d AS (SELECT unnest(range(1, 51)) AS draw), x AS (SELECT image, camera, gt, pred, sum(n) AS n FROM label_counts GROUP BY 1, 2, 3, 4),
+k AS (SELECT unit, id, draw, (CAST(('0x' || left(md5(id || ':' || draw), 8)) AS BIGINT) + 5e-1) / 4294967296e0 AS u FROM (SELECT DISTINCT 'image' AS unit, image AS id FROM x UNION ALL SELECT DISTINCT 'camera', camera FROM x), d),
+w AS (SELECT unit, id, draw, CAST(u > 36787944e-8 AS INT) + CAST(u > 73575888e-8 AS INT) + CAST(u > 9196986e-7 AS INT) + CAST(u > 98101184e-8 AS INT) + CAST(u > 99634015e-8 AS INT) + CAST(u > 99940582e-8 AS INT) AS m FROM k),
+c AS (SELECT unit, draw, gt, pred, sum(n * m) AS n FROM w JOIN x ON id = CASE unit WHEN 'image' THEN image ELSE camera END WHERE m > 0 GROUP BY 1, 2, 3, 4),
+r AS (SELECT unit, draw, gt AS class, sum(n) AS support, sum(n) FILTER (gt = pred) AS hit FROM c GROUP BY 1, 2, 3), p AS (SELECT unit, draw, pred AS class, sum(n) AS predicted FROM c GROUP BY 1, 2, 3),
+i AS (SELECT unit, draw, avg(coalesce(hit, 0) / (support + coalesce(predicted, 0) - coalesce(hit, 0))) AS miou FROM r LEFT JOIN p USING (unit, draw, class) GROUP BY 1, 2),
+n AS (SELECT unit, count(DISTINCT id) AS units FROM k GROUP BY 1)
+SELECT unit, round(avg(miou), 6) AS mean, round(stddev_samp(miou), 6) AS sd, round(quantile_cont(miou, 25e-3), 6) AS low, round(quantile_cont(miou, 975e-3), 6) AS high, any_value(units) AS units, round(any_value(units) * (stddev_samp(miou) / 1e-2) ** 2, 2) AS needed FROM i JOIN n USING (unit) GROUP BY unit"""
+
+
+@C.add("agg_bootstrap_miou", _BOOT, ("label_counts",))
 def agg_bootstrap_miou(spark, d):
-    return M.bootstrap_miou(V.label_counts(spark, d), "camera")
+    rows = V.label_counts(spark, d)
+    out = []
+    for unit in ("image", "camera"):
+        text = F.concat_ws(":", F.col(unit).cast("string"), F.col("draw").cast("string"))
+        chance = (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+        out.append(M.bootstrap_miou(rows, unit, draws=50, chance=chance).withColumn("unit", F.lit(unit)))
+    return _r(out[0].unionByName(out[1]), "mean", "sd", "low", "high").withColumn("needed", F.round("needed", 2))
 
 
 @C.add("j_gt_pred_iou", "SELECT camera_id, frame_index, gt_id, pred_id, round(iou, 6) AS iou FROM pairs WHERE iou >= 5e-1", ("pairs",))
@@ -164,3 +180,31 @@ def agg_run_table(spark, d):
 @C.add("agg_distribution", "SELECT metric, count(value) AS n, round(avg(value), 3) AS mean, round(quantile_cont(value, 5e-1), 3) AS p50, round(quantile_cont(value, 9e-1), 3) AS p90, max(value) AS max FROM run_metrics GROUP BY 1", ("run_metrics",))
 def agg_distribution(spark, d):
     return M.distribution(V.run_metrics(spark, d), "value", "metric").withColumns({c: F.round(c, 3) for c in ("mean", "p50", "p90")})
+
+
+# label runs of 24 rows, 20 pixels apart, each class standing on the floor under its lowest row; how level they are is made up
+_SURFACE = """WITH r AS (SELECT user_id % 8 AS camera_id, event_id % 40 AS frame_index, event_id // 40 % 3 AS class_id, event_id // 120 % 24 AS row, 20 + event_id % 40 AS n, event_id * 7 % 101 / 1e2 AS horiz FROM events),
+f AS (SELECT *, 100 + 20 * row AS y, 120 + 20 * max(row) OVER (PARTITION BY camera_id, frame_index, class_id) AS foot FROM r),
+g AS (SELECT *, (foot - 36e1) / 9e2 AS ry, (y - 36e1) / 9e2 AS t FROM f),
+h AS (SELECT *, CASE WHEN cos(6e-1) * ry + sin(6e-1) > 1e-9 THEN 25e-1 - (cos(6e-1) - sin(6e-1) * ry) * 25e-1 / (cos(6e-1) * ry + sin(6e-1)) * (t * cos(6e-1) + sin(6e-1)) / (cos(6e-1) - t * sin(6e-1)) END AS height FROM g)
+"""
+
+
+def _surface(spark, d):
+    from aislewatch.plans.scalar_queries import _cam
+
+    i = F.col("event_id")
+    e = V.table(spark, d, "events").select((F.col("user_id") % 8).alias("camera_id"), (i % 40).alias("frame_index"), (F.floor(i / 40) % 3).alias("class_id"), (100 + 20 * (F.floor(i / 120) % 24)).alias("y"), F.lit(600).alias("x_start"), (620 + i % 40).alias("x_end"), (i * 7 % 101 / 1e2).alias("horiz"))
+    foot = e.groupBy("camera_id", "frame_index", "class_id").agg((F.max("y") + 20).alias("foot_v")).withColumn("foot_u", F.lit(640))
+    cams = e.select("camera_id").distinct().withColumn("camera", _cam())
+    return M.run_heights(e.join(foot, ["camera_id", "frame_index", "class_id"]), cams)
+
+
+@C.add("agg_height_histogram", _SURFACE + "SELECT camera_id, CAST(floor((height + 2e-1) / 1e-1) AS BIGINT) AS bin, CAST(coalesce(sum(n) FILTER (horiz >= 8e-1), 0) AS BIGINT) AS horizontal, CAST(coalesce(sum(n) FILTER (horiz > 5e-1 AND horiz < 8e-1), 0) AS BIGINT) AS mid, CAST(coalesce(sum(n) FILTER (horiz <= 5e-1), 0) AS BIGINT) AS vertical FROM h WHERE height >= -2e-1 AND height < 26e-1 GROUP BY 1, 2")
+def agg_height_histogram(spark, d):
+    return M.height_histogram(_surface(spark, d))
+
+
+@C.add("agg_level_quantiles", _SURFACE + ", x AS (SELECT camera_id, horiz, unnest(range(n)) AS k FROM h WHERE height IS NOT NULL) SELECT camera_id, count(*) AS pixels, [round(q, 6) FOR q IN quantile_cont(horiz, [1e-1, 25e-2, 5e-1, 75e-2, 9e-1])] AS quantiles FROM x GROUP BY 1")
+def agg_level_quantiles(spark, d):
+    return M.level_quantiles(_surface(spark, d)).withColumn("quantiles", F.transform("quantiles", lambda q: F.round(q, 6)))

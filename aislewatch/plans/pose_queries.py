@@ -126,20 +126,28 @@ def j_embedding_collisions(spark, d):
     return _r(P.embedding_collisions(V.reid(spark, d)), "cosine", "floor", "excess")
 
 
+STAFF = ["mean", "spread", "low", "high", "middle", "many", "days", "kinds", "late"]
+
+
 def _staff(spark, d):
+    """Nine numbers of each user, of unlike sizes; whether the user is staff depends on some of them."""
     e = V.table(spark, d, "events")
-    t = e.groupBy(F.col("user_id").alias("track")).agg(F.avg("value").alias("a"), F.count("*").alias("c"), F.max("value").alias("m"))
-    return t.select("track", (F.col("track") % 4).alias("camera"), ((F.col("a") - 50) / 20).alias("a"), ((F.col("c") - 60) / 20).alias("c"), ((F.col("m") - 90) / 10).alias("m"), (F.col("a") > 50).cast("int").alias("label"))
+    t = e.groupBy(F.col("user_id").alias("track")).agg(
+        F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("spread"), F.min("value").alias("low"), F.max("value").alias("high"), F.percentile("value", 0.5).alias("middle"), F.count("*").cast("double").alias("many"),
+        F.countDistinct(F.dayofmonth("ts")).cast("double").alias("days"), F.countDistinct("event_type").cast("double").alias("kinds"), F.avg((F.hour("ts") >= 12).cast("double")).alias("late"))
+    return t.withColumns({"camera": F.col("track") % 4, "label": ((F.col("mean") - 50) / 10 + (F.col("late") - 0.5) * 4 + (F.col("track") % 7 - 3) / 4 > 0).cast("int")})
 
 
 @C.add("agg_staff_fit")
 def agg_staff_fit(spark, d):
-    return _r(P.leave_one_out(_staff(spark, d), ["a", "c", "m"]), "accuracy")
+    V.shared_dir(spark)
+    return _r(P.leave_one_out(_staff(spark, d), STAFF), "accuracy")
 
 
 @C.add("agg_staff_licence")
 def agg_staff_licence(spark, d):
-    return _r(P.licence(P.leave_one_out(_staff(spark, d), ["a", "c", "m"])), "accuracy")
+    V.shared_dir(spark)
+    return _r(P.licence(P.leave_one_out(_staff(spark, d), STAFF)), "accuracy")
 
 
 @C.add("agg_score_census", "SELECT camera_id, class_name, round(quantile_cont(score, 5e-1), 6) AS p50, round(quantile_cont(score, 9e-1), 6) AS p90, max(score) AS top, count(*) AS n FROM detections GROUP BY 1, 2", ("detections",))
@@ -147,12 +155,6 @@ def agg_score_census(spark, d):
     return _r(V.detections(spark, d).groupBy("camera_id", "class_name").agg(F.percentile("score", 0.5).alias("p50"), F.percentile("score", 0.9).alias("p90"), F.max("score").alias("top"), F.count("*").alias("n")), "p50", "p90")
 
 
-@C.add("agg_height_histogram", "SELECT camera_id, CAST(floor(z_m * 1e1) AS BIGINT) AS bin, count(*) FILTER (x_m < -1) AS low, count(*) FILTER (x_m BETWEEN -1 AND 1) AS mid, count(*) FILTER (x_m > 1) AS high FROM observations GROUP BY 1, 2", ("observations",))
-def agg_height_histogram(spark, d):
-    n = lambda c: F.count(F.when(c, 1))
-    return V.observations(spark, d).groupBy("camera_id", F.floor(F.col("z_m") * 10).alias("bin")).agg(n(F.col("x_m") < -1).alias("low"), n(F.col("x_m").between(-1, 1)).alias("mid"), n(F.col("x_m") > 1).alias("high"))
-
-
 @C.add("agg_campaign_plan", "SELECT c_nationkey AS camera, c_custkey % 7 AS day, count(*) AS clips, least(greatest(600 // count(*), 5), 60) AS frames_per_clip FROM customer WHERE c_acctbal >= 0 GROUP BY 1, 2")
 def agg_campaign_plan(spark, d):
     c = V.table(spark, d, "customer").where("c_acctbal >= 0").groupBy(F.col("c_nationkey").alias("camera"), (F.col("c_custkey") % 7).alias("day")).agg(F.count("*").alias("clips"))

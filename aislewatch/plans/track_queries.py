@@ -25,6 +25,12 @@ def udf_track_two_stage(spark, d):
     return T.track_boxes(V.detections(spark, d), max_age=5, min_hits=2, high=0.5, low=0.1).drop("x0", "y0", "x1", "y1")
 
 
+@C.add("udf_track_blocks")
+def udf_track_blocks(spark, d):
+    _ready(spark)
+    return T.track_boxes(V.detections(spark, d), max_age=5, min_hits=2, block=60, overlap=20).drop("x0", "y0", "x1", "y1")
+
+
 @C.add("op_nms", """
 , r AS (SELECT *, row_number() OVER (PARTITION BY camera_id, frame_index, class_name ORDER BY score DESC, det_id) AS k, struct_pack(det_id, score, x0, y0, x1, y1) AS b FROM detections),
 s AS (SELECT camera_id, frame_index, class_name, k, [b] AS kept FROM r WHERE k = 1

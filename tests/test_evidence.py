@@ -74,6 +74,26 @@ def test_leave_one_out(spark):
     assert all(q.accuracy is None and q.reason == "one class only" and not q.licensed for q in one)
 
 
+def test_leave_one_out_standardises_on_the_fitted_rows(spark):
+    """Nine features of unlike sizes; the means and deviations are those of the other folds."""
+    r = np.random.default_rng(7)
+    x = r.standard_normal((200, 9)) * 10.0 ** r.integers(-3, 4, 9) + r.uniform(-5, 5, 9)
+    fold = np.arange(200) % 5
+    x[fold == 2] *= 1.5
+    y = (x[:, 0] / x[:, 0].std() + x[:, 3] / x[:, 3].std() + 0.7 * r.standard_normal(200) > 0).astype(int)
+    names = [f"f{i}" for i in range(9)]
+    df = spark.createDataFrame([(int(k), *map(float, v), int(c)) for k, v, c in zip(fold, x, y, strict=True)], "camera long, " + ", ".join(f"{n} double" for n in names) + ", label int")
+    got = {q.camera: q.accuracy for q in P.leave_one_out(df, names).collect()}
+    for k in range(5):
+        tr = fold != k
+        z = np.column_stack([(x - x[tr].mean(axis=0)) / (x[tr].std(axis=0) + 1e-6), np.ones(200)])
+        cost, w = np.where(y[tr] == 1, 0.5 / y[tr].sum(), 0.5 / (1 - y[tr]).sum()), np.zeros(10)
+        for _ in range(25):
+            p = 1 / (1 + np.exp(-z[tr] @ w))
+            w += np.linalg.solve((z[tr] * (cost * p * (1 - p))[:, None]).T @ z[tr] + 1e-2 * np.eye(10), z[tr].T @ (cost * (y[tr] - p)) - 1e-2 * w)
+        assert abs(got[k] - np.mean((z[~tr] @ w >= 0) == y[~tr])) < 1e-9
+
+
 def test_night_veto_in_the_order_of_the_rules(spark):
     rows = [(True, 0.9, 100, 0.9), (False, 0.1, 100, 0.9), (False, 0.9, None, 0.9), (False, 0.9, 10, 0.9), (False, 0.9, 100, 0.9), (False, 0.9, 100, 0.1)]
     df = spark.createDataFrame(rows, "excluded boolean, score double, plate_pixels long, share double")

@@ -388,3 +388,38 @@ def test_average_precision_by_class(spark):
     # at 0.85 the first cat (0.82) misses and the second takes its truth
     assert abs(got["cat", 0.85] - 34 * 0.5 / 101) < 1e-12
     assert got["dog", 0.95] == 0.5 and got["fox", 0.5] == 0.0 and len(got) == 30 and M.mean_precision(M.average_precision(t, p, "class_name")).first().classes == 3
+
+
+def test_tracks_in_blocks_are_the_sequential_ones(spark):
+    """A camera without a gap of ten blocks, tracks seen on both sides of every seam, some that start or end near one."""
+    kind = "det_id long, camera_id long, frame_index long, class_name string, score double, x0 double, y0 double, x1 double, y1 double"
+    # the plain prediction carries its errors on over silences, so its persons are seen in every frame; the filter's are not
+    for seen, options in ((1.0, {}), (0.9, {"high": 0.5, "low": 0.1, "filtered": True, "assignment": "optimal"})):
+        r, rows = np.random.default_rng(12), []
+        for p in range(7):
+            x, v = 250.0 * p, r.normal(0, 0.1)
+            for f in range(int(r.integers(0, 60)), int(r.integers(150, 200))):
+                x += v + r.normal(0, 1.5)
+                if r.random() < seen:
+                    rows.append((len(rows), 0, f, "person", float(r.uniform(0.2, 1)), x, 0.0, x + 60, 140.0))
+        rows += [(10_000 + f, 0, f, "person", 0.9, 5000.0, 0.0, 5060.0, 140.0) for f in range(200)]  # so that no frame is empty
+        det = spark.createDataFrame(rows, kind)
+        whole = {q.det_id: (q.track_key, q.confirmed) for q in T.track_boxes(det, max_age=5, **options).collect()}
+        parts = {q.det_id: (q.track_key, q.confirmed) for q in T.track_boxes(det, max_age=5, block=20, overlap=12, **options).collect()}
+        assert parts == whole and len({k for k, _ in whole.values()}) >= 8
+    with pytest.raises(ValueError, match="longer than its overlap"):
+        T.track_boxes(det, max_age=15, block=20)
+
+
+def test_heights_and_levels(spark):
+    samples = spark.createDataFrame([(0, 0.05, 0.9, 3), (0, 0.05, 0.6, 2), (0, 1.0001, 0.5, 4), (0, float("nan"), 0.5, 9), (0, 9.0, 0.1, 1), (1, None, 0.9, 1)], "camera_id long, height double, horiz double, n long")
+    got = {(g.camera_id, g.bin): (g.horizontal, g.mid, g.vertical) for g in M.height_histogram(samples).collect()}
+    assert got == {(0, 2): (3, 2, 0), (0, 12): (0, 0, 4)}
+    exact = M.level_quantiles(samples).collect()
+    assert [(g.camera_id, g.pixels) for g in exact] == [(0, 10)] and np.allclose(exact[0].quantiles, np.quantile([0.9] * 3 + [0.6] * 2 + [0.5] * 4 + [0.1], [0.1, 0.25, 0.5, 0.75, 0.9]))
+    many = spark.range(20_000).select(F.lit(0).cast("long").alias("camera_id"), F.lit(1.0).alias("height"), (F.col("id") / 20_000).alias("horiz"), F.lit(1).cast("long").alias("n"))
+    assert np.allclose(M.level_quantiles(many, sketch=200).first().quantiles, [0.1, 0.25, 0.5, 0.75, 0.9], atol=0.03)
+    runs = spark.createDataFrame([(0, 500, 10, 30, 640.0, 500.0), (0, 400, 10, 30, 640.0, 500.0), (0, 300, 10, 30, 640.0, -900.0)], "camera_id long, y long, x_start long, x_end long, foot_u double, foot_v double")
+    cams = spark.range(1).select(F.col("id").alias("camera_id"), F.struct(*[F.lit(v).alias(k) for k, v in {"fx": 900.0, "fy": 900.0, "cx": 640.0, "cy": 360.0, "height": 2.5, "pitch": 0.6, "roll": 0.0}.items()]).alias("camera"))
+    at = [g.height for g in M.run_heights(runs, cams).orderBy("y").collect()]
+    assert at[0] is None and at[1] > 0.3 and abs(at[2]) < 1e-9
