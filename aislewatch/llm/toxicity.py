@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from aislewatch.llm.common import filter_texts, table
 from aislewatch.llm.labelled import known_labels, labelled_texts, remainder
 from aislewatch.llm.memo import Memo, worker_memo
-from aislewatch.llm.words import LOWER, SPACE, Words, text_pieces
+from aislewatch.llm.words import CHUNK, LOWER, SPACE, Words, text_pieces
 
 SPAN, DECAY, LONGEST = 6, 0.6, 20
 SYMBOLS = 64
@@ -144,6 +144,8 @@ MARK = np.zeros(256, bool)
 MARK[list(b".!?\n")] = True
 WORDS, LONGEST_WINDOW = 3, 40  # windows are single words and two or three neighbouring words of a sentence in up to so many bytes
 NONE = -3.0  # the value of a window that isn't there
+PIECE = CHUNK // 4  # bytes of text that are worked on at once
+KEPT = 200_000  # words whose values a worker keeps
 BALANCE = 1.0  # what a window of toxic texts weighs against one of clean texts
 HARD = -0.3  # clean windows of several words that are valued over it join the training, where toxic texts have such windows of their own
 PENALTY = 0.5  # what a window of several words has to be valued more than a word: clean sentences have many that overlap
@@ -317,7 +319,7 @@ def top_sentences(texts: pa.Array, svm: KernelSVM, memo: Memo) -> tuple[np.ndarr
     by its words: no other one can change the two.
     """
     top, count = np.full((len(texts), 3), NONE), np.zeros(len(texts), np.int64)
-    for a, b, buf, off in text_pieces(texts):
+    for a, b, buf, off in text_pieces(texts, PIECE):
         w = Words(buf, off, SPACE)
         count[a:b] = w.count
         if not len(w.start):
@@ -358,7 +360,7 @@ def _two_of(value: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 def score_texts(texts: pa.Array, model: ToxicModel) -> np.ndarray:
     svm = model.svm
-    memo = worker_memo("toxicity-" + hashlib.md5(svm.table.tobytes()).hexdigest(), lambda: Memo(svm.words, 1))
+    memo = worker_memo("toxicity-" + hashlib.md5(svm.table.tobytes()).hexdigest(), lambda: Memo(svm.words, 1, KEPT))
     two, count = top_sentences(texts, svm, memo)
     return np.where(count > 0, model.probability(two, count), 0.0)
 
