@@ -156,7 +156,7 @@ def _search(batches: Iterator[pa.RecordBatch], searchers: Searchers, hits_only:
             items = rows.column("i").combine_chunks() if rows.num_rows else pa.array([], pa.string())
             spans = np.unique(np.concatenate(span), axis=0)
             out = pa.table({
-                "_id": batch.column("_id").slice(a, b - a), "_seq": batch.column("_seq").slice(a, b - a), "n_words": pa.array(w.count, pa.int64()), "n_hit": pa.array(hit, pa.int64()),
+                "_id": batch.column("_id").slice(a, b - a), "_h1": batch.column("_h1").slice(a, b - a), "_h2": batch.column("_h2").slice(a, b - a), "n_words": pa.array(w.count, pa.int64()), "n_hit": pa.array(hit, pa.int64()),
                 "items": _lists(b - a, rows.column("d").to_numpy(), items),
                 "spans": _lists(b - a, spans[:, 0], pa.StructArray.from_arrays([pa.array(spans[:, 1]), pa.array(spans[:, 2])], fields=list(SPANS.value_type))),
             })
@@ -174,8 +174,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
     ignored, whatever their names; empty tables give no hits or an empty result.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("_id"), F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_seq"))
-    schema = "_id {}, _seq long, n_words long, n_hit long, items array<string>, spans array<struct<first: long, words: long>>".format(slim.schema["_id"].dataType.simpleString())
+    slim = docs.select(F.col(id_col).alias("_id"), F.col("text").alias("_text"), *(c.alias(n) for c, n in zip(content("text"), ("_h1", "_h2"), strict=True)))
+    schema = "_id {}, _h1 long, _h2 long, n_words long, n_hit long, items array<string>, spans array<struct<first: long, words: long>>".format(slim.schema["_id"].dataType.simpleString())
     parts: list[DataFrame] = []
     held = None
     for searchers in _slices(benchmark, window, slice_words):
@@ -185,11 +185,15 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
         held = spark.sparkContext.broadcast(searchers)
         parts.append(slim.mapInArrow(lambda batches, held=held, more=bool(parts): _search(batches, held.value, more), schema))
     if len(parts) == 1:
-        return parts[0].drop("_seq").withColumnRenamed("_id", id_col)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("_id", "_seq", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+        return parts[0].drop("_h1", "_h2").withColumnRenamed("_id", id_col)
+    # rows of one id and text have the same hits, so they are told by these, whatever order a later pass reads them in
+    more = parts[1]
+    for p in parts[2:]:
+        more = more.unionByName(p)
+    more = more.groupBy(F.col("_id").alias("_i"), F.col("_h1").alias("_a"), F.col("_h2").alias("_b")).agg(F.flatten(F.collect_set("items")).alias("_items"), F.flatten(F.collect_set("spans")).alias("_spans"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b"))
+    both = lambda x, y, kind: F.array_sort(F.array_distinct(F.concat(x, F.coalesce(y, F.array().cast(kind)))))
+    merged = parts[0].join(more, same, "left").select("_id", "n_words", both("items", "_items", "array<string>").alias("items"), both("spans", "_spans", "array<struct<first: long, words: long>>").alias("spans"))
     fold = """aggregate(spans, named_struct('upto', 0L, 'n', 0L),
         (s, x) -> named_struct('upto', greatest(s.upto, x.first + x.words), 'n', s.n + greatest(0L, x.first + x.words - greatest(s.upto, x.first))), s -> s.n)"""
     return merged.select(F.col("_id").alias(id_col), "n_words", F.expr(fold).alias("n_hit"), "items", "spans")
