@@ -125,7 +125,12 @@ def agg_zone_stock(spark, d):
     return E.zone_stock(det, det, V.zones(spark))
 
 
-@C.add("ev_stock_removed")
+@C.add("ev_stock_removed", _STOCK + """, ends AS (SELECT camera_id, zone, min(frame_index) AS lo, max(frame_index) AS hi FROM stock GROUP BY 1, 2),
+dense AS (SELECT e.camera_id, e.zone, lo, hi, f AS frame_index, coalesce(s.n, 0) AS n FROM (SELECT *, unnest(range(lo, hi + 1)) AS f FROM ends) e LEFT JOIN stock s ON s.camera_id = e.camera_id AND s.zone = e.zone AND s.frame_index = f),
+level AS (SELECT *, median(n) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS before, max(n) OVER (w ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS after FROM dense WINDOW w AS (PARTITION BY camera_id, zone ORDER BY frame_index)),
+drops AS (SELECT camera_id, zone, frame_index, before - after AS value FROM level WHERE frame_index - lo >= 2 AND frame_index + 1 <= hi AND before - after >= 1),
+kept AS (SELECT camera_id, zone, min(frame_index) AS frame_index FROM drops GROUP BY 1, 2 UNION ALL SELECT k.camera_id, k.zone, min(d.frame_index) FROM kept k JOIN drops d ON d.camera_id = k.camera_id AND d.zone = k.zone AND d.frame_index >= k.frame_index + 2 GROUP BY k.camera_id, k.zone, k.frame_index)
+SELECT 'stock_removed' AS type, camera_id, zone, frame_index AS frame_start, frame_index + 1 AS frame_end, CAST(value AS DOUBLE) AS value FROM kept JOIN drops USING (camera_id, zone, frame_index)""", ("detections", "zones"))
 def ev_stock_removed(spark, d):
     det = V.detections(spark, d)
     return E.stock_removed(E.zone_stock(det, det, V.zones(spark)), hold_seconds=0.4)
