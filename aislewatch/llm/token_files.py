@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -18,18 +19,41 @@ from aislewatch.llm.common import shared_dir, table
 
 KEPT_CHUNKS = 500_000
 PIECE = 4 << 20
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which begins pieces such as 's
 _WORKER: dict[str, tuple] = {}
 
 
 def _encoder(path: str) -> tuple:
-    """The tokenizer and this worker's ids of chunks; both outlive a task, because workers are used again."""
+    """The tokenizer, its model's :func:`_words` and this worker's ids of chunks; all outlive a task, because workers are used again."""
     if path not in _WORKER:
         from tokenizers import Tokenizer
 
-        _WORKER[path] = (Tokenizer.from_file(path), {})
+        tok = Tokenizer.from_file(path)
+        _WORKER[path] = (tok, _words(tok, path), {})
     return _WORKER[path]
 
 
+def _words(tok, path: str) -> Callable[[list[str]], dict[str, bytes]] | None:
+    """Encodes lower-case words by the tokenizer's model alone, which gets them as the bytes' letters; None unless what the tokenizer
+    does between its split and its model is byte-level writing and nothing else."""
+    spec = json.loads(Path(path).read_text())
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    last = steps[-1] if len(steps) == 2 else {}
+    if last.get("type") != "ByteLevel" or last.get("add_prefix_space") or last.get("use_regex") or spec["model"].get("type") != "BPE" or spec["model"].get("dropout") or any(not a["content"].startswith("<|") for a in spec["added_tokens"]):
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = dict(zip([b for b in range(256) if b not in plain], range(256, 512)))
+    model = tok.model
+
+    def run(words: list[str]) -> dict[str, bytes]:
+        rows = [[t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(letters))] for w in words]
+        flat = np.fromiter(itertools.chain.from_iterable(rows), np.uint32).tobytes()
+        ends = list(itertools.accumulate((4 * len(r) for r in rows), initial=0))
+        return {w: flat[x:y] for w, x, y in zip(words, ends, ends[1:])}
+
+    return run
+
+
 def chunkable(path: str) -> bool:
     """Whether a tokenizer may encode a text's chunks between white space on their own: it has to lower-case, take white space out
     when it splits, part letters from other characters before it merges, and add nothing around a text."""
@@ -59,31 +83,47 @@ def _encode_chunks(tok, chunks: list[str]) -> dict[str, bytes]:
     return out
 
 
-def _by_chunk(tok, known: dict[str, bytes], texts: list[str]) -> list[bytes]:
+def _letters(s: str) -> bool:
+    """Whether ``s`` is letters that stay letters, one for one, when the tokenizer normalises and lower-cases them."""
+    return s.isalpha() and (s.isascii() or max(s) < "\u0180" and "\u0130" not in s)
+
+
+def _by_chunk(tok, words: Callable | None, known: dict[str, bytes], texts: list[str]) -> list[bytes]:
     """The ids of texts that are cut at spaces and line feeds; each distinct chunk of the texts is encoded once.
 
-    ASCII texts are lower-cased first, as the tokenizer does; a full stop or comma after a letter is a token of its
-    own and is cut off too.
+    ASCII texts are lower-cased first, as the tokenizer does. Marks at the end of a chunk, after a letter, are one piece of
+    their own to the tokenizer and are cut off; words are encoded in lower case, so that a word's ids are worked out once
+    whatever marks follow it.
     """
     cut = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
-    here = {c: known.get(c) for c in set().union(*cut)}
-    new = [c for c, x in here.items() if x is None]
-    ended = {c for c in new if c[-1:] in (".", ",") and c[-2:-1].isalpha() and c[-2] < "\u0180" and c[-2] != "\u0130"}  # letters that stay letters
-    parts = {c[:-1] for c in ended} | {c[-1] for c in ended} | {c for c in new if c not in ended}
-    ids = {c: x for c in parts if (x := known.get(c)) is not None}
-    ids |= _encode_chunks(tok, [c for c in parts if c not in ids])
-    here |= {c: ids[c[:-1]] + ids[c[-1]] if c in ended else ids[c] for c in new}
-    known.update((c, here[c]) for c in new[: max(0, KEPT_CHUNKS - len(known))])
-    return [b"".join(map(here.__getitem__, chunks)) for chunks in cut]
+    made, plain, other = {}, set(), set()
+    for c in set().union(*cut).difference(known):
+        w = c if "<|" in c else c.rstrip(MARKS)
+        if len(w) == len(c) or not _letters(w[-1:]):
+            w = c
+        else:
+            other.add(c[len(w) :])
+        low = w.lower() if _letters(w) else w
+        (plain if low is not w or _letters(w) else other).add(low)
+        if low != c:
+            made[c] = low, c[len(w) :]
+    new = [c for c in plain if c not in known]
+    known.update(words(new) if words else _encode_chunks(tok, new))
+    known.update(_encode_chunks(tok, [c for c in other if c not in known]))
+    known.update([(c, known[w] + known[marks] if marks else known[w]) for c, (w, marks) in made.items()])
+    ids = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+    while len(known) > KEPT_CHUNKS:
+        known.popitem()  # the newest
+    return ids
 
 
 def encode_texts(texts: list[str | None], path: str, by_chunk: bool) -> list[bytes]:
     """The ids of whole texts as little-endian 32-bit integers. ``by_chunk`` is right for tokenizers that lower-case, drop
     white space and part letters from other characters before they merge: then nothing reaches across those places."""
-    tok, known = _encoder(path)
+    tok, words, known = _encoder(path)
     texts = [t or "" for t in texts]
     if by_chunk:
-        return _by_chunk(tok, known, texts)
+        return _by_chunk(tok, words, known, texts)
     return [np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 

@@ -628,3 +628,18 @@ def test_benchmark_patterns_are_small():
     found = decontamination.Searchers(items, 10)
     shifts = len(found.by_length) * (2 << decontamination.BITS)
     assert (len(pickle.dumps(found)) - shifts) / words < 120 and decontamination.SLICE_WORDS * 120 <= 100 << 20
+
+
+def test_token_files_encode_a_word_once():
+    """A word is worked out once whatever marks follow it and however it is written; the ids are those of whole texts."""
+    import public_tokenizers
+
+    from aislewatch.llm import token_files as T
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, words, _ = T._encoder(path)
+    asked: list[str] = []
+    texts = ["alpha. alpha! alpha,,, alpha", "Alpha. Été été! ALPHA$$$ İ. don't. x'. a.b <|startoftext|>. o̸! ΟΣ.", "", "alpha\nété.\t!"]
+    got = T._by_chunk(tok, lambda w: asked.extend(w) or words(w), {}, texts)
+    assert got == [np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert len(asked) == len(set(asked)) and {"alpha", "été"} <= set(asked) and not any(w.startswith("alpha") for w in asked if w != "alpha")
