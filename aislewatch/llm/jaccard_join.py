@@ -11,10 +11,11 @@ and its overlap with the union can reach 0.8.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,22 +163,40 @@ def shared_tokens(docs: DataFrame, sets: DataFrame, size: int, percent: int) ->
     return out
 
 
+def _bitmap(rows: DataFrame, col: str) -> tuple[Callable[[str], Column], Broadcast]:
+    """The place of a value in a bitmap of 16 MB at most, and that bitmap of the values of ``rows``, broadcast."""
+    bits = 1 << 20
+    while bits < 1 << 27 and bits < 32 * rows.count():
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    parts = rows.select(place(col).alias("b")).groupBy(F.shiftright("b", 15).alias("c")).agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(32767)).alias("m")).collect()
+    full = np.zeros((bits >> 15, 4096), np.uint8)
+    for r in parts:
+        full[r.c] = np.frombuffer(r.m, np.uint8)
+    return place, rows.sparkSession.sparkContext.broadcast(full.reshape(-1))
+
+
+def _only(full: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of ``full`` whose classes a bitmap finds in ``wanted``, all of those and few others: a join then shuffles these sets alone."""
+    place, shared = _bitmap(wanted, "cid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = batch.column(2).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array((shared.value[b >> 3] >> (b & 7) & 1).astype(bool)))
+
+    out = cut(full.select("cid", "set", place("cid").alias("_b")).mapInArrow(run, "cid long, set binary"))
+    shared.destroy()
+    return out
+
+
 def sets_of(docs: DataFrame, live: DataFrame, id_col: str, size: int) -> DataFrame:
     """(cid, set) of the live classes, from the texts of their representatives (_rep).
 
     A bitmap of hashed ids (16 MB at most) spares most other texts; a join with the live classes leaves the rest out. A
     class may come twice if an id does.
     """
-    spark = docs.sparkSession
-    bits = 1 << 20
-    while bits < 1 << 27 and bits < 32 * live.count():
-        bits *= 2
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    rows = live.select(place("_rep").alias("b")).groupBy(F.shiftright("b", 15).alias("c")).agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(32767)).alias("m")).collect()
-    full = np.zeros((bits >> 15, 4096), np.uint8)
-    for r in rows:
-        full[r.c] = np.frombuffer(r.m, np.uint8)
-    shared = spark.sparkContext.broadcast(np.packbits(np.unpackbits(full.reshape(-1), bitorder="little"), bitorder="little"))
+    place, shared = _bitmap(live, "_rep")
     slim = docs.select(F.col(id_col).alias("_rep"), "text", place(id_col).alias("_b"))
     kind = slim.schema["_rep"].dataType.simpleString()
 
@@ -290,7 +309,7 @@ def _linked_packs(packs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     while True:
         load = todo.groupBy("lead", "step").agg(F.count("*").alias("c"), F.sum("n").alias("t")).where("c > 1").select("lead", "step", _chunks("c", "t").alias("chunks"))
         dealt = spread_join(todo, load, ["lead", "step"], ["cid"]).withColumn("chunk", F.pmod(F.xxhash64("cid", F.lit(level)), "chunks"))
-        sets = dealt.join(full, "cid").select("lead", "step", "chunk", "cid", F.col("cid").alias("comp"), "set")
+        sets = dealt.join(_only(full, todo) if level else full, "cid").select("lead", "step", "chunk", "cid", F.col("cid").alias("comp"), "set")
         roots = cut(sets.groupBy("lead", "step", "chunk").applyInArrow(lambda t: _link_group(t, percent), "cid long, comp long, root long"))
         new = roots.where("comp <> root").select(F.col("comp").alias("a"), F.col("root").alias("b"))
         edges = new if edges is None else edges.unionByName(new)
@@ -354,8 +373,11 @@ def _ask(placed: DataFrame, packs: DataFrame, entries: DataFrame, full: DataFram
     show = lambda n: f"greatest(1L, {n} DIV 20)"  # noqa: E731  as early()
     dealt = _groups(placed, packs)
     several = dealt.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gid")
-    inside = dealt.join(several, "gid", "left_semi").join(full, "cid").select("gid", "cid", "comp", "set")
-    inner = inside.groupBy("gid").applyInArrow(lambda t: _link_group(t, percent), "cid long, comp long, root long").where("comp <> root").select(F.col("comp").alias("a"), F.col("root").alias("b"))
+    with scratch(full.sparkSession):
+        inside = cut(dealt.join(several, "gid", "left_semi").select("gid", "cid", "comp"))
+        inside = inside.join(_only(full, inside), "cid").select("gid", "cid", "comp", "set")
+        inner = inside.groupBy("gid").applyInArrow(lambda t: _link_group(t, percent), "cid long, comp long, root long").where("comp <> root").select(F.col("comp").alias("a"), F.col("root").alias("b"))
+        inner = cut(inner, keep=True)
     bounds = dealt.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.struct("many", "comp")).alias("top")).select(F.col("gid").alias("to"), "lo", "hi", F.col("top.many").alias("tmany"), F.col("top.comp").alias("tcomp"))
 
     known = cut(entries.select("token", "lead", "cid").join(dealt, "cid"))
@@ -374,8 +396,9 @@ def _ask(placed: DataFrame, packs: DataFrame, entries: DataFrame, full: DataFram
     asks = cut(asks.where(f"c >= least({show('n')}, {show(f'greatest(lo, {least})')})").select("cid", "comp", "to"))
 
     parts = cut(asks.groupBy("to").agg(F.ceil(F.count("*") / 512).alias("parts")))
-    queries = spread_join(asks, parts, ["to"], ["cid"]).withColumn("part", F.pmod(F.xxhash64("cid", F.lit(5)), "parts")).join(full.withColumnRenamed("set", "qset"), "cid").select(F.col("to").alias("gid"), "part", "comp", "qset")
-    members = dealt.join(parts.withColumnRenamed("to", "gid"), "gid").join(full, "cid").withColumn("part", every("parts")).select("gid", "part", "cid", "comp", "set")
+    queries = spread_join(asks, parts, ["to"], ["cid"]).withColumn("part", F.pmod(F.xxhash64("cid", F.lit(5)), "parts")).join(_only(full, asks).withColumnRenamed("set", "qset"), "cid").select(F.col("to").alias("gid"), "part", "comp", "qset")
+    asked = cut(dealt.join(parts.withColumnRenamed("to", "gid"), "gid").select("gid", "cid", "comp", "parts"))
+    members = asked.join(_only(full, asked), "cid").withColumn("part", every("parts")).select("gid", "part", "cid", "comp", "set")
     keys = ["gid", "part"]
     return inner.unionByName(members.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(lambda m, q: _open_groups(m, q, percent), "a long, b long"))
 

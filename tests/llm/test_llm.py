@@ -643,3 +643,12 @@ def test_token_files_encode_a_word_once():
     got = T._by_chunk(tok, lambda w: asked.extend(w) or words(w), {}, texts)
     assert got == [np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
     assert len(asked) == len(set(asked)) and {"alpha", "été"} <= set(asked) and not any(w.startswith("alpha") for w in asked if w != "alpha")
+
+
+def test_only_wanted_sets_are_joined(spark):
+    """Of 20,000 sets the bitmap lets all wanted ones through, each whole, and at most one other in a hundred; of none wanted, next to none."""
+    full = spark.range(20_000).select(F.col("id").alias("cid"), F.encode(F.repeat(F.col("id").cast("string"), 3), "UTF-8").alias("set"))
+    wanted = spark.range(0, 20_000, 50).withColumnRenamed("id", "cid")
+    got = {r.cid: bytes(r.set) for r in jaccard_join._only(full, wanted).collect()}
+    assert all(got[c] == str(c).encode() * 3 for c in range(0, 20_000, 50)) and len(got) <= 400 + 200
+    assert jaccard_join._only(full, wanted.where("cid < 0")).isEmpty()
