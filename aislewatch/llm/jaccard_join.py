@@ -19,13 +19,17 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislewatch.llm.common import components, content, cut, scratch, spread_join, staged, table
-from aislewatch.llm.words import SPACE, Words, mix, shingle_sets, text_pieces
+from aislewatch.llm.common import components, content, cut, scratch, small_batches, spread_join, staged, table
+from aislewatch.llm.memo import forget
+from aislewatch.llm.words import CHUNK, SPACE, Words, mix, shingle_sets, text_pieces
 
 GROUP, GROUP_TOKENS = 512, 400_000  # classes in a group, and their tokens
 FREQUENT = 16  # a token of so many sets counts as frequent
 LEAD_ROWS = 250_000  # tokens of classes, and matrix rows, that meet in a part of one leader
 MOST_FREQUENT = 1_000_000  # tokens that are broadcast as frequent: 12 MB
+PIECE = CHUNK // 4  # bytes of text that are worked on at once
+PREFIXES = 600_000  # tokens of prefixes that are dealt to buckets at once
+MEETINGS = 1 << 18  # tokens that meet matrix rows at once
 
 
 def _key(s: np.ndarray) -> tuple[int, int]:
@@ -34,7 +38,8 @@ def _key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
-    for _, _, buf, off in text_pieces(texts):
+    forget()
+    for _, _, buf, off in text_pieces(texts, PIECE):
         yield from shingle_sets(Words(buf, off, SPACE), size)
 
 
@@ -44,23 +49,27 @@ def _repeated(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
     seen: set[tuple[int, int]] = set()
 
     def flush() -> pa.RecordBatch:
-        t = np.sort(np.concatenate([np.zeros(0, np.uint64), *kept]))
-        first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
-        n = np.diff(np.append(first, len(t)))
-        return pa.RecordBatch.from_arrays([pa.array(t[first[n > 1]].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["token", "n"])
+        t = np.concatenate([np.zeros(0, np.uint64), *kept])
+        kept.clear()
+        seen.clear()
+        t.sort()
+        same = np.zeros(len(t) + 1, bool)
+        same[1:-1] = t[1:] == t[:-1]
+        first, last = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(same[:-1] & ~same[1:])
+        return pa.RecordBatch.from_arrays([pa.array(t[first].view(np.int64)), pa.array(last - first + 1)], names=["token", "n"])
 
     held = 0
     for batch in batches:
+        own = [np.zeros(0, np.uint64)]
         for s in _sets(batch.column(0), size):
             if len(s) and (k := _key(s)) not in seen:
                 seen.add(k)
-                kept.append(s)
-                held += len(s)
-                if held > 3_000_000:
-                    yield flush()
-                    kept.clear()
-                    seen.clear()
-                    held = 0
+                own.append(s)
+        kept.append(np.concatenate(own))  # many small arrays that outlive a batch would keep freed memory from the system
+        held += len(kept[-1])
+        if held > 3_000_000:
+            yield flush()
+            held = 0
     yield flush()
 
 
@@ -117,25 +126,39 @@ def _unpack(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
 
 
 def _postings(batches: Iterator[pa.RecordBatch], often: Often, size: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packed (tokens, classes) of each bucket; a class that comes again in a batch is left out.
+    """Packed (tokens, classes) of each bucket, for about PREFIXES tokens at a time; a class that comes again among those is left out.
 
     Other tokens go to a bucket of their hash, so that all their classes meet there; frequent ones go to further
     buckets by their class, so that no bucket has to hold all classes of one.
     """
-    for batch in batches:
-        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for s in _sets(batch.column(0), size):
-            if len(s):
-                sets.setdefault(_key(s)[0], _prefix(s, often, percent))
-        if not sets:
-            continue
-        token, hot = (np.concatenate([x[c] for x in sets.values()]) for c in range(2))
-        cls = np.repeat(np.array(list(sets), np.int64), [len(x) for x, _ in sets.values()])
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    seen: set[int] = set()
+
+    def flush() -> pa.RecordBatch:
+        token, hot, cls = (np.concatenate([x[c] for x in kept]) for c in range(3))
+        kept.clear()
+        seen.clear()
         b = (mix(np.where(hot, cls.view(np.uint64), token)) % np.uint64(buckets)).astype(np.int64) + hot * buckets
         order = np.argsort(b, kind="stable")
         ids, starts = np.unique(b[order], return_index=True)
         token, cls, ends = token[order], cls[order], [*starts[1:], len(order)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([token[x:y].tobytes() for x, y in zip(starts, ends, strict=True)], pa.binary()), pa.array([cls[x:y].tobytes() for x, y in zip(starts, ends, strict=True)], pa.binary())], names=["bucket", "tokens", "classes"])
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([token[x:y].tobytes() for x, y in zip(starts, ends, strict=True)], pa.binary()), pa.array([cls[x:y].tobytes() for x, y in zip(starts, ends, strict=True)], pa.binary())], names=["bucket", "tokens", "classes"])
+
+    held = 0
+    for batch in batches:
+        own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for s in _sets(batch.column(0), size):
+            if len(s) and (k := _key(s)[0]) not in seen:
+                seen.add(k)
+                own[k] = _prefix(s, often, percent)
+        if own:
+            kept.append((*(np.concatenate([x[c] for x in own.values()]) for c in range(2)), np.repeat(np.array(list(own), np.int64), [len(x) for x, _ in own.values()])))
+            held += len(kept[-1][0])
+        if held > PREFIXES:
+            yield flush()
+            held = 0
+    if kept:
+        yield flush()
 
 
 def _shared(t: pa.Table, hot: bool) -> pa.Table:
@@ -335,29 +358,31 @@ def _groups(placed: DataFrame, packs: DataFrame) -> DataFrame:
 
 def _lookups(queries: pa.Table, matrix: pa.Table, percent: int) -> pa.Table:
     """(cid, to, c): how many of a class's tokens lead to each group that it may ask, from the classes' tokens (token, cid, n,
-    comp, many, gid) and the matrix's rows (token, to, lo, hi, tmany, tcomp). Meetings are counted 2 million at a time."""
-    out = {k: [np.zeros(0, np.int64)] for k in ("cid", "to", "c")}
+    comp, many, gid) and the matrix's rows (token, to, lo, hi, tmany, tcomp). About MEETINGS meetings are counted at a time."""
+    out = {k: np.zeros(0, np.int64) for k in ("cid", "to", "c")}
     if queries.num_rows and matrix.num_rows:
         q = {c: queries.column(c).to_numpy() for c in ("token", "cid", "n", "comp", "many", "gid")}
         m = {c: matrix.column(c).to_numpy() for c in ("token", "to", "lo", "hi", "tmany", "tcomp")}
         order = np.argsort(m["token"], kind="stable")
         m = {c: x[order] for c, x in m.items()}
         lo, hi = np.searchsorted(m["token"], q["token"], "left"), np.searchsorted(m["token"], q["token"], "right")
+        (cids, ci), (tos, ti) = (np.unique(x, return_inverse=True) for x in (q["cid"], m["to"]))
         upto = np.cumsum(hi - lo)
-        a = 0
+        pairs, counts, a = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         while a < len(upto):
-            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + 2_000_000, "right")))
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + MEETINGS, "right")))
             n = (hi - lo)[a:b]
             x = np.repeat(np.arange(a, b), n)
             y = np.repeat(lo[a:b], n) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
             fit = (q["gid"][x] != m["to"][y]) & (100 * m["hi"][y] >= percent * q["n"][x]) & (100 * q["n"][x] >= percent * m["lo"][y])
             fit &= (q["many"][x] < m["tmany"][y]) | (q["many"][x] == m["tmany"][y]) & (q["comp"][x] < m["tcomp"][y])
-            pairs, c = np.unique(np.column_stack([q["cid"][x[fit]], m["to"][y[fit]]]), axis=0, return_counts=True)
-            out["cid"].append(pairs[:, 0])
-            out["to"].append(pairs[:, 1])
-            out["c"].append(c)
+            pair, c = np.unique(ci[x[fit]] * len(tos) + ti[y[fit]], return_counts=True)
+            pairs.append(pair)
+            counts.append(c)
             a = b
-    return pa.table({k: np.concatenate(x) for k, x in out.items()})
+        pair, back = np.unique(np.concatenate(pairs), return_inverse=True)
+        out = {"cid": cids[pair // len(tos)], "to": tos[pair % len(tos)], "c": np.bincount(back, np.concatenate(counts), len(pair)).astype(np.int64)}
+    return pa.table(out)
 
 
 def _ask(placed: DataFrame, packs: DataFrame, entries: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -384,7 +409,7 @@ def _ask(placed: DataFrame, packs: DataFrame, entries: DataFrame, full: DataFram
     matrix = cut(known.select("token", "lead", F.col("gid").alias("to")).distinct().join(bounds, "to"))
     parts = lambda df, name: df.groupBy("lead").agg(F.ceil(F.count("*") / LEAD_ROWS).alias(name)).where(f"{name} > 1")
     heavy = cut(parts(known, "parts").join(parts(matrix, "mparts"), "lead", "full").select("lead", F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("mparts", F.lit(1)).alias("mparts")))
-    buckets = max(32, known.count() // (4 * LEAD_ROWS))
+    buckets = max(32, known.count() // LEAD_ROWS)
     keyed = lambda df, by: spread_join(df, heavy, ["lead"], by, "left").withColumns({"parts": F.coalesce("parts", F.lit(1)), "mparts": F.coalesce("mparts", F.lit(1)), "bucket": F.pmod(F.xxhash64("lead"), F.lit(buckets))})
     every = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
     left = keyed(known, ["cid"]).withColumn("part", F.pmod(F.xxhash64("cid", F.lit(5)), "parts")).withColumn("mpart", every("mparts"))
@@ -411,9 +436,10 @@ def _joined(placed: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _classed(docs: DataFrame, percent: int, size: int, id_col: str) -> tuple[DataFrame, DataFrame]:
     """The rows' sets (:func:`document_sets`), and (k1, k2, least, rows) of each class whose component has several rows."""
-    sets = document_sets(docs, id_col, size)
     spark = docs.sparkSession
-    with scratch(spark):
+    with small_batches(spark):
+        sets = document_sets(docs, id_col, size)
+    with small_batches(spark), scratch(spark):
         classes = cut(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("_id").alias("_rep"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()))
         with scratch(spark):
             shared = shared_tokens(docs, sets, size, percent)

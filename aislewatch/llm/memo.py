@@ -44,3 +44,8 @@ def worker_memo(key: str, make: Callable[[], Memo]) -> Memo:
         _WORKER.clear()
         _WORKER[key] = make()
     return _WORKER[key]
+
+
+def forget() -> None:
+    """Frees what this worker keeps, for tasks that value no words: workers are handed on from stage to stage."""
+    _WORKER.clear()

@@ -32,7 +32,7 @@ _POW: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POW or len(_POW["p"]) < n:
         for key, base in (("p", _P), ("i", _INV)):
-            x = np.full(max(n, CHUNK + (1 << 18)), base, dtype=np.uint64)
+            x = np.full(((n >> 18) + 2) << 18, base, dtype=np.uint64)  # room for pieces that are somewhat longer
             x[0] = 1
             _POW[key] = np.cumprod(x, dtype=np.uint64)
     return _POW["p"], _POW["i"]

@@ -108,6 +108,42 @@ def test_jaccard_join_small_groups(spark, monkeypatch):
     assert got == jaccard_brute(texts)
 
 
+def test_jaccard_join_holds_little_in_a_worker():
+    """What helpers hold at once beside their rows, on a partition of 3 million tokens; and what the toxicity stage left goes."""
+    import tracemalloc
+
+    from aislewatch.llm import memo
+
+    r = np.random.default_rng(8)
+    texts = [" ".join(map(str, r.integers(0, 10_000, 300))) for _ in range(10_000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[a : a + 1000])], names=["text"]) for a in range(0, len(texts), 1000)]
+    none = jaccard_join.Often(np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    n = 3000
+    q = pa.table({"token": np.arange(n) % 10, "cid": np.arange(n) - (1 << 40), "n": np.full(n, 9), "comp": np.full(n, 1), "many": np.full(n, 1), "gid": np.full(n, 5)})
+    m = pa.table({"token": np.arange(n) % 10, "to": np.arange(n) % 3, "lo": np.full(n, 9), "hi": np.full(n, 9), "tmany": np.full(n, 2), "tcomp": np.full(n, 2)})
+    memo.worker_memo("toxicity", lambda: memo.Memo(lambda words: np.zeros((len(words), 1)), 1))
+    jaccard_join._lookups(q, m, 80)  # imports and tables that stay
+    assert sum(x.num_rows for x in jaccard_join._postings(iter(batches[:1]), none, 5, 80, 256)) == 256
+    assert not memo._WORKER
+    for limit, run in ((90, lambda: list(jaccard_join._repeated(iter(batches), 5))), (60, lambda: [b.num_rows for b in jaccard_join._postings(iter(batches), none, 5, 80, 256)]), (40, lambda: jaccard_join._lookups(q, m, 80))):
+        tracemalloc.start()
+        got = run()
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < limit, peak
+    assert got.num_rows == 3 * n and sum(got.column("c").to_pylist()) == n * n // 10
+
+
+def test_small_batches_leave_the_setting_as_it_was(spark):
+    from aislewatch.llm import common
+
+    before = spark.conf.get(common.BATCH)
+    with common.small_batches(spark, 10_000):
+        rows = spark.range(4000).select(F.repeat(F.lit("x"), 100).alias("text")).repartition(1).mapInArrow(lambda b: (pa.RecordBatch.from_arrays([pa.array([x.num_rows])], names=["n"]) for x in b), "n long").collect()
+    assert max(r.n for r in rows) < 1000 and sum(r.n for r in rows) == 4000
+    assert spark.conf.get(common.BATCH) == before
+
+
 def test_jaccard_join_empty_and_one_of_each(spark):
     assert jaccard_join.similar_components(frame(spark, [])).count() == 0
     texts = near_copies(prose(20))
