@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aislewatch.llm.common import cut, number_rows, staged, table
+from aislewatch.llm.common import as_written, cut, number_rows, staged, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -104,16 +104,13 @@ def mix_plan(targets: DataFrame, block: int = 256, shard_slots: int = 4096) -> D
     return met.select("_nil", "_src", "epoch", "block", take.cast("long").alias("take"), "shard", "slot")
 
 
-def _mixed(docs: DataFrame, block: int, weights: tuple[float, ...], share: float, limit: float, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _mixed(docs: DataFrame, seq: Column, block: int, weights: tuple[float, ...], share: float, limit: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sized documents, targets, and for each document and epoch the words [lo, hi) that each of its blocks' slots take.
 
-    Sized documents have _id, _row (all columns of ``docs`` as one, if ``whole``), _nil, _src, size, _th, _seq.
+    Sized documents have _id, _nil, _src, size, _th, _seq: ``seq`` tells the rows of ``docs`` apart.
     """
-    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    kept = [F.struct(*map(name, docs.columns)).alias("_row")] if whole else []
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col("doc_id").alias("_id"), *kept, *_keys(F.col("source")), size.alias("size"), F.xxhash64("text").alias("_th"), F.monotonically_increasing_id().alias("_seq"))
-    sized = staged(sized, "sized") if whole else cut(sized)
+    sized = cut(docs.select(F.col("doc_id").alias("_id"), *_keys(F.col("source")), size.alias("size"), F.xxhash64("text").alias("_th"), seq.alias("_seq")))
     targets = cut(source_targets(sized, weights, share, limit))
     # where a document's words begin in its source: documents are packed in the order of their numbers, which don't leave gaps
     b = sized.withColumn("_b", F.pmod(F.xxhash64("_id", "_th"), F.lit(_spread(sized.count()))).cast("int"))
@@ -124,10 +121,21 @@ def _mixed(docs: DataFrame, block: int, weights: tuple[float, ...], share: float
     pieces = at.withColumn("block", F.explode(F.expr(f"sequence(_at DIV {block}, (_at + size - 1) DIV {block})")))
     slots = mix_plan(targets, block)
     start = F.col("block") * block
-    taken = pieces.join(slots, ["_nil", "_src", "block"]).select("_seq", "epoch", F.greatest(F.lit(0), start - F.col("_at")).alias("lo"), F.least("size", start + F.col("take") - F.col("_at")).alias("hi"), "shard", "slot").where("hi > lo")
+    taken = pieces.join(slots, ["_nil", "_src", "block"]).select("_seq", "size", "epoch", F.greatest(F.lit(0), start - F.col("_at")).alias("lo"), F.least("size", start + F.col("take") - F.col("_at")).alias("hi"), "shard", "slot").where("hi > lo")
     return sized, targets, taken
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """(_row, _seq): all columns of ``docs`` as one, and the file and place in it where the row lies.
+
+    Both are the same each time they are read. A table that lies in its folder as it was written is read from there; only
+    other rows are written first.
+    """
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("_row")
+    docs, row = (docs, row) if as_written(docs) else (staged(docs.select(row), "rows"), F.col("_row"))
+    return docs.select(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("_seq"))
+
+
 def mix_sources(docs: DataFrame, block: int = 256, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, limit: float = 2.0) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, and where in the mix it is met first:
     first_shard, first_slot (null if not taken).
@@ -138,7 +146,7 @@ def mix_sources(docs: DataFrame, block: int = 256, weights: tuple[float, ...] =
     ignored, whatever their names. Permutations and draws are seeded hashes of indexes, so reruns over the same rows
     agree on every source's words; which of two equal rows is taken can't be told.
     """
-    sized, targets, taken = _mixed(docs, block, weights, share, limit, False)
+    sized, targets, taken = _mixed(docs, F.monotonically_increasing_id(), block, weights, share, limit)
     words = taken.groupBy("_seq").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.min(F.struct("shard", "slot")).alias("first"))
     out = sized.join(words, "_seq", "left").join(targets, ["_nil", "_src"])
     return out.select(F.col("_id").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("first.shard").alias("first_shard"), F.col("first.slot").alias("first_slot"))
@@ -151,12 +159,13 @@ def mixed_documents(docs: DataFrame, block: int = 256, weights: tuple[float, ...
     spaces. ``n_chars``, where there is one, is counted anew. Columns of any name are carried along. Defined results as
     in :func:`mix_sources`.
     """
-    sized, _, taken = _mixed(docs, block, weights, share, limit, True)
-    parts = taken.groupBy("_seq", "epoch").agg(F.sum(F.col("hi") - F.col("lo")).alias("_k"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_parts"))
+    rows = _placed(docs)
+    _, _, taken = _mixed(rows.select("_row.doc_id", "_row.text", "_row.source", "_seq"), F.col("_seq"), block, weights, share, limit)
+    parts = taken.groupBy("_seq", "size", "epoch").agg(F.sum(F.col("hi") - F.col("lo")).alias("_k"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_parts"))
     text = F.col("_row").getField("text")
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     chosen = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(words, p.lo.cast("int") + 1, (p.hi - p.lo).cast("int")))), " ")
-    out = sized.join(parts, "_seq").withColumn("_text", F.when(F.col("_k") == F.col("size"), text).otherwise(chosen))
+    out = rows.join(parts, "_seq").withColumn("_text", F.when(F.col("_k") == F.col("size"), text).otherwise(chosen))
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return out.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 

@@ -359,6 +359,33 @@ def test_mixing(spark):
     assert mixing.mix_sources(frame(spark, [])).count() == 0 and mixing.mixed_documents(frame(spark, [None, ""])).count() == 0
 
 
+def test_mixing_of_a_written_table(spark, tmp_path):
+    """Texts of a written table are read from it again and not written another time; rows are those of the same table unwritten."""
+    from aislewatch.llm.common import as_written, scratch
+
+    r = np.random.default_rng(5)
+    texts = [" ".join(r.bytes(6).hex() for _ in range(300)) for _ in range(400)] + ODD
+    made = clash(frame(spark, texts)).withColumns({"_row": F.lit("kept"), "_seq": F.lit("kept"), "a.b": F.lit("kept")})
+    made.repartition(5).write.parquet(str(tmp_path / "the docs"))
+    size = sum(p.stat().st_size for p in (tmp_path / "the docs").rglob("*.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "the docs"))
+    assert as_written(docs) and not any(map(as_written, (docs.where("doc_id > 3"), docs.union(docs), docs.drop("lang"), docs.withColumn("x", F.rand()), made, docs.withColumnRenamed("lang", "_metadata"))))
+    left = []
+    with scratch(spark, left):
+        out = mixing.mixed_documents(docs, block=16)
+    rows = out.collect()
+    wrote = sum(os.path.getsize(os.path.join(d, f)) for p in left for d, _, files in os.walk(p.removeprefix("file:")) for f in files)
+    assert 0 < wrote < size / 2
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mixed_documents(made, block=16).collect())) and {c for x in rows for c in (x._row, x._seq, x["a.b"])} == {"kept"}
+    twice = docs.union(docs).where("doc_id < 50")  # rows that repeat are documents of their own
+    again = Counter()
+    for x in mixing.mixed_documents(twice, block=16).collect():
+        again[x.doc_id] += len(x.text.split())
+    assert again == Counter({x.doc_id: x.n for x in mixing.mix_sources(twice, block=16).groupBy("doc_id").agg(F.sum("taken").alias("n")).collect() if x.n})
+    named = mixing.mixed_documents(docs.withColumnRenamed("lang", "_metadata"), block=16)
+    assert "_metadata" in named.columns and named.count() == len(rows)
+
+
 def test_mix_plan(spark):
     """Every source's draws are each taken once, shards are full, and a shard's counts vary as a draw does, with the right mean."""
     targets = spark.createDataFrame([(False, "a", 9000, 18000.0), (False, "b", 20000, 9000.5), (True, "", 500, 120.0)], "_nil boolean, _src string, source_size long, target double")
