@@ -324,5 +324,5 @@ def j_alert_exists(spark, d):
 WITH f AS (SELECT user_id % 50 AS camera_id, event_id % 1000 AS seq, CAST(epoch(ts) AS BIGINT) AS t FROM events), r AS (SELECT *, CASE WHEN seq <= lag(seq) OVER (PARTITION BY camera_id ORDER BY t, seq) THEN 1 ELSE 0 END AS r FROM f)
 SELECT camera_id, count(*) AS frames, CAST(sum(r) AS BIGINT) AS reconnects, CASE WHEN 1706742000 - max(t) > 20000 THEN 'stalled' ELSE 'live' END AS state FROM r GROUP BY 1""")
 def agg_fleet_report(spark, d):
-    f = V.table(spark, d, "events").select((F.col("user_id") % 50).alias("camera_id"), (F.col("event_id") % 1000).alias("seq"), F.unix_timestamp("ts").alias("at"))
+    f = V.table(spark, d, "events").select((F.col("user_id") % 50).alias("camera_id"), (F.col("event_id") % 1000).alias("seq"), F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long").alias("at"))
     return A.fleet_report(f, 1706742000, 20000)
