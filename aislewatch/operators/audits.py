@@ -164,10 +164,13 @@ def retention(files: DataFrame, cutoff_days: int) -> DataFrame:
 
 
 def track_attributes(rows: DataFrame, least: int = 3) -> DataFrame:
-    """Per track and attribute: probability of the mean logit and the share of frames that agree with its sign; null with fewer than ``least`` frames."""
-    m = rows.groupBy("track", "attribute").agg(F.avg("logit").alias("mean"), F.count("logit").alias("n"), F.avg((F.col("logit") > 0).cast("double")).alias("up"))
+    """Per track and attribute: probability of the mean logit and the share of frames that agree with its sign; null with fewer than ``least`` frames.
+
+    Logits that cancel out have the mean 0 in whatever order they are added up: what is within rounding of 0 counts as 0, which isn't positive.
+    """
+    m = rows.groupBy("track", "attribute").agg(F.avg("logit").alias("mean"), F.count("logit").alias("n"), F.avg((F.col("logit") > 0).cast("double")).alias("up"), F.avg(F.abs("logit")).alias("_size"))
     ok = F.col("n") >= least
-    return m.select("track", "attribute", "n", F.when(ok, 1 / (1 + F.exp(-F.col("mean")))).alias("probability"), F.when(ok, F.when(F.col("mean") > 0, F.col("up")).otherwise(1 - F.col("up"))).alias("agreement"))
+    return m.select("track", "attribute", "n", F.when(ok, 1 / (1 + F.exp(-F.col("mean")))).alias("probability"), F.when(ok, F.when(F.col("mean") > 1e-12 * F.col("_size"), F.col("up")).otherwise(1 - F.col("up"))).alias("agreement"))
 
 
 def arg_band(rows: DataFrame) -> DataFrame:

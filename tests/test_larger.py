@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+from aislewatch.operators import audits as A
 from aislewatch.plans import catalogue
 from tests.test_oracle import plain
 
@@ -46,3 +47,14 @@ def test_fleet_seconds_are_rounded(spark, tmp_path):
     """Frames 0.2 seconds apart, on either side of a half second, while the sequence starts again."""
     rows = [(999, at(10.4), 0, "view", 1.0, "{}"), (1000, at(10.6), 0, "view", 1.0, "{}"), (1001, at(10.9), 50, "view", 1.0, "{}"), (2001, at(11.2), 50, "view", 1.0, "{}")]
     assert same_as_sql(spark, tmp_path, "agg_fleet_report", events=(rows, EVENT)) == 1
+
+
+def test_logits_that_cancel_out(spark):
+    """The mean of logits whose sum is 0 isn't positive, whatever the order in which they are added up."""
+    import itertools
+
+    logits = [6.06, -3.755, -2.305]
+    rows = [(k, "hat", x) for k, order in enumerate(itertools.permutations(logits)) for x in order] + [(9, "hat", x) for x in (0.1, 0.2, -0.3)] + [(10, "hat", x) for x in (0.1, 0.2, -0.299)]
+    got = {r.track: round(r.agreement, 6) for r in A.track_attributes(spark.createDataFrame(rows, "track long, attribute string, logit double").coalesce(1)).collect()}
+    assert 0.1 + 0.2 - 0.3 > 0 and got[9] == 0.333333 and got[10] == 0.666667
+    assert {got[k] for k in range(6)} == {0.666667}
