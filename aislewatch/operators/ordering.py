@@ -26,6 +26,21 @@ def running(rows: DataFrame, keys: list[str], order: list[tuple[str, bool]], sum
     return out.withColumns({n: F.col(f"_w_{n}") + F.col(f"_o_{n}") for n in sums}).select(*rows.columns, *sums)
 
 
+def nearest_item(asks: DataFrame, holds: DataFrame, *keys: str) -> DataFrame:
+    """``asks`` (keys, at and more) with the ``item`` of ``holds`` (keys, at, item) of the same keys whose ``at`` is nearest; ties: the smallest item. Asks without any go.
+
+    The nearest one is the last at or before a place or the first at or after it: two passes over the places in order, each row looked at once.
+    """
+    where = holds.where("at IS NOT NULL").groupBy(*keys, "at").agg(F.min("item").alias("_item")).select(*keys, "at", F.struct("at", "_item").alias("_h"))
+    rest = [c for c in asks.columns if c not in (*keys, "at")]
+    both = asks.where("at IS NOT NULL").select("*", F.lit(None).cast(where.schema["_h"].dataType).alias("_h"), F.lit(True).alias("_asks")).unionByName(where.withColumn("_asks", F.lit(False)), allowMissingColumns=True)
+    upto = lambda order: F.last("_h", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order, "_asks").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_a", upto(F.col("at"))).withColumn("_b", upto(F.col("at").desc())).where("_asks AND (_a IS NOT NULL OR _b IS NOT NULL)")
+    near = F.filter(F.array("_a", "_b"), lambda h: h.isNotNull())
+    best = F.array_min(F.transform(near, lambda h: F.struct(F.abs(h["at"] - F.col("at")).alias("gap"), h["_item"].alias("item"))))
+    return found.select(*keys, "at", *rest, best["item"].alias("item"))
+
+
 def rank_auc(rows: DataFrame, *keys: str, label: str = "label", score: str = "score") -> DataFrame:
     """(keys, positives, negatives, auroc): the share of pairs of a positive (label 1) and a negative (0) in which the positive has the higher score, ties counting half; null without both.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from aislewatch.functions import boxes as B
 from aislewatch.functions import geometry as G
 from aislewatch.functions import labels as L
+from aislewatch.operators.ordering import nearest_item
 from aislewatch.plans import views as V
 
 C = V.Catalogue()
@@ -221,5 +222,6 @@ def delivery_tail(spark, d):
 @C.add("nearest_clip", "SELECT c_custkey AS k, arg_min(o_orderkey, (abs(o_custkey * 10 - c_custkey * 7), o_orderkey)) AS clip FROM customer JOIN orders ON c_custkey % 25 = o_custkey % 25 GROUP BY 1")
 def nearest_clip(spark, d):
     c, o = V.table(spark, d, "customer"), V.table(spark, d, "orders")
-    j = c.select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 25).alias("g")).join(o.select("o_orderkey", "o_custkey", (F.col("o_custkey") % 25).alias("g")), "g")
-    return j.groupBy("k").agg(F.min_by("o_orderkey", F.struct(F.abs(F.col("o_custkey") * 10 - F.col("k") * 7), "o_orderkey")).alias("clip"))
+    asks = c.select((F.col("c_custkey") % 25).alias("g"), (F.col("c_custkey") * 7).alias("at"), F.col("c_custkey").alias("k"))
+    holds = o.select((F.col("o_custkey") % 25).alias("g"), (F.col("o_custkey") * 10).alias("at"), F.col("o_orderkey").alias("item"))
+    return nearest_item(asks.distinct(), holds, "g").select("k", F.col("item").alias("clip"))
