@@ -92,3 +92,44 @@ def test_close_pairs():
 def test_crowded_frames(spark, tmp_path, name):
     """More than a hundred predictions of a class in a picture all count."""
     assert same_as_sql(spark, tmp_path, name, events=(crowd(2500, 2400, 2), EVENT))
+
+
+def nodes(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["j_drop_static", "j_pose_student_teacher"])
+def test_exploded_rows_are_not_broadcast(spark, tmp_path, name):
+    """A table of few bytes from which an explode makes many rows looks small; its rows mustn't pass through the driver."""
+    assert same_as_sql(spark, tmp_path, name, events=(crowd(600, 300, 4), EVENT))
+    assert "SortMergeJoin" in nodes(catalogue.QUERIES[name](spark, str(tmp_path)))
+
+
+def test_nearest_item(spark, tmp_path):
+    """As the SQL, with ties in distance and several orders at a place; and no join of all with all."""
+    orders = [(i, c, "O", 1.0, at(0), "x") for i, c in enumerate([0, 25, 35, 35, 60, 50, 100, 3])]
+    customers = [(c, "x", 1, 1.0, "x") for c in [0, 25, 50, 75, 100, 10, 35, 60, 3, 4]]
+    kinds = "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string", "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    assert same_as_sql(spark, tmp_path, "nearest_clip", customer=(customers, kinds[0]), orders=(orders, kinds[1])) == 9
+    assert "Join" not in nodes(catalogue.QUERIES["nearest_clip"](spark, str(tmp_path)))
+
+
+def test_nearest_rows():
+    """The same rows as a table of all, with ties and few cells at once; a box without an edge is as far as can be."""
+    r = np.random.default_rng(2)
+    b = r.integers(0, 30, (400, 4)).astype(float)
+    a = np.vstack([r.integers(0, 30, (300, 4)).astype(float), b[:50], [[900.0, -900.0, 900.0, -900.0], [np.nan, 0, 0, 0]]])
+    table = np.abs(a[:, None] - b[None]).sum(axis=2)
+    want = np.where(np.isnan(table), np.inf, table).argmin(axis=1)
+    for cells in (1 << 20, 3000):
+        overlaps.CELLS = cells
+        i, j, _ = overlaps.nearest_rows(a, b)
+        assert i.tolist() == list(range(len(a))) and j.tolist() == want.tolist()
+    overlaps.CELLS = 1 << 20
+
+
+@pytest.mark.parametrize("name", ["j_index_of", "j_label_of_track"])
+def test_frames_without_all_pairs(spark, tmp_path, name):
+    """As the SQL where frames are full, without a row for each pair of a frame."""
+    assert same_as_sql(spark, tmp_path, name, events=(crowd(900, 700, 3), EVENT))
+    assert "Join" not in nodes(catalogue.QUERIES[name](spark, str(tmp_path)))
