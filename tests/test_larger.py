@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from aislewatch.operators import audits as A
-from aislewatch.operators import overlaps
+from aislewatch.operators import overlaps, pairs
 from aislewatch.plans import catalogue
 from tests.test_oracle import plain
 
@@ -124,3 +124,25 @@ def test_frames_without_all_pairs(spark, tmp_path, name):
     """As the SQL where frames are full, without a row for each pair of a frame."""
     assert same_as_sql(spark, tmp_path, name, events=(crowd(900, 700, 3), EVENT))
     assert "Join" not in nodes(catalogue.QUERIES[name](spark, str(tmp_path)))
+
+
+def exchanged(plan: str) -> int:
+    return plan.count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("name", ["j_copresent", "j_references", "j_coexist_cosine"])
+def test_pairs_of_tracks_in_blocks(spark, tmp_path, name, monkeypatch):
+    """As the SQL over several blocks; pairs of rows are never joined, which is what filled the disk."""
+    monkeypatch.setattr(pairs.in_blocks, "__defaults__", (7,))
+    for f in (pairs.meetings, pairs.compared):
+        monkeypatch.setattr(f, "__defaults__", (7,))
+    vectors = [(i, [float(x) for x in np.random.default_rng(i).random(4)], i % 3) for i in range(0, 200, 2)]
+    assert same_as_sql(spark, tmp_path, name, events=(crowd(900, 160, 70), EVENT), embeddings=(vectors, "vec_id long, embedding array<float>, label long"))
+    assert "frame_index" not in "".join(x for x in nodes(catalogue.QUERIES[name](spark, str(tmp_path))).split("\n") if "Join" in x)
+
+
+def test_several_boxes_of_a_track_in_a_frame(spark):
+    """Each pair of boxes counts as a frame, and the largest overlap is found whatever the order."""
+    rows = [(0, 1, 0, 0.0, 0.0, 10.0, 10.0), (0, 1, 0, 50.0, 0.0, 60.0, 10.0), (0, 2, 0, 5.0, 0.0, 15.0, 10.0), (0, 2, 0, 0.0, 0.0, 10.0, 10.0), (0, 2, 3, 0.0, 0.0, 10.0, 10.0), (0, 3, 3, 90.0, 0.0, 99.0, 9.0)]
+    obs = spark.createDataFrame(rows, "camera_id long, track_id long, frame_index long, x0 double, y0 double, x1 double, y1 double")
+    assert sorted(tuple(r) for r in pairs.meetings(obs).collect()) == [(0, 1, 2, 4, 1.0, 0), (0, 2, 3, 1, 0.0, 3)]
