@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from aislewatch.operators import audits as A
+from aislewatch.operators import metrics as M
 from aislewatch.operators import overlaps, pairs
 from aislewatch.plans import catalogue
 from tests.test_oracle import plain
@@ -146,3 +149,34 @@ def test_several_boxes_of_a_track_in_a_frame(spark):
     rows = [(0, 1, 0, 0.0, 0.0, 10.0, 10.0), (0, 1, 0, 50.0, 0.0, 60.0, 10.0), (0, 2, 0, 5.0, 0.0, 15.0, 10.0), (0, 2, 0, 0.0, 0.0, 10.0, 10.0), (0, 2, 3, 0.0, 0.0, 10.0, 10.0), (0, 3, 3, 90.0, 0.0, 99.0, 9.0)]
     obs = spark.createDataFrame(rows, "camera_id long, track_id long, frame_index long, x0 double, y0 double, x1 double, y1 double")
     assert sorted(tuple(r) for r in pairs.meetings(obs).collect()) == [(0, 1, 2, 4, 1.0, 0), (0, 2, 3, 1, 0.0, 3)]
+
+
+def test_bootstrap_chances_are_worked_out_once(spark):
+    """One hash for each unit and draw, not one for each cell of a unit and each threshold; equal to weights worked out by hand."""
+    rows = spark.range(60).selectExpr("id % 7 AS image", "id % 3 AS gt", "id DIV 2 % 3 AS pred", "id + 1 AS n")
+    chance = (F.conv(F.substring(F.md5(F.concat_ws(":", "image", "draw").cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    out = M.bootstrap_miou(rows, "image", draws=20, chance=chance)
+    assert nodes(out).count("md5(") <= 2  # a plan names it once; AQE's initial plan may repeat it
+    weights = {}
+    for i in range(7):
+        for d in range(1, 21):
+            u = (int(hashlib.md5(f"{i}:{d}".encode()).hexdigest()[:8], 16) + 0.5) / 4294967296.0
+            weights[i, d] = sum(u > t for t in (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582))
+    means = []
+    for d in range(1, 21):
+        table = np.zeros((3, 3))
+        for k in range(60):
+            table[k % 3, k // 2 % 3] += (k + 1) * weights[k % 7, d]
+        truth = table.sum(axis=1)
+        means.append(np.mean([table[c, c] / (truth[c] + table[:, c].sum() - table[c, c]) for c in range(3) if truth[c]]))
+    assert out.first()["mean"] == pytest.approx(np.mean(means))
+
+
+def test_many_ties_of_similarity(spark):
+    """Copies of vectors tie by vec_id, in one block as in many, and are ranked in one go."""
+    r = np.random.default_rng(3)
+    kinds = r.standard_normal((6, 4))
+    rows = [(i, i % 3, i // 3 % 4, i % 5 == 0, kinds[i % 6].tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, pid long, camera long, query boolean, feat array<double>")
+    got, blocks = M.cmc_map(df).first(), M.cmc_map(df, block=64, whole=0).first()
+    assert got["map"] == pytest.approx(blocks["map"]) and tuple(got)[1:] == tuple(blocks)[1:] and got["queries_scored"] == 80
