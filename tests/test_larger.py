@@ -7,12 +7,14 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from aislewatch.operators import audits as A
 from aislewatch.operators import metrics as M
 from aislewatch.operators import overlaps, pairs
+from aislewatch.operators import tracks as T
 from aislewatch.plans import catalogue
 from tests.test_oracle import plain
 
@@ -180,3 +182,26 @@ def test_many_ties_of_similarity(spark):
     df = spark.createDataFrame(rows, "vec_id long, pid long, camera long, query boolean, feat array<double>")
     got, blocks = M.cmc_map(df).first(), M.cmc_map(df, block=64, whole=0).first()
     assert got["map"] == pytest.approx(blocks["map"]) and tuple(got)[1:] == tuple(blocks)[1:] and got["queries_scored"] == 80
+
+
+def test_tracker_takes_stretches_in_batches(spark):
+    """Rows of two cameras in batches of seven, shorter than a frame, give the tracks of the tracker over all rows at once; no task holds a whole stretch."""
+    r = random.Random(5)
+    rows = [(c, "person", 1000 * c + 20 * f + k, f, r.random(), 30.0 * k + f, 5.0 * c, 30.0 * k + f + 20 + r.random(), 40.0) for c in (0, 1) for f in range(0, 40) if f % 17 < 9 for k in range(10) if r.random() < 0.8]
+    det = spark.createDataFrame(r.sample(rows, len(rows)), "camera_id long, class_name string, det_id long, frame_index long, score double, x0 double, y0 double, x1 double, y1 double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = T.track_boxes(det, max_age=3, min_hits=2, high=0.4, low=0.1)
+        got = {x.det_id: x.track_key for x in out.collect()}
+        assert "FlatMapGroups" not in nodes(out)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for c in (0, 1):
+        mine = sorted((x for x in rows if x[0] == c), key=lambda x: (x[3], x[2]))
+        for stretch in ([x for x in mine if lo <= x[3] < lo + 17] for lo in (0, 17, 34)):
+            tracker = T.BoxTracker(0.3, 3, 0.4, 0.1, min_hits=2)
+            tracker.pairs = lambda score, least: T.greedy_pairs(score, least)  # the table of all pairs
+            keys, _ = tracker.follow(pd.DataFrame(stretch, columns=det.columns))
+            want |= {x[2]: k for x, k in zip(stretch, keys) if k is not None}
+    assert got == want and len(set(got.values())) > 20
