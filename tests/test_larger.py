@@ -205,3 +205,12 @@ def test_tracker_takes_stretches_in_batches(spark):
             keys, _ = tracker.follow(pd.DataFrame(stretch, columns=det.columns))
             want |= {x[2]: k for x, k in zip(stretch, keys) if k is not None}
     assert got == want and len(set(got.values())) > 20
+
+
+def test_boxes_of_one_side_alone(spark):
+    """Frames of a camera that one table has and the other hasn't."""
+    kind = "camera_id long, frame_index long, {} long, class_name string, x0 double, y0 double, x1 double, y1 double"
+    a = spark.createDataFrame([(0, 0, 1, "a", 0.0, 0.0, 9.0, 9.0), (1, 0, 2, "a", 0.0, 0.0, 9.0, 9.0)], kind.format("gt_id"))
+    b = spark.createDataFrame([(0, 0, 5, None, 0.0, 0.0, 9.0, 9.0), (2, 90, 6, "a", 0.0, 0.0, 9.0, 9.0)], kind.format("pred_id"))
+    assert [tuple(r) for r in M.matched_boxes(a, b).collect()] == [(0, 0, 1, 5, 1.0)]
+    assert M.matched_boxes(a, b.where("camera_id = 2")).count() == 0
